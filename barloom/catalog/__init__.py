@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("indicators",)
+FAMILIES = ("indicators", "screens", "bars", "patterns")
 
 
 def load():
