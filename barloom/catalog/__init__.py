@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "bars", "patterns")
+FAMILIES = ("indicators", "screens", "bars", "patterns", "structure")
 
 
 def load():
