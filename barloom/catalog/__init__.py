@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "bars", "patterns", "structure")
+FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals")
 
 
 def load():

@@ -9,7 +9,7 @@ settle after one or two rounds; ones that never forget still come out exact, one
 
 from __future__ import annotations
 
-import copy
+
 import json
 
 import pyarrow as pa
@@ -28,6 +28,7 @@ def _fold_batches(keys, cols, init, step, schema, emit_rows, emit_state):
     """An Arrow-batch function folding rows that arrive grouped by (keys, _blk) and sorted."""
     arrow = to_arrow_schema(schema)
     nk = len(keys)
+    start_state = json.dumps(init)
 
     def read(batches):
         for batch in batches:
@@ -50,7 +51,7 @@ def _fold_batches(keys, cols, init, step, schema, emit_rows, emit_state):
                 if emit_state and current is not None and start is not None:
                     out.append((*current, start, json.dumps(state)))
                 current, start = group, None
-                state = json.loads(given) if given is not None else copy.deepcopy(init)
+                state = json.loads(given if given is not None else start_state)
             if core and start is None:
                 start = json.dumps(state)
             state, produced = step(state, values)
