@@ -228,7 +228,7 @@ def signal_rows(bars, period=60, factor=4.0, last_closed=False, longest=None, bl
     )
 
 
-def signal_record(signals: DataFrame) -> DataFrame:
+def signal_record(signals: DataFrame, *more) -> DataFrame:
     """Per key: finished signals, first and second targets touched, stops, still active."""
     done = c("status").isin("stopped", "target2")
     return signals.groupBy(*KEYS).agg(
@@ -237,17 +237,18 @@ def signal_record(signals: DataFrame) -> DataFrame:
         F.count_if(c("status") == "target2").alias("hit_t2"),
         F.count_if(c("status") == "stopped").alias("stopped"),
         F.count_if(~done).alias("active"),
+        *more,
     )
 
 
 def signal_report(bars, period=60, factor=4.0, lookback=48, longest=None) -> DataFrame:
     """Per key at the last confirmed bar: newest recent signal, trend, what stands in the way, record."""
     signals = entry_signals(bars, period, factor, longest=longest)
-    record = signal_record(signals)
-    newest = signals.groupBy(*KEYS).agg(F.max_by(F.struct("rn", "side", "kind", "entry", "stop", "target1", "target2", "status"), "rn").alias("g"))
+    newest = F.max_by(F.struct("rn", "side", "kind", "entry", "stop", "target1", "target2", "status"), "rn").alias("g")
+    record = signal_record(signals, newest)
     direction = supertrend(bars, period, factor, longest).select(*KEYS, "rn", "st_direction")
     at = signal_inputs(bars, period).filter(c("rn") == c("n") - 1).select(*KEYS, "rn", "time", "close", "wma60", "rsi14", "adx")
-    df = at.join(direction, [*KEYS, "rn"], "left").join(newest, list(KEYS), "left").join(record, list(KEYS), "left")
+    df = at.join(direction, [*KEYS, "rn"], "left").join(record, list(KEYS), "left")
     trend = F.when(c("st_direction") == "bullish", "long").when(c("st_direction") == "bearish", "short")
     df = df.withColumns({"trend": trend, "bars_ago": c("rn") - c("g.rn")})
     recent = c("bars_ago") <= lookback

@@ -25,47 +25,48 @@ def asof_join(
 ) -> DataFrame:
     """Attach to each left row the latest right row at or before it (at or after with ``forward``).
 
-    ``values`` maps output names to right columns; ``matched_time`` is added. The two sides are
-    stacked and read in time order inside buckets of time, and what a bucket leaves behind is
-    carried to later ones, so one busy key is spread over all its buckets. Right rows sharing one
-    time are reduced to the first (or last) in ``tie`` order beforehand.
+    ``values`` maps output names to right columns; ``matched_time`` is added. Both sides are stacked
+    and read in time order inside buckets of time, so one busy key is spread over all its buckets.
+    What a bucket leaves to later ones is its last right row: with a tolerance that row is copied to
+    the few buckets it can reach, without one it is carried by a window over the bucket table.
+    Right rows sharing one time are reduced to the first (or last) in ``tie`` order beforehand.
     """
     lt, rt = col(left_time), col(right_time)
     payload = F.struct(rt.alias("matched_time"), *[col(c).alias(n) for n, c in values.items()])
-    r = right.select(*keys, rt.alias("_t"), payload.alias("_r"), (F.col(tie) if tie in right.columns else F.lit(0)).alias("_o"))
+    order = F.col(tie) if tie in right.columns else F.lit(0)
     pick = F.min_by if prefer_first else F.max_by
-    r = r.filter(F.col("_t").isNotNull()).groupBy(*keys, "_t").agg(pick("_r", "_o").alias("_r"))
-    row = F.struct(*[F.col(c) for c in left.columns])
-    l = left.select(*keys, lt.alias("_t"), row.alias("_row"))
+    edge = F.min_by if forward else F.max_by
+    step = -1 if forward else 1
+    bucket = F.floor(F.unix_micros(F.col("_t").cast("timestamp")) / int(bucket_seconds * 1e6)).alias("_b")
+    r = right.select(*keys, rt.alias("_t"), payload.alias("_r"), order.alias("_o")).filter(F.col("_t").isNotNull())
+    r = r.groupBy(*keys, "_t", bucket).agg(pick("_r", "_o").alias("_r"))
+    l = left.select(*keys, lt.alias("_t"), F.struct(*[F.col(c) for c in left.columns]).alias("_row")).select("*", bucket)
     both = l.unionByName(r, allowMissingColumns=True)
-    seconds = F.unix_micros(F.col("_t").cast("timestamp")) / 1e6
-    both = both.withColumn("_b", F.floor(seconds / bucket_seconds))
-    tag = F.col("_r").isNull()  # right rows come first at equal times
-    # Bounds are fixed; walking forward just reads the same order backwards.
-    if forward:
-        inside = Window.partitionBy(*keys, "_b").orderBy(F.col("_t").desc(), tag)
-        earlier = Window.partitionBy(*keys).orderBy(F.col("_b").desc())
-        edge = F.min_by
-    else:
-        inside = Window.partitionBy(*keys, "_b").orderBy("_t", tag)
-        earlier = Window.partitionBy(*keys).orderBy("_b")
-        edge = F.max_by
+    when = F.col("_t") if not forward else F.col("_t").desc()
+    # Right rows come first at equal times.
+    inside = Window.partitionBy(*keys, "_b").orderBy(when, F.col("_r").isNull())
     inside = inside.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        both.groupBy(*keys, "_b")
-        .agg(edge("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_e"))
-        .select(*keys, "_b", F.last("_e", ignorenulls=True).over(earlier).alias("_carry"))
-    )
-    found = (
-        both.withColumn("_near", F.last("_r", ignorenulls=True).over(inside))
-        .filter("_row is not null")
-        .join(carry, [*keys, "_b"])
-        .withColumn("_m", F.coalesce("_near", "_carry"))
-    )
     if tolerance_seconds is not None:
+        reach = int(tolerance_seconds // bucket_seconds) + 1
+        ends = r.groupBy(*keys, "_b").agg(edge("_r", "_t").alias("_r"), (F.min if forward else F.max)("_t").alias("_t"))
+        copies = ends.withColumn("_b", F.explode(F.array(*[F.col("_b") + step * k for k in range(1, reach + 1)])))
+        both = both.unionByName(copies, allowMissingColumns=True)
+        found = both.withColumn("_m", F.last("_r", ignorenulls=True).over(inside)).filter("_row is not null")
         gap = F.abs(F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_m.matched_time").cast("timestamp")))
         found = found.withColumn("_m", F.when(gap <= int(tolerance_seconds * 1e6), F.col("_m")))
+    else:
+        earlier = Window.partitionBy(*keys).orderBy(F.col("_b") * step).rowsBetween(Window.unboundedPreceding, -1)
+        carry = (
+            both.groupBy(*keys, "_b")
+            .agg(edge("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_e"))
+            .select(*keys, "_b", F.last("_e", ignorenulls=True).over(earlier).alias("_carry"))
+        )
+        found = (
+            both.withColumn("_near", F.last("_r", ignorenulls=True).over(inside))
+            .filter("_row is not null")
+            .join(carry, [*keys, "_b"])
+            .withColumn("_m", F.coalesce("_near", "_carry"))
+        )
     return found.select("_row.*", "_m.matched_time", *[f"_m.{n}" for n in values])
 
 
