@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals", "positioning")
+FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals", "positioning", "audits")
 
 
 def load():

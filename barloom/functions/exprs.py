@@ -56,6 +56,11 @@ def fixed_digits(x, digits: int = 2) -> Column:
     return F.round(col(x), digits) + F.lit(0.0)
 
 
+def printed(x, digits: int) -> Column:
+    """Text with a fixed number of digits, rounded from the exact binary value."""
+    return F.call_function("format_number", col(x), F.lit("0." + "0" * digits if digits else "0"))
+
+
 def finite(x) -> Column:
     """The value, or null where it is null, NaN or infinite."""
     c = col(x)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.exprs import col as c
-from barloom.functions.exprs import fixed_digits, millis
+from barloom.functions.exprs import fixed_digits, millis, printed
 from barloom.plans.asof import asof_join, nearest_join
 from barloom.plans.blocks import KEYS, frame, number_rows, running
 
@@ -199,7 +199,7 @@ def cvd_note(cvd, price_pct) -> Column:
 
 def _word(x, high, low, up, mid, down) -> Column:
     word = F.when(x >= high, up).when(x <= low, down).otherwise(mid)
-    return F.concat(word, F.lit(" "), F.format_string("%.2f", x))
+    return F.concat(word, F.lit(" "), printed(x, 2))
 
 
 # Chip notes.
@@ -239,11 +239,11 @@ def position_readings(accounts=None, positions=None, top_accounts=None, taker=No
         chip(k.isNotNull(), "taker", _word(k, 1.12, 0.88, "主动买", "买卖均衡", "主动卖"), NOTES["taker"]),
         chip(
             fr.isNotNull(), "funding", rate,
-            F.concat(F.format_string("%.4f", fr * 100), F.lit("%/8h，年化"), F.format_string("%.1f", yearly),
+            F.concat(printed(fr * 100, 4), F.lit("%/8h，年化"), printed(yearly, 1),
                      F.lit("%；中性≈0.01%/8h，正费率=多付空，非看多。")),
             F.when(rate.contains("拥挤"), "warn").otherwise("neutral"),
         ),
-        chip(bs.isNotNull(), "basis", F.concat(level, F.lit(" "), F.format_string("%.3f", bs), F.lit("%")), NOTES["basis"]),
+        chip(bs.isNotNull(), "basis", F.concat(level, F.lit(" "), printed(bs, 3), F.lit("%")), NOTES["basis"]),
     ]
     return F.array_compact(F.array(*chips))
 

@@ -28,7 +28,7 @@ def asof_join(
     ``values`` maps output names to right columns; ``matched_time`` is added. Both sides are stacked
     and read in time order inside buckets of time, so one busy key is spread over all its buckets.
     What a bucket leaves to later ones is its last right row: with a tolerance that row is copied to
-    the few buckets it can reach, without one it is carried by a window over the bucket table.
+    the few buckets it can reach, without one to all buckets up to the next right row.
     Right rows sharing one time are reduced to the first (or last) in ``tie`` order beforehand.
     """
     lt, rt = col(left_time), col(right_time)
@@ -55,18 +55,18 @@ def asof_join(
         gap = F.abs(F.unix_micros(F.col("_t").cast("timestamp")) - F.unix_micros(F.col("_m.matched_time").cast("timestamp")))
         found = found.withColumn("_m", F.when(gap <= int(tolerance_seconds * 1e6), F.col("_m")))
     else:
-        earlier = Window.partitionBy(*keys).orderBy(F.col("_b") * step).rowsBetween(Window.unboundedPreceding, -1)
-        carry = (
-            both.groupBy(*keys, "_b")
-            .agg(edge("_r", F.when(F.col("_r").isNotNull(), F.col("_t"))).alias("_e"))
-            .select(*keys, "_b", F.last("_e", ignorenulls=True).over(earlier).alias("_carry"))
-        )
-        found = (
-            both.withColumn("_near", F.last("_r", ignorenulls=True).over(inside))
-            .filter("_row is not null")
-            .join(carry, [*keys, "_b"])
-            .withColumn("_m", F.coalesce("_near", "_carry"))
-        )
+        # Every bucket up to the next one with right rows gets the end before it; what follows the
+        # last right bucket of a key is looked up in one row per key.
+        nearest_first = Window.partitionBy(*keys).orderBy(F.col("_b") * step)
+        ends = r.groupBy(*keys, "_b").agg(edge("_r", "_t").alias("_r"), (F.min if forward else F.max)("_t").alias("_t"))
+        ends = ends.withColumn("_until", F.lead("_b").over(nearest_first))
+        gaps = F.explode(F.sequence(F.col("_b") + step, F.col("_until"), F.lit(step)))
+        copies = ends.filter("_until is not null").withColumn("_b", gaps).drop("_until")
+        final = ends.filter("_until is null").select(*keys, F.col("_b").alias("_fb"), F.col("_r").alias("_fr"))
+        both = both.unionByName(copies, allowMissingColumns=True)
+        found = both.withColumn("_near", F.last("_r", ignorenulls=True).over(inside)).filter("_row is not null")
+        past = (F.col("_b") - F.col("_fb")) * step > 0
+        found = found.join(final, list(keys), "left").withColumn("_m", F.coalesce("_near", F.when(past, F.col("_fr"))))
     return found.select("_row.*", "_m.matched_time", *[f"_m.{n}" for n in values])
 
 
