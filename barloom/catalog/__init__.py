@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals", "positioning", "audits")
+FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals", "positioning", "audits", "walls", "texts")
 
 
 def load():
