@@ -90,16 +90,25 @@ def range_stage(f: Framed) -> Framed:
     return f.add(_tr=F.greatest(c("high") - c("low"), F.abs(c("high") - prev), F.abs(c("low") - prev)))
 
 
-def rsi_stage(f: Framed, period: int, out: str, flat_gain_is_zero: bool = False) -> Framed:
+def rsis_stage(f: Framed, names: dict, flat_gain_is_zero: bool = False) -> Framed:
+    """RSI for several periods (period -> column) in one pass."""
     f = change_stage(f)
     f = f.add(_up=F.greatest(c("_chg"), zero()), _dn=F.greatest(-c("_chg"), zero()))
-    f = wilder_stage(f, "_up", period, f"_g{period}", 2)
-    f = wilder_stage(f, "_dn", period, f"_l{period}", 2)
-    gain, loss = c(f"_g{period}"), c(f"_l{period}")
-    value = F.when(loss == 0, F.lit(100.0))
-    if flat_gain_is_zero:
-        value = value.when(gain == 0, zero())
-    return f.add(**{out: value.when(loss > 0, 100 - 100 / (1 + gain / F.nullif(loss, zero())))})
+    rates = {p: wilder_rate(p) if p > 1 else 1e-300 for p in names}
+    feed = lambda value, p: mean_seeded_input(f, c(value), p, 1 / p, 2)
+    f = f.scan(**{f"_{k}{p}": (rates[p], feed(v, p)) for p in names for k, v in (("gain", "_up"), ("loss", "_dn"))})
+    out = {}
+    for p, name in names.items():
+        gain, loss = c(f"_gain{p}"), c(f"_loss{p}")
+        value = F.when(loss == 0, F.lit(100.0))
+        if flat_gain_is_zero:
+            value = value.when(gain == 0, zero())
+        out[name] = seeded(p + 1, value.when(loss > 0, 100 - 100 / (1 + gain / F.nullif(loss, zero()))))
+    return f.add(**out)
+
+
+def rsi_stage(f: Framed, period: int, out: str, flat_gain_is_zero: bool = False) -> Framed:
+    return rsis_stage(f, {period: out}, flat_gain_is_zero)
 
 
 def rsi_rows(*periods) -> int:
@@ -111,7 +120,8 @@ def macd_rows(fast=12, slow=26, signal=9) -> int:
 
 
 def macd_stage(f: Framed, fast=12, slow=26, signal=9) -> Framed:
-    f = ema_stage(ema_stage(f, fast, "_fast"), slow, "_slow")
+    feed = lambda w: (ema_rate(w), mean_seeded_input(f, c("close"), w, 2 / (w + 1)))
+    f = f.scan(_fast=feed(fast), _slow=feed(slow))
     f = f.add(macd=seeded(slow, c("_fast") - c("_slow")))
     f = ema_stage(f, signal, "macd_signal", c("macd"), slow)
     return f.add(macd_hist=c("macd") - c("macd_signal"))
@@ -181,9 +191,10 @@ def dx_average(f: Framed, period: int, out: str) -> Framed:
 def adx_pine_stage(f: Framed, period: int, out: str) -> Framed:
     """Variant on Wilder averages that skip the first bar; a zero DI sum divides by one."""
     f = movement_stage(f)
-    for name in ("_tr", "_plus", "_minus"):
-        f = wilder_stage(f, name, period, f"{name}_avg", 2)
-    live = c("_tr_avg") > 0
+    feed = lambda name: (wilder_rate(period), mean_seeded_input(f, c(name), period, 1 / period, 2))
+    f = f.scan(**{f"{name}_avg": feed(name) for name in ("_tr", "_plus", "_minus")})
+    ready = c("rn") > period
+    live = ready & (c("_tr_avg") > 0)
     plus, minus = (F.when(live, F.try_divide(100 * c(n), c("_tr_avg"))) for n in ("_plus_avg", "_minus_avg"))
     f = f.add(_pdi=plus, _mdi=minus)
     total = c("_pdi") + c("_mdi")
@@ -417,7 +428,7 @@ def td_count(bars, block=None) -> DataFrame:
 def rsi_diff(bars, fast=6, slow=12, block=None) -> DataFrame:
     """Fast minus slow RSI with dominance, momentum and crosses on every bar."""
     f = frame(bars, rsi_rows(fast, slow) + 1, block=block)
-    f = rsi_stage(rsi_stage(f, fast, "rsi_fast"), slow, "rsi_slow")
+    f = rsis_stage(f, {fast: "rsi_fast", slow: "rsi_slow"})
     f = f.add(_diff=c("rsi_fast") - c("rsi_slow"))
     d, prev, r = c("_diff"), f.lag("_diff"), c("rsi_fast")
     pull = F.when(d >= 0, d - prev).otherwise(prev - d)

@@ -58,6 +58,6 @@ def chart_payload(df: DataFrame, columns, cap: int = PAYLOAD_BARS) -> DataFrame:
     # At most ``cap`` rows per key reach the list.
     g = tail.groupBy(*KEYS).agg(F.bool_or(broken).alias("bad"), F.sort_array(F.collect_list(row)).alias("l"))
     candle = lambda x: F.struct(*[x[k].alias(k) for k in ("time", *ohlcv)])
-    series = F.struct(*[F.transform("l", lambda x, k=k: x[k]).alias(k) for k in columns])
+    series = F.struct(*[c(f"l.{k}").alias(k) for k in columns])
     payload = F.to_json(F.struct(F.transform("l", candle).alias("candles"), series.alias("series")), {"ignoreNullFields": "false"})
     return g.select(*KEYS, F.size("l").alias("bars"), F.when(~c("bad"), payload).alias("payload"))

@@ -110,27 +110,29 @@ class Framed:
         whose ends are handed on by two more windows.
         """
         f = self
-        if "_pos" not in f.df.columns:
-            f = f.add(_pos=(F.row_number().over(f.window) - 1).cast("double"))
-        pos = F.col("_pos")
+        if "_row_at" not in f.df.columns:
+            f = f.add(_row_at=(F.row_number().over(f.window) - 1).cast("double"))
+        pos = F.col("_row_at")
         feed = {f"_b_{n}": F.coalesce(b, F.lit(0.0)) for n, (_, b) in specs.items()}
         f = f.add(**feed)
+        plain, sub, local, ends, final = {}, {}, {}, {}, {}
         for name, (rate, _) in specs.items():
-            base, b = F.lit(float(rate)), F.col(f"_b_{name}")
-            speed = -math.log(rate)
+            base, b, speed = F.lit(float(rate)), F.col(f"_b_{name}"), -math.log(rate)
             if f.most * speed <= OVERFLOW:
-                f = f.add(**{name: F.pow(base, pos) * F.sum(b * F.pow(base, -pos)).over(f.upto)})
+                plain[name] = F.pow(base, pos) * F.sum(b * F.pow(base, -pos)).over(f.upto)
                 continue
             size = math.ceil(2 * FADE / speed)
-            sub, p = f"_s_{name}", pos % size
-            f = f.add(**{sub: F.floor(pos / size), f"_p_{name}": p})
-            p = F.col(f"_p_{name}")
-            inside = Window.partitionBy(*self.parts, sub).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-            f = f.add(**{f"_l_{name}": F.pow(base, p) * F.sum(b * F.pow(base, -p)).over(inside)})
+            sub[f"_s_{name}"] = F.floor(pos / size)
+            p = pos % size
+            inside = Window.partitionBy(*self.parts, f"_s_{name}").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
+            local[f"_l_{name}"] = F.pow(base, p) * F.sum(b * F.pow(base, -p)).over(inside)
             earlier = self.window.rowsBetween(Window.unboundedPreceding, -1)
-            end = F.when(p == size - 1, F.col(f"_l_{name}"))
-            f = f.add(**{f"_e_{name}": F.last(end, ignorenulls=True).over(earlier)})
-            f = f.add(**{name: F.col(f"_l_{name}") + F.pow(base, p + 1) * F.coalesce(F.col(f"_e_{name}"), F.lit(0.0))})
+            ends[f"_e_{name}"] = F.last(F.when(p == size - 1, F.col(f"_l_{name}")), ignorenulls=True).over(earlier)
+            carry = F.coalesce(F.col(f"_e_{name}"), F.lit(0.0))
+            final[name] = F.col(f"_l_{name}") + F.pow(base, p + 1) * carry
+        for cols in (plain | sub, local, ends, final):
+            if cols:
+                f = f.add(**cols)
         return f
 
     def rows(self, *keep) -> DataFrame:
