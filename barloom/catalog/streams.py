@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from barloom.catalog.bars import OHLCV, OHLCV_SQL
 from barloom.catalog.base import BARS_SQL, bars, over, q, query, r, tidy
-from barloom.catalog.signals import st_ctes
+from barloom.catalog.signals import SIG, st_ctes
 from barloom.session import shared_folder
 from barloom.sources.bars import table
 from barloom.streaming import jobs as J
@@ -95,12 +95,18 @@ def _(spark, d):
     return tidy(out, "symbol", "time", "st_value", "st_direction")
 
 
-@query("stream_zigzag")
+ZIGZAG = f"""z AS (SELECT DISTINCT symbol, lv, level, 0::BIGINT AS rn, true AS up, first(high) OVER (PARTITION BY symbol ORDER BY rn) AS px, false AS turn, 0.0::DOUBLE AS mark FROM b, (VALUES (0.007::DOUBLE, 'fine'), (0.02::DOUBLE, 'big')) v(lv, level)
+  UNION ALL SELECT i.symbol, z.lv, z.level, i.rn, CASE WHEN tn THEN NOT z.up ELSE z.up END, CASE WHEN tn THEN CASE WHEN z.up THEN i.low ELSE i.high END ELSE p2 END, tn, p2
+  FROM z JOIN b i ON i.symbol = z.symbol AND i.rn = z.rn + 1 AND i.rn < i.n, LATERAL (SELECT CASE WHEN z.up THEN greatest(z.px, i.high) ELSE least(z.px, i.low) END AS p2),
+  LATERAL (SELECT CASE WHEN z.up THEN (p2 - i.low) / p2 >= z.lv ELSE (i.high - p2) / p2 >= z.lv END AS tn))"""
+
+
+@query("stream_zigzag", over(f", {ZIGZAG} SELECT z.symbol, b.time, level, NOT up AS is_top, {q('mark')} AS price FROM z JOIN b USING (symbol, rn) WHERE turn", "hourly", True))
 def _(spark, d):
     return tidy(drain(spark, J.stream_fold(closed_bars(spark, d), J.ZigzagProcessor())), "symbol", "time", "level", "is_top", "price")
 
 
-@query("stream_signals")
+@query("stream_signals", over(f", {SIG} SELECT symbol, rn, time, side, kind, {q('entry')} AS entry, status, closed_rn FROM ez WHERE closed_rn IS NOT NULL", "hourly", True))
 def _(spark, d):
     out = drain(spark, J.stream_fold(closed_bars(spark, d), J.SignalProcessor()))
     return tidy(out, "symbol", "rn", "time", "side", "kind", "entry", "status", "closed_rn")

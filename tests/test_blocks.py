@@ -79,6 +79,6 @@ def test_prefix_stability(spark):
 
 
 def test_strict_pivots(spark):
-    b = numbered(spark, [1, 2, 3, 2, 1, 2, 3, 3, 2, 1, 0.5, 1, 2.0])
+    b = numbered(spark, [float(x) for x in (1, 2, 3, 2, 1, 2, 3, 3, 2, 1, 0.5, 1, 2)])
     kinds = {(r.rn, r.kind) for r in structure.pivots(b, 2, 2).collect()}
     assert kinds == {(r.rn, r.kind) for r in structure.pivots(b, 2, 2, block=4).collect()}
