@@ -295,11 +295,11 @@ def _(spark, d):
     return tidy(R.recent_runs(log, 100, 15))
 
 
-@query("agg_task_actions", over(f"""SELECT 'funding' AS kind, symbol, time, abs((close - open) / (close + open) / 1000 * 100) >= 0.03 AS anomaly, NULL::DOUBLE AS change_pct FROM b
+@query("agg_task_actions", over(f"""SELECT 'funding' AS kind, symbol, time, abs((close - open) / nullif(close + open, 0) / 1000 * 100) >= 0.03 AS anomaly, NULL::DOUBLE AS change_pct FROM b
 UNION ALL SELECT 'watch', symbol, max(time), NULL, {q('round((max(close) FILTER (rn = n) - max(close) FILTER (rn = n - 1)) / max(close) FILTER (rn = n - 1) * 100, 2)', 2)} FROM b GROUP BY symbol""", "hourly"))
 def _(spark, d):
     b = bars(spark, d, "hourly")
-    rates = R.funding_anomalies(b.withColumn("funding_rate", F.expr("(close - open) / (close + open) / 1000")))
+    rates = R.funding_anomalies(b.withColumn("funding_rate", F.expr("(close - open) / nullif(close + open, 0) / 1000")))
     one = rates.select(F.lit("funding").alias("kind"), "symbol", "time", "anomaly", F.lit(None).cast("double").alias("change_pct"))
     end = b.groupBy("symbol").agg(F.max("time").alias("time"))
     two = R.watch_summary(b).join(end, "symbol").select(F.lit("watch").alias("kind"), "symbol", "time", F.lit(None).cast("boolean").alias("anomaly"), "change_pct")

@@ -91,7 +91,7 @@ def _(spark, d):
 
 
 # A funding-like rate from the data: small, of both signs.
-FR = "(close - open) / (close + open) / 1000"
+FR = "(close - open) / nullif(close + open, 0) / 1000"
 
 
 @query("posture", hist(f"{CHANGES}, cf AS (SELECT *, {FR} AS fr FROM ch) SELECT symbol, time, {posture_sql('px_pct_1h', 'oi_pct_1h', True, '(taker_ratio - 0.2)', 'fr')} AS live, {posture_sql('px_pct_4h', '(5 - oi_pct_4h)', False, '(taker_ratio - 0.2)')} AS bar FROM cf"))
@@ -153,13 +153,13 @@ def chips(col="readings"):
     return F.array_join(F.transform(col, lambda x: F.concat_ws(":", x["id"], x["label"], x["tone"])), "|")
 
 
-@query("position_readings", hist(f"""z AS (SELECT symbol, time, long_short_ratio AS a, top_position_ratio - 0.3 AS p, top_account_ratio - 0.2 AS t, taker_ratio - 0.30001 AS k, {FR} AS fr, (close - open) / (close + open) / 10.0003 AS bs FROM dh)
+@query("position_readings", hist(f"""z AS (SELECT symbol, time, long_short_ratio AS a, top_position_ratio - 0.3 AS p, top_account_ratio - 0.2 AS t, taker_ratio - 0.30001 AS k, {FR} AS fr, (close - open) / nullif(close + open, 0) / 10.0003 AS bs FROM dh)
 SELECT symbol, time, {read_sql()}, 'funding:' || CASE WHEN fr >= 0.0003 THEN '多头拥挤' WHEN fr > 0.00015 THEN '偏多' WHEN fr <= -0.0002 THEN '空头拥挤' WHEN fr < -0.00005 THEN '偏空' ELSE '中性≈0.01%/8h' END || CASE WHEN fr >= 0.0003 OR fr <= -0.0002 THEN ':warn' ELSE ':neutral' END,
   'basis:' || CASE WHEN bs >= 0.05 THEN '升水' WHEN bs > 0.02 THEN '微升水' WHEN bs <= -0.05 THEN '贴水' WHEN bs < -0.02 THEN '微贴水' ELSE '平水' END || ' ' || CASE WHEN abs(bs) < 0.0005 THEN CASE WHEN bs < 0 THEN '-' ELSE '' END || '0.000' ELSE printf('%.3f', bs) END || '%:neutral') AS readings FROM z"""))
 def _(spark, d):
     h = flows.deriv_history(spark, d)
     z = h.select("symbol", "time", c("long_short_ratio").alias("a"), (c("top_position_ratio") - 0.3).alias("p"), (c("top_account_ratio") - 0.2).alias("t"),
-                 (c("taker_ratio") - 0.30001).alias("k"), F.expr(FR).alias("fr"), ((c("close") - c("open")) / (c("close") + c("open")) / 10.0003).alias("bs"))
+                 (c("taker_ratio") - 0.30001).alias("k"), F.expr(FR).alias("fr"), ((c("close") - c("open")) / F.nullif(c("close") + c("open"), F.lit(0.0)) / 10.0003).alias("bs"))
     df = z.withColumn("readings", O.position_readings("a", "p", "t", "k", "fr", "bs"))
     return df.select("symbol", c("time").cast("timestamp_ntz").alias("time"), chips().alias("readings"))
 
@@ -233,7 +233,7 @@ def _(spark, d):
     return tidy(fine.unionByName(wide), "mode", "symbol", "time", "matched_time", "h_oi")
 
 
-SNAP = "sn AS (SELECT symbol, (close - open) / (close + open) / 1000 AS funding_rate FROM dh WHERE rn = n)"
+SNAP = "sn AS (SELECT symbol, (close - open) / nullif(close + open, 0) / 1000 AS funding_rate FROM dh WHERE rn = n)"
 
 
 @query("deriv_at_bar", hist(f"""{MATCH_WIDE}, {SNAP} SELECT symbol, hb.time, {q('m[1]')} AS h_oi, {q('m[2]')} AS h_long_short_ratio, {q('funding_rate', 8)} AS funding_rate FROM hb LEFT JOIN mw USING (symbol, time) LEFT JOIN sn USING (symbol)"""))

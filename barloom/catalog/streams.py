@@ -76,9 +76,9 @@ def _(spark, d):
     return tidy(out, "symbol", "time", "alert_id")
 
 
-@query("stream_funding_monitor", over(f"SELECT symbol, time, {q('(close - open) / (close + open) / 1000', 8)} AS funding_rate FROM b WHERE abs((close - open) / (close + open) / 1000 * 100) >= 0.03", "hourly"))
+@query("stream_funding_monitor", over(f"SELECT symbol, time, {q('(close - open) / nullif(close + open, 0) / 1000', 8)} AS funding_rate FROM b WHERE abs((close - open) / nullif(close + open, 0) / 1000 * 100) >= 0.03", "hourly"))
 def _(spark, d):
-    b = bars(spark, d, "hourly").select("symbol", "time", F.expr("(close - open) / (close + open) / 1000").alias("funding_rate"))
+    b = bars(spark, d, "hourly").select("symbol", "time", F.expr("(close - open) / nullif(close + open, 0) / 1000").alias("funding_rate"))
     return tidy(drain(spark, J.stream_funding_monitor(stored_stream(spark, b))), "symbol", "time", "funding_rate", digits=8)
 
 

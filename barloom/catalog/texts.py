@@ -128,11 +128,11 @@ def _(spark, d):
                      r("pe_ttm").alias("pe_ttm"), "pb", r("circulating_cap", 0).alias("circulating_cap"), "market_cap", r("turnover_ratio").alias("turnover_ratio"), r(best).alias("best_bid_qty"))
 
 
-@query("src_moneyflow_json", over(f"""SELECT symbol, date_trunc('day', time) + INTERVAL 90 MINUTE AS time, {q('arg_max(close - open, rn)')} AS net_inflow, {q('arg_max(volume, rn)')} AS super_large_inflow, {q('round(arg_max((close - open) / (close + open), rn) * 100, 2)', 2)} AS main_ratio_pct FROM b GROUP BY symbol, date_trunc('day', time)""", "hourly"))
+@query("src_moneyflow_json", over(f"""SELECT symbol, date_trunc('day', time) + INTERVAL 90 MINUTE AS time, {q('arg_max(close - open, rn)')} AS net_inflow, {q('arg_max(volume, rn)')} AS super_large_inflow, {q('round(arg_max((close - open) / nullif(close + open, 0), rn) * 100, 2)', 2)} AS main_ratio_pct FROM b GROUP BY symbol, date_trunc('day', time)""", "hourly"))
 def _(spark, d):
     b = bars(spark, d, "hourly")
     day = F.date_format("time", "yyyy-MM-dd")
-    row = F.struct(day.alias("opendate"), (c("close") - c("open")).cast("string").alias("netamount"), c("volume").cast("string").alias("r0_net"), ((c("close") - c("open")) / (c("close") + c("open"))).cast("string").alias("ratioamount"))
+    row = F.struct(day.alias("opendate"), (c("close") - c("open")).cast("string").alias("netamount"), c("volume").cast("string").alias("r0_net"), ((c("close") - c("open")) / F.nullif(c("close") + c("open"), F.lit(0.0))).cast("string").alias("ratioamount"))
     # Newest first within the day, as the source serves it.
     g = b.groupBy("symbol", day.alias("day")).agg(F.sort_array(F.collect_list(F.struct("rn", row.alias("v"))), asc=False).alias("l"))
     raw = g.select("symbol", F.to_json(F.transform("l", lambda x: x["v"])).alias("json"))

@@ -52,13 +52,13 @@ def account_step(decide, emit, capital=CAPITAL, fee=FEE, slippage=SLIPPAGE, allo
                 net = shares * sign * (price - entry) - shares * price * fee
                 equity += net
                 if emit == "trades":
-                    ratio = sign * (price / entry - 1)
+                    ratio = sign * (price / entry - 1) if entry else 0.0
                     out.append((since, rn, bar["time"], side, _cut(entry, 4), _cut(price, 4), _cut(net, 2), _cut((ratio - fee) * 100, 2), rn - since))
                 pos = None
         if not pos and not last and (action == "enter_long" or (allow_short and action == "enter_short")):
             side = action[6:]
             entry = close * (1 + slippage if side == "long" else 1 - slippage)
-            pos = [side, entry, rn, (equity - equity * fee) / entry]
+            pos = [side, entry, rn, (equity - equity * fee) / entry] if entry else None
         if emit == "equity":
             marked = equity
             if pos:

@@ -146,6 +146,11 @@ SWING_SCHEMA = (
 )
 
 
+def share(move: float, price: float) -> float:
+    """Move relative to a price; any move from a zero price is unbounded."""
+    return move / price if price else (float("inf") if move > 0 else 0.0)
+
+
 def stars(e, top: bool) -> int:
     """How many of volume, level touch, open interest and half-day extreme speak for the point."""
     oi = e["oi"]
@@ -188,7 +193,7 @@ def swing_step(fine=FINE, big=BIG):
             if high >= e["px"]:
                 snap(True)
                 e = s["ext"]
-            if (e["px"] - low) / e["px"] >= fine:
+            if share(e["px"] - low, e["px"]) >= fine:
                 t = s["top"]
                 div = bool(t and e["px"] > t[0] and t[1] is not None and e["rsi"] is not None and e["rsi"] < t[1] - 2)
                 quiet = e["vol"] is not None and e["vol"] < 1.5 and e["stall"]
@@ -199,7 +204,7 @@ def swing_step(fine=FINE, big=BIG):
             if low <= e["px"]:
                 snap(False)
                 e = s["ext"]
-            if (high - e["px"]) / e["px"] >= fine:
+            if share(high - e["px"], e["px"]) >= fine:
                 loud = e["vol"] is not None and e["vol"] >= VOL_STAR
                 emit("fine", e, False, "A" if loud else "", False, near_line(e))
                 s["up"] = True
@@ -212,13 +217,13 @@ def swing_step(fine=FINE, big=BIG):
         if s["big_up"]:
             if high >= px:
                 px, at = high, rn
-            if (px - low) / px >= big:
+            if share(px - low, px) >= big:
                 emit("big", {"px": px, "rn": at}, True)
                 s["big_up"], px, at = False, low, rn
         else:
             if low <= px:
                 px, at = low, rn
-            if (high - px) / px >= big:
+            if share(high - px, px) >= big:
                 emit("big", {"px": px, "rn": at}, False)
                 s["lows"] = [*s["lows"][-1:], [at, px]]
                 a, b = s["lows"][0], s["lows"][-1]
@@ -227,7 +232,7 @@ def swing_step(fine=FINE, big=BIG):
         s["big"] = [px, at]
         if rn == v["n"]:
             e, top = s["ext"], s["up"]
-            back = (e["px"] - v["close"]) / e["px"] if top else (v["close"] - e["px"]) / e["px"]
+            back = share(e["px"] - v["close"] if top else v["close"] - e["px"], e["px"])
             emit("candidate", e, top, "", False, not top and near_line(e), (fine - back) * 100)
         return s, out
 

@@ -22,10 +22,10 @@ PARTS = {
     "lower": "least(o, c) - l",
     "span": "h - l",
     "span1": "h1 - l1",
-    "swing": "(h - l) / c1",
-    "wave0": "abs(c - o) / o",
-    "wave1": "abs(c1 - o1) / o1",
-    "wave2": "abs(c2 - o2) / o2",
+    "swing": "(h - l) / nullif(c1, 0)",
+    "wave0": "abs(c - o) / nullif(o, 0)",
+    "wave1": "abs(c1 - o1) / nullif(o1, 0)",
+    "wave2": "abs(c2 - o2) / nullif(o2, 0)",
     "peak1": "h1 > high_2_5",
     "dip1": "l1 < low_2_5",
 }
@@ -68,8 +68,8 @@ CLASSIC = {
     "shooting_star": "upper >= 2 * body and swing > 0.005 and h > high_1_10 and lower < 0.5 * body",
     "dark_cloud_cover": "c1 > o1 and wave1 > 0.003 and o > c and o > c1 and c > o1 and c < (o1 + c1) / 2 and peak1",
     "piercing_line": "c1 < o1 and wave1 > 0.003 and o < c and o < c1 and c < o1 and c > (o1 + c1) / 2 and dip1",
-    "flat_top": "abs(h - h1) / h1 <= 0.000015 and peak1 and h1 > greatest(o1, c1) and upper > 0",
-    "flat_bottom": "abs(l - l1) / l1 <= 0.000015 and dip1 and l1 < least(o1, c1) and lower > 0",
+    "flat_top": "abs(h - h1) / nullif(h1, 0) <= 0.000015 and peak1 and h1 > greatest(o1, c1) and upper > 0",
+    "flat_bottom": "abs(l - l1) / nullif(l1, 0) <= 0.000015 and dip1 and l1 < least(o1, c1) and lower > 0",
     "bullish_engulfing": "o1 > c1 and c > o and c > o1 and o < c1 and wave0 > 0.005 and l < l1",
     "bearish_engulfing": "o1 < c1 and c < o and c < o1 and o > c1 and wave0 > 0.005 and h > h1",
     "morning_star": f"{STAR} and c2 < o2 and c > o and c > c2 and h1 < least(c, o2) and l1 < least(l, l2) and dip1",
@@ -81,8 +81,8 @@ CLASSIC = {
 }
 # The nineteen further patterns, same form.
 FURTHER = {
-    "rounding_top": f"{_arch('h', '<', '>')} and {_arch('c', '<', '>')} and c <= c9 and (h5 - least(l, l9)) / c5 >= 0.005",
-    "rounding_bottom": f"{_arch('l', '>', '<')} and {_arch('c', '>', '<')} and c >= c9 and (greatest(h, h9) - l5) / c5 >= 0.005",
+    "rounding_top": f"{_arch('h', '<', '>')} and {_arch('c', '<', '>')} and c <= c9 and (h5 - least(l, l9)) / nullif(c5, 0) >= 0.005",
+    "rounding_bottom": f"{_arch('l', '>', '<')} and {_arch('c', '>', '<')} and c >= c9 and (greatest(h, h9) - l5) / nullif(c5, 0) >= 0.005",
     "gap_up": "l > h1 * 1.001",
     "gap_down": "h < l1 * 0.999",
     "island_top": _island(True),

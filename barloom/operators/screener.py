@@ -53,7 +53,7 @@ def screen_columns(bars: DataFrame, block=None) -> DataFrame:
 
     whole = lambda x: half_up(x, 0)
     capped = lambda x: F.least(F.lit(100.0), whole(x))
-    spread = (c("sma20") - c("sma200")) / c("sma200") * 100
+    spread = (c("sma20") - c("sma200")) / F.nullif(c("sma200"), F.lit(0.0)) * 100
     out = (c("close") - c("high20")) / F.nullif(c("high20"), F.lit(0.0)) * 100
     under = (c("low20") - c("close")) / F.nullif(c("low20"), F.lit(0.0)) * 100
     body = F.abs(c("close") - c("open"))

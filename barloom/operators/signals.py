@@ -357,7 +357,7 @@ def rsi_grid_rows(bars, params=GRID, longest=None, block=None) -> DataFrame:
 
 
 def grid_pct(short, entry, exit_):
-    return F.when(short, entry - exit_).otherwise(exit_ - entry) * 100 / entry
+    return F.when(short, entry - exit_).otherwise(exit_ - entry) * 100 / F.nullif(entry, F.lit(0.0))
 
 
 def grid_record(trades: DataFrame) -> DataFrame:

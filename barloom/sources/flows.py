@@ -19,10 +19,10 @@ def deriv_history(spark, folder) -> DataFrame:
         {
             "oi_value": c("oi") * (c("close") + 0.00371 * (c("rn") % 7)),
             "mark": c("close"),
-            "long_short_ratio": c("close") / c("open"),
-            "top_position_ratio": c("high") / c("close"),
-            "top_account_ratio": c("close") / c("low"),
-            "taker_ratio": c("open") / c("low"),
+            "long_short_ratio": c("close") / F.nullif(c("open"), F.lit(0.0)),
+            "top_position_ratio": c("high") / F.nullif(c("close"), F.lit(0.0)),
+            "top_account_ratio": c("close") / F.nullif(c("low"), F.lit(0.0)),
+            "taker_ratio": c("open") / F.nullif(c("low"), F.lit(0.0)),
         }
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barloom.operators.books import share as share_of
 from barloom.operators.signals import FRESH_SIGNALS, signal_step, trend_step
 
 c = F.col
@@ -142,12 +143,12 @@ class ZigzagProcessor(FoldProcessor):
             up, px = s.get(name) or [True, bar["high"]]
             if up:
                 px = max(px, bar["high"])
-                if (px - bar["low"]) / px >= share:
+                if share_of(px - bar["low"], px) >= share:
                     out.append((bar["time"], name, True, px))
                     up, px = False, bar["low"]
             else:
                 px = min(px, bar["low"])
-                if (bar["high"] - px) / px >= share:
+                if share_of(bar["high"] - px, px) >= share:
                     out.append((bar["time"], name, False, px))
                     up, px = True, bar["high"]
             s[name] = [up, px]
