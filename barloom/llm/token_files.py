@@ -15,9 +15,10 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 
 import numpy as np
-import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,17 +28,59 @@ from barloom.session import cut_lineage, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-CACHED_CHUNKS = 600_000
+REMEMBERED = 500_000
 _LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 # A single blank between two other characters always starts a new piece of the byte-level splitter.
 _CUT = re.compile(r"(?<=\S)\x20(?=\S)")
+#: The public splitter of byte-level tokenizers and the letters they write bytes with; fixed values.
+_PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
+class Pieces(dict):
+    """Ids of pieces of the splitter, each tokenised once."""
+
+    def __init__(self, model):
+        self.tokenize = model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = self[piece] = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
+        return ids
+
+
+class Chunks(dict):
+    """Ids of chunks that follow a blank; None where the blank was not safe to cut at."""
+
+    def __init__(self, pieces: Pieces, whole, added: list[str]):
+        self.pieces, self.whole, self.added = pieces, whole, added
+
+    def of(self, chunk: str) -> bytes:
+        if any(t in chunk for t in self.added):
+            return self.whole(chunk)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        head, tail = chunk[:-1], chunk[-1:]
+        if chunk.isalpha():
+            ids = self.pieces[" " + chunk]
+        elif tail in ".,;:!?" and head.isalpha():
+            ids = self.pieces[" " + head] + self.pieces[tail]
+        elif not chunk or chunk[0].isspace() or tail.isspace():
+            ids = None
+        else:
+            ids = self.of(" " + chunk)
+        self[chunk] = ids
+        return ids
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file, remembering the ids of chunks between single blanks.
+    """Encodes texts with one tokenizer file, remembering the ids of chunks between single blanks and of pieces.
 
-    Chunks are encoded alone only for byte-level tokenizers without prefix space or normaliser, where pieces never
-    cross such a blank; any other tokenizer encodes whole texts. Ids are kept as little-endian unsigned 32-bit.
+    Texts are cut only for byte-level tokenizers without prefix space or normaliser, where merges never cross
+    the pieces of the splitter and pieces never cross such a blank; any other tokenizer encodes whole texts.
+    Both memories are emptied when full. Ids are kept as little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
@@ -45,46 +88,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
-        pre = spec["pre_tokenizer"] or {}
-        added = [t["content"] for t in spec.get("added_tokens", [])]
+        pre, added = spec["pre_tokenizer"] or {}, spec.get("added_tokens", [])
         self.by_chunk = (
             pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-            and spec["normalizer"] is None and not any(re.search(r"\s", t) for t in added)
-            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+            and spec["normalizer"] is None and spec["model"]["type"] == "BPE"
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
-        self.first, self.spaced = {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces = Pieces(self.tokenizer.model)
+        self.chunks = Chunks(self.pieces, self._whole, [t["content"] for t in added])
 
-    def _learn(self, known: dict, chunks: set, lead: str, plain: bool) -> None:
-        new = [c for c in chunks if c not in known]
-        for c, ids in zip(new, self._ids([lead + c for c in new])):
-            known[c] = ids
-        if plain:  # cut at every blank: a chunk with blanks at its border was not safe to cut
-            for c in new:
-                if not c or c[0].isspace() or c[-1].isspace():
-                    known[c] = None
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         if not self.by_chunk:
-            return self._ids(texts)
-        if len(self.spaced) > CACHED_CHUNKS:
-            self.first, self.spaced = {}, {}
-        cut = [t.split(" ") for t in texts]
-        self._learn(self.first, {c[0] for c in cut}, "", True)
-        rest = set()
-        for c in cut:
-            rest.update(c[1:])
-        self._learn(self.spaced, rest, " ", True)
-        out = []
-        for text, chunks in zip(texts, cut):
-            try:
-                out.append(self.first[chunks[0]] + b"".join(map(self.spaced.__getitem__, chunks[1:])))
-            except TypeError:
-                parts = _CUT.split(text)
-                out.append(b"".join(self._ids([parts[0], *(" " + p for p in parts[1:])])))
-        return out
+            return self._whole(text)
+        for memory in (self.chunks, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        first, *rest = text.split(" ")
+        try:
+            if first[-1:].isspace():
+                raise TypeError
+            return self.chunks.of(first) + b"".join(map(self.chunks.__getitem__, rest))
+        except TypeError:
+            return b"".join(self.chunks.of(p if not k else " " + p) for k, p in enumerate(_CUT.split(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -98,7 +126,7 @@ def _encode(path: str, end_id: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [x + end for x in encoder.encode([t or "" for t in part.column("text").to_pylist()])]
+                ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
                 wide = [np.frombuffer(x, "<u4") for x in ids]
                 small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in wide]
                 yield part.column("doc_id"), [len(x) for x in wide], [zlib.crc32(x) for x in ids], small
