@@ -59,15 +59,16 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star steps; every step is an aggregate with map-side combine and
-    a join, so a hub of any degree never gathers in one task. Each round is written to the shared folder.
+    a join of two written tables, which adaptive execution splits at a hub. Each step is written to the shared folder.
     """
     links = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = links.union(links.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).union(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         links = cut_lineage(small.distinct())

@@ -28,46 +28,49 @@ from barloom.session import cut_lineage, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 _LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 # A single blank between two other characters always starts a new piece of the byte-level splitter.
 _CUT = re.compile(r"(?<=\S)\x20(?=\S)")
 #: The public splitter of byte-level tokenizers and the letters they write bytes with; fixed values.
 _PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+_ENDS = frozenset(".,;:!?")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
-class Pieces(dict):
-    """Ids of pieces of the splitter, each tokenised once."""
-
-    def __init__(self, model):
-        self.tokenize = model.tokenize
+class Chunks(dict):
+    """Ids of chunks that follow a blank; None where the blank was not safe to cut at.
 
-    def __missing__(self, piece: str) -> bytes:
-        plain = piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        ids = self[piece] = array("I", [t.id for t in self.tokenize(plain)]).tobytes()
-        return ids
+    ``pieces`` keeps those pieces of the splitter that are not a word after a blank.
+    """
 
+    def __init__(self, model, whole, added: list[str]):
+        self.tokenize, self.whole, self.added, self.pieces = model.tokenize, whole, added, {}
 
-class Chunks(dict):
-    """Ids of chunks that follow a blank; None where the blank was not safe to cut at."""
+    def merged(self, piece: str) -> bytes:
+        plain = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.tokenize(plain)]).tobytes()
 
-    def __init__(self, pieces: Pieces, whole, added: list[str]):
-        self.pieces, self.whole, self.added = pieces, whole, added
+    def piece(self, piece: str) -> bytes:
+        if piece[0] == " " and piece[1:].isalpha():
+            return self[piece[1:]]
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces[piece] = self.merged(piece)
+        return ids
 
     def of(self, chunk: str) -> bytes:
         if any(t in chunk for t in self.added):
             return self.whole(chunk)
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+        return b"".join(map(self.piece, _PIECES.findall(chunk)))
 
     def __missing__(self, chunk: str) -> bytes | None:
-        head, tail = chunk[:-1], chunk[-1:]
         if chunk.isalpha():
-            ids = self.pieces[" " + chunk]
-        elif tail in ".,;:!?" and head.isalpha():
-            ids = self.pieces[" " + head] + self.pieces[tail]
-        elif not chunk or chunk[0].isspace() or tail.isspace():
+            ids = self.merged(" " + chunk)
+        elif chunk[-1:] in _ENDS and chunk[:-1].isalpha():
+            ids = self[chunk[:-1]] + self.piece(chunk[-1])
+        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
             ids = None
         else:
             ids = self.of(" " + chunk)
@@ -94,8 +97,7 @@ class Encoder:
             and spec["normalizer"] is None and spec["model"]["type"] == "BPE"
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
-        self.pieces = Pieces(self.tokenizer.model)
-        self.chunks = Chunks(self.pieces, self._whole, [t["content"] for t in added])
+        self.chunks = Chunks(self.tokenizer.model, self._whole, [t["content"] for t in added])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -103,7 +105,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_chunk:
             return self._whole(text)
-        for memory in (self.chunks, self.pieces):
+        for memory in (self.chunks, self.chunks.pieces):
             if len(memory) > REMEMBERED:
                 memory.clear()
         first, *rest = text.split(" ")
@@ -141,11 +143,11 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 def _count(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
-            more = np.bincount(_wide(ids, n))
-            if len(more) > len(total):
-                total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
-            total[: len(more)] += more
+        parts = [_wide(ids, n) for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist())]
+        more = np.bincount(np.concatenate(parts)) if parts else total[:0]
+        if len(more) > len(total):
+            total = np.concatenate([total, np.zeros(len(more) - len(total), np.int64)])
+        total[: len(more)] += more
     seen = np.flatnonzero(total)
     yield seen, total[seen]
 
