@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import language, quality, secret_scan, token_files, toxicity, url_rules, vector_dups
+from barloom.llm import decontaminate, language, mixing, ngram_join, quality, secret_scan, token_files, toxicity, url_rules, vector_dups
 from barloom.llm.common import table
 from barloom.llm.supervised import score_documents
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
@@ -24,11 +28,19 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.component_rows(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")), limit=0.3)
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op8_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -42,5 +54,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_documents(table(spark, sf_dir, "documents"))[0])
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_token_files, op6_quality, op8_vector_dups, op9_url_rules, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_language_id, op3_toxicity, op4_token_files, op5_ngram_join,
+        op6_quality, op7_source_mix, op8_vector_dups, op9_url_rules, op10_secret_scan,
+    )
+}
 ORACLES = {"op9_url_rules": url_rules.SQL}
