@@ -26,7 +26,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = F.when(F.col("y") == 1, per_class / max(counts.get(1, 0), 1)).otherwise(per_class / max(counts.get(0, 0), 1))
     chosen = known.filter(even_share("id") < share).select("id", "y")
-    return documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id")).select("text", "y")
+    # about two times per_class ids, whatever the size of the tables
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "y")
 
 
 def scorer(model, spark):
