@@ -42,6 +42,16 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, fields)
 
 
+#: Largest list of row keys sent to every task, at some 30 bytes a row; a longer one is joined by shuffle.
+SENT_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` written and counted: broadcast when it has at most ``SENT_ROWS`` rows, else left to a shuffle join."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def slices(df: DataFrame, *order) -> DataFrame:
     """Range-partition by ``order`` and keep each row's slice number; written, so that slices stay fixed."""
     return cut_lineage(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import map_arrow
+from barloom.llm.common import map_arrow, small_side
 from barloom.session import cut_lineage
 
 GRAM, WINDOW = 3, 4
@@ -200,3 +200,10 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, least: float
     for p in parts:
         out = out.union(p)
     return out
+
+
+def without_contamination(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """``documents`` without those that hold a passage of a test item."""
+    found = small_side(find_contamination(documents, benchmark, least).select("doc_id", "text_key").distinct())
+    same = documents["doc_id"].eqNullSafe(found["doc_id"]) & (F.xxhash64(documents["text"]) == found["text_key"])
+    return documents.join(found, same, "left_anti")

@@ -21,13 +21,11 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from barloom.llm.common import LOWER, UPPER, WORD, components, map_arrow
+from barloom.llm.common import LOWER, UPPER, WORD, components, map_arrow, small_side
 from barloom.session import cut_lineage
 
 LOW = 0.2
-SENT_IDS = 2_000_000
 _FOLD = str.maketrans(UPPER, LOWER)
 _WORDS = re.compile(WORD)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -144,13 +142,24 @@ def _groups(found: DataFrame, percent: int) -> DataFrame:
     return found.select("node", "n", "prefix", F.when(F.size("prefix") == F.col("p"), F.xxhash64("n", "prefix")).otherwise(F.col("node")).alias("gid"))
 
 
+def one_of_each(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """``documents`` without those whose component holds a smaller doc_id; of rows equal in id and text one stays.
+
+    Documents without words stay. A document without an id goes if it links with one that has an id.
+    """
+    rows = component_rows(documents, words, percent).groupBy("doc_id", "text_key").agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
+    rows = cut_lineage(rows.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("low"))))
+    gone, repeated = (small_side(rows.filter(what).select("doc_id", "text_key")) for what in ("not stays or times > 1", "stays and times > 1"))
+    at = lambda side: documents["doc_id"].eqNullSafe(side["doc_id"]) & (text_key(documents["text"]) == side["text_key"])
+    once = documents.join(repeated, at(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return documents.join(gone, at(gone), "left_anti").union(once)
+
+
 def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect all nodes that are connected."""
     wanted = groups.select("node").join(nodes, "node").select("node", "at.*")
     texts = documents.select("doc_id", "text").withColumn("text_key", text_key(F.col("text")))
-    wanted = cut_lineage(wanted)
-    if wanted.count() <= SENT_IDS:  # a checked size; beyond it the same join shuffles
-        wanted = F.broadcast(wanted)
+    wanted = small_side(wanted)
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["text_key"] == wanted["text_key"])
     sets = cut_lineage(map_arrow(texts.join(wanted, same).select("node", "text").dropDuplicates(["node"]), _whole(words), "node long, s array<long>"))
 

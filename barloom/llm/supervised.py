@@ -50,3 +50,8 @@ def score_documents(documents: DataFrame, model, limit: float = 0.5, folds: int
     score = scorer(model, documents.sparkSession)
     rows = documents.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), score("text").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= limit).cast("int"))
+
+
+def below(documents: DataFrame, model, limit: float = 0.5) -> DataFrame:
+    """The rows of ``documents`` that score under ``limit``, all columns as they are."""
+    return documents.filter(scorer(model, documents.sparkSession)(documents["text"]) < limit)
