@@ -81,24 +81,32 @@ class SplitTree:
         return out
 
 
+def _settle(sizes: np.ndarray, chosen: np.ndarray, rest: int) -> np.ndarray:
+    """Add, drop or exchange one document at a time while that brings the sum nearer to its goal."""
+    chosen = chosen.copy()
+    for _ in range(64):
+        inside, outside = np.flatnonzero(chosen), np.flatnonzero(~chosen)
+        inside, outside = inside[np.argsort(sizes[inside], kind="stable")], outside[np.argsort(sizes[outside], kind="stable")]
+        moves = [(abs(rest - sizes[o]), (o,)) for o in outside] + [(abs(rest + sizes[i]), (i,)) for i in inside]
+        if len(inside):
+            at = np.searchsorted(sizes[inside], sizes[outside] - rest)
+            for o, k in zip(outside, at):
+                moves += [(abs(rest - sizes[o] + sizes[inside[j]]), (o, inside[j])) for j in (k - 1, k) if 0 <= j < len(inside)]
+        if not moves or min(m[0] for m in moves) >= abs(rest):
+            break
+        for k in min(moves, key=lambda m: (m[0], m[1]))[1]:
+            rest += sizes[k] if chosen[k] else -sizes[k]
+            chosen[k] = not chosen[k]
+    return chosen
+
+
 def _picks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Which documents of a partly taken block: a hash-ordered run, then the largest that still fit."""
-    rest, rows = int(pdf.rest.iloc[0]), pdf.sort_values(["h"])
-    sizes, hashes = rows["size"].to_numpy(), rows.h.to_numpy()
+    """Which documents of a partly taken block: a run in hash order, then the few changes that bring its sum nearest."""
+    rows = pdf.sort_values("h")
+    sizes, rest = rows["size"].to_numpy(np.int64), int(pdf.rest.iloc[0])
     run = np.cumsum(sizes) <= rest
-    run = np.logical_and.accumulate(run)
-    rest -= int(sizes[run].sum())
-    chosen = list(hashes[run])
-    tail = sorted(zip((-sizes[~run]).tolist(), hashes[~run].tolist()))
-    for size, h in tail:
-        if -size <= rest:
-            chosen.append(h)
-            rest += size
-    if tail:  # one more where it brings the sum nearer
-        unused = [(-s, h) for s, h in tail if h not in set(chosen) and -s > 0]
-        if unused and min(unused)[0] - rest < rest:
-            chosen.append(min(unused)[1])
-    return pd.DataFrame({"idx": [pdf.idx.iloc[0]], "block": [pdf.block.iloc[0]], "picks": [[int(h) for h in chosen]]})
+    chosen = _settle(sizes, run, rest - int(sizes[run].sum()))
+    return pd.DataFrame({"idx": [pdf.idx.iloc[0]], "block": [pdf.block.iloc[0]], "picks": [[int(h) for h in rows.h.to_numpy()[chosen]]]})
 
 
 class Mix:

@@ -115,7 +115,7 @@ def component_rows(documents: DataFrame, words: int = 4, percent: int = 85) -> D
     listed = "doc_id long, text_key long, node long, n int, low array<long>, high array<long>"
     rows = cut_lineage(map_arrow(source, _listed(words, percent), listed).select("doc_id", "text_key", "node", "n"))
     full = map_arrow(source, _listed(words, percent), listed).filter("node is not null")
-    nodes = cut_lineage(full.groupBy("node").agg(F.first("n").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("low").alias("low"), F.first("high").alias("high")))
+    nodes = cut_lineage(full.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("low_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("low").alias("low"), F.first("high").alias("high")))
     tokens = lambda: nodes.select("node", F.explode(F.concat(F.transform("low", lambda x: F.struct(F.lit(0).alias("high"), x.alias("token"))), F.transform("high", lambda x: F.struct(F.lit(1).alias("high"), x.alias("token"))))).alias("s")).select("node", "s.*")
     common = cut_lineage(tokens().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = tokens().join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("high", "df", "token"))).alias("s"))
@@ -124,9 +124,9 @@ def component_rows(documents: DataFrame, words: int = 4, percent: int = 85) -> D
     groups = cut_lineage(groups)
     links = _links(documents, nodes.select("node", "at"), groups, words, percent)
     roots = components(links)
-    lowest = nodes.select("node", F.col("at.doc_id").alias("low")).join(roots, "node")
+    lowest = nodes.select("node", F.col("low_id").alias("low")).join(roots, "node")
     first = cut_lineage(lowest.groupBy("root").agg(F.min("low").alias("component_id")))
-    per_node = cut_lineage(lowest.join(first, "root").select("node", "component_id").union(nodes.join(roots, "node", "left_anti").select("node", "at.doc_id")))
+    per_node = cut_lineage(lowest.join(first, "root").select("node", "component_id").union(nodes.join(roots, "node", "left_anti").select("node", "low_id")))
     out = rows.join(per_node, "node", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "text_key")
 
