@@ -49,7 +49,7 @@ def test_mix_meets_targets(spark):
     for r in rows:
         per[r.target, r.source_size] = per.get((r.target, r.source_size), 0) + r.taken
     for (target, size), taken in per.items():  # to within a few words, or half of a source's only document
-        assert abs(taken - target) <= (20 if size != 20_000 else 10_000), (size, target, taken)
+        assert abs(taken - target) <= (20 + 0.01 * target if size != 20_000 else 10_000), (size, target, taken)
     sizes = [r["n"] for r in docs.groupBy("source").agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("w|z")), F.lit(0))).alias("n")).orderBy(F.asc_nulls_last("source")).collect()]
     want = water(sizes, [1 + k % 3 for k in range(len(sizes))])
     assert np.allclose(sorted({r.target for r in rows}), sorted(set(want)), atol=1e-3)
