@@ -51,14 +51,27 @@ def half_up(x, digits: int = 2) -> Column:
     return F.floor(col(x) * f + 0.5).cast("double") / f + F.lit(0.0)
 
 
-def fixed_digits(x, digits: int = 2) -> Column:
-    """Decimal rounding as printed with a fixed number of digits (ties by magnitude)."""
-    return F.round(col(x), digits) + F.lit(0.0)
+def _ties_away(x, digits: int) -> Column:
+    """The value, but where it lies exactly between two numbers of so many digits the one away from zero.
+
+    Only dyadic fractions can be exact ties: those whose 2^(digits + 1)-fold is an odd integer.
+    """
+    v = col(x)
+    whole, scale = v * float(2 ** (digits + 1)), float(10**digits)
+    tie = (whole == F.floor(whole)) & (F.abs(whole) < 2.0**52) & (F.floor(whole) % 2 != 0)
+    return F.when(tie, F.signum(v) * (F.floor(F.abs(v) * scale) + 1) / scale).otherwise(v)
 
 
 def printed(x, digits: int) -> Column:
-    """Text with a fixed number of digits, rounded from the exact binary value."""
-    return F.call_function("format_number", col(x), F.lit("0." + "0" * digits if digits else "0"))
+    """Text with a fixed number of digits, rounded from the exact binary value, ties away from zero."""
+    return F.call_function("format_number", _ties_away(x, digits), F.lit("0." + "0" * digits if digits else "0"))
+
+
+def fixed_digits(x, digits: int = 2) -> Column:
+    """The number that ``printed`` shows; infinite values stay, minus zero becomes zero."""
+    v = col(x).cast("double")
+    shown = printed(v, digits).try_cast("double")
+    return F.when(F.abs(v) == float("inf"), v).otherwise(shown) + F.lit(0.0)
 
 
 def finite(x) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,14 @@ def shanghai_day(time) -> Column:
     return F.date_format(F.from_utc_timestamp(c(time), "Asia/Shanghai"), "yyyy-MM-dd")
 
 
+def rounded(x: float, digits: int) -> float:
+    """Decimal rounding of the exact binary value, ties away from zero."""
+    whole = x * (2 << digits)
+    if whole.is_integer() and whole % 2:
+        return math.copysign((math.floor(abs(x) * 10**digits) + 1) / 10**digits, x)
+    return round(x, digits)
+
+
 def apply_trade(s, buys, qty, price, fee, day, locks):
     """One trade on a position; quantities keep 8 digits and money 4 after every trade."""
     held, avg, locked, delta = s["qty"], s["avg"], s["locked"], 0.0
@@ -49,16 +58,16 @@ def apply_trade(s, buys, qty, price, fee, day, locks):
         elif after * held < 0:
             avg = price
             locked, lock_day = (after, day) if after > 0 and locks else (0.0, None)
-    qty8 = round(after, 8)
-    locked = min(max(0.0, round(locked, 8)), max(0.0, qty8)) if locks and lock_day == day else 0.0
-    return {"qty": qty8, "avg": round(avg, 4), "pnl": round(s["pnl"] + delta, 4), "locked": locked, "day": lock_day}, delta
+    qty8 = rounded(after, 8)
+    locked = min(max(0.0, rounded(locked, 8)), max(0.0, qty8)) if locks and lock_day == day else 0.0
+    return {"qty": qty8, "avg": rounded(avg, 4), "pnl": rounded(s["pnl"] + delta, 4), "locked": locked, "day": lock_day}, delta
 
 
 def _ledger_step(state, values):
     rn, n, trade_id, side, qty, price, fee, day, locks = values
     before = state["pnl"]
     state, delta = apply_trade(state, side in ("buy", "long"), qty, price, fee or 0.0, day, locks)
-    basis = round(abs(state["qty"]) * state["avg"], 4)
+    basis = rounded(abs(state["qty"]) * state["avg"], 4)
     sellable = max(0.0, state["qty"] - state["locked"])
     return state, [(rn, rn == n, trade_id, state["qty"], state["avg"], basis, state["pnl"], delta, state["locked"], sellable, day)]
 

@@ -2,6 +2,7 @@
 
 import math
 
+from barloom.functions import exprs
 from barloom.operators import audit, holdings, indicators, rules, screener
 from barloom.plans.asof import asof_join, nearest_join
 from pyspark.sql import functions as F
@@ -91,3 +92,13 @@ def test_same_day_shares_are_locked(spark):
     log = spark.createDataFrame([("1", "sh600519", "buy", 200.0, 10.0, 0.0, "2024-01-02 02:00:00"), ("2", "sh600519", "buy", 100.0, 10.0, 0.0, "2024-01-03 02:00:00")], "id string, symbol string, side string, quantity double, price double, fee double, at string").withColumn("committed_at", F.to_timestamp("at"))
     p = holdings.positions(holdings.ledger(log)).first()
     assert (p.quantity, p.locked, p.sellable) == (300.0, 100.0, 200.0)
+
+
+def test_fixed_digits_round_the_exact_value_ties_away(spark):
+    cases = [(1.005, 2, "1.00"), (2.675, 2, "2.67"), (0.125, 2, "0.13"), (-0.125, 2, "-0.13"), (0.03125, 4, "0.0313"), (0.5, 0, "1"), (2.5, 0, "3"), (1e20, 2, "100000000000000000000.00"), (1.0049999999999999, 2, "1.00")]
+    for x, d, text in cases:
+        row = spark.createDataFrame([(x,)], "x double").select(exprs.printed("x", d).alias("t"), exprs.fixed_digits("x", d).alias("v")).first()
+        assert row.t == text and row.v == float(text), (x, d, row)
+        assert holdings.rounded(x, d) == float(text)
+    odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,), (-0.001,)], "x double").select(exprs.fixed_digits("x", 2)).collect()
+    assert odd[0][0] == float("inf") and math.isnan(odd[1][0]) and odd[2][0] is None and str(odd[3][0]) == "0.0"
