@@ -39,7 +39,7 @@ kp AS MATERIALIZED (SELECT od.* FROM od JOIN gr USING (artifact_id, side, k) WHE
 ix AS (SELECT artifact_id, reported, mapped, coalesce(effective, 0) AS effective, CASE WHEN mapped = 0 THEN 0 ELSE 1 - coalesce(effective, 0) / mapped END AS overlap_ratio
   FROM (SELECT artifact_id, count(*) AS reported, count(*) FILTER (e IS NOT NULL AND x IS NOT NULL) AS mapped FROM pl GROUP BY artifact_id) LEFT JOIN (SELECT artifact_id, count(*) AS effective FROM kp GROUP BY artifact_id) USING (artifact_id))"""
 IMUL = lambda a, b: f"((({a})::HUGEINT * ({b})) % 4294967296)::BIGINT"
-SIMS = 200
+SIMS = 1000
 BASE = f"""
 tm AS MATERIALIZED (SELECT *, greatest(1, x - e) AS hold, wb - 1 - greatest(1, x - e) AS most, row_number() OVER (PARTITION BY artifact_id ORDER BY e, x, trade_no) - 1 AS slot, count(*) OVER (PARTITION BY artifact_id) AS slots FROM kp WHERE wb >= 3),
 sh AS (SELECT tm.artifact_id, avg(CASE WHEN side = 'long' THEN z.close / ec - 1 ELSE 1 - z.close / ec END) AS shadow_mean, avg({RET}) AS self_mean, count(*) AS trades_used

@@ -37,10 +37,10 @@ def positions_of(spark, d):
     return H.positions(H.ledger(trade_log(spark, d)))
 
 
-@query("ledger_positions", over(f", {POS} SELECT symbol, 'USD' AS currency, {q('qty')} AS quantity, {q('av', 2)} AS average_cost, {q('pnl', 1)} AS realized_pnl FROM ps", "brand", True))
+@query("ledger_positions", over(f", {POS} SELECT symbol, 'USD' AS currency, {q('qty')} AS quantity, {q('av', 4)} AS average_cost, {q('pnl', 2)} AS realized_pnl FROM ps", "brand", True))
 def _(spark, d):
     p = positions_of(spark, d)
-    return p.select("symbol", "currency", r("quantity").alias("quantity"), r("average_cost", 2).alias("average_cost"), r("realized_pnl", 1).alias("realized_pnl"))
+    return p.select("symbol", "currency", r("quantity").alias("quantity"), r("average_cost", 4).alias("average_cost"), r("realized_pnl", 2).alias("realized_pnl"))
 
 
 MK = f"""{POS}, mk AS (SELECT symbol, max(close) FILTER (rn = n) AS px, max(close) FILTER (rn = n - 1) AS pv FROM b GROUP BY symbol),
@@ -60,11 +60,11 @@ def _(spark, d):
     return tidy(H.last_two_closes(bars(spark, d)), "symbol", "price", "previous_close")
 
 
-@query("ledger_mark", over(f", {MK} SELECT symbol, {q('value', 0)} AS market_value, {q('upnl', 0)} AS unrealized_pnl, {q('today', 0)} AS today_pnl, {q('(px - pv) / pv * 100', 1)} AS today_pct FROM mv", "brand", True))
+@query("ledger_mark", over(f", {MK} SELECT symbol, {q('value', 2)} AS market_value, {q('upnl', 2)} AS unrealized_pnl, {q('today', 2)} AS today_pnl, {q('(px - pv) / pv * 100', 2)} AS today_pct FROM mv", "brand", True))
 def _(spark, d):
     m = marked_of(spark, d)
-    return m.select("symbol", r("market_value", 0).alias("market_value"), r("unrealized_pnl", 0).alias("unrealized_pnl"), r("today_pnl", 0).alias("today_pnl"),
-                    r((c("price") - c("previous_close")) / c("previous_close") * 100, 1).alias("today_pct"))
+    return m.select("symbol", r("market_value", 2).alias("market_value"), r("unrealized_pnl", 2).alias("unrealized_pnl"), r("today_pnl", 2).alias("today_pnl"),
+                    r((c("price") - c("previous_close")) / c("previous_close") * 100, 2).alias("today_pct"))
 
 
 @query("ledger_t1_roll", over(f""", {TL}, x AS (SELECT symbol, arg_max(quantity, (committed_at, id)) AS q, arg_max(CASE WHEN strftime(committed_at + INTERVAL 8 HOUR, '%Y-%m-%d') = '1998-12-01' THEN quantity ELSE 0 END, (committed_at, id)) AS lk FROM tl GROUP BY symbol)

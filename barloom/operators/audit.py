@@ -103,7 +103,7 @@ def fill_validation(placed: DataFrame, tolerance=0.0) -> DataFrame:
 GROUP = ("artifact_id", "side")
 
 
-def independent_trades(placed: DataFrame, longest=None) -> DataFrame:
+def independent_trades(placed: DataFrame) -> DataFrame:
     """Trades kept by greedy non-overlap per artifact and side, in entry order."""
     mapped = placed.filter("entry_idx is not null and exit_idx is not null")
     numbered = number_rows(mapped, GROUP, ("entry_idx", "exit_idx", "trade_no"), F.floor(c("entry_idx") / 4096))
@@ -114,7 +114,7 @@ def independent_trades(placed: DataFrame, longest=None) -> DataFrame:
             return {"until": end}, [(trade,)]
         return state, []
 
-    kept = ordered_fold(numbered, ("trade_no", "entry_idx", "exit_idx"), {"until": -1}, step, "trade_no long", GROUP, longest=longest)
+    kept = ordered_fold(numbered, ("trade_no", "entry_idx", "exit_idx"), {"until": -1}, step, "trade_no long", GROUP)
     return mapped.join(kept, ["artifact_id", "side", "trade_no"], "left_semi")
 
 

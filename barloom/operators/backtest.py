@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,64 +14,63 @@ c = F.col
 CAPITAL = 10000.0
 FEE = 0.0005
 SLIPPAGE = 0.0002
-FLAT = {"equity": None, "pos": None}
-TRADE_SCHEMA = (
-    "entry_rn long, exit_rn long, exit_time timestamp, side string, entry_price double, exit_price double, "
-    "pnl double, return_pct double, holding_bars long"
+FLAT = {"pos": None, "owed": 1.0}
+POSITION_SCHEMA = (
+    "rn long, time timestamp, side string, entry_rn long, entry double, price double, before double, factor double, mark double"
 )
-EQUITY_SCHEMA = "rn long, time timestamp, equity double"
 BASE = ("rn", "n", "time", "open", "high", "low", "close")
 
 
-def _cut(x: float, digits: int) -> float:
-    f = 10.0**digits
-    return math.floor(x * f + 0.5) / f
-
-
-def account_step(decide, emit, capital=CAPITAL, fee=FEE, slippage=SLIPPAGE, allow_short=False):
+def position_step(decide, fee=FEE, slippage=SLIPPAGE, allow_short=False):
     """Fills at the close with slippage, fee on both sides, a forced exit on the last bar.
 
-    ``decide(bar, position)`` returns enter_long, exit_long, enter_short, exit_short or hold.
+    ``decide(bar, position)`` returns enter_long, exit_long, enter_short, exit_short or hold; position is None or
+    (side, entry price, entry row). When to be in a position does not depend on money: a closed trade multiplies the
+    equity by ``factor``, an open one by ``mark`` for now, and ``before`` is the factor of a trade closed a bar ago.
     """
 
+    def gain(side, entry, price):
+        return (1 - fee) / entry * (1 if side == "long" else -1) * (price - entry)
+
     def step(state, values):
         bar = dict(zip((*BASE, *decide.columns), values))
         rn, close, last = bar["rn"], bar["close"], bar["rn"] == bar["n"]
-        equity = capital if state["equity"] is None else state["equity"]
-        pos, out = state["pos"], []
+        pos, factor, trade = state["pos"], 1.0, (None, None, None, None)
         action = decide(bar, pos)
         if pos:
-            side, entry, since, shares = pos
+            side, entry, since = pos
             up = side == "long"
             leave = ("exit_long", "enter_short") if up and allow_short else ("exit_long",) if up else ("exit_short", "enter_long")
             if action in leave or last:
                 price = close * (1 - slippage if up else 1 + slippage)
-                sign = 1 if up else -1
-                net = shares * sign * (price - entry) - shares * price * fee
-                equity += net
-                if emit == "trades":
-                    ratio = sign * (price / entry - 1) if entry else 0.0
-                    out.append((since, rn, bar["time"], side, _cut(entry, 4), _cut(price, 4), _cut(net, 2), _cut((ratio - fee) * 100, 2), rn - since))
-                pos = None
+                factor = 1 + gain(side, entry, price) - (1 - fee) / entry * price * fee
+                trade, pos = (side, since, entry, price), None
         if not pos and not last and (action == "enter_long" or (allow_short and action == "enter_short")):
             side = action[6:]
             entry = close * (1 + slippage if side == "long" else 1 - slippage)
-            pos = [side, entry, rn, (equity - equity * fee) / entry] if entry else None
-        if emit == "equity":
-            marked = equity
-            if pos:
-                marked += pos[3] * (close - pos[1]) * (1 if pos[0] == "long" else -1)
-            out.append((rn, bar["time"], marked))
-        return {"equity": equity, "pos": pos}, out
+            pos = [side, entry, rn] if entry else None
+        mark = 1 + gain(pos[0], pos[1], close) if pos else 1.0
+        return {"pos": pos, "owed": factor}, [(rn, bar["time"], *trade, state["owed"], factor, mark)]
 
     return step
 
 
-def run_strategy(df: DataFrame, decide, emit="trades", allow_short=False, longest=None, block=None, **costs) -> DataFrame:
-    """Run a decision function over numbered bars; ``decide.columns`` names the extra inputs it reads."""
-    schema = TRADE_SCHEMA if emit == "trades" else EQUITY_SCHEMA
-    step = account_step(decide, emit, allow_short=allow_short, **costs)
-    return ordered_fold(df, (*BASE, *decide.columns), FLAT, step, schema, longest=longest, block=block)
+def run_strategy(df: DataFrame, decide, emit="trades", allow_short=False, block=None, capital=CAPITAL, fee=FEE, slippage=SLIPPAGE) -> DataFrame:
+    """Run a decision function over numbered bars; ``decide.columns`` names the extra inputs it reads.
+
+    The fold keeps the open position only, which it forgets when flat; equity is a running product over blocks.
+    """
+    step = position_step(decide, fee, slippage, allow_short)
+    bars = ordered_fold(df, (*BASE, *decide.columns), FLAT, step, POSITION_SCHEMA, block=block)
+    bars = running(bars, {"growth": ("product", "before")}, block=block).withColumn("held", F.lit(capital) * c("growth"))
+    if emit != "trades":
+        return bars.select(*KEYS, "rn", "time", (c("held") * c("factor") * c("mark")).alias("equity"))
+    ratio = F.when(c("side") == "long", 1).otherwise(-1) * (c("price") / c("entry") - 1)
+    return bars.filter("side is not null").select(
+        *KEYS, "entry_rn", c("rn").alias("exit_rn"), c("time").alias("exit_time"), "side", half_up("entry", 4).alias("entry_price"),
+        half_up("price", 4).alias("exit_price"), half_up(c("held") * (c("factor") - 1)).alias("pnl"), half_up((ratio - fee) * 100).alias("return_pct"),
+        (c("rn") - c("entry_rn")).alias("holding_bars"),
+    )
 
 
 def ema_cross_orders(bars, fast=12, slow=26, direction="long", block=None) -> DataFrame:
@@ -96,9 +93,9 @@ def follow_orders():
     return decide
 
 
-def bt_dual_ema(bars, fast=12, slow=26, direction="both", emit="trades", longest=None, block=None) -> DataFrame:
+def bt_dual_ema(bars, fast=12, slow=26, direction="both", emit="trades", block=None) -> DataFrame:
     orders = ema_cross_orders(bars, fast, slow, direction)
-    return run_strategy(orders, follow_orders(), emit, direction != "long", longest, block)
+    return run_strategy(orders, follow_orders(), emit, direction != "long", block)
 
 
 def channel_columns(bars, entry=20, leave=10, block=None) -> DataFrame:
@@ -135,8 +132,8 @@ def channel_breakout(direction="long"):
     return decide
 
 
-def bt_donchian(bars, entry=20, leave=10, direction="both", emit="trades", longest=None, block=None) -> DataFrame:
-    return run_strategy(channel_columns(bars, entry, leave), channel_breakout(direction), emit, direction != "long", longest, block)
+def bt_donchian(bars, entry=20, leave=10, direction="both", emit="trades", block=None) -> DataFrame:
+    return run_strategy(channel_columns(bars, entry, leave), channel_breakout(direction), emit, direction != "long", block)
 
 
 def trade_stats(trades: DataFrame, keys=KEYS) -> DataFrame:

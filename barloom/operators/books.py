@@ -239,10 +239,10 @@ def swing_step(fine=FINE, big=BIG):
     return step
 
 
-def rev_point(bars, chart_sec: int, oi=None, longest=None, block=None) -> DataFrame:
+def rev_point(bars, chart_sec: int, oi=None, block=None) -> DataFrame:
     """Fine (0.7 %) and big (2 %) reversal points, exhaustion bursts and the open candidate."""
     df = reversal_inputs(bars, chart_sec, oi)
-    return ordered_fold(df, SWING_INPUTS, SWING_START, swing_step(), SWING_SCHEMA, longest=longest, block=block, warmup=1000)
+    return ordered_fold(df, SWING_INPUTS, SWING_START, swing_step(), SWING_SCHEMA, block=block, warmup=1000)
 
 
 def rev_point_report(points: DataFrame) -> DataFrame:
@@ -345,9 +345,9 @@ def block_step(scan=SCAN_BARS, wait=WAIT_BARS, most=MOST_ZONES):
     return step
 
 
-def order_blocks(bars, longest=None, block=None) -> DataFrame:
+def order_blocks(bars, block=None) -> DataFrame:
     """Zone events (fresh, mitigated, breaker) and the states standing at the last bar."""
-    return ordered_fold(block_inputs(bars), BLOCK_INPUTS, BLOCK_START, block_step(), BLOCK_SCHEMA, longest=longest, block=block, warmup=200)
+    return ordered_fold(block_inputs(bars), BLOCK_INPUTS, BLOCK_START, block_step(), BLOCK_SCHEMA, block=block, warmup=200)
 
 
 # ---- multi-timeframe support and resistance --------------------------------------------------
@@ -516,14 +516,14 @@ def zone_step(cap=CAP, sessions=SESSIONS):
     return step
 
 
-def mtf_sr(bars, source_sec: int, slots=SLOTS, longest=None, block=None) -> DataFrame:
+def mtf_sr(bars, source_sec: int, slots=SLOTS, block=None) -> DataFrame:
     """Nearest levels per bar (kind bar) and the zones standing at the end (kind zone)."""
     events = mtf_pivots(bars, source_sec, slots)
     e = F.struct("slot", "coarse_rn", F.when(c("res"), 0).otherwise(1).alias("o"), "res", "level", "wick", "prominence", "label", "weight")
     # A bar confirms at most two pivots per slot.
     at_bar = events.groupBy(*KEYS, "time").agg(F.sort_array(F.collect_list(e)).alias("events"))
     df = atr_progressive(bars, 14, "atr").join(at_bar, [*KEYS, "time"], "left").withColumn("day", F.floor(F.unix_seconds("time") / 86400))
-    return ordered_fold(df, ("rn", "n", "time", "day", "close", "atr", "events"), ZONE_START, zone_step(), ZONE_SCHEMA, longest=longest, block=block, warmup=1000)
+    return ordered_fold(df, ("rn", "n", "time", "day", "close", "atr", "events"), ZONE_START, zone_step(), ZONE_SCHEMA, block=block, warmup=1000)
 
 
 def zone_dashboard(zones: DataFrame, bars: DataFrame, slots=SLOTS) -> DataFrame:

@@ -42,8 +42,8 @@ def custom_indicator(bars: DataFrame, name: str, fn, lookback: int, block=None)
     return done.withColumn(name, F.when(~F.isnan(name), F.col(name)))
 
 
-def custom_strategy(bars: DataFrame, fn, columns=(), emit="trades", allow_short=False, longest=None, block=None, **costs) -> DataFrame:
-    """Trades of ``fn(bar: dict, position) -> action``; position is None or (side, entry, entry row, shares)."""
+def custom_strategy(bars: DataFrame, fn, columns=(), emit="trades", allow_short=False, block=None, **costs) -> DataFrame:
+    """Trades of ``fn(bar: dict, position) -> action``; position is None or (side, entry, entry row)."""
 
     def decide(bar, position):
         action = fn(bar, position)
@@ -52,4 +52,4 @@ def custom_strategy(bars: DataFrame, fn, columns=(), emit="trades", allow_short=
         return action
 
     decide.columns = tuple(columns)
-    return run_strategy(bars, decide, emit, allow_short, longest, block, **costs)
+    return run_strategy(bars, decide, emit, allow_short, block, **costs)

@@ -78,7 +78,7 @@ LEDGER_SCHEMA = (
 )
 
 
-def ledger(trades: DataFrame, longest=None, block=None) -> DataFrame:
+def ledger(trades: DataFrame, block=None) -> DataFrame:
     """Position after every committed trade. Columns: id, symbol, side, quantity, price, fee, committed_at.
 
     Trades are read in (committed_at, id) order.
@@ -93,7 +93,7 @@ def ledger(trades: DataFrame, longest=None, block=None) -> DataFrame:
     numbered = number_rows(df, SYMBOL, ("committed_at", "id"), F.floor(F.unix_seconds("committed_at") / 86400))
     return ordered_fold(
         numbered, ("rn", "n", "id", "side", "quantity", "price", "fee", "day", "locks"), EMPTY, _ledger_step, LEDGER_SCHEMA, SYMBOL,
-        longest=longest, block=block,
+        block=block,
     )
 
 

@@ -92,7 +92,7 @@ def cvd_candidates(series: DataFrame, lookback=20, stall=3, block=None) -> DataF
     return f.add(**{f"cvd{k}": F.coalesce(ready & t, no) for k, t in enumerate(tests)}).rows()
 
 
-def cvd_signals(bars, cvd, lookback=20, stall=3, longest=None, block=None) -> DataFrame:
+def cvd_signals(bars, cvd, lookback=20, stall=3, block=None) -> DataFrame:
     """Divergence and stall signals with a cooldown per kind."""
     from barloom.plans.folds import ordered_fold
 
@@ -111,7 +111,7 @@ def cvd_signals(bars, cvd, lookback=20, stall=3, longest=None, block=None) -> Da
 
     fired = df.filter(" or ".join(flags))
     return ordered_fold(fired, ("rn", "time", *flags), [None] * 4, step, "rn long, time timestamp, kind string, bearish boolean",
-                        longest=longest, block=block, warmup=64)
+                        block=block, warmup=64)
 
 
 # ---- labels ----------------------------------------------------------------------------------

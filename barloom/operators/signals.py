@@ -48,12 +48,12 @@ def _trend_rows(factor):
     return step
 
 
-def supertrend(bars, period=60, factor=4.0, longest=None, block=None) -> DataFrame:
+def supertrend(bars, period=60, factor=4.0, block=None) -> DataFrame:
     f = atr_stage(frame(bars, fade_rows(wilder_rate(period)) + period + 1), period, "atr")
     df = f.add(before=f.lag("close")).rows()
     return ordered_fold(
         df, ("rn", "time", "high", "low", "close", "before", "atr"), {"s": None}, _trend_rows(factor),
-        "rn long, time timestamp, st_value double, st_direction string", longest=longest, block=block, warmup=2000,
+        "rn long, time timestamp, st_value double, st_direction string", block=block, warmup=2000,
     )
 
 
@@ -75,7 +75,7 @@ def evasive_step(state, high, low, close, atr, multiplier, threshold, alpha):
     return [moved, trend], noisy, flipped
 
 
-def evasive_supertrend(bars, period=10, multiplier=3.0, threshold=1.0, alpha=0.5, longest=None, block=None) -> DataFrame:
+def evasive_supertrend(bars, period=10, multiplier=3.0, threshold=1.0, alpha=0.5, block=None) -> DataFrame:
     f = atr_stage(frame(bars, fade_rows(wilder_rate(period)) + period + 1), period, "atr")
 
     def step(state, values):
@@ -89,7 +89,7 @@ def evasive_supertrend(bars, period=10, multiplier=3.0, threshold=1.0, alpha=0.5
     return ordered_fold(
         f.rows(), ("rn", "time", "high", "low", "close", "atr"), {"s": [None, 1]}, step,
         "rn long, time timestamp, band double, trend long, noisy boolean, signal string",
-        longest=longest, block=block, warmup=2000,
+        block=block, warmup=2000,
     )
 
 
@@ -211,20 +211,20 @@ SIGNAL_SCHEMA = (
 )
 
 
-def entry_signals(bars, period=60, factor=4.0, last_closed=False, longest=None, block=None) -> DataFrame:
+def entry_signals(bars, period=60, factor=4.0, last_closed=False, block=None) -> DataFrame:
     """Every signal with its final status; the status changes as later bars arrive."""
     return ordered_fold(
         signal_inputs(bars, period), SIGNAL_INPUTS, FRESH_SIGNALS, signal_step(factor, "signals", last_closed),
-        SIGNAL_SCHEMA, longest=longest, block=block, warmup=2000,
+        SIGNAL_SCHEMA, block=block, warmup=2000,
     )
 
 
-def signal_rows(bars, period=60, factor=4.0, last_closed=False, longest=None, block=None) -> DataFrame:
+def signal_rows(bars, period=60, factor=4.0, last_closed=False, block=None) -> DataFrame:
     """One row per bar: the signal being followed and its status as of that bar."""
     return ordered_fold(
         signal_inputs(bars, period), SIGNAL_INPUTS, FRESH_SIGNALS, signal_step(factor, "rows", last_closed),
         "rn long, time timestamp, confirmed boolean, signal_rn long, side string, entry double, as_of_status string",
-        longest=longest, block=block, warmup=2000,
+        block=block, warmup=2000,
     )
 
 
@@ -241,12 +241,12 @@ def signal_record(signals: DataFrame, *more) -> DataFrame:
     )
 
 
-def signal_report(bars, period=60, factor=4.0, lookback=48, longest=None) -> DataFrame:
+def signal_report(bars, period=60, factor=4.0, lookback=48) -> DataFrame:
     """Per key at the last confirmed bar: newest recent signal, trend, what stands in the way, record."""
-    signals = entry_signals(bars, period, factor, longest=longest)
+    signals = entry_signals(bars, period, factor)
     newest = F.max_by(F.struct("rn", "side", "kind", "entry", "stop", "target1", "target2", "status"), "rn").alias("g")
     record = signal_record(signals, newest)
-    direction = supertrend(bars, period, factor, longest).select(*KEYS, "rn", "st_direction")
+    direction = supertrend(bars, period, factor).select(*KEYS, "rn", "st_direction")
     at = signal_inputs(bars, period).filter(c("rn") == c("n") - 1).select(*KEYS, "rn", "time", "close", "wma60", "rsi14", "adx")
     df = at.join(direction, [*KEYS, "rn"], "left").join(record, list(KEYS), "left")
     trend = F.when(c("st_direction") == "bullish", "long").when(c("st_direction") == "bearish", "short")
@@ -335,25 +335,25 @@ def _grid_step(params, emit):
     return step
 
 
-def _grid(bars, params, emit, schema, longest, block):
+def _grid(bars, params, emit, schema, block):
     f = rsi_stage(frame(bars, rsi_rows(params[0])), params[0], "rsi")
     return ordered_fold(
         f.rows(), ("rn", "n", "time", "open", "close", "rsi"), {"long": dict(FLAT), "short": dict(FLAT)}, _grid_step(params, emit),
-        schema, longest=longest, block=block, warmup=1000,
+        schema, block=block, warmup=1000,
     )
 
 
-def rsi_grid(bars, params=GRID, longest=None, block=None) -> DataFrame:
+def rsi_grid(bars, params=GRID, block=None) -> DataFrame:
     """Trades of the cumulative-RSI grid, long and mirrored short; an open position has no exit."""
     schema = "side string, entry_rn long, entry double, exit_rn long, exit double"
-    return _grid(bars, params, "trades", schema, longest, block)
+    return _grid(bars, params, "trades", schema, block)
 
 
-def rsi_grid_rows(bars, params=GRID, longest=None, block=None) -> DataFrame:
+def rsi_grid_rows(bars, params=GRID, block=None) -> DataFrame:
     """One row per bar: cumulative depth, order signal, fills and position of both sides."""
     side = "{0}_cum double, {0}_signal string, {0}_entry double, {0}_exit double, {0}_in_pos boolean, {0}_pos_entry double"
     schema = f"rn long, time timestamp, rsi double, {side.format('long')}, {side.format('short')}"
-    return _grid(bars, params, "rows", schema, longest, block)
+    return _grid(bars, params, "rows", schema, block)
 
 
 def grid_pct(short, entry, exit_):
@@ -370,10 +370,10 @@ def grid_record(trades: DataFrame) -> DataFrame:
     )
 
 
-def rsi_grid_report(bars, params=GRID, longest=None) -> DataFrame:
+def rsi_grid_report(bars, params=GRID) -> DataFrame:
     """Per key and side at the last bar: RSI, depth, pending order, open position and record."""
-    rows = rsi_grid_rows(bars, params, longest).join(bars.select(*KEYS, "rn", "n", "close"), [*KEYS, "rn"]).filter(c("rn") == c("n"))
-    trades = rsi_grid(bars, params, longest)
+    rows = rsi_grid_rows(bars, params).join(bars.select(*KEYS, "rn", "n", "close"), [*KEYS, "rn"]).filter(c("rn") == c("n"))
+    trades = rsi_grid(bars, params)
     open_ = trades.filter("exit_rn is null").select(*KEYS, "side", "entry_rn")
     record = grid_record(trades)
     sides = F.array(

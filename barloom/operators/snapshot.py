@@ -66,7 +66,7 @@ LAST = {
 }
 
 
-def regime_snapshot(bars: DataFrame, longest=None) -> DataFrame:
+def regime_snapshot(bars: DataFrame) -> DataFrame:
     """One row per key: each indicator's last defined value, rounded, labelled from the rounded value."""
     df = all_stages(bars, more=True).rows()
     at_end = lambda x: F.max(F.when(c("rn") == c("n"), c(x)))
@@ -75,7 +75,7 @@ def regime_snapshot(bars: DataFrame, longest=None) -> DataFrame:
         F.max("n").alias("bars"), F.max("time").alias("last_time"), at_end("close").alias("close"), at_end("prev_close").alias("prev_close"),
         *[fixed_digits(defined(k), d).alias(k) for k, d in LAST.items()],
     )
-    trend = supertrend(bars, 60, 4.0, longest)
+    trend = supertrend(bars, 60, 4.0)
     st = trend.groupBy(*KEYS).agg(
         fixed_digits(F.max_by("st_value", F.when(c("st_value").isNotNull(), c("rn")))).alias("st_value"),
         F.max_by("st_direction", F.when(c("st_direction").isNotNull(), c("rn"))).alias("st_direction"),

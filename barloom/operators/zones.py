@@ -168,14 +168,14 @@ LIFE_SCHEMA = (
 )
 
 
-def zone_lifecycle(bars, zones=None, longest=None, block=None) -> DataFrame:
+def zone_lifecycle(bars, zones=None, block=None) -> DataFrame:
     """Each zone's status at the end: fresh, tested (separate visits), or invalidated by a close."""
     zones = supply_demand_zones(bars) if zones is None else zones
     born = zones.groupBy(*KEYS, c("confirmed").alias("rn")).agg(F.collect_list(F.struct(*_ZONE)).alias("born"))
     df = bars.join(born, [*KEYS, "rn"], "left")
     return ordered_fold(
         df, ("rn", "n", "high", "low", "close", "born", "time"), {"supply": [], "demand": []}, _life_step,
-        LIFE_SCHEMA, longest=longest, block=block, warmup=0,
+        LIFE_SCHEMA, block=block, warmup=0,
     )
 
 

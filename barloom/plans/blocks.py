@@ -167,7 +167,7 @@ def frame(df: DataFrame, lookback: int = 0, lookahead: int = 0, keys=KEYS, block
 def running(df: DataFrame, specs: dict, keys=KEYS, block: int | None = None) -> DataFrame:
     """Running values over the whole key, current row included.
 
-    ``specs`` maps an output name to (kind, column) with kind sum, max, min or last, or to
+    ``specs`` maps an output name to (kind, column) with kind sum, product, max, min or last, or to
     ("since", column, reset): the sum since the last row where ``reset`` held, that row excluded
     from the sum. Each block is scanned alone and receives what the blocks before it left behind.
     """
@@ -177,7 +177,7 @@ def running(df: DataFrame, specs: dict, keys=KEYS, block: int | None = None) ->
     inside = Window.partitionBy(*part).orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
     by_key = Window.partitionBy(*keys).orderBy("_blk")
     earlier = by_key.rowsBetween(Window.unboundedPreceding, -1)
-    plain = {"sum": F.sum, "max": F.max, "min": F.min}
+    plain = {"sum": F.sum, "product": F.product, "max": F.max, "min": F.min}
     expr = lambda c: F.col(c) if isinstance(c, str) else c
     local, second, totals, chain, carries, joined = {}, {}, [], {}, [], {}
     for name, (kind, source, *rest) in specs.items():
@@ -205,8 +205,8 @@ def running(df: DataFrame, specs: dict, keys=KEYS, block: int | None = None) ->
             totals.append(fn(c).alias(tot))
             carries.append(fn(tot).over(earlier).alias(car))
             local[loc] = fn(c).over(inside)
-            if kind == "sum":
-                joined[name] = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
+            if kind in ("sum", "product"):
+                joined[name] = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b if kind == "sum" else a * b)
             else:
                 joined[name] = F.greatest(a, b) if kind == "max" else F.least(a, b)
     scanned = cut.withColumns(local)

@@ -1,10 +1,11 @@
 """Path-dependent operators as ordered folds over blocks.
 
-A fold keeps a small state and reads rows in order. Keys that fit one block are folded in one
-pass. A longer key is folded block by block in parallel: every block starts from a guessed state
-(fresh, or warmed up on the rows just before it), then each block whose guess differs from what
-its predecessor really left is folded again, until nothing changes. State machines that forget
-settle after one or two rounds; ones that never forget still come out exact, one block per round.
+A fold keeps a small state and reads rows in order. Every key is folded block by block in parallel:
+a block starts from a guessed state (fresh, or warmed up on the rows just before it), then each
+block whose guess differs from what its predecessor really left is folded again, until nothing
+changes. Rows are stored by block, so a further round reads the blocks it folds again and no others.
+State machines that forget settle after one or two rounds. What never forgets (money, quantities)
+is kept out of the state and added up by ``plans.blocks.running``.
 """
 
 from __future__ import annotations
@@ -69,68 +70,44 @@ def _fold_batches(keys, cols, init, step, schema, emit_rows, emit_state):
     return run
 
 
-def ordered_fold(
-    df: DataFrame,
-    cols,
-    init,
-    step,
-    schema: str,
-    keys=KEYS,
-    block: int | None = None,
-    warmup: int = 0,
-    longest: int | None = None,
-) -> DataFrame:
+def ordered_fold(df: DataFrame, cols, init, step, schema: str, keys=KEYS, block: int | None = None, warmup: int = 0) -> DataFrame:
     """Fold numbered rows per key.
 
     ``step(state, values) -> (state, rows)`` gets ``cols`` as a tuple; the state must survive a JSON
     round trip. ``schema`` describes the rows it produces, which come back with the key columns.
-    ``longest`` is the row count of the longest key; it is looked up when not given.
     """
     size = block or FOLD_ROWS
-    spark = df.sparkSession
-    if longest is None:
-        longest = df.agg(F.max("rn")).first()[0] or 0
     key_fields = [df.schema[k] for k in keys]
     out_schema = T.StructType(key_fields + T._parse_datatype_string(schema).fields)
     needed = list(dict.fromkeys([*keys, "rn", *cols]))
-    plain = df.select(*needed)
     order = [*keys, "_blk", "rn"]
+    stored = df.select(*needed).withColumn("_blk", F.floor((F.col("rn") - 1) / size).cast("long"))
+    exact = cut_lineage(stored.repartition(*keys, "_blk"), by="_blk").withColumns({"_core": F.lit(True)})
 
-    def rows_of(blocks: DataFrame) -> DataFrame:
-        fold = _fold_batches(keys, cols, init, step, out_schema, True, False)
-        return blocks.repartition(*keys, "_blk").sortWithinPartitions(*order).mapInArrow(fold, out_schema)
-
-    blk = F.floor((F.col("rn") - 1) / size)
-    single = plain.withColumns({"_blk": F.lit(0).cast("long"), "_core": F.lit(True), "_state": F.lit(None).cast("string")})
-    if longest <= size:
-        return rows_of(single)
-
-    stored = cut_lineage(plain)
     halo = min(warmup, size)
-    near_end = ((F.col("rn") - 1) % size >= size - halo) & (F.lit(halo) > 0)
-    spread = stored.withColumn("_home", blk).withColumn(
-        "_blk", F.explode(F.array_compact(F.array(F.col("_home"), F.when(near_end, F.col("_home") + 1))))
-    )
-    guess = spread.withColumns({"_core": F.col("_blk") == F.col("_home"), "_state": F.lit(None).cast("string")})
-    exact = stored.withColumns({"_blk": blk, "_core": F.lit(True)})
+    guess = exact.withColumn("_state", F.lit(None).cast("string"))
+    if halo:  # the end of a block goes before the next one as well
+        ends = guess.filter((F.col("rn") - 1) % size >= size - halo)
+        guess = guess.unionByName(ends.withColumns({"_blk": F.col("_blk") + 1, "_core": F.lit(False)}))
 
     state_schema = T.StructType(
         key_fields + [T.StructField(n, t) for n, t in (("_blk", T.LongType()), ("_in", T.StringType()), ("_out", T.StringType()))]
     )
     probe = _fold_batches(keys, cols, init, step, state_schema, False, True)
 
-    def states_of(blocks: DataFrame) -> DataFrame:
-        return blocks.repartition(*keys, "_blk").sortWithinPartitions(*order).mapInArrow(probe, state_schema)
+    def ordered(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition(*keys, "_blk").sortWithinPartitions(*order)
 
-    states = cut_lineage(states_of(guess))
+    states = cut_lineage(ordered(guess).mapInArrow(probe, state_schema))
     by_key = Window.partitionBy(*keys).orderBy("_blk")
     while True:
         linked = states.withColumn("_want", F.lag("_out").over(by_key))
-        wrong = linked.filter("_want is not null and _want <> _in").select(*keys, "_blk", F.col("_want").alias("_state"))
+        wrong = cut_lineage(linked.filter("_want is not null and _want <> _in").select(*keys, "_blk", F.col("_want").alias("_state")))
         if wrong.isEmpty():
             break
-        redone = states_of(exact.join(wrong, [*keys, "_blk"]))
+        redone = ordered(exact.join(wrong, [*keys, "_blk"])).mapInArrow(probe, state_schema)
         kept = states.join(wrong, [*keys, "_blk"], "left_anti")
         states = cut_lineage(kept.unionByName(redone))
     begin = states.select(*keys, "_blk", F.when(F.col("_blk") > 0, F.col("_in")).alias("_state"))
-    return rows_of(exact.join(begin, [*keys, "_blk"]))
+    fold = _fold_batches(keys, cols, init, step, out_schema, True, False)
+    return ordered(exact.join(begin, [*keys, "_blk"])).mapInArrow(fold, out_schema)

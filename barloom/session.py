@@ -40,9 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, so that later steps restart from files."""
+def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back, so that later steps restart from files.
+
+    With ``by``, files are kept apart by that column, and a join on it reads only the values it needs.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
