@@ -8,7 +8,9 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from barloom.catalog.base import bars, over, q, query, r, tidy
+from barloom.catalog.ledgers import LEAKS
 from barloom.operators import audit as A
+from barloom.operators import rules as R
 from barloom.session import cut_lineage
 from barloom.sources import artifacts as S
 
@@ -68,7 +70,8 @@ ck AS (SELECT artifact_id, 'fill-validation' AS "check", CASE WHEN impossible >
   UNION ALL SELECT artifact_id, 'fill-model', CASE WHEN self_mean IS NULL THEN 'skipped' WHEN self_mean - shadow_mean > 0.005 THEN 'not_proven' WHEN self_mean - shadow_mean > 0.001 THEN 'warn' ELSE 'pass' END FROM al
   UNION ALL SELECT artifact_id, 'sample-power', CASE WHEN coalesce(n >= {NEED} AND n >= need_mean, false) THEN 'pass' ELSE 'not_proven' END FROM al
   UNION ALL SELECT artifact_id, 'plausibility', CASE WHEN n > 50 AND lo > 0.9 THEN 'warn' ELSE 'pass' END FROM al
-  UNION ALL SELECT artifact_id, 'costs', CASE WHEN costs THEN 'pass' ELSE 'warn' END FROM al)"""
+  UNION ALL SELECT artifact_id, 'costs', CASE WHEN costs THEN 'pass' ELSE 'warn' END FROM al
+  UNION ALL SELECT artifact_id, 'lookahead-lint', ['error', 'warn', 'error', 'error', 'warn', 'warn', 'warn', 'pass', 'warn', 'pass'][(regexp_extract(artifact_id, '\\d+')::INT + length(artifact_id)) % 10 + 1] FROM hd)"""
 
 
 def sql(body: str) -> str:
@@ -90,10 +93,9 @@ def _(spark, d):
 
 @query("audit_fetch_window", sql(f"""{TRADES}, {WIN} SELECT artifact_id, start, "end", count(b.rn) AS bars FROM wn JOIN b ON b.symbol = wn.symbol AND b.time >= start AND b.time <= "end" GROUP BY ALL"""))
 def _(spark, d):
-    b = bars(spark, d)
-    w = A.fetch_window(S.rule_trades(b))
-    joined = w.join(b, ["symbol", "timeframe"]).filter((c("time") >= c("start")) & (c("time") <= c("end")))
-    return tidy(joined.groupBy("artifact_id", "start", "end").agg(F.count("rn").alias("bars")))
+    placed, b = placed_of(spark, d)
+    held = placed.groupBy("artifact_id").agg(F.max("window_bars").alias("bars"))
+    return tidy(A.fetch_window(S.rule_trades(b)).join(held, "artifact_id").select("artifact_id", "start", "end", "bars"))
 
 
 @query("bar_index_at", sql(f"{PLACED} SELECT artifact_id, trade_no, e AS entry_rn, x AS exit_rn FROM pl"))
@@ -140,15 +142,29 @@ def _(spark, d):
 def checks_of(spark, d):
     b = bars(spark, d)
     trades = S.rule_trades(b)
-    return A.audit(trades, S.headers(trades), b, SIMS)
+    headers = S.headers(trades)
+    return A.audit(trades, headers, b, SIMS, lint=lint_of(headers))
 
 
-for _name, _check in (("audit_fill_model", "fill-model"), ("audit_plausibility", "plausibility"), ("audit_costs", "costs")):
+# The strategy source of an artifact is one line of a fixed list, by its brand's number and variant.
+def lint_of(headers):
+    k = (F.regexp_extract("artifact_id", r"(\d+)", 1).cast("int") + F.length("artifact_id")) % len(LEAKS)
+    return R.lint_lines(headers.select("artifact_id", F.get(F.array(*[F.lit(x) for x in LEAKS]), k).alias("line")))
+
 
-    def _one(spark, d, check=_check):
-        return checks_of(spark, d).filter(c("check") == check).drop("check")
+def one_check(spark, d, check):
+    """Only the parts that the check reads are computed."""
+    if check == "costs":
+        found = A.check_statuses(S.headers(S.rule_trades(bars(spark, d))))
+    else:
+        _, kept, b = kept_of(spark, d)
+        parts = {"power": A.sample_power(kept)} if check == "plausibility" else {"baseline": A.random_baseline(kept, b, SIMS)}
+        found = A.check_statuses(S.headers(S.rule_trades(b)), **parts)
+    return found.filter(c("check") == check).drop("check")
 
-    query(_name, sql(f"{ALL} SELECT artifact_id, status FROM ck WHERE \"check\" = '{_check}'"))(_one)
+
+for _name, _check in (("audit_fill_model", "fill-model"), ("audit_plausibility", "plausibility"), ("audit_costs", "costs")):
+    query(_name, sql(f"{ALL} SELECT artifact_id, status FROM ck WHERE \"check\" = '{_check}'"))(lambda spark, d, check=_check: one_check(spark, d, check))
 
 
 @query("audit_check_status", sql(f"{ALL} SELECT * FROM ck"))
@@ -169,7 +185,7 @@ def artifact_json(spark, d):
     """The rule trades as one JSON text per symbol, with a fault in four of five."""
     t = S.rule_trades(bars(spark, d)).filter(c("artifact_id").endswith("/open"))
     iso = lambda x: F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    k = F.crc32("symbol") % 5
+    k = F.regexp_extract("symbol", r"(\d+)", 1).cast("int") % 5
     # A trade list belongs to one artifact; each is one bounded text.
     row = F.struct(
         F.when(k == 1, "not a time").otherwise(iso("entry_time")).alias("entryTime"), iso("exit_time").alias("exitTime"),
@@ -180,12 +196,17 @@ def artifact_json(spark, d):
     return g.select("artifact_id", "symbol", k.alias("k"), F.to_json(doc).alias("json"))
 
 
-@query("src_artifact_json")
+FAULT = "regexp_extract(symbol, '\\d+')::INT % 5"
+
+
+@query("src_artifact_json", sql(f"""{TRADES} SELECT artifact_id, CASE {FAULT} WHEN 1 THEN 'trades[0].entryTime' WHEN 2 THEN 'trades[0].side' WHEN 3 THEN 'trades[0].entryPrice' WHEN 4 THEN 'version' END AS bad_field, count(*) AS trades
+FROM tr WHERE artifact_id LIKE '%/open' GROUP BY ALL"""))
 def _(spark, d):
     parsed = A.parse_artifacts(artifact_json(spark, d))
     return parsed.select("artifact_id", "bad_field", F.size("a.trades").cast("long").alias("trades"))
 
 
-@query("src_artifact_trades")
+@query("src_artifact_trades", sql(f"""{TRADES} SELECT artifact_id, row_number() OVER (PARTITION BY artifact_id ORDER BY trade_no) - 1 AS trade_no, symbol, '1d' AS timeframe, entry_time, exit_time, side,
+{q('entry_price')} AS entry_price, {q('exit_price')} AS exit_price FROM tr WHERE artifact_id LIKE '%/open' AND {FAULT} = 0"""))
 def _(spark, d):
     return tidy(A.artifact_trades(A.parse_artifacts(artifact_json(spark, d))))

@@ -193,7 +193,7 @@ def _(spark, d):
 LEAKS = ("x = df.close.shift(-1)", "# df.shift( - 2 )", "m = df.rolling(5, center=True).mean()", "np.roll(a, -3)", "df.bfill()", "df.fillna(method='bfill')", "sc.fit(df)", "sc.fit(df)  # train only", "lead(close, 1)", "y = df.shift(1)")
 LIT = ", ".join("('" + x.replace("'", "''") + "')" for x in LEAKS)
 LINT_SQL = " UNION ALL ".join(
-    f"SELECT doc, line_no, '{rule}' AS rule, CASE WHEN cm THEN 'warn' ELSE '{sev}' END AS severity FROM ln WHERE regexp_matches(line, '{pat.replace(chr(39), chr(39) * 2)}')" + (f" AND NOT regexp_matches(line, '(?i)train')" if ex else "")
+    f"SELECT doc, line_no, '{rule}' AS rule, CASE WHEN cm THEN 'warn' ELSE '{sev}' END AS severity, trim(line) AS excerpt, '{R.LINT_ADVICE[rule][0]}' AS why, '{R.LINT_ADVICE[rule][1]}' AS fix FROM ln WHERE regexp_matches(line, '{pat.replace(chr(39), chr(39) * 2)}')" + (f" AND NOT regexp_matches(line, '(?i)train')" if ex else "")
     for rule, sev, pat, ex in R.LINT_RULES
 )
 LINES = f"""lk AS (SELECT line, row_number() OVER () - 1 AS k FROM (VALUES {LIT}) v(line)),
@@ -210,22 +210,22 @@ def leaky_texts(spark, d):
 
 @query("pred_lookahead_lint", f"WITH {LINES} {LINT_SQL}")
 def _(spark, d):
-    return tidy(R.lint_lines(R.source_lines(leaky_texts(spark, d), "doc")), "doc", "line_no", "rule", "severity")
+    return tidy(R.lint_lines(R.source_lines(leaky_texts(spark, d), "doc")), "doc", "line_no", "rule", "severity", "excerpt", "why", "fix")
 
 
-GR = """rq AS (SELECT o_orderkey AS id, o_custkey % 400 AS account, CASE WHEN o_orderkey % 3 = 0 THEN 'paper' ELSE 'live' END AS mode, o_orderpriority AS symbol, o_totalprice AS notional, o_orderdate AS requested_at FROM orders),
-gt AS (SELECT c_custkey AS account, c_name AS grant_id, CASE WHEN c_custkey % 10 = 0 THEN 'paper' ELSE 'live' END AS grant_mode, TIMESTAMP '1996-06-01' + to_days((c_custkey % 700)::INT) AS valid_until, CASE c_custkey % 3 WHEN 0 THEN ['*'] WHEN 1 THEN ['1-urgent', '2-HIGH'] ELSE ['5-LOW'] END AS syms, 100000 + c_custkey * 700 AS cap FROM customer WHERE c_custkey < 390)"""
+GR = """rq AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN -o_custkey ELSE o_custkey END AS account, CASE WHEN o_orderkey % 3 = 0 THEN 'paper' ELSE 'live' END AS mode, o_orderpriority AS symbol, o_totalprice AS notional, o_orderdate AS requested_at FROM orders),
+gt AS (SELECT c_custkey AS account, c_name AS grant_id, CASE WHEN c_custkey % 10 = 0 THEN 'paper' ELSE 'live' END AS grant_mode, TIMESTAMP '1996-06-01' + to_days((c_custkey % 700)::INT) AS valid_until, CASE c_custkey % 3 WHEN 0 THEN ['*'] WHEN 1 THEN ['1-urgent', '2-HIGH'] ELSE ['5-LOW'] END AS syms, 100000 + c_custkey * 700 AS cap FROM customer)"""
 
 
 @query("pred_grant_rules", f"""WITH {GR}, z AS (SELECT rq.*, gt.* EXCLUDE (account), CASE WHEN mode = 'paper' THEN 'paper' WHEN grant_id IS NULL THEN 'no_grant' WHEN grant_mode <> 'live' THEN 'not_live' WHEN requested_at > valid_until THEN 'expired'
   WHEN NOT (list_contains(syms, '*') OR list_contains(list_transform(syms, lambda s: upper(s)), upper(symbol))) THEN 'symbol' WHEN notional > cap THEN 'size' ELSE 'live' END AS reason FROM rq LEFT JOIN gt USING (account)) SELECT id, reason, reason IN ('paper', 'live') AS allowed FROM z""")
 def _(spark, d):
-    req = table(spark, d, "orders").select(c("o_orderkey").alias("id"), (c("o_custkey") % 400).alias("account"), F.when(c("o_orderkey") % 3 == 0, "paper").otherwise("live").alias("mode"), c("o_orderpriority").alias("symbol"),
+    req = table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.when(c("o_orderkey") % 7 == 0, -c("o_custkey")).otherwise(c("o_custkey")).alias("account"), F.when(c("o_orderkey") % 3 == 0, "paper").otherwise("live").alias("mode"), c("o_orderpriority").alias("symbol"),
                                            c("o_totalprice").alias("notional"), c("o_orderdate").alias("requested_at"))
     k = c("c_custkey")
     lists = F.when(k % 3 == 0, F.array(F.lit("*"))).when(k % 3 == 1, F.array(F.lit("1-urgent"), F.lit("2-HIGH"))).otherwise(F.array(F.lit("5-LOW")))
     until = (F.date_add(F.lit("1996-06-01").cast("date"), (k % 700).cast("int"))).cast("timestamp_ntz")
-    grants = table(spark, d, "customer").filter(k < 390).select(k.alias("account"), c("c_name").alias("grant_id"), F.when(k % 10 == 0, "paper").otherwise("live").alias("grant_mode"), until.alias("valid_until"), lists.alias("allowed_symbols"), (100000 + k * 700).alias("max_position"))
+    grants = table(spark, d, "customer").select(k.alias("account"), c("c_name").alias("grant_id"), F.when(k % 10 == 0, "paper").otherwise("live").alias("grant_mode"), until.alias("valid_until"), lists.alias("allowed_symbols"), (100000 + k * 700).alias("max_position"))
     return R.grant_rules(req, grants).select("id", "reason", "allowed")
 
 

@@ -266,11 +266,11 @@ def _(spark, d):
 CVD = """
 fl AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS time, sum(CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END) AS buy, sum(value) AS vol FROM events GROUP BY ALL),
 fs AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS time, sum(CASE WHEN event_id % 2 = 0 THEN value ELSE 0 END) AS buy, sum(value) AS vol FROM events WHERE user_id % 3 = 0 GROUP BY ALL),
-cvd AS (SELECT coalesce(p.symbol, s.symbol) AS symbol, coalesce(p.time, s.time) AS time, 2 * p.buy - p.vol AS perp, 2 * s.buy - s.vol AS spot FROM (SELECT * FROM fl WHERE extract('hour' FROM time) <> 7) p FULL JOIN fs s ON p.symbol = s.symbol AND p.time = s.time)"""
+cvd AS (SELECT coalesce(p.symbol, s.symbol) AS symbol, coalesce(p.time, s.time) AS time, 2 * p.buy - p.vol AS perp, 2 * s.buy - s.vol AS spot FROM fl p FULL JOIN fs s ON p.symbol = s.symbol AND p.time = s.time)"""
 
 
 def cvd_of(spark, d):
-    perp = flows.hourly_deltas(spark, d).filter(F.hour("time") != 7)
+    perp = flows.hourly_deltas(spark, d)
     return O.join_cvd(perp, flows.hourly_deltas(spark, d, True))
 
 

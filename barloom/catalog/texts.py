@@ -31,19 +31,19 @@ def _(spark, d):
     return X.list_symbols(both).select("symbol", F.concat(F.lit("["), F.array_join("timeframes", ", "), F.lit("]")).alias("timeframes"))
 
 
-def kline_text(spark, d):
-    """Each bar as one positional JSON row, in the layout its symbol's venue uses."""
+def kline_text(spark, d, mixed=True):
+    """Each bar as one positional JSON row, in the layout its symbol's venue uses, or all in the first one."""
     b = bars(spark, d, "hourly")
     s = lambda x: c(x).cast("string")
     ms = F.array(F.unix_millis("time").cast("string"), *[s(x) for x in OHLCV])
     sec = F.array(F.unix_seconds("time").cast("string"), F.lit("0"), s("close"), s("high"), s("low"), s("open"), s("volume"))
-    other = F.length("symbol") % 2 == 0
+    other = (F.length("symbol") % 2 == 0) & F.lit(mixed)
     return b.select("symbol", "timeframe", F.when(other, "sec_chlov").otherwise("ms_ohlcv").alias("layout"), F.to_json(F.when(other, sec).otherwise(ms)).alias("json"))
 
 
-@query("src_kline_rows", over(f"SELECT symbol, time, {OHLCV_SQL} FROM b WHERE length(symbol) % 2 = 1", "hourly"))
+@query("src_kline_rows", over(f"SELECT symbol, time, {OHLCV_SQL} FROM b", "hourly"))
 def _(spark, d):
-    return tidy(X.kline_rows(kline_text(spark, d).filter(c("layout") == "ms_ohlcv")), "symbol", "time", *OHLCV)
+    return tidy(X.kline_rows(kline_text(spark, d, mixed=False)), "symbol", "time", *OHLCV)
 
 
 @query("src_kline_layouts", over(f"SELECT symbol, time, {OHLCV_SQL} FROM b", "hourly"))
@@ -141,14 +141,14 @@ def _(spark, d):
 
 # ---- symbols ---------------------------------------------------------------------------------
 
-SPELL = """sp AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 3 + (c_custkey % 3)::INT)) AS base, c_custkey % 8 AS k FROM customer),
+SPELL = """sp AS (SELECT c_custkey, upper(CASE c_custkey % 3 WHEN 1 THEN c_mktsegment || 'E' WHEN 2 THEN replace(c_mktsegment, 'U', 'UU') ELSE c_mktsegment END) AS base, c_custkey % 8 AS k FROM customer),
 sy AS (SELECT c_custkey, CASE k WHEN 0 THEN lower(base) WHEN 1 THEN base || '/usdt' WHEN 2 THEN ' ' || base || '_UDST' WHEN 3 THEN base || '-USTD' WHEN 4 THEN base || 'BTC' WHEN 5 THEN lpad((c_custkey * 7919 % 1000000)::VARCHAR, 6, '0')
   WHEN 6 THEN 'sh' || lpad((c_custkey * 7919 % 1000000)::VARCHAR, 6, '0') ELSE 'US.' || base END AS raw FROM sp)"""
 
 
 def spelled(spark, d):
     k = c("c_custkey") % 8
-    base = F.expr("upper(substring(c_mktsegment, 1, int(3 + c_custkey % 3)))")
+    base = F.expr("upper(CASE c_custkey % 3 WHEN 1 THEN c_mktsegment || 'E' WHEN 2 THEN replace(c_mktsegment, 'U', 'UU') ELSE c_mktsegment END)")
     code = F.lpad((c("c_custkey") * 7919 % 1000000).cast("string"), 6, "0")
     raw = (
         F.when(k == 0, F.lower(base)).when(k == 1, F.concat(base, F.lit("/usdt"))).when(k == 2, F.concat(F.lit(" "), base, F.lit("_UDST"))).when(k == 3, F.concat(base, F.lit("-USTD")))
@@ -167,12 +167,12 @@ def _(spark, d):
     return spelled(spark, d).select("c_custkey", X.norm_symbol("raw").alias("symbol"))
 
 
-@query("proj_fuzzy_symbol", f"""WITH {SPELL}, nm AS (SELECT DISTINCT upper(substr(c_mktsegment, 1, 5)) || 'USDT' AS name FROM customer),
+@query("proj_fuzzy_symbol", f"""WITH {SPELL}, nm AS (SELECT DISTINCT upper(c_mktsegment) || 'USDT' AS name FROM customer),
 a AS (SELECT DISTINCT raw, {STRIP} AS s FROM sy), z AS (SELECT raw, CASE WHEN length(s) > 3 THEN regexp_replace(s, '(UDST|USTD|UTSD|USD)$', 'USDT') ELSE s END AS s FROM a),
 m AS (SELECT raw, name, least(levenshtein(s, name), levenshtein(CASE WHEN s LIKE '%USDT' THEN s ELSE s || 'USDT' END, name)) AS ds FROM z, nm)
 SELECT raw AS asked, arg_min(name, row(ds, name)) AS closest, min(ds) AS distance FROM m WHERE ds < 3 GROUP BY raw""")
 def _(spark, d):
-    listed = table(spark, d, "customer").select(F.concat(F.upper(F.substring("c_mktsegment", 1, 5)), F.lit("USDT")).alias("symbol"))
+    listed = table(spark, d, "customer").select(F.concat(F.upper("c_mktsegment"), F.lit("USDT")).alias("symbol"))
     return tidy(X.closest_symbol(spelled(spark, d).withColumnRenamed("raw", "symbol"), listed))
 
 
@@ -201,7 +201,7 @@ def _(spark, d):
 z AS (SELECT c_custkey, CASE WHEN k = 4 THEN 'BTC' ELSE base END AS base FROM sp)
 SELECT c_custkey, venue, market, replace(tpl, '{{b}}', CASE WHEN venue = 'Kraken' AND base = 'BTC' THEN 'XBT' ELSE base END) AS feed_symbol FROM z, vn""")
 def _(spark, d):
-    base = F.expr("upper(substring(c_mktsegment, 1, int(3 + c_custkey % 3)))")
+    base = F.expr("upper(CASE c_custkey % 3 WHEN 1 THEN c_mktsegment || 'E' WHEN 2 THEN replace(c_mktsegment, 'U', 'UU') ELSE c_mktsegment END)")
     pairs = table(spark, d, "customer").select("c_custkey", F.concat(F.when(c("c_custkey") % 8 == 4, "BTC").otherwise(base), F.lit("USDT")).alias("pair"))
     return X.venue_symbols(pairs).select("c_custkey", "venue", "market", "feed_symbol")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from barloom.functions.exprs import LONGEST_MONTH_SECONDS, timeframe_seconds
 from barloom.plans.asof import asof_join
 from barloom.plans.blocks import KEYS, number_rows
+from barloom.operators.rules import lint_status
 from barloom.plans.folds import ordered_fold
 from barloom.session import cut_lineage
 
@@ -166,24 +167,18 @@ def random_baseline(kept: DataFrame, bars: DataFrame, simulations=1000, seed=42)
     parallel. Ties count against the strategy.
     """
     hold = F.greatest(F.lit(1), c("exit_idx") - c("entry_idx"))
-    order = Window.partitionBy("artifact_id").orderBy("entry_idx", "exit_idx", "trade_no")
     t = kept.filter(c("window_bars") >= 3).withColumns({"hold": hold, "most": c("window_bars") - 1 - hold})
-    # Templates that fit the window are counted in entry order; others use no draw.
-    fits = (c("most") >= 0).cast("int")
-    t = t.withColumns(
-        {
-            "slot": F.sum(fits).over(order) - 1,
-            "slots": F.sum(fits).over(Window.partitionBy("artifact_id")),
-            "exit_at": c("first_rn") + F.least(c("window_bars") - 1, c("entry_idx") + hold),
-        }
-    )
+    t = t.withColumn("exit_at", c("first_rn") + F.least(c("window_bars") - 1, c("entry_idx") + hold))
     shadow = _close_at(t, bars, "exit_at", "shadow_close")
     own = shadow.groupBy("artifact_id").agg(
         F.avg(_pair_return(c("entry_close"), c("shadow_close"))).alias("shadow_mean"),
         F.avg(trade_return()).alias("self_mean"),
         F.count(F.lit(1)).alias("trades_used"),
     )
-    sims = t.filter("most >= 0").withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
+    # Templates that fit the window are numbered in entry order; others use no draw.
+    fits = number_rows(t.filter("most >= 0"), ("artifact_id",), ("entry_idx", "exit_idx", "trade_no"), F.floor(c("entry_idx") / 4096))
+    fits = fits.withColumns({"slot": c("rn") - 1, "slots": c("n")})
+    sims = fits.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
     draw = uniform_draw(c("sim").cast("long") * c("slots") + c("slot"), seed)
     sims = sims.withColumn("from_rn", c("first_rn") + F.floor(draw * (c("most") + 1)))
     sims = sims.withColumn("to_rn", c("from_rn") + c("hold")).select("artifact_id", *KEYS, "sim", "side", "from_rn", "to_rn")
@@ -246,38 +241,36 @@ def sample_power(kept: DataFrame, edge=0.05, baseline=0.5) -> DataFrame:
 # ---- statuses and verdict --------------------------------------------------------------------
 
 
-def check_statuses(headers: DataFrame, fills, independent, baseline, power, lint: DataFrame | None = None) -> DataFrame:
-    """One row per artifact and check. ``headers`` has artifact_id and costs_included."""
+def check_statuses(headers: DataFrame, fills=None, independent=None, baseline=None, power=None, lint: DataFrame | None = None) -> DataFrame:
+    """One row per artifact and check whose part is given. ``headers`` has artifact_id and costs_included.
+
+    ``lint`` holds findings of ``rules.lint_lines`` by artifact_id; an artifact without a finding passes.
+    """
     df = headers
     for part in (fills, independent, baseline, power):
-        df = df.join(part, "artifact_id", "left")
+        df = df if part is None else df.join(part, "artifact_id", "left")
+    has = lambda part, build: None if part is None else build()
     share = lambda x: c(x) / c("checked")
-    fill = (
-        F.when(c("impossible") > 0, "error")
-        .when(c("outside") > 0, "error")
-        .when(share("same_bar") > SAME_BAR_LIMIT, "not_proven")
-        .when((share("close_fills") >= CLOSE_FILL_WARN) | (c("same_bar") > 0), "warn")
-        .otherwise("pass")
-    )
-    apart = (
-        F.when((c("mapped") > 0) & (c("overlap_ratio") > OVERLAP_ERROR), "error")
-        .when(c("overlap_ratio") > OVERLAP_WARN, "warn")
-        .otherwise("pass")
-    )
-    luck = F.when(c("percentile").isNull(), "skipped").when(c("percentile") >= PASS_PERCENTILE, "pass").otherwise("not_proven")
-    gap = c("self_mean") - c("shadow_mean")
-    model = F.when(gap.isNull(), "skipped").when(gap > GAP_LIMIT, "not_proven").when(gap > GAP_WARN, "warn").otherwise("pass")
-    size = F.when(F.coalesce(c("powered"), F.lit(False)), "pass").otherwise("not_proven")
-    clean = F.when((c("trades") > 50) & (c("ci_low") > 0.9), "warn").otherwise("pass")
-    costs = F.when(F.coalesce(c("costs_included"), F.lit(False)), "pass").otherwise("warn")
+    gap = lambda: c("self_mean") - c("shadow_mean")
     checks = {
-        "fill-validation": fill, "independence": apart, "random-baseline": luck, "fill-model": model,
-        "sample-power": size, "plausibility": clean, "costs": costs,
-    }
-    rows = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items()])
+        "fill-validation": has(fills, lambda: F.when((c("impossible") > 0) | (c("outside") > 0), "error")
+            .when(share("same_bar") > SAME_BAR_LIMIT, "not_proven")
+            .when((share("close_fills") >= CLOSE_FILL_WARN) | (c("same_bar") > 0), "warn").otherwise("pass")),
+        "independence": has(independent, lambda: F.when((c("mapped") > 0) & (c("overlap_ratio") > OVERLAP_ERROR), "error")
+            .when(c("overlap_ratio") > OVERLAP_WARN, "warn").otherwise("pass")),
+        "random-baseline": has(baseline, lambda: F.when(c("percentile").isNull(), "skipped")
+            .when(c("percentile") >= PASS_PERCENTILE, "pass").otherwise("not_proven")),
+        "fill-model": has(baseline, lambda: F.when(gap().isNull(), "skipped").when(gap() > GAP_LIMIT, "not_proven")
+            .when(gap() > GAP_WARN, "warn").otherwise("pass")),
+        "sample-power": has(power, lambda: F.when(F.coalesce(c("powered"), F.lit(False)), "pass").otherwise("not_proven")),
+        "plausibility": has(power, lambda: F.when((c("trades") > 50) & (c("ci_low") > 0.9), "warn").otherwise("pass")),
+        "costs": F.when(F.coalesce(c("costs_included"), F.lit(False)), "pass").otherwise("warn"),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("check"), v.alias("status")) for k, v in checks.items() if v is not None])
     out = df.select("artifact_id", F.explode(rows).alias("x")).select("artifact_id", "x.check", "x.status")
     if lint is not None:
-        out = out.unionByName(lint.select("artifact_id", F.lit("lookahead-lint").alias("check"), "status"))
+        found = headers.select("artifact_id").join(lint_status(lint, "artifact_id"), "artifact_id", "left")
+        out = out.unionByName(found.select("artifact_id", F.lit("lookahead-lint").alias("check"), F.coalesce("status", F.lit("pass")).alias("status")))
     return out
 
 
@@ -298,12 +291,15 @@ def verdicts(checks: DataFrame) -> DataFrame:
     return g.select("artifact_id", verdict.alias("verdict"), "warnings")
 
 
-def audit(trades: DataFrame, headers: DataFrame, bars: DataFrame, simulations=1000, seed=42, edge=0.05) -> DataFrame:
-    """Status rows of all checks. Placed and kept trades are written once and reused by every check."""
+def audit(trades: DataFrame, headers: DataFrame, bars: DataFrame, simulations=1000, seed=42, edge=0.05, lint=None) -> DataFrame:
+    """Status rows of all checks, that of the source code too where its findings are given.
+
+    Placed and kept trades are written once and reused by every check.
+    """
     placed = cut_lineage(place_trades(trades, bars))
     kept = cut_lineage(independent_trades(placed))
     return check_statuses(
-        headers, fill_validation(placed), independence(placed, kept), random_baseline(kept, bars, simulations, seed), sample_power(kept, edge)
+        headers, fill_validation(placed), independence(placed, kept), random_baseline(kept, bars, simulations, seed), sample_power(kept, edge), lint
     )
 
 

@@ -102,9 +102,12 @@ def tool_policy(log: DataFrame, name="tool", deny=DENY, allow=(), mode="denylist
 def grant_rules(requests: DataFrame, grants: DataFrame) -> DataFrame:
     """Verdict per request: paper passes; live needs a live, unexpired grant covering symbol and size.
 
-    Grants are joined by account; signatures are not checked here.
+    A request is held against one grant: that of its account which is valid longest, then the last by id.
+    Signatures are not checked here.
     """
-    df = requests.join(grants, "account", "left")
+    newest = F.max_by(F.struct(*[x for x in grants.columns if x != "account"]), F.struct("valid_until", "grant_id"))
+    one = grants.groupBy("account").agg(newest.alias("g")).select("account", "g.*")
+    df = requests.join(one, "account", "left")
     listed = F.exists("allowed_symbols", lambda s: (s == "*") | (F.upper(s) == F.upper(c("symbol"))))
     reason = (
         F.when(F.coalesce(c("mode"), F.lit("paper")) == "paper", "paper")
@@ -129,6 +132,14 @@ LINT_RULES = (
     ("LK005", "warn", r"\.fit\s*\(\s*(df|X|data|features)\b", "(?i)train"),
     ("LK006", "warn", r"\blead\s*\(", None),
 )
+LINT_ADVICE = {
+    "LK001": ("a negative shift reads later bars", "shift forward, or compare with earlier bars"),
+    "LK002": ("a centred window holds later bars", "use a trailing window"),
+    "LK003": ("rolling an array backwards brings later values to earlier bars", "roll forward and drop what wraps round"),
+    "LK004": ("filling backwards copies later values to earlier bars", "fill forward"),
+    "LK005": ("fitting on all rows lets the test period shape the model", "fit on the training rows only"),
+    "LK006": ("lead reads later rows", "use lag"),
+}
 COMMENT = r"^(#|//|\*|/\*|--|'''|\"\"\")"
 
 
@@ -138,7 +149,8 @@ def source_lines(texts: DataFrame, name="file", text="text") -> DataFrame:
 
 
 def lint_lines(lines: DataFrame) -> DataFrame:
-    """Findings of all rules; a comment line only warns."""
+    """Findings of all rules with the whole line, the reason and a remedy; a comment line only warns."""
+    advice = F.create_map(*[x for rule, (why, fix) in LINT_ADVICE.items() for x in (F.lit(rule), F.struct(F.lit(why).alias("why"), F.lit(fix).alias("fix")))])
     comment = F.trim("line").rlike(COMMENT)
     found = []
     for rule, severity, pattern, excuse in LINT_RULES:
@@ -148,7 +160,7 @@ def lint_lines(lines: DataFrame) -> DataFrame:
         level = F.when(comment, "warn").otherwise(severity)
         found.append(F.when(hit, F.struct(F.lit(rule).alias("rule"), level.alias("severity"))))
     return lines.withColumn("f", F.explode(F.array_compact(F.array(*found)))).select(
-        *[x for x in lines.columns if x != "line"], "f.rule", "f.severity", F.substring(F.trim("line"), 1, 160).alias("excerpt")
+        *[x for x in lines.columns if x != "line"], "f.rule", "f.severity", F.trim("line").alias("excerpt"), *[F.get(F.map_values(F.map_filter(advice, lambda k, _: k == c("f.rule"))), F.lit(0))[x].alias(x) for x in ("why", "fix")]
     )
 
 

@@ -188,8 +188,8 @@ def line_tolerance(f: Framed) -> Framed:
     return f.add(slack=F.least(c("close") * 0.0015, median * 0.25))
 
 
-def trendline_candidates(bars, span=3, best_only=True, block=None) -> DataFrame:
-    """Wick-anchored lines through two of the last sixteen pivots of a kind, ranked.
+def trendline_candidates(bars, span=3, best_only=True, block=None, search_pivots=SEARCH_PIVOTS) -> DataFrame:
+    """Wick-anchored lines through two of the last ``search_pivots`` pivots of a kind, ranked.
 
     At most 120 pairs exist per key and kind. Bars from the first searched pivot on are matched with
     the pairs and reduced at once to a few numbers per pair and pivot gap; the touch count then runs
@@ -198,7 +198,7 @@ def trendline_candidates(bars, span=3, best_only=True, block=None) -> DataFrame:
     f = line_tolerance(frame(bars, 15, block=block))
     sized = f.rows()
     found = order_pivots(pivots(bars, span, span, skip_last=1, block=block))
-    search = found.filter(c("rn") > c("n") - SEARCH_PIVOTS).filter(c("price") > 0)
+    search = found.filter(c("rn") > c("n") - search_pivots).filter(c("price") > 0)
     search = search.join(sized.select(*KEYS, c("rn").alias("bar"), "slack"), [*KEYS, "bar"])
     # The last sixteen pivots of a kind, and nothing else, sit in one array per key.
     nodes = search.groupBy(*SIDED).agg(

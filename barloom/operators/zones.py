@@ -121,7 +121,7 @@ def keep_longest(zones: DataFrame) -> DataFrame:
         swap = F.transform(kept, lambda k: F.when((k["base_end"] == hit["base_end"]) & (size(z) > size(k)), z).otherwise(k))
         return F.when(hit.isNull(), F.concat(kept, F.array(z))).otherwise(swap)
 
-    kept = F.aggregate(F.slice("zs", 2, 100), F.slice("zs", 1, 1), place)
+    kept = F.aggregate(F.slice("zs", F.lit(2), F.size("zs")), F.slice("zs", 1, 1), place)
     return grouped.withColumn("z", F.explode(kept)).select(*KEYS, "kind", "confirmed", *[f"z.{x}" for x in fields])
 
 
