@@ -12,6 +12,7 @@ from barloom.catalog.indicators import (
 )
 from barloom.catalog.patterns import facts_sql
 from barloom.catalog.signals import DON_ACT, account_sql, st_ctes
+from barloom.catalog.structure import pivots_sql
 from barloom.operators import backtest as B
 from barloom.operators import books as K
 from barloom.operators import custom as U
@@ -147,7 +148,29 @@ def _(spark, d):
     return tidy(K.rev_point_report(K.rev_point(bars(spark, d, "hourly"), 3600, oi_of(spark, d))))
 
 
-@query("order_blocks")
+# The same zones by a recursion over breaks and a look at every later bar.
+OB_TAP = "CASE z.dir WHEN 1 THEN b.low <= z.top ELSE b.high >= z.bot END"
+OB_SQL = f""", {pivots_sql('b', 5, 5, True, False)},
+oi AS MATERIALIZED (SELECT b.*, h.price AS ph, l.price AS pl FROM b LEFT JOIN pv h ON h.symbol = b.symbol AND h.kind = 'high' AND h.rn + 5 = b.rn LEFT JOIN pv l ON l.symbol = b.symbol AND l.kind = 'low' AND l.rn + 5 = b.rn),
+bk AS (SELECT symbol, 0::BIGINT AS rn, NULL::DOUBLE AS ce, NULL::DOUBLE AS fl, 0 AS tr, NULL::INT AS way, false AS choch, NULL::DOUBLE AS sw FROM b WHERE rn = 1
+  UNION ALL SELECT i.symbol, i.rn, CASE WHEN w = 1 THEN NULL ELSE c1 END, CASE WHEN w = -1 THEN NULL ELSE f1 END, coalesce(w, g.tr), w, coalesce(g.tr = -w, false), CASE w WHEN 1 THEN c1 WHEN -1 THEN f1 END
+  FROM bk g JOIN oi i ON i.symbol = g.symbol AND i.rn = g.rn + 1, LATERAL (SELECT coalesce(i.ph, g.ce) AS c1, coalesce(i.pl, g.fl) AS f1),
+  LATERAL (SELECT CASE WHEN close > c1 AND close < f1 THEN CASE WHEN close > open THEN 1 ELSE -1 END WHEN close > c1 THEN 1 WHEN close < f1 THEN -1 END AS w)),
+bw AS MATERIALIZED (SELECT * FROM bk WHERE way IS NOT NULL),
+m0 AS (SELECT symbol, rn, n, high, low, lag(high, 2) OVER k AS top, lag(low, 2) OVER k AS bot, lag(high, 3) OVER k AS h3, lag(low, 3) OVER k AS l3 FROM b WINDOW k AS (PARTITION BY symbol ORDER BY rn)),
+mk AS MATERIALIZED (SELECT symbol, rn AS born, n, top, bot, CASE WHEN bot < l3 AND low > top THEN 1 ELSE -1 END AS dir FROM m0 WHERE rn >= 4 AND ((bot < l3 AND low > top) OR (top > h3 AND high < bot))),
+z1 AS (SELECT z.*, max(w.rn) FILTER (w.rn <= born) AS had, min(w.rn) FILTER (w.rn > born) AS got FROM mk z LEFT JOIN bw w ON w.symbol = z.symbol AND w.way = z.dir AND w.rn BETWEEN born - 1 AND born + 20 GROUP BY ALL),
+z2 AS (SELECT z.*, min(b.rn) AS ret FROM z1 z LEFT JOIN b ON b.symbol = z.symbol AND b.rn BETWEEN born + 1 AND born + 20 AND {OB_TAP} GROUP BY ALL),
+z3 AS MATERIALIZED (SELECT *, greatest(born, conf) AS fresh FROM (SELECT *, coalesce(had, CASE WHEN ret IS NULL OR ret > got THEN got END) AS conf FROM z2) WHERE conf IS NOT NULL),
+z4 AS MATERIALIZED (SELECT z.*, min(b.rn) AS mit FROM z3 z LEFT JOIN b ON b.symbol = z.symbol AND b.rn > fresh AND {OB_TAP} GROUP BY ALL),
+z5 AS MATERIALIZED (SELECT z.*, min(b.rn) AS brk FROM z4 z LEFT JOIN b ON b.symbol = z.symbol AND b.rn >= mit AND CASE z.dir WHEN 1 THEN b.close < z.bot ELSE b.close > z.top END GROUP BY ALL),
+ev AS (SELECT *, 'fresh' AS event, fresh AS rn FROM z5 UNION ALL SELECT *, 'mitigated', mit FROM z5 WHERE mit IS NOT NULL UNION ALL SELECT *, 'breaker', brk FROM z5 WHERE brk IS NOT NULL
+  UNION ALL SELECT *, 'final:' || CASE WHEN brk IS NOT NULL THEN 'breaker' WHEN mit IS NOT NULL THEN 'mitigated' ELSE 'fresh' END, n FROM z5)
+SELECT e.symbol, '1d' AS timeframe, e.rn, b.time, event, born - 2 AS ob_rn, dir::BIGINT AS direction, {q('top')} AS top, {q('bot')} AS bottom, w.choch, conf AS confirm_rn, {q('w.sw')} AS swing_price, CASE WHEN brk <= e.rn THEN brk END AS break_rn
+FROM ev e JOIN b ON b.symbol = e.symbol AND b.rn = e.rn JOIN bw w ON w.symbol = e.symbol AND w.rn = conf"""
+
+
+@query("order_blocks", over(OB_SQL, "brand", True))
 def _(spark, d):
     return tidy(K.order_blocks(bars(spark, d)))
 

@@ -1,4 +1,4 @@
-"""Folds that keep a small book: reversal points, order blocks, multi-timeframe zones."""
+"""Reversal points, order blocks and multi-timeframe zones."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from barloom.operators.resample import resample_gap_aware, resample_htf
 from barloom.operators.structure import pivot_flags
 from barloom.plans.asof import asof_join
 from barloom.plans.blocks import KEYS, fade_rows, frame, number_rows
+from barloom.plans.crossing import first_at_or_below
 from barloom.plans.folds import ordered_fold
+from barloom.session import cut_lineage
 
 # ---- closed higher-timeframe values ----------------------------------------------------------
 
@@ -262,13 +264,25 @@ def rev_point_report(points: DataFrame) -> DataFrame:
 
 # ---- order blocks ----------------------------------------------------------------------------
 
-SCAN_BARS, WAIT_BARS, MOST_ZONES, SWING = 500, 20, 200, 5
-BLOCK_START = {"hi": None, "lo": None, "mss": 0, "up": None, "dn": None, "zones": []}
-BLOCK_SCHEMA = (
-    "rn long, time timestamp, event string, ob_rn long, direction long, top double, bottom double, choch boolean, "
-    "confirm_rn long, swing_price double, break_rn long"
-)
-BLOCK_INPUTS = ("rn", "n", "time", "open", "high", "low", "close", "pivot_high", "pivot_low", "made", "made_top", "made_bottom")
+WAIT_BARS, SWING = 20, 5
+BREAK_INPUTS = ("rn", "open", "close", "pivot_high", "pivot_low")
+BREAK_START = {"ceiling": None, "floor": None, "trend": 0}
+
+
+def _break_step(s, values):
+    """Closes beyond the newest unbroken swing; a break against the trend changes its character."""
+    rn, open_, close, high, low = values
+    ceiling, floor = s["ceiling"] if high is None else high, s["floor"] if low is None else low
+    ways = [w for w, level in ((1, ceiling), (-1, floor)) if level is not None and (close - level) * w > 0]
+    if len(ways) == 2:
+        ways = [1 if close > open_ else -1]
+    out = [(rn, w, s["trend"] == -w, ceiling if w > 0 else floor) for w in ways]
+    return {"ceiling": None if 1 in ways else ceiling, "floor": None if -1 in ways else floor, "trend": ways[0] if ways else s["trend"]}, out
+
+
+def structure_breaks(framed_rows: DataFrame, block=None) -> DataFrame:
+    """Rows (rn, way, choch, swing_price); only the open swings and the trend are remembered."""
+    return ordered_fold(framed_rows, BREAK_INPUTS, BREAK_START, _break_step, "rn long, way long, choch boolean, swing_price double", block=block, warmup=200)
 
 
 def block_inputs(bars: DataFrame, swing=SWING) -> DataFrame:
@@ -283,71 +297,58 @@ def block_inputs(bars: DataFrame, swing=SWING) -> DataFrame:
     ).rows()
 
 
-def block_step(scan=SCAN_BARS, wait=WAIT_BARS, most=MOST_ZONES):
-    """Zones wait for a structure break, are tapped once, and may turn into breakers.
+def order_blocks(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
+    """Zone events (fresh, mitigated, breaker) and the states standing at the last bar.
 
-    The scan only starts ``scan`` bars before the key's last bar, so earlier rows change with it.
+    A zone needs a structure break of its own way on its last two bars, or within ``wait`` bars before price returns
+    to it; its first later return mitigates it, and a close through its far side from then on makes it a breaker.
+    Zones of every bar are followed; with ``scan`` only those made in that many bars before the last one, and
+    then earlier rows change as bars are added.
     """
-
-    def step(s, values):
-        v = dict(zip(BLOCK_INPUTS, values))
-        rn, n, high, low, close = v["rn"], v["n"], v["high"], v["low"], v["close"]
-        out = []
-        note = lambda event, z: out.append((rn, v["time"], event, z["ob"], z["dir"], z["top"], z["bot"], z["choch"], z["conf"], z["sw"], z["brk"]))
-        if v["pivot_high"] is not None:
-            s["hi"] = [v["pivot_high"], False]
-        if v["pivot_low"] is not None:
-            s["lo"] = [v["pivot_low"], False]
-        up = bool(s["hi"] and not s["hi"][1] and close > s["hi"][0])
-        dn = bool(s["lo"] and not s["lo"][1] and close < s["lo"][0])
-        if up and dn:
-            up, dn = close > v["open"], not close > v["open"]
-        if up:
-            s["up"] = [rn, s["mss"] == -1, s["hi"][0]]
-            s["mss"], s["hi"][1] = 1, True
-        if dn:
-            s["dn"] = [rn, s["mss"] == 1, s["lo"][0]]
-            s["mss"], s["lo"][1] = -1, True
-        kept = []
-        for z in s["zones"]:
-            bull = z["dir"] == 1
-            back = low <= z["top"] if bull else high >= z["bot"]
-            if z["state"] == "pending":
-                broke = (up and s["up"]) if bull else (dn and s["dn"])
-                if back:
-                    continue
-                if broke:
-                    z |= {"state": "fresh", "choch": broke[1], "conf": rn, "sw": broke[2]}
-                    note("fresh", z)
-                elif rn >= z["until"]:
-                    continue
-            if z["state"] == "fresh" and back:
-                z["state"] = "mitigated"
-                note("mitigated", z)
-            if z["state"] == "mitigated" and (close < z["bot"] if bull else close > z["top"]):
-                z |= {"state": "breaker", "brk": rn}
-                note("breaker", z)
-            kept.append(z)
-        s["zones"] = kept
-        if v["made"] is not None and rn - 1 >= max(3, n - 1 - scan):
-            z = {"ob": rn - 2, "dir": v["made"], "top": v["made_top"], "bot": v["made_bottom"], "state": "pending", "choch": False, "conf": rn, "sw": None, "brk": None, "until": rn + wait}
-            broke = s["up"] if z["dir"] == 1 else s["dn"]
-            if broke and broke[0] >= rn - 1:
-                z |= {"state": "fresh", "choch": broke[1], "conf": broke[0], "sw": broke[2]}
-                note("fresh", z)
-            s["zones"] = [*kept, z][-most:]
-        if rn == n:
-            for z in s["zones"]:
-                if z["state"] != "pending":
-                    note(f"final:{z['state']}", z)
-        return s, out
-
-    return step
-
-
-def order_blocks(bars, block=None) -> DataFrame:
-    """Zone events (fresh, mitigated, breaker) and the states standing at the last bar."""
-    return ordered_fold(block_inputs(bars), BLOCK_INPUTS, BLOCK_START, block_step(), BLOCK_SCHEMA, block=block, warmup=200)
+    rows = cut_lineage(block_inputs(bars))
+    breaks = cut_lineage(structure_breaks(rows, block))
+    made = rows.filter("made is not null")
+    if scan is not None:
+        made = made.filter(c("rn") - 1 >= c("n") - 1 - scan)
+    zones = made.select(*KEYS, c("rn").alias("born"), c("made").alias("direction"), c("made_top").alias("top"), c("made_bottom").alias("bottom"))
+    sign = c("direction")
+    # The bars from one before birth to the end of the wait, each an equi join on its row.
+    near = zones.withColumn("ahead", F.explode(F.sequence(F.lit(-1), F.lit(wait)))).withColumn("rn", c("born") + c("ahead"))
+    near = near.join(rows.select(*KEYS, "rn", "high", "low"), [*KEYS, "rn"])
+    near = near.join(breaks, [*KEYS, "rn"], "left")
+    same = c("way") == sign
+    back = F.when(sign > 0, c("low") <= c("top")).otherwise(c("high") >= c("bottom"))
+    hit = F.struct("rn", "choch", "swing_price")
+    first = near.groupBy(*KEYS, "born", "direction", "top", "bottom").agg(
+        F.max_by(hit, F.when(same & (c("ahead") <= 0), c("rn"))).alias("had"), F.min_by(hit, F.when(same & (c("ahead") > 0), c("rn"))).alias("got"),
+        F.min(F.when(back & (c("ahead") > 0), c("rn"))).alias("returned"),
+    )
+    in_time = c("got").isNotNull() & (c("returned").isNull() | (c("returned") > c("got.rn")))
+    first = first.withColumn("by", F.when(c("had").isNotNull(), c("had")).when(in_time, c("got"))).filter("by is not null")
+    fresh = first.select(
+        *KEYS, (c("born") - 2).alias("ob_rn"), "direction", "top", "bottom", F.greatest("born", "by.rn").alias("fresh"), c("by.rn").alias("confirm_rn"),
+        c("by.choch").alias("choch"), c("by.swing_price").alias("swing_price"),
+    )
+    # Both ways become "falls to a level" by turning bearish zones upside down.
+    up, down = fresh.filter(sign > 0), fresh.filter(sign < 0)
+    sides = []
+    for side, reach, shut, entry, exit_ in ((up, c("low"), c("close"), c("top"), c("bottom")), (down, -c("high"), -c("close"), -c("bottom"), -c("top"))):
+        side = side.withColumns({"_in": entry, "_out": exit_})
+        side = first_at_or_below(side, rows, reach, "_in", "fresh", "mitigated").withColumn("_since", c("mitigated") - 1)
+        sides.append(first_at_or_below(side, rows, shut, "_out", "_since", "break_rn", strict=True))
+    known = cut_lineage(sides[0].unionByName(sides[1]).drop("_in", "_out", "_since"))
+    ends = rows.filter(c("rn") == c("n")).select(*KEYS, c("rn").alias("_end"))
+    known = known.join(ends, list(KEYS))
+    state = F.when(c("break_rn").isNotNull(), "breaker").when(c("mitigated").isNotNull(), "mitigated").otherwise("fresh")
+    event = lambda name, at: F.when(at.isNotNull(), F.struct(name.alias("event"), at.alias("rn")))
+    events = F.array_compact(F.array(event(F.lit("fresh"), c("fresh")), event(F.lit("mitigated"), c("mitigated")), event(F.lit("breaker"), c("break_rn")), event(F.concat(F.lit("final:"), state), c("_end"))))
+    out = known.withColumn("e", F.explode(events)).select(
+        *KEYS, "e.rn", "e.event", "ob_rn", "direction", "top", "bottom", "choch", "confirm_rn", "swing_price", F.when(c("break_rn") <= c("e.rn"), c("break_rn")).alias("break_rn"),
+    )
+    times = rows.select(*KEYS, "rn", "time")
+    return out.join(times, [*KEYS, "rn"]).select(
+        *KEYS, "rn", "time", "event", "ob_rn", "direction", "top", "bottom", "choch", "confirm_rn", "swing_price", "break_rn"
+    )
 
 
 # ---- multi-timeframe support and resistance --------------------------------------------------
@@ -356,7 +357,6 @@ def order_blocks(bars, block=None) -> DataFrame:
 SLOTS = (30, 60, 120, 240)
 WEIGHTS = {"tf": 0.40, "confluence": 0.28, "wick": 0.18, "prominence": 0.14}
 BONUS, THICK, MERGE, CAP, SESSIONS, PIVOT = 0.9, 0.28, 0.35, 14, 3, 5
-MERGE_PASSES, CAP_PASSES = 40, 60
 
 
 def slot_label(seconds: int) -> str:
@@ -434,71 +434,60 @@ ZONE_SCHEMA = (
 )
 
 
-def _absorb(a, b, atr, close):
-    """Merge zone b into a."""
-    a["tfs"] = list(dict.fromkeys(a["tfs"] + b["tfs"]))
-    wa, wb = max(a["n"], 1), max(b["n"], 1)
-    a["level"] = (a["level"] * wa + b["level"] * wb) / (wa + wb)
-    a["sum"] += b["sum"]
-    a["n"] += b["n"]
-    a["prom"], a["w"] = max(a["prom"], b["prom"]), max(a["w"], b["w"])
-    _size(a, atr)
+def _sized(z, atr):
+    """The zone with its band and score for the current range."""
+    half = max(atr * THICK, 1e-6) / 2
+    score = strength(z["w"], len(z["tfs"]), z["sum"] / max(z["n"], 1), z["prom"], atr)
+    return z | {"top": z["level"] + half, "bottom": z["level"] - half, "score": score}
 
 
-def _size(z, atr):
-    half = max(atr * THICK, 1e-6) / 2
-    z["top"], z["bottom"] = z["level"] + half, z["level"] - half
-    z["score"] = strength(z["w"], len(z["tfs"]), z["sum"] / max(z["n"], 1), z["prom"], atr)
+def _united(old, new, atr):
+    """One zone of two: the level weighed by tests, the sums added, the larger of the rest, the older one's start."""
+    heft = [max(z["n"], 1) for z in (old, new)]
+    level = (old["level"] * heft[0] + new["level"] * heft[1]) / sum(heft)
+    frames = old["tfs"] + [x for x in new["tfs"] if x not in old["tfs"]]
+    both = {"tfs": frames, "level": level, "sum": old["sum"] + new["sum"], "n": old["n"] + new["n"]}
+    return _sized(old | both | {k: max(old[k], new[k]) for k in ("prom", "w")}, atr)
 
 
-def _merge(zones, day, atr, close):
+def _placed(zones, new, atr):
+    """Standing zones, apart from each other, with a new one: it and all it reaches, directly or once united, are one."""
     reach = atr * MERGE
-    for _ in range(MERGE_PASSES):
-        pair = next(
-            (
-                (i, j)
-                for i in range(len(zones) - 1)
-                for j in range(i + 1, len(zones))
-                if zones[i]["day"] == day == zones[j]["day"] and zones[i]["res"] == zones[j]["res"]
-                and zones[i]["bottom"] <= zones[j]["top"] + reach and zones[j]["bottom"] <= zones[i]["top"] + reach
-            ),
-            None,
-        )
-        if pair is None:
-            return
-        _absorb(zones[pair[0]], zones[pair[1]], atr, close)
-        del zones[pair[1]]
+    while True:
+        near = [k for k, z in enumerate(zones) if z["day"] == new["day"] and z["res"] == new["res"] and max(z["bottom"], new["bottom"]) <= min(z["top"], new["top"]) + reach]
+        if not near:
+            return sorted([*zones, new], key=lambda z: z["seq"])
+        old = zones[near[0]]
+        zones = [z for z in zones if z is not old]
+        first, second = (old, new) if old["seq"] < new["seq"] else (new, old)
+        new = _united(first, second, atr)
 
 
 def zone_step(cap=CAP, sessions=SESSIONS):
-    """Step of the zone book: days open, pivots spawn zones, overlapping ones merge, the weakest go."""
+    """Step of the zone book: days open, pivots spawn zones that unite with those in reach, the weakest go.
+
+    ``cap`` zones a day and ``sessions`` days are kept; None keeps all.
+    """
 
     def step(s, values):
         rn, n, time, day, close, atr, events = values
         atr = atr or 1e-6
         out = []
         if s["day"] != day:
-            s["day"], s["last"] = day, {}
-            s["days"] = [*s["days"], day][-sessions:]
+            days = [*s["days"], day]
+            s["day"], s["last"], s["days"] = day, {}, days if sessions is None else days[-sessions:]
             s["zones"] = [z for z in s["zones"] if z["day"] in s["days"]]
-        spawned = False
-        for e in events or ():
+        for k, e in enumerate(events or ()):
             key = f"{e['slot']}{e['res']}"
             if key in s["last"] and abs(s["last"][key] - e["level"]) <= 1e-9:
                 continue
             s["last"][key] = e["level"]
-            z = {"res": e["res"], "level": e["level"], "tfs": [e["label"]], "w": e["weight"], "sum": e["wick"], "n": int(e["wick"] > 0), "prom": e["prominence"], "day": day, "start": rn}
-            _size(z, atr)
-            z["score"] = strength(z["w"], 1, e["wick"], z["prom"], atr)
-            s["zones"].append(z)
-            spawned = True
-        if spawned:
-            _merge(s["zones"], day, atr, close)
-            for _ in range(CAP_PASSES):
-                today = [z for z in s["zones"] if z["day"] == day]
-                if len(today) <= cap:
-                    break
-                s["zones"].remove(min(today, key=lambda z: z["score"]))
+            z = {"res": e["res"], "level": e["level"], "tfs": [e["label"]], "w": e["weight"], "sum": e["wick"], "n": int(e["wick"] > 0), "prom": e["prominence"], "day": day, "start": rn, "seq": rn * 64 + k}
+            s["zones"] = _placed(s["zones"], _sized(z, atr), atr)
+        if cap is not None:
+            today = sorted((z for z in s["zones"] if z["day"] == day), key=lambda z: z["score"])
+            weak = {z["seq"] for z in today[: max(0, len(today) - cap)]}
+            s["zones"] = [z for z in s["zones"] if z["seq"] not in weak]
 
         def nearest(zones, distance):
             return min(zones, key=distance)["level"] if zones else None
