@@ -37,10 +37,10 @@ def positions_of(spark, d):
     return H.positions(H.ledger(trade_log(spark, d)))
 
 
-@query("ledger_positions", over(f", {POS} SELECT symbol, 'USD' AS currency, {q('qty')} AS quantity, {q('av', 4)} AS average_cost, {q('pnl', 2)} AS realized_pnl FROM ps", "brand", True))
+@query("ledger_positions", over(f", {POS} SELECT symbol, 'USD' AS currency, {q('qty')} AS quantity, {q('av', 4)} AS average_cost, {q('pnl', 1)} AS realized_pnl FROM ps", "brand", True))
 def _(spark, d):
     p = positions_of(spark, d)
-    return p.select("symbol", "currency", r("quantity").alias("quantity"), r("average_cost", 4).alias("average_cost"), r("realized_pnl", 2).alias("realized_pnl"))
+    return p.select("symbol", "currency", r("quantity").alias("quantity"), r("average_cost", 4).alias("average_cost"), r("realized_pnl", 1).alias("realized_pnl"))
 
 
 MK = f"""{POS}, mk AS (SELECT symbol, max(close) FILTER (rn = n) AS px, max(close) FILTER (rn = n - 1) AS pv FROM b GROUP BY symbol),

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import col as c
 from barloom.functions.exprs import fixed_digits
-from barloom.plans.blocks import number_rows
-from barloom.plans.folds import ordered_fold
+from barloom.plans.blocks import number_rows, running
+from barloom.plans.folds import affine_starts, ordered_fold
 from barloom.sources.text import asset_class
 
 SYMBOL = ("symbol",)
-EMPTY = {"qty": 0.0, "avg": 0.0, "pnl": 0.0, "locked": 0.0, "day": None}
+EMPTY = {"avg": 0.0, "locked": 0.0, "day": None}
 
 
 def shanghai_day(time) -> Column:
@@ -30,9 +30,12 @@ def rounded(x: float, digits: int) -> float:
     return round(x, digits)
 
 
-def apply_trade(s, buys, qty, price, fee, day, locks):
-    """One trade on a position; quantities keep 8 digits and money 4 after every trade."""
-    held, avg, locked, delta = s["qty"], s["avg"], s["locked"], 0.0
+def apply_trade(s, held, buys, qty, price, fee, day, locks):
+    """One trade on a position of ``held``; quantities keep 8 digits and money 4 after every trade.
+
+    The state holds what a trade can make it forget: average cost, and what is locked on its day.
+    """
+    avg, locked, delta = s["avg"], s["locked"], 0.0
     if s["day"] != day:
         locked, lock_day = 0.0, None
     else:
@@ -60,41 +63,60 @@ def apply_trade(s, buys, qty, price, fee, day, locks):
             locked, lock_day = (after, day) if after > 0 and locks else (0.0, None)
     qty8 = rounded(after, 8)
     locked = min(max(0.0, rounded(locked, 8)), max(0.0, qty8)) if locks and lock_day == day else 0.0
-    return {"qty": qty8, "avg": rounded(avg, 4), "pnl": rounded(s["pnl"] + delta, 4), "locked": locked, "day": lock_day}, delta
+    return {"avg": rounded(avg, 4), "locked": locked, "day": lock_day}, qty8, delta
+
+
+LEDGER_INPUTS = ("rn", "n", "id", "held", "buys", "quantity", "price", "fee", "day", "locks")
 
 
 def _ledger_step(state, values):
-    rn, n, trade_id, side, qty, price, fee, day, locks = values
-    before = state["pnl"]
-    state, delta = apply_trade(state, side in ("buy", "long"), qty, price, fee or 0.0, day, locks)
-    basis = rounded(abs(state["qty"]) * state["avg"], 4)
-    sellable = max(0.0, state["qty"] - state["locked"])
-    return state, [(rn, rn == n, trade_id, state["qty"], state["avg"], basis, state["pnl"], delta, state["locked"], sellable, day)]
+    rn, n, trade_id, held, buys, qty, price, fee, day, locks = values
+    state, after, delta = apply_trade(state, held, buys, qty, price, fee, day, locks)
+    basis = rounded(abs(after) * state["avg"], 4)
+    sellable = max(0.0, after - state["locked"])
+    return state, [(rn, rn == n, trade_id, after, state["avg"], basis, delta, state["locked"], sellable, day)]
 
 
 LEDGER_SCHEMA = (
-    "rn long, newest boolean, trade_id string, quantity double, average_cost double, cost_basis double, realized_pnl double, "
+    "rn long, newest boolean, trade_id string, quantity double, average_cost double, cost_basis double, "
     "pnl_delta double, locked double, sellable double, trade_day string"
 )
 
 
+def _starts(exact: DataFrame) -> DataFrame:
+    """Average cost at block starts without the rounding, which is affine in the cost held before a trade."""
+    held, signed = c("held"), F.when(c("buys"), c("quantity")).otherwise(-c("quantity"))
+    after = F.round(held + signed, 8)
+    adds = (held * signed >= 0) & ~((held == 0) & ~c("buys") & (after == 0))
+    paid = c("quantity") * c("price") + F.when(c("buys"), c("fee")).otherwise(-c("fee"))
+    size = F.nullif(F.abs(after), F.lit(0.0))
+    slope = F.when(adds, F.coalesce(F.abs(held) / size, F.lit(0.0))).when((after == 0) | (after * held < 0), 0.0).otherwise(1.0)
+    offset = F.when(adds, F.coalesce(paid / size, F.lit(0.0))).when(after * held < 0, c("price")).otherwise(0.0)
+    starts = affine_starts(exact, slope, offset, SYMBOL)
+    state = F.concat(F.lit('{"avg": '), fixed_digits("y", 4).cast("string"), F.lit(', "locked": 0.0, "day": null}'))
+    return starts.select(*SYMBOL, "_blk", F.when(c("_blk") > 0, state).alias("_state"))
+
+
 def ledger(trades: DataFrame, block=None) -> DataFrame:
     """Position after every committed trade. Columns: id, symbol, side, quantity, price, fee, committed_at.
 
-    Trades are read in (committed_at, id) order.
+    Trades are read in (committed_at, id) order. Quantities and realised profit are running sums; only the average
+    cost is folded, from starts that lack no more than its rounding.
     """
     kind = asset_class("symbol")
+    buys = c("side").isin("buy", "long")
     df = trades.withColumns(
         {
-            "day": shanghai_day("committed_at"),
-            "locks": (kind["asset_class"] == "equity") & (kind["currency"] == "CNY"),
+            "day": shanghai_day("committed_at"), "buys": buys, "fee": F.coalesce("fee", F.lit(0.0)),
+            "locks": (kind["asset_class"] == "equity") & (kind["currency"] == "CNY"), "_signed": F.when(buys, c("quantity")).otherwise(-c("quantity")),
         }
     )
     numbered = number_rows(df, SYMBOL, ("committed_at", "id"), F.floor(F.unix_seconds("committed_at") / 86400))
-    return ordered_fold(
-        numbered, ("rn", "n", "id", "side", "quantity", "price", "fee", "day", "locks"), EMPTY, _ledger_step, LEDGER_SCHEMA, SYMBOL,
-        block=block,
-    )
+    numbered = running(numbered, {"_sum": ("sum", "_signed")}, SYMBOL, block).withColumn("held", F.round(c("_sum") - c("_signed"), 8) + F.lit(0.0))
+    rows = ordered_fold(numbered, LEDGER_INPUTS, EMPTY, _ledger_step, LEDGER_SCHEMA, SYMBOL, block=block, guess=_starts)
+    # Rounding after each addition adds rounded numbers, as every earlier total has four digits already.
+    rows = running(rows, {"_pnl": ("sum", fixed_digits("pnl_delta", 4))}, SYMBOL, block)
+    return rows.withColumn("realized_pnl", fixed_digits("_pnl", 4)).drop("_pnl")
 
 
 def positions(ledger_rows: DataFrame) -> DataFrame:

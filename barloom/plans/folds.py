@@ -70,11 +70,12 @@ def _fold_batches(keys, cols, init, step, schema, emit_rows, emit_state):
     return run
 
 
-def ordered_fold(df: DataFrame, cols, init, step, schema: str, keys=KEYS, block: int | None = None, warmup: int = 0) -> DataFrame:
+def ordered_fold(df: DataFrame, cols, init, step, schema: str, keys=KEYS, block: int | None = None, warmup: int = 0, guess=None) -> DataFrame:
     """Fold numbered rows per key.
 
     ``step(state, values) -> (state, rows)`` gets ``cols`` as a tuple; the state must survive a JSON
     round trip. ``schema`` describes the rows it produces, which come back with the key columns.
+    ``guess`` may turn the stored rows (with _blk) into start states (keys, _blk, _state) of their blocks.
     """
     size = block or FOLD_ROWS
     key_fields = [df.schema[k] for k in keys]
@@ -85,10 +86,10 @@ def ordered_fold(df: DataFrame, cols, init, step, schema: str, keys=KEYS, block:
     exact = cut_lineage(stored.repartition(*keys, "_blk"), by="_blk").withColumns({"_core": F.lit(True)})
 
     halo = min(warmup, size)
-    guess = exact.withColumn("_state", F.lit(None).cast("string"))
+    first = exact.withColumn("_state", F.lit(None).cast("string")) if guess is None else exact.join(guess(exact), [*keys, "_blk"], "left")
     if halo:  # the end of a block goes before the next one as well
-        ends = guess.filter((F.col("rn") - 1) % size >= size - halo)
-        guess = guess.unionByName(ends.withColumns({"_blk": F.col("_blk") + 1, "_core": F.lit(False)}))
+        ends = first.filter((F.col("rn") - 1) % size >= size - halo)
+        first = first.unionByName(ends.withColumns({"_blk": F.col("_blk") + 1, "_core": F.lit(False)}))
 
     state_schema = T.StructType(
         key_fields + [T.StructField(n, t) for n, t in (("_blk", T.LongType()), ("_in", T.StringType()), ("_out", T.StringType()))]
@@ -98,7 +99,7 @@ def ordered_fold(df: DataFrame, cols, init, step, schema: str, keys=KEYS, block:
     def ordered(blocks: DataFrame) -> DataFrame:
         return blocks.repartition(*keys, "_blk").sortWithinPartitions(*order)
 
-    states = cut_lineage(ordered(guess).mapInArrow(probe, state_schema))
+    states = cut_lineage(ordered(first).mapInArrow(probe, state_schema))
     by_key = Window.partitionBy(*keys).orderBy("_blk")
     while True:
         linked = states.withColumn("_want", F.lag("_out").over(by_key))
@@ -111,3 +112,19 @@ def ordered_fold(df: DataFrame, cols, init, step, schema: str, keys=KEYS, block:
     begin = states.select(*keys, "_blk", F.when(F.col("_blk") > 0, F.col("_in")).alias("_state"))
     fold = _fold_batches(keys, cols, init, step, out_schema, True, False)
     return ordered(exact.join(begin, [*keys, "_blk"])).mapInArrow(fold, out_schema)
+
+
+def affine_starts(exact: DataFrame, slope, offset, keys=KEYS) -> DataFrame:
+    """Where y = slope * y + offset, row after row from zero, stands at the start of each block: (keys, _blk, y).
+
+    Blocks are composed alone and in parallel; only one pair of numbers a block meets per key.
+    """
+    fields = [exact.schema[k] for k in keys]
+    state = T.StructType(fields + [T.StructField(n, t) for n, t in (("_blk", T.LongType()), ("_in", T.StringType()), ("_out", T.StringType()))])
+    rows = exact.withColumns({"_a": slope, "_b": offset, "_state": F.lit(None).cast("string")})
+    compose = _fold_batches(keys, ("_a", "_b"), [1.0, 0.0], lambda s, v: ([v[0] * s[0], v[0] * s[1] + v[1]], ()), state, False, True)
+    maps = rows.repartition(*keys, "_blk").sortWithinPartitions(*keys, "_blk", "rn").mapInArrow(compose, state)
+    maps = cut_lineage(maps.select(*keys, "_blk", F.from_json("_out", "array<double>").alias("_m")))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    y = F.aggregate(F.collect_list("_m").over(before), F.lit(0.0), lambda y, m: m[0] * y + m[1])
+    return maps.select(*keys, "_blk", y.alias("y"))

@@ -1,8 +1,10 @@
 """Cutting a series into small blocks must not change any result."""
 
+import math
+
 import pytest
 
-from barloom.operators import backtest, books, indicators, signals, structure, zones
+from barloom.operators import holdings, backtest, books, indicators, signals, structure, zones
 from barloom.plans.blocks import running, runs
 from pyspark.sql import functions as F
 
@@ -64,6 +66,25 @@ def test_folds_in_blocks_agree(bars, op):
     assert key(op(bars, None)) == key(op(bars, 150))
 
 
+def test_ledger_of_fifty_blocks_settles_soon(spark, monkeypatch):
+    from barloom.plans import folds
+
+    rounds, plain = [], folds.cut_lineage
+    monkeypatch.setattr(folds, "cut_lineage", lambda df, by=None: (rounds.append(df.columns), plain(df, by))[1])
+    log, held = [], 0.0
+    for k in range(1000):  # sells now and then, all of it every thirty trades, which no block of twenty lines up with
+        sells = k % 30 in (11, 23, 29)
+        size = held if k % 30 == 29 else held / 2 if sells else 1.0 + k % 7
+        held += -size if sells else size
+        log.append((f"{k:04d}", "BTCUSDT", "sell" if sells else "buy", size, 100 + 10 * math.sin(k), 0.1, k))
+    df = spark.createDataFrame(log, "id string, symbol string, side string, quantity double, price double, fee double, s long").withColumn("committed_at", F.timestamp_seconds(F.col("s") * 3600))
+    whole = sorted(tuple(r) for r in holdings.ledger(df).select("rn", "quantity", "average_cost", "realized_pnl").collect())
+    rounds.clear()
+    got = sorted(tuple(r) for r in holdings.ledger(df, block=20).select("rn", "quantity", "average_cost", "realized_pnl").collect())
+    assert got == whole
+    assert sum("_want" not in c and "_state" in c and "_blk" in c and len(c) == 3 for c in rounds) <= 4  # three rounds and the one that finds nothing
+
+
 def test_zone_life_in_blocks(bars):
     found = zones.supply_demand_zones(bars)
     key = lambda df: sorted(str(tuple(r)) for r in df.collect())
