@@ -43,7 +43,7 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 #: Largest list of row keys sent to every task, at some 30 bytes a row; a longer one is joined by shuffle.
-SENT_ROWS = 2_000_000
+SENT_ROWS = 500_000
 
 
 def small_side(df: DataFrame) -> DataFrame:

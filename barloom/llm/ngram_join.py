@@ -8,9 +8,11 @@ or all of them where the low ones do not fill its prefix, so frequencies are cou
 a part of its shingles only. Shingles of one set alone join nothing and are dropped, counted but not carried.
 
 Nodes with the same prefix and size form a group. Candidates are pairs of groups that share a prefix shingle, cut by
-size and by position. As only connected components are asked for, candidates are met in three passes: members
-with the first of their group, groups with the first group of each shingle, and then every pair of groups that is
-not connected yet, expanded to members. Each pass verifies its pairs on whole sets.
+size, by position and by bitmap: a set's parity bitmap differs from another's in no more bits than the sets differ in
+shingles, and the difference of two groups is at least that of their first members less what members differ from
+them. As only connected components are asked for, candidates are met in three passes: members
+with the first of their group, groups with the group of each shingle that has the fewest shingles of its own, and then
+every pair of groups that is not connected yet, expanded to members. Each pass verifies its pairs on whole sets.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from barloom.llm.common import LOWER, UPPER, WORD, components, map_arrow, small_
 from barloom.session import cut_lineage
 
 LOW = 0.2
+LANES = 16
 _FOLD = str.maketrans(UPPER, LOWER)
 _WORDS = re.compile(WORD)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -70,12 +73,18 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
+def bitmap(found: np.ndarray) -> np.ndarray:
+    """Parities of how many of the hashes fall on each of 64 * ``LANES`` bits."""
+    counts = np.bincount((found >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
+
+
 def _listed(words: int, percent: int):
     edge = np.uint64(int(LOW * 2**64))
 
     def run(batches):
         for batch in batches:
-            ids, nodes, sizes, low, high = [], [], [], [], []
+            ids, nodes, sizes, low, high, bits = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = shingle_set(text, words)
                 ids.append(doc)
@@ -85,7 +94,8 @@ def _listed(words: int, percent: int):
                 enough = cut >= prefix_length(len(found), percent)
                 low.append(found[:cut].view(np.int64))
                 high.append(found[:0].view(np.int64) if enough else found[cut:].view(np.int64))
-            yield ids, batch.column("text_key"), nodes, sizes, low, high
+                bits.append(bitmap(found))
+            yield ids, batch.column("text_key"), nodes, sizes, low, high, bits
 
     return run
 
@@ -112,14 +122,15 @@ def component_rows(documents: DataFrame, words: int = 4, percent: int = 85) -> D
     text, to find the row again. Other columns are ignored; an empty table gives an empty result.
     """
     source = documents.select("doc_id", "text").withColumn("text_key", text_key(F.col("text")))
-    listed = "doc_id long, text_key long, node long, n int, low array<long>, high array<long>"
-    rows = cut_lineage(map_arrow(source, _listed(words, percent), listed).select("doc_id", "text_key", "node", "n"))
-    full = map_arrow(source, _listed(words, percent), listed).filter("node is not null")
-    nodes = cut_lineage(full.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("low_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("low").alias("low"), F.first("high").alias("high")))
+    listed = "doc_id long, text_key long, node long, n int, low array<long>, high array<long>, bits array<long>"
+    listed = cut_lineage(map_arrow(source, _listed(words, percent), listed))
+    rows = listed.select("doc_id", "text_key", "node", "n")
+    full = listed.filter("node is not null")
+    nodes = cut_lineage(full.groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("low_id"), F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("bits").alias("bits")))
     tokens = lambda: nodes.select("node", F.explode(F.concat(F.transform("low", lambda x: F.struct(F.lit(0).alias("high"), x.alias("token"))), F.transform("high", lambda x: F.struct(F.lit(1).alias("high"), x.alias("token"))))).alias("s")).select("node", "s.*")
     common = cut_lineage(tokens().groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = tokens().join(common, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("high", "df", "token"))).alias("s"))
-    sized = nodes.select("node", "n", "at", F.size("low").alias("n_low"), F.size("high").alias("n_high"))
+    sized = nodes.select("node", "n", "bits", F.size("low").alias("n_low"), F.size("high").alias("n_high"))
     groups = _groups(sized.join(shared, "node"), percent)
     groups = cut_lineage(groups)
     links = _links(documents, nodes.select("node", "at"), groups, words, percent)
@@ -132,14 +143,15 @@ def component_rows(documents: DataFrame, words: int = 4, percent: int = 85) -> D
 
 
 def _groups(found: DataFrame, percent: int) -> DataFrame:
-    """Nodes with the part of their prefix that other sets share: rows (node, n, gid, prefix of (token, place))."""
+    """Nodes with the part of their prefix that other sets share: rows (node, n, bits, own, gid, prefix of (token, place))."""
     low, high = F.filter("s", lambda x: x["high"] == 0), F.filter("s", lambda x: x["high"] == 1)
     found = found.withColumns({"p": F.expr(f"cast(n - ceil({percent} * n / 100.0) + 1 as int)"), "low": low, "high": high})
     found = found.withColumns({"alone_low": F.col("n_low") - F.size("low"), "before_high": F.col("n_low") + F.col("n_high") - F.size("high")})
     place = lambda side, base: F.transform(side, lambda x, i: F.struct(x["token"].alias("token"), (F.col(base) + i).alias("place")))
     both = F.concat(place("low", "alone_low"), place("high", "before_high"))
     found = found.withColumn("prefix", F.filter(both, lambda x: x["place"] < F.col("p"))).filter(F.size("prefix") > 0)
-    return found.select("node", "n", "prefix", F.when(F.size("prefix") == F.col("p"), F.xxhash64("n", "prefix")).otherwise(F.col("node")).alias("gid"))
+    own = F.col("n_low") + F.col("n_high") - F.size("low") - F.size("high")
+    return found.select("node", "n", "bits", own.alias("own"), "prefix", F.when(F.size("prefix") == F.col("p"), F.xxhash64("n", "prefix")).otherwise(F.col("node")).alias("gid"))
 
 
 def one_of_each(documents: DataFrame, words: int, percent: int) -> DataFrame:
@@ -164,35 +176,46 @@ def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     sets = cut_lineage(map_arrow(texts.join(wanted, same).select("node", "text").dropDuplicates(["node"]), _whole(words), "node long, s array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Of rows (a, b), those that link, with the number of shingles they differ in."""
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         met = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("m"))
-        return cut_lineage(met.filter(f"100 * m >= {percent} * (na + nb - m)").select("a", "b"))
+        met = met.filter(f"100 * m >= {percent} * (na + nb - m)")
+        return cut_lineage(met.select("a", "b", (F.col("na") + F.col("nb") - 2 * F.col("m")).alias("apart")))
 
     # members with the first of their group; those that do not link with it go on alone
-    firsts = groups.groupBy("gid").agg(F.min("node").alias("first"), F.count("*").alias("members")).filter("members > 1")
-    in_group = groups.join(firsts, "gid").filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    links = verified(in_group)
-    kept = links.select(F.col("a").alias("node"), F.col("b").alias("own"))
-    groups = cut_lineage(groups.join(kept, "node", "left").join(firsts.select(F.col("first").alias("node"), F.lit(1).alias("is_first")), "node", "left").withColumn("gid", F.when(F.col("own").isNotNull(), F.col("own")).otherwise(F.col("node"))).drop("own", "is_first"))
-    heads = groups.filter("node = gid").select("gid", "n", F.explode("prefix").alias("x")).select("gid", "n", "x.*")
-
-    # groups with the first group of each shingle
-    pivots = heads.groupBy("token").agg(F.min(F.struct("gid", "n", "place")).alias("to"), F.count("*").alias("groups")).filter("groups > 1")
+    heads_of = groups.groupBy("gid").agg(F.min(F.struct("node", "n", "bits")).alias("first"), F.count("*").alias("members")).filter("members > 1")
+    in_group = groups.join(heads_of, "gid").filter("node <> first.node").filter(_near_bits("bits", "first.bits", "n", "first.n", percent))
+    inside = verified(in_group.select(F.col("node").alias("a"), F.col("first.node").alias("b")))
+    slack = inside.groupBy("b").agg(F.max("apart").alias("slack")).withColumnRenamed("b", "node")
+    kept = inside.select(F.col("a").alias("node"), F.col("b").alias("head"))
+    groups = groups.join(kept, "node", "left").withColumn("gid", F.coalesce("head", "node")).drop("head")
+    groups = cut_lineage(groups.join(slack, "node", "left").withColumn("slack", F.coalesce("slack", F.lit(0))))
+    links = inside.select("a", "b")
+    heads = groups.filter("node = gid").select("gid", "n", "bits", "own", "slack", F.explode("prefix").alias("x")).select("gid", "n", "bits", "own", "slack", "x.*")
+
+    # groups with the most central group of each shingle
+    pivots = heads.groupBy("token").agg(F.min(F.struct("own", "gid", "n", "place", "bits", "slack")).alias("to"), F.count("*").alias("groups")).filter("groups > 1")
     near = heads.join(cut_lineage(pivots), "token").filter("gid <> to.gid").filter(_may_link("n", "to.n", "place", "to.place", percent))
-    links = cut_lineage(links.union(verified(near.select(F.col("gid").alias("a"), F.col("to.gid").alias("b")).distinct())))
+    near = near.filter(_near_bits("bits", "to.bits", "n", "to.n", percent))
+    links = cut_lineage(links.union(verified(near.select(F.col("gid").alias("a"), F.col("to.gid").alias("b")).distinct()).select("a", "b")))
 
     # every pair of groups not connected yet
     roots = components(links)
-    placed = heads.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
-    placed = cut_lineage(placed)
+    placed = cut_lineage(heads.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid")))
     open_ = cut_lineage(placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token"))
     left = cut_lineage(placed.join(open_, "token"))
-    right = left.select("token", *(F.col(c).alias(f"{c}2") for c in ("gid", "n", "place", "root")))
-    rest = left.join(right, "token").filter("gid < gid2 and root <> root2").filter(_may_link("n", "n2", "place", "place2", percent))
-    rest = cut_lineage(rest.select("gid", "gid2").distinct())
-    member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b))
-    pairs = rest.join(member("gid", "a"), "gid").join(member("gid2", "b"), "gid2").select("a", "b")
-    return links.union(verified(pairs))
+    right = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("gid", "n", "bits", "slack", "place", "root")))
+    met = f"gid < gid2 and root <> root2 and {_may_link('n', 'n2', 'place', 'place2', percent)} and {_near_bits('bits', 'bits2', 'n', 'n2', percent, 'slack + slack2')}"
+    rest = cut_lineage(left.join(right, "token").filter(met).select("gid", "gid2").distinct())
+    member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b), F.col("n").alias(f"n{b}"), F.col("bits").alias(f"bits{b}"))
+    pairs = rest.join(member("gid", "a"), "gid").join(member("gid2", "b"), "gid2").filter(_near_bits("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
+    return links.union(verified(pairs).select("a", "b"))
+
+
+def _near_bits(one: str, other: str, n1: str, n2: str, percent: int, slack: str = "0") -> str:
+    """The bitmaps differ in no more places than sets that link can, plus ``slack``."""
+    apart = " + ".join(f"bit_count({one}[{k}] ^ {other}[{k}])" for k in range(LANES))
+    return f"({apart} - ({slack})) * {100 + percent} <= ({n1} + {n2}) * {100 - percent}"
 
 
 def _may_link(n1: str, n2: str, p1: str, p2: str, percent: int) -> str:
