@@ -18,7 +18,7 @@ from barloom.llm.supervised import FOLDS, labelled_sample
 
 BITS = 18
 SIZES = (3, 4, 5)
-PER_CLASS = 1500
+PER_CLASS = 1000
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -75,16 +75,20 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     if len(set(y)) < 2:
         return Model(np.zeros(size), -30.0)
     docs = [np.frombuffer(r["ids"], "<u4") for r in rows]
-    lengths, ids = np.array([len(d) for d in docs]), np.concatenate(docs)
-    held = np.repeat(y, lengths)
-    pos, neg = np.bincount(ids, held, size), np.bincount(ids, 1 - held, size)
+    del rows
+    pos, neg = np.zeros(size), np.zeros(size)
+    for ids, label_of in zip(docs, y):  # features of a document are distinct
+        (pos if label_of else neg)[ids] += 1
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
     ratio[pos + neg < 3] = 0
     keep = np.flatnonzero(np.abs(ratio) > np.log(2))  # the rest tells little and only adds noise to long texts
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    doc = np.repeat(np.arange(len(docs)), lengths)[place[ids] >= 0]
-    at = place[ids[place[ids] >= 0]]
+    parts = [place[ids] for ids in docs]
+    parts = [x[x >= 0] for x in parts]
+    doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in parts])
+    at = np.concatenate(parts)
+    del docs, parts
     scaled = ratio[keep]
     w, b, vw, vb = np.zeros(len(keep)), 0.0, np.zeros(len(keep)), 0.0
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
