@@ -17,45 +17,60 @@ from barloom.streaming import jobs as J
 c = F.col
 
 
-def ticks_stream(spark, d):
-    """The event table as a file stream."""
-    schema = table(spark, d, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return raw.select(c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"), c("value").alias("quantity"),
-                      c("event_id").alias("seq"), "user_id")
+PARTS, LATE = 6, "12 days"  # a part holds five days of the event table, and rows come up to two parts late
+
 
+def stored_stream(spark, df, at="time", key="symbol"):
+    """A table as a file stream in six parts of time, one row in seven a part late, and two later signs of life.
 
-def stored_stream(spark, df):
-    """A written table as a file stream."""
+    The signs of life carry the key ``~`` and only move the watermark past all rows.
+    """
     path = f"{shared_folder(spark)}/stream-in-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    micros = F.unix_micros(c(at))
+    lo, hi = df.agg(F.min(micros), F.max(micros)).first()
+    span = hi - lo + 1
+    part = F.floor((micros - lo) * PARTS / span) + F.when(F.pmod(F.xxhash64(*df.columns), F.lit(7)) == 0, 1).otherwise(0)
+    placed = df.withColumn("_part", part)
+    for k in range(PARTS + 1):
+        placed.filter(c("_part") == k).drop("_part").repartition(2).write.mode("append").parquet(path)
+    for k in (2, 3):
+        df.limit(1).withColumns({at: F.timestamp_micros(F.lit(lo + k * span)), key: F.lit("~")}).select(df.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def ticks_stream(spark, d):
+    """The event table as a file stream."""
+    ticks = table(spark, d, "events").select(c("event_type").alias("symbol"), c("ts").cast("timestamp").alias("ts"), c("value").alias("price"), c("value").alias("quantity"),
+                                             c("event_id").alias("seq"), "user_id")
+    return stored_stream(spark, ticks, "ts")
 
 
-def drain(spark, stream, mode="append"):
-    """Run until the input is used up; batches go to files and come back with their number."""
+def drain(spark, stream, mode="append", key="symbol"):
+    """Run until the input is used up; a batch writes its own folder, so that a retried one replaces itself."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch, number):
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/_n={number}")
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     run.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{base}/out")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    kept = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{base}/out").withColumn("_batch", F.regexp_extract(F.input_file_name(), r"_n=(\d+)/", 1).cast("int"))
+    return kept.filter(c(key) != "~")
 
 
 @query("stream_bars", over(f"SELECT symbol, time, {OHLCV_SQL} FROM b", "hourly"))
 def _(spark, d):
-    out = drain(spark, J.stream_bars(ticks_stream(spark, d), "1h", "1 hour"), "update")
+    out = drain(spark, J.stream_bars(ticks_stream(spark, d), "1h", "1 hour", LATE), "update")
     newest = out.groupBy("symbol", "time").agg(F.max_by(F.struct(*OHLCV), "_batch").alias("v")).select("symbol", "time", "v.*")
     return tidy(newest, "symbol", "time", *OHLCV)
 
 
-# The watermark stops one hour before the newest event, so the bars it has not passed stay open.
-@query("stream_closed_only", over(f"SELECT symbol, time, {OHLCV_SQL} FROM b WHERE time + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 HOUR", "hourly"))
+# Each bar is sent once, when the watermark has passed its end.
+@query("stream_closed_only", over(f"SELECT symbol, time, {OHLCV_SQL} FROM b", "hourly"))
 def _(spark, d):
-    out = drain(spark, J.stream_bars(ticks_stream(spark, d), "1h", "1 hour"), "append")
+    out = drain(spark, J.stream_bars(ticks_stream(spark, d), "1h", "1 hour", LATE), "append")
     return tidy(out, "symbol", "time", *OHLCV)
 
 
@@ -63,7 +78,7 @@ def _(spark, d):
 def _(spark, d):
     b = bars(spark, d, "hourly").select("symbol", "timeframe", "time", "rn", "close")
     both = b.withColumn("seq", F.lit(1)).unionByName(b.filter(c("rn") % 3 == 0).withColumns({"close": c("close") * 2, "seq": F.lit(2)}))
-    out = drain(spark, J.stream_upsert_bars(stored_stream(spark, both.coalesce(1)), "60 days"), "update")
+    out = drain(spark, J.stream_upsert_bars(stored_stream(spark, both), LATE), "update")
     newest = out.groupBy("symbol", "time").agg(F.max_by("close", F.struct("_batch", "seq")).alias("close"))
     return tidy(newest, "symbol", "time", "close")
 
@@ -72,7 +87,7 @@ def _(spark, d):
 def _(spark, d):
     b = bars(spark, d, "hourly").filter(c("high") > 2 * c("close"))
     a = b.select("symbol", "time", F.concat(F.date_format("time", "yyyy-MM-dd HH:mm:ss"), F.lit("|big")).alias("alert_id"))
-    out = drain(spark, J.stream_alerts(stored_stream(spark, a.unionByName(a))))
+    out = drain(spark, J.stream_alerts(stored_stream(spark, a.unionByName(a)), LATE))
     return tidy(out, "symbol", "time", "alert_id")
 
 
@@ -91,7 +106,7 @@ def closed_bars(spark, d):
 SELECT b.symbol, b.time, {q('CASE WHEN down THEN upper ELSE lower END')} AS st_value, CASE WHEN down IS NULL THEN NULL WHEN down THEN 'bearish' ELSE 'bullish' END AS st_direction
 FROM b LEFT JOIN st USING (symbol, rn) WHERE b.rn < b.n""", "hourly", True))
 def _(spark, d):
-    out = drain(spark, J.stream_fold(closed_bars(spark, d), J.SuperTrendProcessor()))
+    out = drain(spark, J.stream_fold(closed_bars(spark, d), J.SuperTrendProcessor(), LATE))
     return tidy(out, "symbol", "time", "st_value", "st_direction")
 
 
@@ -103,10 +118,19 @@ ZIGZAG = f"""z AS (SELECT DISTINCT symbol, lv, level, 0::BIGINT AS rn, true AS u
 
 @query("stream_zigzag", over(f", {ZIGZAG} SELECT z.symbol, b.time, level, NOT up AS is_top, {q('mark')} AS price FROM z JOIN b USING (symbol, rn) WHERE turn", "hourly", True))
 def _(spark, d):
-    return tidy(drain(spark, J.stream_fold(closed_bars(spark, d), J.ZigzagProcessor())), "symbol", "time", "level", "is_top", "price")
+    return tidy(drain(spark, J.stream_fold(closed_bars(spark, d), J.ZigzagProcessor(), LATE)), "symbol", "time", "level", "is_top", "price")
 
 
 @query("stream_signals", over(f", {SIG} SELECT symbol, rn, time, side, kind, {q('entry')} AS entry, status, closed_rn FROM ez WHERE closed_rn IS NOT NULL", "hourly", True))
 def _(spark, d):
-    out = drain(spark, J.stream_fold(closed_bars(spark, d), J.SignalProcessor()))
+    out = drain(spark, J.stream_fold(closed_bars(spark, d), J.SignalProcessor(), LATE))
     return tidy(out, "symbol", "rn", "time", "side", "kind", "entry", "status", "closed_rn")
+
+
+@query("stream_walls_ttl", f"""WITH u AS (SELECT user_id::VARCHAR AS id, ts, value * 1000 AS usd, ts - lag(ts) OVER k > INTERVAL 6 HOUR AS apart FROM events WINDOW k AS (PARTITION BY user_id ORDER BY ts)),
+l AS (SELECT *, sum(coalesce(apart, true)::INT) OVER (PARTITION BY id ORDER BY ts) AS life FROM u)
+SELECT id, min(ts) AS since, max(ts) AS last_seen, max(ts) + INTERVAL 6 HOUR AS gone_at, count(*) AS updates, {q('max(usd)')} AS most_usd FROM l GROUP BY id, life""")
+def _(spark, d):
+    updates = table(spark, d, "events").select(c("user_id").cast("string").alias("id"), c("ts").cast("timestamp").alias("ts"), (c("value") * 1000).alias("usd"))
+    out = drain(spark, J.stream_walls_ttl(stored_stream(spark, updates, "ts", "id"), "6 hours", LATE), key="id")
+    return tidy(out, "id", "since", "last_seen", "gone_at", "updates", "most_usd")

@@ -63,33 +63,47 @@ def stream_funding_monitor(rates: DataFrame, threshold_pct: float = 0.03) -> Dat
 class FoldProcessor(StatefulProcessor):
     """Runs ``step(state, bar dict) -> (state, rows)`` over each symbol's closed bars in time order.
 
-    The state is one JSON value per key, as in the batch fold. Bars not newer than the last one seen
-    are repeats or late versions and are ignored.
+    Bars wait until the watermark has passed them, so files may come late and out of order by as much as the
+    watermark allows; of several versions of a bar the last one read counts. A timer releases the bars of a key that
+    gets no more rows. The state is one JSON value per key: the fold's, and the waiting bars.
     """
 
     columns: tuple = ()
-    start: dict = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("fold", "data string")
 
     def step(self, state: dict, bar: dict):
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _load(self) -> dict:
         held = self.state.get()
-        box = json.loads(held[0]) if held is not None else {"last": None, "s": dict(self.start)}
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("time", kind="stable")
+        return json.loads(held[0]) if held is not None else {"s": {}, "wait": {}}
+
+    def _release(self, key, box: dict, watermark_ms: int) -> pd.DataFrame:
         out = []
-        for bar in batch.to_dict("records"):
-            stamp = bar["time"].isoformat()
-            if box["last"] is not None and stamp <= box["last"]:
-                continue
-            box["s"], rows_out = self.step(box["s"], bar)
-            box["last"] = stamp
-            out += [(*key, *r) for r in rows_out]
+        for stamp in sorted(box["wait"]):
+            time = pd.Timestamp(stamp)
+            if time.value // 1_000_000 > watermark_ms:
+                break
+            box["s"], rows = self.step(box["s"], {**box["wait"].pop(stamp), "time": time})
+            out += [(*key, *r) for r in rows]
+        if box["wait"]:
+            self.handle.registerTimer(pd.Timestamp(max(box["wait"])).value // 1_000_000)
         self.state.update((json.dumps(box),))
-        yield pd.DataFrame(out, columns=list(self.columns))
+        return pd.DataFrame(out, columns=list(self.columns))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        box = self._load()
+        for part in rows:
+            stamps = [t.isoformat() for t in part.pop("time")]
+            for stamp, bar in zip(stamps, part.to_dict("records")):
+                box["wait"][stamp] = {k: v for k, v in bar.items() if k not in ("symbol", "timeframe")}
+        yield self._release(key, box, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._release(key, self._load(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
@@ -166,9 +180,9 @@ class SignalProcessor(FoldProcessor):
 
     def __init__(self, period: int = 60, factor: float = 4.0):
         self.period, self.factor = period, factor
+        self.machine = signal_step(factor, "signals", last_closed=True)
 
     def step(self, s, bar):
-        machine = signal_step(self.factor, "signals", last_closed=True)
         s.setdefault("m", json.loads(json.dumps(FRESH_SIGNALS)))
         s["rn"] = s.get("rn", 0) + 1
         before, tr = s.get("close"), true_range(s, bar)
@@ -191,14 +205,28 @@ class SignalProcessor(FoldProcessor):
                 total = plus + minus
                 adx = running_average(s, "dx", abs(plus - minus) / total * 100 if total else 0.0, 14)
         values = (s["rn"], s["rn"] + 1, bar["time"].to_pydatetime(), bar["high"], bar["low"], bar["close"], before, atr60, atr14, wma, rsi, adx)
-        s["m"], out = machine(s["m"], values)
+        s["m"], out = self.machine(s["m"], values)
         s |= {"close": bar["close"], "high": bar["high"], "low": bar["low"]}
         return s, out
 
 
-def stream_fold(bars: DataFrame, processor: FoldProcessor) -> DataFrame:
-    """Stateful fold of closed bars (symbol, timeframe, time, open, high, low, close, volume)."""
-    bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return bars.groupBy("symbol", "timeframe").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="None"
+def stream_fold(bars: DataFrame, processor: FoldProcessor, late: str = "1 hour") -> DataFrame:
+    """Stateful fold of closed bars (symbol, timeframe, time, open, high, low, close, volume).
+
+    Bars up to ``late`` behind the newest one are put in order. Needs the RocksDB state store (``ROCKSDB``).
+    """
+    return bars.withWatermark("time", late).groupBy("symbol", "timeframe").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def stream_walls_ttl(updates: DataFrame, ttl: str, late: str = "1 hour") -> DataFrame:
+    """Resting orders that live until nothing was heard of them for ``ttl``: updates (id, ts, usd).
+
+    One row per life of an order, sent when the watermark has passed its end: first and last word, the time it is
+    gone, how often it was heard of and its largest size. An order that comes back later has a new life.
+    """
+    life = F.session_window("ts", ttl)
+    return updates.withWatermark("ts", late).groupBy(life, "id").agg(F.count(F.lit(1)).alias("updates"), F.max("usd").alias("most_usd"), F.max("ts").alias("last_seen")).select(
+        "id", c("session_window.start").alias("since"), "last_seen", c("session_window.end").alias("gone_at"), "updates", "most_usd"
     )
