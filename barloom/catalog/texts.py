@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.catalog.base import bars, over, q, query, r, tidy
 from barloom.catalog.bars import OHLCV, OHLCV_SQL
+from barloom.operators.sinks import write_candle_csv
 from barloom.session import shared_folder
 from barloom.sources import text as X
 from barloom.sources.bars import table
@@ -15,20 +16,23 @@ from barloom.sources.bars import table
 c = F.col
 
 
-@query("src_csv_candles", over(f"SELECT symbol, timeframe, time, {OHLCV_SQL} FROM b", "hourly"))
-def _(spark, d):
+def candle_files(spark, b, **how):
+    """The candles as CSV files in the shared folder."""
     root = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    b = bars(spark, d, "hourly").select("symbol", "timeframe", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), *OHLCV)
-    from barloom.operators.sinks import write_candle_csv
+    write_candle_csv(b.select("symbol", "timeframe", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"), *OHLCV), root, **how)
+    return root
+
 
-    write_candle_csv(b, root)
-    return tidy(X.read_candle_csv(spark, root), "symbol", "timeframe", "time", *OHLCV)
+@query("src_csv_candles", over(f"SELECT symbol, timeframe, time, {OHLCV_SQL} FROM b", "hourly"))
+def _(spark, d):
+    root = candle_files(spark, bars(spark, d, "hourly"), files_per_key=3)
+    return tidy(X.read_candle_csv(spark, root, partitioned=True), "symbol", "timeframe", "time", *OHLCV)
 
 
 @query("src_list_symbols", over("SELECT symbol, list_sort(list(DISTINCT tf))::VARCHAR AS timeframes FROM (SELECT symbol, '1h' AS tf FROM b UNION ALL SELECT symbol, '15m' FROM b) GROUP BY symbol", "hourly"))
 def _(spark, d):
     both = bars(spark, d, "hourly").unionByName(bars(spark, d, "quarter"))
-    return X.list_symbols(both).select("symbol", F.concat(F.lit("["), F.array_join("timeframes", ", "), F.lit("]")).alias("timeframes"))
+    return X.list_symbols(spark, candle_files(spark, both), partitioned=True).select("symbol", F.concat(F.lit("["), F.array_join("timeframes", ", "), F.lit("]")).alias("timeframes"))
 
 
 def kline_text(spark, d, mixed=True):

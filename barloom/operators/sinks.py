@@ -12,25 +12,13 @@ from barloom.plans.blocks import KEYS
 PAYLOAD_BARS = 200
 
 
-def write_candle_csv(bars: DataFrame, root: str) -> None:
-    """``<root>/<symbol>/<timeframe>.csv`` with the fixed header.
+def write_candle_csv(bars: DataFrame, root: str, files_per_key: int = 1) -> None:
+    """``<root>/symbol=<symbol>/timeframe=<timeframe>/*.csv`` with the fixed header, committed by Spark's writer.
 
-    Spark writes part files per (symbol, timeframe) folder; they are moved to the file names the
-    reader expects through the cluster's own file system.
+    A key goes to up to ``files_per_key`` files, so that a long one is not written by one task.
     """
-    spark = bars.sparkSession
-    staged = f"{root}-staged"
-    order = ("time", "open", "high", "low", "close", "volume")
-    bars.repartition(*KEYS).sortWithinPartitions(*KEYS, "time").write.partitionBy(*KEYS).option("header", True).csv(staged)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(staged).getFileSystem(conf)
-    for part in fs.globStatus(path(f"{staged}/symbol=*/timeframe=*/part-*.csv")):
-        folder = part.getPath().getParent()
-        symbol, timeframe = folder.getParent().getName().split("=", 1)[1], folder.getName().split("=", 1)[1]
-        fs.mkdirs(path(f"{root}/{symbol}"))
-        fs.rename(part.getPath(), path(f"{root}/{symbol}/{timeframe}.csv"))
-    fs.delete(path(staged), True)
+    spread = F.pmod(F.hash("time"), F.lit(files_per_key))
+    bars.repartition(*KEYS, spread).sortWithinPartitions(*KEYS, "time").write.partitionBy(*KEYS).option("header", True).csv(root)
 
 
 def round_series(x, digits: int) -> Column:

@@ -14,28 +14,42 @@ CSV_SCHEMA = "time string, open double, high double, low double, close double, v
 OHLC = ("open", "high", "low", "close")
 
 
-def read_candle_csv(spark: SparkSession, root: str) -> DataFrame:
-    """``<root>/<symbol>/<timeframe>.csv``; a wrong header, column count, time or number fails the job.
+def _key_of_path(path, partitioned: bool):
+    """Symbol and timeframe of a file's path."""
+    parts = F.split(path, "/")
+    if partitioned:
+        return F.url_decode(F.regexp_extract(path, "/symbol=([^/]*)/", 1)), F.regexp_extract(path, "/timeframe=([^/]*)/", 1)
+    return F.url_decode(F.element_at(parts, -2)), F.regexp_extract(F.element_at(parts, -1), r"^(.*)\.csv$", 1)
 
-    Files whose name is not a timeframe are ignored.
-    """
+
+def _candle_files(root: str, partitioned: bool) -> str:
     names = "{" + ",".join(TIMEFRAME_SECONDS) + "}"
+    return f"{root}/symbol=*/timeframe={names}/*.csv" if partitioned else f"{root}/*/{names}.csv"
+
+
+def read_candle_csv(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
+    """``<root>/<symbol>/<timeframe>.csv``, or the folders of ``write_candle_csv`` with ``partitioned``.
+
+    A wrong header, column count, time or number fails the job; files of other timeframes are ignored.
+    """
+    symbol, timeframe = _key_of_path(c("_metadata.file_path"), partitioned)
     raw = (
         spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
-        .schema(CSV_SCHEMA).csv(f"{root}/*/{names}.csv")
+        .schema(CSV_SCHEMA).csv(_candle_files(root, partitioned))
     )
-    path = F.split(c("_metadata.file_path"), "/")
     df = raw.select(
-        F.url_decode(F.element_at(path, -2)).alias("symbol"),
-        F.regexp_extract(F.element_at(path, -1), r"^(.*)\.csv$", 1).alias("timeframe"),
+        symbol.alias("symbol"), timeframe.alias("timeframe"),
         F.to_timestamp("time").alias("time"), "open", "high", "low", "close", "volume",
     )
     cells = F.coalesce(*[F.when(c(x).isNull(), x) for x in ("time", *OHLC, "volume")])
     return df.withColumn("time", F.when(cells.isNull(), c("time")).otherwise(F.raise_error(F.concat(F.lit("bad cell in column "), cells))))
 
 
-def list_symbols(bars: DataFrame) -> DataFrame:
-    return bars.filter(c("timeframe").isin(*TIMEFRAME_SECONDS)).groupBy("symbol").agg(F.sort_array(F.collect_set("timeframe")).alias("timeframes"))
+def list_symbols(spark: SparkSession, root: str, partitioned: bool = False) -> DataFrame:
+    """Symbols and their timeframes from the names of the files under ``root``; no file is read."""
+    files = spark.read.format("binaryFile").load(_candle_files(root, partitioned))
+    symbol, timeframe = _key_of_path(c("path"), partitioned)
+    return files.select(symbol.alias("symbol"), timeframe.alias("timeframe")).groupBy("symbol").agg(F.sort_array(F.collect_set("timeframe")).alias("timeframes"))
 
 
 # Position of each field in a venue's row, its time unit and order.
