@@ -241,8 +241,17 @@ def swing_step(fine=FINE, big=BIG):
     return step
 
 
-def rev_point(bars, chart_sec: int, oi=None, block=None) -> DataFrame:
-    """Fine (0.7 %) and big (2 %) reversal points, exhaustion bursts and the open candidate."""
+def without_forming(bars: DataFrame, last_closed: bool) -> DataFrame:
+    """All bars, or those before the last one where that is still forming."""
+    return bars if last_closed else bars.filter(c("rn") < c("n")).withColumn("n", c("n") - 1)
+
+
+def rev_point(bars, chart_sec: int, oi=None, block=None, last_closed=True) -> DataFrame:
+    """Fine (0.7 %) and big (2 %) reversal points, exhaustion bursts and the open candidate.
+
+    With ``last_closed`` false the last bar is still forming and is left out.
+    """
+    bars = without_forming(bars, last_closed)
     df = reversal_inputs(bars, chart_sec, oi)
     return ordered_fold(df, SWING_INPUTS, SWING_START, swing_step(), SWING_SCHEMA, block=block, warmup=1000)
 
@@ -505,14 +514,18 @@ def zone_step(cap=CAP, sessions=SESSIONS):
     return step
 
 
-def mtf_sr(bars, source_sec: int, slots=SLOTS, block=None) -> DataFrame:
-    """Nearest levels per bar (kind bar) and the zones standing at the end (kind zone)."""
+def mtf_sr(bars, source_sec: int, slots=SLOTS, block=None, last_closed=True, cap=CAP, sessions=SESSIONS) -> DataFrame:
+    """Nearest levels per bar (kind bar) and the zones standing at the end (kind zone).
+
+    With ``last_closed`` false the last bar is still forming and is left out.
+    """
+    bars = without_forming(bars, last_closed)
     events = mtf_pivots(bars, source_sec, slots)
     e = F.struct("slot", "coarse_rn", F.when(c("res"), 0).otherwise(1).alias("o"), "res", "level", "wick", "prominence", "label", "weight")
     # A bar confirms at most two pivots per slot.
     at_bar = events.groupBy(*KEYS, "time").agg(F.sort_array(F.collect_list(e)).alias("events"))
     df = atr_progressive(bars, 14, "atr").join(at_bar, [*KEYS, "time"], "left").withColumn("day", F.floor(F.unix_seconds("time") / 86400))
-    return ordered_fold(df, ("rn", "n", "time", "day", "close", "atr", "events"), ZONE_START, zone_step(), ZONE_SCHEMA, block=block, warmup=1000)
+    return ordered_fold(df, ("rn", "n", "time", "day", "close", "atr", "events"), ZONE_START, zone_step(cap, sessions), ZONE_SCHEMA, block=block, warmup=1000)
 
 
 def zone_dashboard(zones: DataFrame, bars: DataFrame, slots=SLOTS) -> DataFrame:
