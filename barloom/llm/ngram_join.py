@@ -191,7 +191,7 @@ def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     groups = groups.join(kept, "node", "left").withColumn("gid", F.coalesce("head", "node")).drop("head")
     groups = cut_lineage(groups.join(slack, "node", "left").withColumn("slack", F.coalesce("slack", F.lit(0))))
     links = inside.select("a", "b")
-    heads = groups.filter("node = gid").select("gid", "n", "bits", "own", "slack", F.explode("prefix").alias("x")).select("gid", "n", "bits", "own", "slack", "x.*")
+    heads = groups.filter("node = gid").select("gid", "n", "bits", "own", "slack", (F.size("prefix") - 1).alias("end"), F.posexplode("prefix").alias("pos", "x")).select("gid", "n", "bits", "own", "slack", (F.col("pos") == F.col("end")).alias("tail"), "x.*")
 
     # groups with the most central group of each shingle
     pivots = heads.groupBy("token").agg(F.min(F.struct("own", "gid", "n", "place", "bits", "slack")).alias("to"), F.count("*").alias("groups")).filter("groups > 1")
@@ -199,17 +199,23 @@ def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     near = near.filter(_near_bits("bits", "to.bits", "n", "to.n", percent))
     links = cut_lineage(links.union(verified(near.select(F.col("gid").alias("a"), F.col("to.gid").alias("b")).distinct()).select("a", "b")))
 
-    # every pair of groups not connected yet
-    roots = components(links)
-    placed = cut_lineage(heads.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid")))
-    open_ = cut_lineage(placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token"))
-    left = cut_lineage(placed.join(open_, "token"))
-    right = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("gid", "n", "bits", "slack", "place", "root")))
-    met = f"gid < gid2 and root <> root2 and {_may_link('n', 'n2', 'place', 'place2', percent)} and {_near_bits('bits', 'bits2', 'n', 'n2', percent, 'slack + slack2')}"
-    rest = cut_lineage(left.join(right, "token").filter(met).select("gid", "gid2").distinct())
-    member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b), F.col("n").alias(f"n{b}"), F.col("bits").alias(f"bits{b}"))
-    pairs = rest.join(member("gid", "a"), "gid").join(member("gid2", "b"), "gid2").filter(_near_bits("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
-    return links.union(verified(pairs).select("a", "b"))
+    # pairs of groups not connected yet: first those that share the commonest prefix shingle of either, which meets
+    # most pairs of a large group once or twice, then all that are left
+    for tails in (True, False):
+        roots = components(links)
+        placed = cut_lineage(heads.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid")))
+        ends = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or("tail").alias("tail"))
+        open_ = cut_lineage(ends.filter("x <> y and tail" if tails else "x <> y").select("token"))
+        left = cut_lineage(placed.join(open_, "token"))
+        right = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("gid", "n", "bits", "slack", "place", "root", "tail")))
+        # the place of a shingle bounds a pair only where it is the first common one
+        where = f"(tail or tail2) and {_may_link('n', 'n2', '0', '0', percent)}" if tails else _may_link("n", "n2", "place", "place2", percent)
+        met = f"gid < gid2 and root <> root2 and {where} and {_near_bits('bits', 'bits2', 'n', 'n2', percent, 'slack + slack2')}"
+        rest = cut_lineage(left.join(right, "token").filter(met).select("gid", "gid2").distinct())
+        member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b), F.col("n").alias(f"n{b}"), F.col("bits").alias(f"bits{b}"))
+        pairs = rest.join(member("gid", "a"), "gid").join(member("gid2", "b"), "gid2").filter(_near_bits("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
+        links = links.union(verified(pairs).select("a", "b"))
+    return links
 
 
 def _near_bits(one: str, other: str, n1: str, n2: str, percent: int, slack: str = "0") -> str:
