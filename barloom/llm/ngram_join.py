@@ -167,6 +167,26 @@ def one_of_each(documents: DataFrame, words: int, percent: int) -> DataFrame:
     return documents.join(gone, at(gone), "left_anti").union(once)
 
 
+def _forest(batches):
+    """Of a task's links, those that join two trees: they connect the same nodes."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        kept = []
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            u, v = find(a), find(b)
+            if u != v:
+                root[u] = v
+                kept.append((a, b))
+        yield [a for a, _ in kept], [b for _, b in kept]
+
+
 def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect all nodes that are connected."""
     wanted = groups.select("node").join(nodes, "node").select("node", "at.*")
@@ -214,7 +234,7 @@ def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
         rest = cut_lineage(left.join(right, "token").filter(met).select("gid", "gid2").distinct())
         member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b), F.col("n").alias(f"n{b}"), F.col("bits").alias(f"bits{b}"))
         pairs = rest.join(member("gid", "a"), "gid").join(member("gid2", "b"), "gid2").filter(_near_bits("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
-        links = links.union(verified(pairs).select("a", "b"))
+        links = links.union(cut_lineage(map_arrow(verified(pairs).select("a", "b"), _forest, "a long, b long")))
     return links
 
 
