@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits, lower-cased. Of every ``WINDOW`` successive n-grams of a test item the one found in the
-fewest documents is a seed, so an unedited run of ``GRAM + WINDOW - 1`` words always holds one; document frequencies are
-counted over all documents. A seed joins the passage of a document around it to the item, and a local alignment of
-words (``MATCH``, ``MISS``, ``GAP``) scores the passage by the share of the score of a full copy.
+Words are runs of letters and digits, lower-cased. A local alignment of words (``MATCH``, ``MISS``, ``GAP``) scores a
+passage of a document by the share of the score of a full copy. Seeds only spare alignments that cannot reach the
+limit. An alignment with m matched words and e errors scores 2m - e and has at most e + 1 runs of matched words, so one
+that reaches the share ``least`` of an item of n words matches at least (2 least - 1) n - 1 pairs of successive words of
+the item; where that says nothing (short items) it matches at least least * n words. These are the item's grams. The
+commonest ones, as many as half of the number needed, are left out; the rest are seeds, and a passage is aligned when it
+holds the other half of the number within the longest stretch that such an alignment can span. So nothing is lost
+against aligning every item with every document. Rarity is the number of documents, counted over all of them.
 
 Items are taken in blocks of ``ITEMS``, which bounds what is sent to the tasks; all documents are read for each block.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -19,7 +24,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import map_arrow, small_side
 from barloom.session import cut_lineage
 
-GRAM, WINDOW = 3, 4
+GRAM = 3
 MATCH, MISS, GAP = 2, -1, -1
 LEAST = 0.6
 ITEMS = 20_000
@@ -32,27 +37,30 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Items:
-    """A block of test items as word codes, and their n-grams as sorted keys."""
+    """A block of test items as word codes, and their grams (pairs of words, or words) as sorted keys."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, least: float = LEAST):
         self.codes, self.items, self.ids = {}, [], []
         for item_id, text in rows:
             found = words_of(text)
             if len(found) >= GRAM:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in found], np.int64))
-        keys = [self.keys(x) for x in self.items]
-        self.grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        sizes = [len(x) for x in self.items]
+        # what an alignment of the least score needs: matched pairs of words, or else matched words
+        pairs = [math.ceil((2 * least - 1) * n - 1 - 1e-9) for n in sizes]
+        self.paired = [b > 0 for b in pairs]
+        self.need = [b if b > 0 else max(1, math.ceil(least * n - 1e-9)) for b, n in zip(pairs, sizes)]
+        #: most errors of such an alignment
+        self.errors = [math.floor(2 * n * (1 - least) + 1e-9) for n in sizes]
+        keys = [self.pair_keys(x) if two else x for x, two in zip(self.items, self.paired)]
+        self.grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         self.of_item = [np.searchsorted(self.grams, k) for k in keys]
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
 
     @staticmethod
-    def keys(codes: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(codes) - GRAM + 1, np.uint64)
-        for k in range(GRAM):
-            h = (h + codes[k : k + len(h)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return h
+    def pair_keys(codes: np.ndarray) -> np.ndarray:
+        """Above all codes, and apart for different pairs."""
+        return (codes[:-1] << 31) + codes[1:]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Item codes of a text's words, 0 for words of no item."""
@@ -61,32 +69,46 @@ class Items:
         return np.fromiter((get(w, 0) for w in found), np.int64, len(found))
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and numbers of the item n-grams among the codes."""
-        if len(codes) < GRAM or not len(self.grams):
+        """Places and numbers of the item grams among the codes."""
+        known = np.flatnonzero(codes)
+        if not len(known) or not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        known = codes > 0
-        at = np.flatnonzero(np.logical_and.reduce([known[k : len(codes) - GRAM + 1 + k] for k in range(GRAM)]))
-        if not len(at):
-            return at, at
-        h = np.zeros(len(at), np.uint64)
-        for k in range(GRAM):
-            h = (h + codes[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        gram = np.minimum(np.searchsorted(self.grams, h), len(self.grams) - 1)
-        good = self.grams[gram] == h
+        two = known[:-1][np.diff(known) == 1]
+        at, keys = two, (codes[two] << 31) + codes[two + 1]
+        if not all(self.paired):
+            at, keys = np.concatenate([at, known]), np.concatenate([keys, codes[known]])
+        gram = np.minimum(np.searchsorted(self.grams, keys), len(self.grams) - 1)
+        good = self.grams[gram] == keys
         return at[good], gram[good]
 
     def choose(self, counts: np.ndarray) -> None:
-        """Keep the rarest n-gram of each window of each item as a seed."""
+        """Seeds of each item: all its grams but the commonest; ``seen`` is how many a passage must hold."""
+        gram, item, place = [], [], []
+        self.seen = np.array([n - n // 2 for n in self.need], np.int64)
         for k, grams in enumerate(self.of_item):
-            chosen = set()
-            for start in range(max(1, len(grams) - WINDOW + 1)):
-                window = range(start, min(start + WINDOW, len(grams)))
-                chosen.add(min(window, key=lambda p: (counts[grams[p]], self.grams[grams[p]])))
-            for p in sorted(chosen):
-                self.seeds.setdefault(int(grams[p]), []).append((k, p))
-        self.is_seed = np.zeros(len(self.grams), bool)
-        self.is_seed[list(self.seeds)] = True
+            rarest = np.lexsort((self.grams[grams], counts[grams]))[: len(grams) - self.need[k] // 2]
+            gram.append(grams[rarest])
+            item.append(np.full(len(rarest), k, np.int64))
+            place.append(rarest)
+        gram, item, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (gram, item, place))
+        order = np.argsort(gram, kind="stable")
+        self.seed_item, self.seed_place = item[order], place[order]
+        self.first_seed = np.searchsorted(gram[order], np.arange(len(self.grams) + 1))
+        self.longest = np.array([len(x) + e for x, e in zip(self.items, self.errors)], np.int64)
+
+    def candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, and the first and last place of each stretch with enough places of an item's seeds."""
+        at, grams = self.hits(codes)
+        n = self.first_seed[grams + 1] - self.first_seed[grams]
+        if not n.sum():
+            return at[:0], at[:0], at[:0]
+        seed = np.repeat(self.first_seed[grams] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key = np.unique(self.seed_item[seed] * len(codes) + np.repeat(at, n))  # a place counts once
+        item, place = np.divmod(key, len(codes))
+        last = np.arange(len(key)) + self.seen[item] - 1
+        ends = np.minimum(last, len(key) - 1)
+        good = (last < len(key)) & (item[ends] == item) & (place[ends] - place <= self.longest[item])
+        return item[good], place[good], place[ends[good]]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -114,23 +136,19 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 def find_leaks(items: Items, codes: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
     """(item number, score, first word, last word): the best passage of each item that scores ``least`` or more."""
-    at, grams = items.hits(codes)
-    seeds = items.is_seed[grams] if len(grams) else np.zeros(0, bool)
-    starts: dict[int, list[int]] = {}
-    for place, gram in zip(at[seeds].tolist(), grams[seeds].tolist()):
-        for k, p in items.seeds[gram]:
-            starts.setdefault(k, []).append(place - p)
+    found: dict[int, list[list[int]]] = {}
+    for k, first, last in zip(*(x.tolist() for x in items.candidates(codes))):
+        # an alignment that holds these seeds lies within its longest stretch of each of them
+        reach, spans = int(items.longest[k]), found.setdefault(k, [])
+        lo, hi = max(0, last - reach), min(len(codes), first + reach + 1)
+        if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * len(items.items[k]):
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
     out = []
-    for k, found in sorted(starts.items()):
+    for k, spans in found.items():
         item = items.items[k]
-        size = len(item)
-        best, spans = (0.0, 0, 0), []
-        for s in sorted(found):
-            lo, hi = max(0, s - size // 2), min(len(codes), s + size + size // 2)
-            if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * size:
-                spans[-1][1] = hi
-            else:
-                spans.append([lo, hi])
+        size, best = len(item), (0.0, 0, 0)
         for lo, hi in spans:
             passage = codes[lo:hi]
             if np.isin(item, passage).sum() < least * size:
@@ -181,7 +199,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, least: float
     parts, rows = [], []
 
     def search():
-        items = Items(rows)
+        items = Items(rows, least)
         counted = map_arrow(texts.select("text"), _count(spark.sparkContext.broadcast(items)), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         counts = np.zeros(len(items.grams), np.int64)
         for r in counted.collect():  # at most the n-grams of one block of items

@@ -128,6 +128,42 @@ def test_leaks_are_found_and_clean_documents_left(spark, monkeypatch):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 6, 8]
 
 
+def edited_copies(rng, word, items):
+    """Copies with every fifth or sixth word replaced, with words replaced, dropped and put in at random, and pristine ones."""
+    texts = []
+    for item in items:
+        texts += [list(item)] + [[word() if k % n == n - 1 else w for k, w in enumerate(item)] for n in (3, 4, 5, 6)]
+        texts.append([x for w in item for x in (w, word())][: 2 * len(item)])
+        texts.append([x for k, w in enumerate(item) for x in ((w, word()) if k % 2 else (w,))])
+        for rate in (0.15, 0.2, 0.3):
+            copy = []
+            for w in item:
+                edit = rng.random() / rate
+                copy += [w] if edit >= 1 else [word()] if edit < 0.6 else [] if edit < 0.8 else [w, word()]
+            texts.append(copy)
+    return texts
+
+
+def test_edited_copies_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([1, 4, 4, 4])))
+    items = [[word() for _ in range(n)] for n in (3, 4, 5, 6, 7, 8, 10, 11, 16, 30, 59)]
+    texts = [[word() for _ in range(20)] + t + [word() for _ in range(15)] for t in edited_copies(rng, word, items)]
+    texts += [list(t) for t in texts[:3]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    codes = {w: k for k, w in enumerate({w for t in texts + items for w in t})}
+    want = {}
+    for k, t in enumerate(texts):
+        for j, item in enumerate(items):
+            score = plain_alignment([codes[w] for w in item], [codes[w] for w in t]) / (2 * len(item))
+            if score >= decontaminate.LEAST:
+                want[k, j] = score
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.find_contamination(docs, tests).collect()}
+    assert len(want) > 60 and {p: s for p, s in got.items() if s >= decontaminate.LEAST} == want
+
+
 def test_empty_sides(spark):
     docs, tests = leak_tables(spark)
     assert decontaminate.find_contamination(docs.limit(0), tests).count() == 0
