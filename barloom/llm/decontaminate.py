@@ -1,10 +1,16 @@
 """Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, lower-cased. A local alignment of words (``MATCH``, ``MISS``, ``GAP``) scores a
-passage of a document by the share of the score of a full copy. Seeds only spare alignments that cannot reach the
-limit. An alignment with m matched words and e errors scores 2m - e and has at most e + 1 runs of matched words, so one
+passage of a document by the share of the score of a full copy. An item is found in a document by either of two rules:
+
+* the whole item: a passage scores the share ``least`` or more;
+* a part of it: an alignment in which every matched word gives 1 and every error takes ``STRICT`` reaches ``PASSAGE``,
+  that is, that many words in one piece, or ``STRICT`` more for each error between them, whatever the item's length.
+
+Seeds only spare alignments that can meet neither rule. An alignment with m matched words and e errors scores 2m - e and has at most e + 1 runs of matched words, so one
 that reaches the share ``least`` of an item of n words matches at least (2 least - 1) n - 1 pairs of successive words of
-the item; where that says nothing (short items) it matches at least least * n words. These are the item's grams. The
+the item; where that says nothing (short items) it matches at least least * n words. By the second rule it matches
+``PASSAGE`` - 1 pairs. The smaller number counts. These pairs or words are the item's grams. The
 commonest ones, as many as half of the number needed, are left out; the rest are seeds, and a passage is aligned when it
 holds the other half of the number within the longest stretch that such an alignment can span. So nothing is lost
 against aligning every item with every document. Rarity is the number of documents, counted over all of them.
@@ -27,6 +33,9 @@ from barloom.session import cut_lineage
 GRAM = 3
 MATCH, MISS, GAP = 2, -1, -1
 LEAST = 0.6
+PASSAGE, STRICT = 13, 4
+#: (PASSAGE + STRICT e) words in at most e + 1 runs: one run has as many at least.
+RUN = STRICT + 1
 ITEMS = 20_000
 _WORDS = re.compile(r"[^\W_]+")
 FOUND = "doc_id long, text_key long, item_id long, score double, first_word int, last_word int"
@@ -47,12 +56,13 @@ class Items:
                 self.ids.append(item_id)
                 self.items.append(np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in found], np.int64))
         sizes = [len(x) for x in self.items]
-        # what an alignment of the least score needs: matched pairs of words, or else matched words
+        # what an alignment that meets a rule needs: matched pairs of words, or else matched words
         pairs = [math.ceil((2 * least - 1) * n - 1 - 1e-9) for n in sizes]
         self.paired = [b > 0 for b in pairs]
         self.need = [b if b > 0 else max(1, math.ceil(least * n - 1e-9)) for b, n in zip(pairs, sizes)]
+        self.need = [min(b, PASSAGE - two) if n >= PASSAGE else b for b, two, n in zip(self.need, self.paired, sizes)]
         #: most errors of such an alignment
-        self.errors = [math.floor(2 * n * (1 - least) + 1e-9) for n in sizes]
+        self.errors = [max(math.floor(2 * n * (1 - least) + 1e-9), (n - PASSAGE) // STRICT) for n in sizes]
         keys = [self.pair_keys(x) if two else x for x, two in zip(self.items, self.paired)]
         self.grams = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         self.of_item = [np.searchsorted(self.grams, k) for k in keys]
@@ -111,15 +121,24 @@ class Items:
         return item[good], place[good], place[ends[good]]
 
 
-def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
+def shares_run(item: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether ``RUN`` successive words of the item seem to be in the passage (never a false no)."""
+    if min(len(item), len(passage)) < RUN:
+        return False
+    mix = np.array([0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x1B873593CC9E2D51, 0x27D4EB2F165667C5, 0x165667B19E3779F9], np.int64)
+    own, there = (np.lib.stride_tricks.sliding_window_view(x, RUN) @ mix[:RUN] for x in (item, passage))
+    return bool(np.isin(own, there).any())
+
+
+def align(item: np.ndarray, passage: np.ndarray, match: int = MATCH, miss: int = MISS, gap: int = GAP) -> tuple[int, int, int]:
     """(score, first, last) of the best local alignment; places are of the passage, last inclusive."""
     width = len(passage)
-    steps = np.arange(width) * -GAP
+    steps = np.arange(width) * -gap
     above, came = np.zeros(width + 1, np.int64), np.arange(width + 1)
     best = (0, 0, -1)
     for code in item:
-        same = np.where(passage == code, MATCH, MISS)
-        diagonal, upper = above[:-1] + same, above[1:] + GAP
+        same = np.where(passage == code, match, miss)
+        diagonal, upper = above[:-1] + same, above[1:] + gap
         now = np.maximum(np.maximum(diagonal, upper), 0)
         start = np.where(now == 0, np.arange(1, width + 1), np.where(now == diagonal, came[:-1], came[1:]))
         # a run of gaps along the passage: the best earlier cell less its distance
@@ -135,7 +154,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def find_leaks(items: Items, codes: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-    """(item number, score, first word, last word): the best passage of each item that scores ``least`` or more."""
+    """(item number, score, first word, last word): the best passage of each item by the two rules."""
     found: dict[int, list[list[int]]] = {}
     for k, first, last in zip(*(x.tolist() for x in items.candidates(codes))):
         # an alignment that holds these seeds lies within its longest stretch of each of them
@@ -151,11 +170,17 @@ def find_leaks(items: Items, codes: np.ndarray, least: float) -> list[tuple[int,
         size, best = len(item), (0.0, 0, 0)
         for lo, hi in spans:
             passage = codes[lo:hi]
-            if np.isin(item, passage).sum() < least * size:
-                continue  # every point comes from a word that is there
-            score, first, last = align(item, passage)
-            best = max(best, (score / (MATCH * size), -(lo + first), lo + last))
-        if best[0] >= least:
+            if np.isin(item, passage).sum() >= least * size - 1e-9:  # every point comes from a word that is there
+                score, first, last = align(item, passage)
+                if score / (MATCH * size) >= least:
+                    best = max(best, (score / (MATCH * size), -(lo + first), lo + last))
+                    continue
+            if size >= PASSAGE and shares_run(item, passage):
+                points, first, last = align(item, passage, 1, -STRICT, -STRICT)
+                if points >= PASSAGE:
+                    score = align(item, passage[first : last + 1])[0]
+                    best = max(best, (score / (MATCH * size), -(lo + first), lo + last))
+        if best[0] > 0:
             out.append((k, best[0], -best[1], best[2]))
     return out
 
@@ -189,8 +214,8 @@ def _search(block, least: float):
 def find_contamination(documents: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Rows (doc_id, text_key, item_id, score, first_word, last_word): each test item found in each document.
 
-    score is 1 for a full copy and falls with each edit; only the best passage of an item in a document is given, at
-    ``least`` or above. Null and empty texts hold nothing, items with fewer than ``GRAM`` words are not looked for;
+    score is 1 for a full copy and falls with each edit; only the best passage of an item in a document is given. It is
+    below ``least`` where only a part of the item is found (second rule). Null and empty texts hold nothing, items with fewer than ``GRAM`` words are not looked for;
     repeated rows are searched alike; a null doc_id or item_id is kept; other columns are ignored; without documents or
     items the result is empty. text_key is a hash of the text, to find the row again.
     """

@@ -164,6 +164,50 @@ def test_edited_copies_against_brute_force(spark):
     assert len(want) > 60 and {p: s for p, s in got.items() if s >= decontaminate.LEAST} == want
 
 
+def plain_part(item, passage):
+    """Best local sum of 1 a matched word and -4 an error."""
+    best, h = 0, [[0] * (len(passage) + 1) for _ in range(len(item) + 1)]
+    for i in range(1, len(item) + 1):
+        for j in range(1, len(passage) + 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (1 if item[i - 1] == passage[j - 1] else -4), h[i - 1][j] - 4, h[i][j - 1] - 4)
+            best = max(best, h[i][j])
+    return best
+
+
+def test_partial_passages_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice([1, 5, 5, 5])))
+    items = [[word() for _ in range(n)] for n in (12, 13, 16, 30, 59, 200, 200)]
+    texts = []
+    for item in items:
+        for n in (12, 13, 14, 17, 21, 25, 30, 35, 100):
+            part = item[(at := rng.randrange(max(1, len(item) - n))) : at + n]
+            once, twice = list(part), list(part)
+            once[len(part) // 2] = word()
+            twice[len(part) // 3 : len(part) // 3 + 1] = []
+            twice.insert(2 * len(part) // 3, word())
+            texts += [[word() for _ in range(25)] + p + [word() for _ in range(30)] for p in (part, once, twice)]
+        texts.append([w if rng.random() < 0.65 else word() for w in item])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    whole, part = set(), set()
+    for k, t in enumerate(texts):
+        for j, item in enumerate(items):
+            if set(t) & {w for w in item if len(w) > 1}:
+                if plain_alignment(item, t) >= decontaminate.LEAST * 2 * len(item):
+                    whole.add((k, j))
+                elif plain_part(item, t) >= 13:
+                    part.add((k, j))
+    rows = decontaminate.find_contamination(docs, tests).collect()
+    assert len(part) > 40 and {(r.doc_id, r.item_id) for r in rows} == whole | part
+    assert all((r.score >= decontaminate.LEAST) == ((r.doc_id, r.item_id) in whole) for r in rows)
+    # 35 of 59 words, word 25 to 59 of the text
+    [row] = [r for r in rows if r.doc_id == 4 * 28 + 7 * 3]
+    assert (row.item_id, row.first_word, row.last_word) == (4, 25, 59) and abs(row.score - 70 / 118) < 1e-9
+    kept = decontaminate.without_contamination(docs, tests)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {k for k, _ in whole | part}
+
+
 def test_empty_sides(spark):
     docs, tests = leak_tables(spark)
     assert decontaminate.find_contamination(docs.limit(0), tests).count() == 0
