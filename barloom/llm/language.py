@@ -1,10 +1,11 @@
 """Language identification by unigram piece models with all segmentations summed out.
 
-The pieces are those of a fixed public byte-level vocabulary. A word, with the blank before it, is any sequence of
-pieces that spells it; its probability in a language is the sum over all such sequences, computed by a forward
-pass over its bytes. Piece probabilities per language are learned by expectation maximisation with the
+The pieces are all those of a fixed public byte-level vocabulary, and the 256 bytes. A word is what stands between
+blanks, punctuation and marks included; with one blank before it, it is any sequence of pieces that spells it. Its
+probability in a language is the sum over all such sequences, computed by a forward pass over the whole word that
+looks back as far as the longest piece and keeps logarithms, so that words of any length are scored alike. Piece probabilities per language are learned by expectation maximisation with the
 forward-backward pass, on word counts of a bounded sample: about ``PER_LANGUAGE`` documents of each language, chosen
-by a hash of the id. Words longer than ``LONGEST`` bytes are scored in parts of that length, so no byte is skipped.
+by a hash of the id. Time grows with the bytes of a word; a text without blanks is one word.
 """
 
 from __future__ import annotations
@@ -24,23 +25,27 @@ from barloom.llm.supervised import even_share
 FOLDS, HELD = 4, 2
 PER_LANGUAGE = 400
 ROUNDS = 4
-LONGEST = 24
-PIECE = 8
+#: Longest piece that a vocabulary may have; one with a longer piece is an error.
+PIECE = 64
+#: Bytes of the words taken at a time.
+CELLS = 250_000
 SMOOTH = 0.1
 REMEMBERED = 300_000
-_WORDS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"\S+")
 _ANY_LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint64(0x100000001B3)
 
 
 class Pieces:
-    """Piece ids of byte strings up to ``PIECE`` bytes, looked up by hash in an open table."""
+    """Piece ids of byte strings, looked up by hash in an open table."""
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
             found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-        found = sorted({p for p in found if len(p) <= PIECE} | {bytes([b]) for b in range(256)})
-        self.size = len(found)
+        found = sorted(found | {bytes([b]) for b in range(256)})
+        self.size, self.longest = len(found), max(map(len, found))
+        if self.longest > PIECE:
+            raise ValueError(f"a piece has {self.longest} bytes")
         keys = np.array([self.hash_of(p) for p in found], np.uint64)
         if len(set(keys.tolist())) != len(keys):
             raise ValueError("two pieces share a hash")
@@ -84,23 +89,55 @@ def word_matrix(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, lengths
 
 
-def lattice(pieces: Pieces, flat: np.ndarray, lengths: np.ndarray) -> list[list[np.ndarray]]:
-    """ids[j][k]: the piece that ends before byte j and has k + 1 bytes, -1 where there is none."""
+def lattice(pieces: Pieces, flat: np.ndarray, lengths: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+    """Per byte j, triples (start, rows, ids): the pieces from ``start`` that end before j, and the words that have them."""
     n, width = flat.shape
     bytes_ = flat.astype(np.uint64) + np.uint64(1)
-    out: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] * 0 for _ in range(width + 1)]
-    for size in range(1, min(PIECE, width) + 1):
+    out: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(width + 1)]
+    for size in range(1, min(pieces.longest, width) + 1):
         keys = np.full((n, width - size + 1), size, np.uint64)
         for k in range(size):
             keys = keys * _STEP + bytes_[:, k : width - size + 1 + k]
         ids = pieces.find(keys)
-        for start in range(width - size + 1):
-            col = ids[:, start]
-            col[start + size > lengths] = -1
-            out[start + size].append(col)
+        starts, rows = np.nonzero((ids.T >= 0) & (np.arange(width - size + 1)[:, None] + size <= lengths))
+        ids = ids[rows, starts]
+        rows = rows.astype(np.int32)
+        cuts = np.flatnonzero(np.diff(starts, prepend=-1))
+        for start, lo, hi in zip(starts[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(starts)]):
+            out[start + size].append((start, rows[lo:hi], ids[lo:hi]))
     return out
 
 
+def batches_of(words: list[bytes]):
+    """Numbers of the words, shortest first, in groups of about ``CELLS`` bytes when padded to one length."""
+    sizes = [len(w) for w in words]
+    some: list[int] = []
+    for i in np.argsort(sizes, kind="stable").tolist():
+        if some and (len(some) + 1) * sizes[i] > CELLS:
+            yield some
+            some = []
+        some.append(i)
+    if some:
+        yield some
+
+
+def forward_logs(ends: list, chances: np.ndarray, n: int, depth: int):
+    """Per byte j from 1, the log of the sum over all segmentations of each word's first j bytes, one column a language.
+
+    Words shorter than j hold no meaning there. Only the last ``depth`` bytes are kept.
+    """
+    logs = {0: np.zeros((n, chances.shape[1]))}
+    for j in range(1, len(ends)):
+        # half-way between the two ends of what is looked back at, so that neither leaves the range of a double
+        level = (logs[j - 1] + logs[max(0, j - depth)]) / 2
+        total = np.zeros_like(level)
+        for start, rows, ids in ends[j]:
+            total[rows] += np.exp(logs[start][rows] - level[rows]) * chances[ids]
+        logs[j] = np.log(np.maximum(total, 1e-300)) + level
+        logs.pop(j - depth, None)
+        yield logs[j]
+
+
 @dataclass
 class Model:
     """Languages in code-point order and, per language, piece probabilities with a last row of zero for "no piece"."""
@@ -122,26 +159,15 @@ class Model:
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
-        parts, owner = [], []
-        for k, w in enumerate(words):
-            raw = b" " + w.encode("utf-8", "surrogatepass")
-            for at in range(0, len(raw), LONGEST):
-                parts.append(raw[at : at + LONGEST])
-                owner.append(k)
+        raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
         out = np.zeros((len(words), len(self.languages)))
-        order = np.argsort([len(p) for p in parts], kind="stable")
-        for start in range(0, len(order), 20_000):
-            some = order[start : start + 20_000]
-            flat, lengths = word_matrix([parts[i] for i in some])
-            ends = lattice(self.pieces(), flat, lengths)
-            forward = [np.ones((len(some), len(self.languages)))]
-            for j in range(1, flat.shape[1] + 1):
-                total = np.zeros((len(some), len(self.languages)))
-                for k, ids in enumerate(ends[j]):
-                    total += forward[j - 1 - k] * self.chances[ids]
-                forward.append(total)
-            last = np.stack(forward)[lengths, np.arange(len(some))]
-            np.add.at(out, np.array(owner)[some], np.log(np.maximum(last, 1e-300)))
+        for some in batches_of(raw):
+            flat, lengths = word_matrix([raw[i] for i in some])
+            ends, some = lattice(self.pieces(), flat, lengths), np.array(some)
+            for j, logs in enumerate(forward_logs(ends, self.chances, len(some), self.pieces().longest), 1):
+                whole = lengths == j
+                if whole.any():
+                    out[some[whole]] = logs[whole]
         return out
 
     def predict(self, texts) -> tuple[list[str], list[float]]:
@@ -201,37 +227,26 @@ def fit(documents: DataFrame, path: str, per_language: int = PER_LANGUAGE, round
 
 def _learn(pieces: Pieces, size: int, words: list[str], times: np.ndarray, rounds: int) -> np.ndarray:
     """Piece probabilities that make the words likely, with ``SMOOTH`` added to every piece's count."""
-    parts, weight = [], []
-    for w, n in zip(words, times):
-        raw = b" " + w.encode("utf-8", "surrogatepass")
-        for at in range(0, len(raw), LONGEST):
-            parts.append(raw[at : at + LONGEST])
-            weight.append(n)
+    raw = [b" " + w.encode("utf-8", "surrogatepass") for w in words]
     chance = np.full(size, 1.0 / size)
-    if not parts:
+    if not raw:
         return chance
-    order, weight = np.argsort([len(p) for p in parts], kind="stable"), np.array(weight)
     blocks = []
-    for start in range(0, len(order), 20_000):
-        some = order[start : start + 20_000]
-        flat, lengths = word_matrix([parts[i] for i in some])
-        blocks.append((lattice(pieces, flat, lengths), lengths, weight[some]))
+    for some in batches_of(raw):
+        flat, lengths = word_matrix([raw[i] for i in some])
+        blocks.append((lattice(pieces, flat, lengths), lengths, times[some]))
     for _ in range(rounds):
-        expected = np.zeros(size + 1)
-        p = np.append(chance, 0.0)
+        expected = np.zeros(size)
         for ends, lengths, n in blocks:
-            width = len(ends) - 1
-            forward = [np.ones(len(lengths))]
-            for j in range(1, width + 1):
-                forward.append(sum(forward[j - 1 - k] * p[ids] for k, ids in enumerate(ends[j])))
-            total = np.stack(forward)[lengths, np.arange(len(lengths))]
-            backward = [np.where(lengths == j, 1.0, 0.0) for j in range(width + 1)]
-            for j in range(width, 0, -1):
-                for k, ids in enumerate(ends[j]):
-                    flow = backward[j] * p[ids]
-                    backward[j - 1 - k] = backward[j - 1 - k] + flow
-                    expected += np.bincount(ids, forward[j - 1 - k] * flow / np.maximum(total, 1e-300) * n, size + 1)[: size + 1] if (ids >= 0).all() else np.bincount(np.where(ids < 0, size, ids), forward[j - 1 - k] * flow / np.maximum(total, 1e-300) * n, size + 1)
-        expected = expected[:size] + SMOOTH
+            logs = [np.zeros(len(lengths)), *(x[:, 0] for x in forward_logs(ends, chance[:, None], len(lengths), pieces.longest))]
+            # the share of all segmentations of a word that have a boundary at byte j
+            passed = [np.where(lengths == j, 1.0, 0.0) for j in range(len(ends))]
+            for j in range(len(ends) - 1, 0, -1):
+                for start, rows, ids in ends[j]:
+                    flow = passed[j][rows] * chance[ids] * np.exp(logs[start][rows] - logs[j][rows])
+                    passed[start][rows] += flow
+                    np.add.at(expected, ids, flow * n[rows])
+        expected += SMOOTH
         chance = expected / expected.sum()
     return chance
 

@@ -58,6 +58,47 @@ def test_language_sums_all_segmentations():
     assert np.allclose(got, [total(b" " + w.encode()) for w in words])
 
 
+def test_long_pieces_long_words_and_marks():
+    import numpy as np
+
+    model = language.Model(["a", "b"], None, PIECES)
+    pieces = model.pieces()
+    assert pieces.longest == 33 and pieces.size == 50_256
+    rng = np.random.default_rng(3)
+    model.chances = np.append(rng.random((pieces.size, 2)) ** 8 / 1000, np.zeros((1, 2)), 0)
+
+    def log_total(raw, column):
+        ids = lambda p: pieces.find(np.array([pieces.hash_of(p)], np.uint64))[0]
+        logs = [0.0]
+        for j in range(1, len(raw) + 1):
+            found = [(i, ids(raw[i:j])) for i in range(max(0, j - 40), j)]
+            logs.append(np.logaddexp.reduce([logs[i] + np.log(model.chances[k, column]) for i, k in found if k >= 0]))
+        return logs[-1]
+
+    words = ["действительно", "ありがとうございます", "nationalism's", "ẃord,", "你好" * 60, "unbroken" * 40]
+    got = model.word_scores(words)
+    assert np.allclose(got, [[log_total(b" " + w.encode(), c) for c in (0, 1)] for w in words])
+    # every byte between blanks counts
+    assert model.predict(["ab, cd!"])[1] == model.predict(["cd!  ab,"])[1] != model.predict(["ab cd"])[1]
+    # expected counts of one round, by listing all segmentations
+    word, size = "natio", pieces.size
+
+    def ways(raw):
+        if not raw:
+            yield []
+        for k in range(1, len(raw) + 1):
+            i = pieces.find(np.array([pieces.hash_of(raw[:k])], np.uint64))[0]
+            if i >= 0:
+                yield from ([i, *rest] for rest in ways(raw[k:]))
+
+    want, total = np.zeros(size), 0.0
+    for way in ways(b" " + word.encode()):
+        total += size ** -float(len(way))
+        np.add.at(want, way, size ** -float(len(way)))
+    want = want / total * 7 + language.SMOOTH
+    assert np.allclose(language._learn(pieces, size, [word], np.array([7.0]), 1), want / want.sum(), rtol=1e-9)
+
+
 def test_no_languages(spark, tables):
     none = tables[0].limit(0)
     model = language.fit(none, PIECES)
