@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, language, mixing, ngram_join, quality, secret_scan, token_files, toxicity, url_rules, vector_dups
+from barloom.llm import (
+    block_search, decontaminate, language, lexical, mixing, ngram_join, quality, runs, secret_scan, token_files, toxicity, url_rules, vector_dups,
+)
 from barloom.llm.common import table
 from barloom.llm.supervised import score_documents
 
@@ -54,11 +56,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_documents(table(spark, sf_dir, "documents"))[0])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_search.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"), runs.repeated_tail)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_language_id, op3_toxicity, op4_token_files, op5_ngram_join,
         op6_quality, op7_source_mix, op8_vector_dups, op9_url_rules, op10_secret_scan,
+        op11_lexical_search, op12_block_search, op13_periodic_runs,
     )
 }
-ORACLES = {"op9_url_rules": url_rules.SQL}
+ORACLES = {"op9_url_rules": url_rules.SQL, "op11_lexical_search": lexical.SQL, "op12_block_search": block_search.SQL}
