@@ -18,6 +18,7 @@ from barloom.operators import books as K
 from barloom.operators import custom as U
 from barloom.operators import indicators as I
 from barloom.operators import marks as M
+from barloom.operators import mtf_zones as Y
 from barloom.operators import patterns as KP
 from barloom.operators import resample as R
 from barloom.operators import sinks as W
@@ -175,15 +176,101 @@ def _(spark, d):
     return tidy(K.order_blocks(bars(spark, d)))
 
 
-@query("mtf_sr_zones")
+OB_STATES = {
+    "fresh_bull": "dir = 1 AND b.rn >= fresh AND NOT coalesce(b.rn >= least(mit, brk), false)", "fresh_bear": "dir = -1 AND b.rn >= fresh AND NOT coalesce(b.rn >= least(mit, brk), false)",
+    "mitigated_bull": "dir = 1 AND b.rn >= mit AND NOT coalesce(b.rn >= brk, false)", "mitigated_bear": "dir = -1 AND b.rn >= mit AND NOT coalesce(b.rn >= brk, false)",
+    "breaker_bull": "dir = -1 AND b.rn >= brk", "breaker_bear": "dir = 1 AND b.rn >= brk",
+}
+OB_LEVELS = ", ".join(
+    f"{q(f'arg_max({v}, born) FILTER ({when})')} AS {side}_{name}"
+    for side, when in (("bull", "dir = 1 AND b.rn >= fresh AND NOT coalesce(b.rn >= brk, false)"), ("bear", "dir = -1 AND b.rn >= fresh AND NOT coalesce(b.rn >= brk, false)"), ("breaker", "b.rn >= brk"))
+    for v, name in (("top", "top"), ("bot", "bottom"), ("far", "gap_far"))
+)
+
+
+@query("order_block_levels", over(f"""{OB_SQL.rsplit("ev AS", 1)[0].rstrip().rstrip(",")},
+z6 AS (SELECT z.*, CASE z.dir WHEN 1 THEN g.low ELSE g.high END AS far FROM z5 z JOIN b g ON g.symbol = z.symbol AND g.rn = z.born)
+SELECT b.symbol, '1d' AS timeframe, b.rn, b.time, {OB_LEVELS}, {', '.join(f'count(*) FILTER ({when}) AS {name}' for name, when in OB_STATES.items())}
+FROM b LEFT JOIN z6 ON z6.symbol = b.symbol GROUP BY ALL""", "brand", True))
 def _(spark, d):
-    return tidy(K.mtf_sr(bars(spark, d, "quarter"), 900))
+    return tidy(K.order_block_levels(bars(spark, d)))
+
+
+# ---- zones of several timeframes: the same book by a recursion over single steps of a day -----
+
+
+def _score_sql(weight: str, count: str, wick: str, prominence: str, atr: str) -> str:
+    unit = lambda x: f"least(1.0, greatest(0.0, {x}))"
+    raw = f"({unit(weight)} * 0.40 + {unit(f'({count} - 1) / 2.0')} * 0.28 + {unit(f'{wick} / ({atr} * 0.6)')} * 0.18 + {unit(f'{prominence} / ({atr} * 3)')} * 0.14)"
+    return f"least(10.0, greatest(0.0, {raw} * 10 + 0.9 * ({count} - 1)))"
+
+
+SLOTS_SQL = "(VALUES (0, 30::BIGINT, 'M30', 0.55), (1, 60, 'H1', 0.78), (2, 120, 'H2', 0.78), (3, 240, 'H4', 1.0)) t(slot, mins, label, weight)"
+ZONE_BOOK = f""", {atr_ctes(14)},
+ar AS MATERIALIZED (SELECT b.*, epoch_us(time) // 86400000000 AS day, coalesce(nullif(CASE WHEN rn >= 14 THEN a ELSE plain END, 0), 1e-6) AS atr, lead(time) OVER (PARTITION BY symbol ORDER BY rn) AS nx FROM aw JOIN ta USING (symbol, rn) JOIN b USING (symbol, rn)),
+cg AS (SELECT ar.symbol AS base, slot, any_value(mins) AS mins, any_value(label) AS label, any_value(weight) AS weight, epoch_us(time) // (mins * 60000000) AS bucket,
+  arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, max(time) AS lt, nullif(arg_max(coalesce(nx, TIMESTAMP '1970-01-01'), time), TIMESTAMP '1970-01-01') AS nx FROM ar, {SLOTS_SQL} GROUP BY ar.symbol, slot, epoch_us(time) // (mins * 60000000)),
+ch AS (SELECT *, CASE WHEN epoch_us(lt) + 900000000 >= (bucket + 1) * mins * 60000000 THEN lt ELSE nx END AS confirm FROM cg),
+ci AS MATERIALIZED (SELECT *, base || '|' || slot AS symbol, bucket AS time, row_number() OVER w AS rn, count(*) OVER (PARTITION BY base, slot) AS n, avg((high + low) / 2) OVER (PARTITION BY base, slot ORDER BY bucket ROWS 9 PRECEDING) AS mean
+  FROM ch WHERE confirm IS NOT NULL WINDOW w AS (PARTITION BY base, slot ORDER BY bucket)),
+{pivots_sql('ci', 5, 5, False, True, name='zp')},
+ze AS (SELECT p.base AS symbol, k.confirm AS time, p.slot, p.rn AS crn, zp.kind = 'high' AS res, zp.price AS level, p.label, p.weight,
+  greatest(CASE zp.kind WHEN 'high' THEN p.high - greatest(p.open, p.close) ELSE least(p.open, p.close) - p.low END, 0) AS wick,
+  greatest(CASE zp.kind WHEN 'high' THEN p.high - k.mean ELSE k.mean - p.low END, 0) AS prom
+  FROM zp JOIN ci p USING (symbol, rn) JOIN ci k ON k.symbol = p.symbol AND k.rn = p.rn + 5),
+zf AS (SELECT ze.*, ar.rn, ar.day, ar.atr FROM ze JOIN ar ON ar.symbol = ze.symbol AND ar.time = ze.time),
+zg AS (SELECT * FROM zf QUALIFY coalesce(abs(level - lag(level) OVER (PARTITION BY symbol, day, slot, res ORDER BY rn, crn)) > 1e-9, true)),
+zd AS MATERIALIZED (SELECT symbol, day, list({{'rn': rn, 'atr': atr, 'z': {{'res': res, 'level': level, 'top': level + greatest(atr * 0.28, 1e-6) / 2, 'bottom': level - greatest(atr * 0.28, 1e-6) / 2,
+  'score': {_score_sql('weight', '1', 'wick', 'prom', 'atr')}, 'fr': [label], 'w': weight::DOUBLE, 'ws': wick, 'wn': CASE WHEN wick > 0 THEN 1 ELSE 0 END, 'pr': prom, 'st': rn}}}} ORDER BY rn, slot, crn, res DESC) AS ev FROM zg GROUP BY ALL),
+zk AS (SELECT symbol, day, 0 AS k, 'shown' AS phase, list_filter([ev[1].z], lambda z: false) AS zs FROM zd
+  UNION ALL SELECT s.symbol, s.day, CASE WHEN phase IN ('add', 'shown') THEN k + 1 ELSE k END,
+    CASE WHEN phase IN ('add', 'shown') THEN CASE WHEN k + 1 < len(ev) AND ev[k + 2].rn = ev[k + 1].rn THEN 'add' ELSE 'unite' END
+         WHEN phase = 'unite' THEN CASE WHEN p IS NULL THEN 'cut' ELSE 'unite' END ELSE CASE WHEN len(zs) > 14 THEN 'cut' ELSE 'shown' END END,
+    CASE WHEN phase IN ('add', 'shown') THEN list_append(zs, ev[k + 1].z)
+         WHEN phase = 'unite' AND p IS NOT NULL THEN list_concat(list_concat(zs[1 : p.i - 1], [{{'res': u.res, 'level': u.level, 'top': u.level + greatest(at_ * 0.28, 1e-6) / 2, 'bottom': u.level - greatest(at_ * 0.28, 1e-6) / 2,
+             'score': {_score_sql('u.w', 'len(u.fr)', '(u.ws / greatest(u.wn, 1))', 'u.pr', 'at_')}, 'fr': u.fr, 'w': u.w, 'ws': u.ws, 'wn': u.wn, 'pr': u.pr, 'st': u.st}}]), list_concat(zs[p.i + 1 : p.j - 1], zs[p.j + 1 :]))
+         WHEN phase = 'cut' AND len(zs) > 14 THEN list_concat(zs[1 : list_position(list_transform(zs, lambda z: z.score), list_min(list_transform(zs, lambda z: z.score))) - 1], zs[list_position(list_transform(zs, lambda z: z.score), list_min(list_transform(zs, lambda z: z.score))) + 1 :])
+         ELSE zs END
+  FROM zk s JOIN zd USING (symbol, day), LATERAL (SELECT ev[greatest(k, 1)].atr AS at_),
+  LATERAL (SELECT CASE WHEN phase = 'unite' THEN list_filter(flatten(list_transform(range(1, len(zs) + 1), lambda i: list_transform(range(i + 1, len(zs) + 1), lambda j: {{'i': i, 'j': j}}))),
+    lambda x: zs[x.i].res = zs[x.j].res AND zs[x.i].bottom <= zs[x.j].top + at_ * 0.35 AND zs[x.j].bottom <= zs[x.i].top + at_ * 0.35)[1] END AS p),
+  LATERAL (SELECT {{'res': zs[p.i].res, 'level': (zs[p.i].level * greatest(zs[p.i].wn, 1) + zs[p.j].level * greatest(zs[p.j].wn, 1)) / (greatest(zs[p.i].wn, 1) + greatest(zs[p.j].wn, 1)),
+    'fr': list_concat(zs[p.i].fr, list_filter(zs[p.j].fr, lambda f: NOT list_contains(zs[p.i].fr, f))), 'w': greatest(zs[p.i].w, zs[p.j].w), 'ws': zs[p.i].ws + zs[p.j].ws, 'wn': zs[p.i].wn + zs[p.j].wn, 'pr': greatest(zs[p.i].pr, zs[p.j].pr), 'st': zs[p.i].st}} AS u)
+  WHERE NOT (phase = 'shown' AND k = len(ev))),
+zv AS MATERIALIZED (SELECT symbol, day, ev[k].rn AS rn, zs FROM zk JOIN zd USING (symbol, day) WHERE phase = 'shown' AND k > 0),
+zy AS (SELECT symbol, day, dense_rank() OVER (PARTITION BY symbol ORDER BY day) AS sn FROM (SELECT DISTINCT symbol, day FROM ar)),
+zl AS (SELECT symbol, day, sn, arg_max(zs, rn) AS zs FROM zv JOIN zy USING (symbol, day) GROUP BY ALL),
+zb AS (SELECT ar.symbol, ar.rn, ar.n, ar.time, ar.close, ar.atr, coalesce(o2.zs, []) AS z2, coalesce(o1.zs, []) AS z1, coalesce(v.zs, []) AS z0 FROM ar JOIN zy USING (symbol, day)
+  LEFT JOIN zl o2 ON o2.symbol = ar.symbol AND o2.sn = zy.sn - 2 LEFT JOIN zl o1 ON o1.symbol = ar.symbol AND o1.sn = zy.sn - 1 ASOF LEFT JOIN zv v ON v.symbol = ar.symbol AND v.day = ar.day AND ar.rn >= v.rn),
+za AS MATERIALIZED (SELECT symbol, rn, n, time, close, atr, list_concat(list_concat(z2, z1), z0) AS zs FROM zb),
+zu AS MATERIALIZED (SELECT symbol, rn, n, time, close, atr, unnest(zs) AS z, generate_subscripts(zs, 1) - 1 AS place FROM za)"""
+
+
+@query("mtf_sr_zones", over(f"""{ZONE_BOOK},
+nr AS (SELECT symbol, rn, first(z.level ORDER BY CASE WHEN z.level >= close THEN z.level - close ELSE (close - z.level) * 2 END, place) FILTER (z.res) AS r,
+  first(z.level ORDER BY CASE WHEN z.level <= close THEN close - z.level ELSE (z.level - close) * 2 END, place) FILTER (NOT z.res) AS s,
+  first(z.level ORDER BY abs(z.level - close), place) FILTER (len(z.fr) > 1) AS f FROM zu GROUP BY ALL)
+SELECT symbol, '15m' AS timeframe, rn, time, 'bar' AS kind, NULL::BOOLEAN AS res, NULL::DOUBLE AS level, NULL::DOUBLE AS top, NULL::DOUBLE AS bottom, NULL::DOUBLE AS score, NULL AS frames, NULL::BIGINT AS confluence, NULL::DOUBLE AS wick_avg,
+  NULL::DOUBLE AS prominence, NULL::BIGINT AS start_rn, {q('s')} AS support, {q('r')} AS resistance, {q('f')} AS confluence_level, NULL::BIGINT AS place FROM za LEFT JOIN nr USING (symbol, rn)
+UNION ALL SELECT symbol, '15m', rn, time, 'zone', z.res, {q('z.level')}, {q('z.top')}, {q('z.bottom')}, {q('z.score')}, array_to_string(z.fr, ','), len(z.fr), {q('z.ws / greatest(z.wn, 1)')}, {q('z.pr')}, z.st, NULL, NULL, NULL, place FROM zu WHERE rn = n""", "quarter", True))
+def _(spark, d):
+    return tidy(Y.mtf_sr(bars(spark, d, "quarter"), 900))
+
+
+_FRAMES = ("M30", "H1", "H2", "H4")
+_SIDES = ", ".join(f"count(*) FILTER ({'z.res' if side == 'res' else 'NOT z.res'} AND list_contains(z.fr, '{f}')) AS {f}_{side}" for f in _FRAMES for side in ("res", "sup"))
+_BIAS = ", ".join(f"CASE WHEN {f}_res + {f}_sup = 0 THEN '—' WHEN {f}_res > {f}_sup THEN 'RES' WHEN {f}_sup > {f}_res THEN 'SUP' ELSE 'BAL' END AS {f}_bias" for f in _FRAMES)
 
 
-@query("agg_zone_dashboard")
+@query("agg_zone_dashboard", over(f"""{ZONE_BOOK},
+g AS (SELECT symbol, count(*) AS zones, count(*) FILTER (len(z.fr) > 1) AS confluences, avg(z.score) AS sc, first(z.level ORDER BY z.score DESC, place) AS sl, max(z.score) AS ss, any_value(atr) AS at_, any_value(close) AS lc,
+  coalesce(first(z.level ORDER BY z.level - close, place) FILTER (z.res AND z.level >= close), first(z.level ORDER BY place) FILTER (z.res)) AS nr,
+  coalesce(first(z.level ORDER BY close - z.level, place) FILTER (NOT z.res AND z.level <= close), first(z.level ORDER BY place) FILTER (NOT z.res)) AS ns, {_SIDES} FROM zu WHERE rn = n GROUP BY symbol)
+SELECT symbol, '15m' AS timeframe, zones, confluences, {q('sc')} AS avg_score, {q('nr')} AS nearest_res, {q('ns')} AS nearest_sup, {q('at_')} AS atr, {q('lc')} AS last_close, {', '.join(f'{f}_{s}' for f in _FRAMES for s in ('res', 'sup'))},
+  {q('(nr - ns) / greatest(at_, 1e-9)')} AS room_atr, CASE WHEN lc - ns < nr - lc THEN 'Near SUP' WHEN nr IS NOT NULL AND ns IS NOT NULL THEN 'Near RES' END AS price_position, {q('sl')} AS strongest_level, {q('ss')} AS strongest_score, {_BIAS} FROM g""", "quarter", True))
 def _(spark, d):
     b = bars(spark, d, "quarter")
-    return tidy(K.zone_dashboard(K.mtf_sr(b, 900), b))
+    return tidy(Y.zone_dashboard(Y.mtf_sr(b, 900), b))
 
 
 @query("strength_score", over(f""", x AS (SELECT symbol, time, (rn % 5) * 0.25 AS tf, 1 + rn % 4 AS cc, high - greatest(open, close) AS wk, high - low AS pr, close / 4 AS at_ FROM b),
@@ -192,7 +279,7 @@ z AS (SELECT symbol, time, least(10, greatest(0, raw * 10 + 0.9 * (cc - 1))) AS
 SELECT symbol, time, {q('s')} AS score, CASE WHEN s >= 8 THEN 'ELITE' WHEN s >= 6.5 THEN 'STRONG' WHEN s >= 5 THEN 'MODERATE' WHEN s >= 3.5 THEN 'WEAK' ELSE 'FORMING' END AS tier FROM z"""))
 def _(spark, d):
     b = bars(spark, d).withColumns({"tf": (c("rn") % 5) * 0.25, "cc": 1 + c("rn") % 4, "wk": c("high") - F.greatest("open", "close"), "pr": c("high") - c("low"), "at": c("close") / 4})
-    df = b.withColumn("score", K.strength_score("tf", "cc", "wk", "pr", "at")).withColumn("tier", K.tier("score"))
+    df = b.withColumn("score", Y.strength_score("tf", "cc", "wk", "pr", "at")).withColumn("tier", Y.tier("score"))
     return tidy(df, "symbol", "time", "score", "tier")
 
 

@@ -1,4 +1,4 @@
-"""Reversal points, order blocks and multi-timeframe zones."""
+"""Values of closed higher timeframes, reversal points and order blocks."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import col as c
 from barloom.functions.exprs import timeframe_seconds
-from barloom.operators.indicators import atr_progressive, atr_stage, bollinger_stage, rsi_rows, rsi_stage, sma_stage
+from barloom.operators.indicators import atr_stage, bollinger_stage, rsi_rows, rsi_stage, sma_stage
 from barloom.operators.patterns import coarse_bars
-from barloom.operators.resample import resample_gap_aware, resample_htf
+from barloom.operators.resample import resample_htf
 from barloom.operators.structure import pivot_flags
 from barloom.plans.asof import asof_join
-from barloom.plans.blocks import KEYS, fade_rows, frame, number_rows
+from barloom.plans.blocks import KEYS, fade_rows, frame, number_rows, running
 from barloom.plans.crossing import first_at_or_below
 from barloom.plans.folds import ordered_fold
+from barloom.plans.tree import newest_over
 from barloom.session import cut_lineage
 
 # ---- closed higher-timeframe values ----------------------------------------------------------
@@ -303,23 +304,24 @@ def block_inputs(bars: DataFrame, swing=SWING) -> DataFrame:
     made = F.when((l2 < l3) & (c("low") > h2), 1).when((h2 > h3) & (c("high") < l2), -1)
     return f.add(
         pivot_high=f.lag("_ph", swing), pivot_low=f.lag("_pl", swing), made=F.when(c("rn") >= 4, made).cast("long"), made_top=h2, made_bottom=l2,
+        made_far=F.when(made > 0, c("low")).otherwise(c("high")),
     ).rows()
 
 
-def order_blocks(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
-    """Zone events (fresh, mitigated, breaker) and the states standing at the last bar.
+def order_block_zones(bars, block=None, wait=WAIT_BARS, scan=None) -> tuple[DataFrame, DataFrame]:
+    """(zones, rows of bars): one row a zone with the bars at which it is made, fresh, mitigated and broken.
 
     A zone needs a structure break of its own way on its last two bars, or within ``wait`` bars before price returns
     to it; its first later return mitigates it, and a close through its far side from then on makes it a breaker.
     Zones of every bar are followed; with ``scan`` only those made in that many bars before the last one, and
-    then earlier rows change as bars are added.
+    then earlier rows change as bars are added. ``gap_far`` is the far edge of the imbalance.
     """
     rows = cut_lineage(block_inputs(bars))
     breaks = cut_lineage(structure_breaks(rows, block))
     made = rows.filter("made is not null")
     if scan is not None:
         made = made.filter(c("rn") - 1 >= c("n") - 1 - scan)
-    zones = made.select(*KEYS, c("rn").alias("born"), c("made").alias("direction"), c("made_top").alias("top"), c("made_bottom").alias("bottom"))
+    zones = made.select(*KEYS, c("rn").alias("born"), c("made").alias("direction"), c("made_top").alias("top"), c("made_bottom").alias("bottom"), c("made_far").alias("gap_far"))
     sign = c("direction")
     # The bars from one before birth to the end of the wait, each an equi join on its row.
     near = zones.withColumn("ahead", F.explode(F.sequence(F.lit(-1), F.lit(wait)))).withColumn("rn", c("born") + c("ahead"))
@@ -328,14 +330,14 @@ def order_blocks(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
     same = c("way") == sign
     back = F.when(sign > 0, c("low") <= c("top")).otherwise(c("high") >= c("bottom"))
     hit = F.struct("rn", "choch", "swing_price")
-    first = near.groupBy(*KEYS, "born", "direction", "top", "bottom").agg(
+    first = near.groupBy(*KEYS, "born", "direction", "top", "bottom", "gap_far").agg(
         F.max_by(hit, F.when(same & (c("ahead") <= 0), c("rn"))).alias("had"), F.min_by(hit, F.when(same & (c("ahead") > 0), c("rn"))).alias("got"),
         F.min(F.when(back & (c("ahead") > 0), c("rn"))).alias("returned"),
     )
     in_time = c("got").isNotNull() & (c("returned").isNull() | (c("returned") > c("got.rn")))
     first = first.withColumn("by", F.when(c("had").isNotNull(), c("had")).when(in_time, c("got"))).filter("by is not null")
     fresh = first.select(
-        *KEYS, (c("born") - 2).alias("ob_rn"), "direction", "top", "bottom", F.greatest("born", "by.rn").alias("fresh"), c("by.rn").alias("confirm_rn"),
+        *KEYS, "born", (c("born") - 2).alias("ob_rn"), "direction", "top", "bottom", "gap_far", F.greatest("born", "by.rn").alias("fresh"), c("by.rn").alias("confirm_rn"),
         c("by.choch").alias("choch"), c("by.swing_price").alias("swing_price"),
     )
     # Both ways become "falls to a level" by turning bearish zones upside down.
@@ -346,6 +348,15 @@ def order_blocks(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
         side = first_at_or_below(side, rows, reach, "_in", "fresh", "mitigated").withColumn("_since", c("mitigated") - 1)
         sides.append(first_at_or_below(side, rows, shut, "_out", "_since", "break_rn", strict=True))
     known = cut_lineage(sides[0].unionByName(sides[1]).drop("_in", "_out", "_since"))
+    return known, rows
+
+
+def order_blocks(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
+    """Zone events (fresh, mitigated, breaker) and the states standing at the last bar.
+
+    A bar that both returns to a zone and closes through it gives both events.
+    """
+    known, rows = order_block_zones(bars, block, wait, scan)
     ends = rows.filter(c("rn") == c("n")).select(*KEYS, c("rn").alias("_end"))
     known = known.join(ends, list(KEYS))
     state = F.when(c("break_rn").isNotNull(), "breaker").when(c("mitigated").isNotNull(), "mitigated").otherwise("fresh")
@@ -360,197 +371,30 @@ def order_blocks(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
     )
 
 
-# ---- multi-timeframe support and resistance --------------------------------------------------
-
-# Slots (minutes), score weights and limits.
-SLOTS = (30, 60, 120, 240)
-WEIGHTS = {"tf": 0.40, "confluence": 0.28, "wick": 0.18, "prominence": 0.14}
-BONUS, THICK, MERGE, CAP, SESSIONS, PIVOT = 0.9, 0.28, 0.35, 14, 3, 5
-
-
-def slot_label(seconds: int) -> str:
-    if seconds % 86400 == 0:
-        return f"D{seconds // 86400}"
-    return f"H{seconds // 3600}" if seconds % 3600 == 0 else f"M{round(seconds / 60)}"
-
-
-def slot_weight(seconds: int) -> float:
-    for least, weight in ((14400, 1.0), (3600, 0.78), (900, 0.55), (300, 0.38), (60, 0.30)):
-        if seconds >= least:
-            return weight
-    return 0.25
-
-
-def strength(tf, count, wick, prominence, atr) -> float:
-    unit = lambda x: min(1.0, max(0.0, x))
-    parts = {
-        "tf": unit(tf), "confluence": unit((count - 1) / 2), "wick": unit(wick / (atr * 0.6)) if atr > 0 else 0.0,
-        "prominence": unit(prominence / (atr * 3)) if atr > 0 else 0.0,
-    }
-    raw = sum(parts[k] * w for k, w in WEIGHTS.items()) / sum(WEIGHTS.values())
-    return min(10.0, max(0.0, raw * 10 + BONUS * (count - 1)))
-
-
-def strength_score(tf, count, wick, prominence, atr) -> Column:
-    """The same score as a column expression."""
-    unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
-    safe = F.nullif(c(atr), F.lit(0.0))
-    rel = lambda x, k: F.when(c(atr) > 0, unit(c(x) / (safe * k))).otherwise(0.0)
-    raw = (
-        unit(c(tf)) * WEIGHTS["tf"] + unit((c(count) - 1) / 2.0) * WEIGHTS["confluence"] + rel(wick, 0.6) * WEIGHTS["wick"]
-        + rel(prominence, 3.0) * WEIGHTS["prominence"]
-    ) / sum(WEIGHTS.values())
-    return F.least(F.lit(10.0), F.greatest(F.lit(0.0), raw * 10 + BONUS * (c(count) - 1)))
-
-
-def tier(score) -> Column:
-    s = c(score)
-    return F.when(s >= 8, "ELITE").when(s >= 6.5, "STRONG").when(s >= 5, "MODERATE").when(s >= 3.5, "WEAK").otherwise("FORMING")
-
-
-def star_text(score) -> Column:
-    s = c(score)
-    return F.when(s >= 8, "★★★★★").when(s >= 6.5, "★★★★").when(s >= 5, "★★★").when(s >= 3.5, "★★").when(s >= 2, "★").otherwise("·")
-
-
-def mtf_pivots(bars: DataFrame, source_sec: int, slots=SLOTS, arm=PIVOT) -> DataFrame:
-    """Pivots of every slot with the bar that confirms each, its wick and its distance from the mean."""
-    out = None
-    for k, minutes in enumerate(slots):
-        seconds = minutes * 60
-        if source_sec > seconds:
-            continue
-        coarse = resample_gap_aware(bars, seconds, source_sec).withColumnRenamed("bucket", "time")
-        f = frame(number_rows(coarse, chunk=F.floor(F.unix_seconds("time") / (seconds * 4096))), 2 * arm, arm)
-        high, low = pivot_flags(f, arm, arm, False, True)
-        f = f.add(is_high=high, is_low=low, _mean=F.avg((c("high") + c("low")) / 2).over(f.last(2 * arm)))
-        f = f.add(mean=f.lead("_mean", arm), at=f.lead("confirm_time", arm))
-        top, bottom = F.greatest("open", "close"), F.least("open", "close")
-        pos = lambda x: F.greatest(x, F.lit(0.0))
-        res = F.when(c("is_high"), F.struct(F.lit(True).alias("res"), c("high").alias("level"), pos(c("high") - top).alias("wick"), pos(c("high") - c("mean")).alias("prominence")))
-        sup = F.when(c("is_low"), F.struct(F.lit(False).alias("res"), c("low").alias("level"), pos(bottom - c("low")).alias("wick"), pos(c("mean") - c("low")).alias("prominence")))
-        part = f.rows().withColumn("p", F.explode(F.array_compact(F.array(res, sup)))).select(
-            *KEYS, c("at").alias("time"), F.lit(k).alias("slot"), c("rn").alias("coarse_rn"), F.lit(slot_label(seconds)).alias("label"), F.lit(slot_weight(seconds)).alias("weight"), "p.*"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-ZONE_START = {"day": None, "days": [], "zones": [], "last": {}}
-ZONE_SCHEMA = (
-    "rn long, time timestamp, kind string, res boolean, level double, top double, bottom double, score double, frames string, "
-    "confluence long, wick_avg double, prominence double, start_rn long, support double, resistance double, confluence_level double"
-)
-
-
-def _sized(z, atr):
-    """The zone with its band and score for the current range."""
-    half = max(atr * THICK, 1e-6) / 2
-    score = strength(z["w"], len(z["tfs"]), z["sum"] / max(z["n"], 1), z["prom"], atr)
-    return z | {"top": z["level"] + half, "bottom": z["level"] - half, "score": score}
-
-
-def _united(old, new, atr):
-    """One zone of two: the level weighed by tests, the sums added, the larger of the rest, the older one's start."""
-    heft = [max(z["n"], 1) for z in (old, new)]
-    level = (old["level"] * heft[0] + new["level"] * heft[1]) / sum(heft)
-    frames = old["tfs"] + [x for x in new["tfs"] if x not in old["tfs"]]
-    both = {"tfs": frames, "level": level, "sum": old["sum"] + new["sum"], "n": old["n"] + new["n"]}
-    return _sized(old | both | {k: max(old[k], new[k]) for k in ("prom", "w")}, atr)
-
-
-def _placed(zones, new, atr):
-    """Standing zones, apart from each other, with a new one: it and all it reaches, directly or once united, are one."""
-    reach = atr * MERGE
-    while True:
-        near = [k for k, z in enumerate(zones) if z["day"] == new["day"] and z["res"] == new["res"] and max(z["bottom"], new["bottom"]) <= min(z["top"], new["top"]) + reach]
-        if not near:
-            return sorted([*zones, new], key=lambda z: z["seq"])
-        old = zones[near[0]]
-        zones = [z for z in zones if z is not old]
-        first, second = (old, new) if old["seq"] < new["seq"] else (new, old)
-        new = _united(first, second, atr)
+def order_block_levels(bars, block=None, wait=WAIT_BARS, scan=None) -> DataFrame:
+    """Per bar the newest standing bullish and bearish block, the newest breaker, and how many stand in each state.
 
-
-def zone_step(cap=CAP, sessions=SESSIONS):
-    """Step of the zone book: days open, pivots spawn zones that unite with those in reach, the weakest go.
-
-    ``cap`` zones a day and ``sessions`` days are kept; None keeps all.
+    A breaker of a bullish zone counts as bearish and the other way round. Each zone's life is laid over a tree of
+    rows, so that a bar finds the newest zone on its path; the counts are running sums of what begins and ends.
     """
-
-    def step(s, values):
-        rn, n, time, day, close, atr, events = values
-        atr = atr or 1e-6
-        out = []
-        if s["day"] != day:
-            days = [*s["days"], day]
-            s["day"], s["last"], s["days"] = day, {}, days if sessions is None else days[-sessions:]
-            s["zones"] = [z for z in s["zones"] if z["day"] in s["days"]]
-        for k, e in enumerate(events or ()):
-            key = f"{e['slot']}{e['res']}"
-            if key in s["last"] and abs(s["last"][key] - e["level"]) <= 1e-9:
-                continue
-            s["last"][key] = e["level"]
-            z = {"res": e["res"], "level": e["level"], "tfs": [e["label"]], "w": e["weight"], "sum": e["wick"], "n": int(e["wick"] > 0), "prom": e["prominence"], "day": day, "start": rn, "seq": rn * 64 + k}
-            s["zones"] = _placed(s["zones"], _sized(z, atr), atr)
-        if cap is not None:
-            today = sorted((z for z in s["zones"] if z["day"] == day), key=lambda z: z["score"])
-            weak = {z["seq"] for z in today[: max(0, len(today) - cap)]}
-            s["zones"] = [z for z in s["zones"] if z["seq"] not in weak]
-
-        def nearest(zones, distance):
-            return min(zones, key=distance)["level"] if zones else None
-
-        away = lambda z, ahead: ahead if ahead >= 0 else -2 * ahead
-        res = nearest([z for z in s["zones"] if z["res"]], lambda z: away(z, z["level"] - close))
-        sup = nearest([z for z in s["zones"] if not z["res"]], lambda z: away(z, close - z["level"]))
-        both = nearest([z for z in s["zones"] if len(z["tfs"]) > 1], lambda z: abs(z["level"] - close))
-        out.append((rn, time, "bar", *[None] * 10, sup, res, both))
-        if rn == n:
-            for z in s["zones"]:
-                out.append((rn, time, "zone", z["res"], z["level"], z["top"], z["bottom"], z["score"], ",".join(z["tfs"]), len(z["tfs"]), z["sum"] / max(z["n"], 1), z["prom"], z["start"], None, None, None))
-        return s, out
-
-    return step
-
-
-def mtf_sr(bars, source_sec: int, slots=SLOTS, block=None, last_closed=True, cap=CAP, sessions=SESSIONS) -> DataFrame:
-    """Nearest levels per bar (kind bar) and the zones standing at the end (kind zone).
-
-    With ``last_closed`` false the last bar is still forming and is left out.
-    """
-    bars = without_forming(bars, last_closed)
-    events = mtf_pivots(bars, source_sec, slots)
-    e = F.struct("slot", "coarse_rn", F.when(c("res"), 0).otherwise(1).alias("o"), "res", "level", "wick", "prominence", "label", "weight")
-    # A bar confirms at most two pivots per slot.
-    at_bar = events.groupBy(*KEYS, "time").agg(F.sort_array(F.collect_list(e)).alias("events"))
-    df = atr_progressive(bars, 14, "atr").join(at_bar, [*KEYS, "time"], "left").withColumn("day", F.floor(F.unix_seconds("time") / 86400))
-    return ordered_fold(df, ("rn", "n", "time", "day", "close", "atr", "events"), ZONE_START, zone_step(cap, sessions), ZONE_SCHEMA, block=block, warmup=1000)
-
-
-def zone_dashboard(zones: DataFrame, bars: DataFrame, slots=SLOTS) -> DataFrame:
-    """Strongest zone, nearest levels, room in ATR, averages and counts per timeframe, one row per key."""
-    last = atr_progressive(bars, 14, "atr").filter(c("rn") == c("n")).select(*KEYS, c("close").alias("last_close"), "atr")
-    z = zones.filter(c("kind") == "zone").join(last, list(KEYS))
-    pick = lambda when, distance: F.min_by(c("level"), F.when(when, distance))
-    above, below = c("level") - c("last_close"), c("last_close") - c("level")
-    counts = []
-    for m in slots:
-        has = F.array_contains(F.split("frames", ","), slot_label(m * 60))
-        for side, is_res in (("res", True), ("sup", False)):
-            counts.append(F.count_if(has & (c("res") == is_res)).alias(f"{slot_label(m * 60)}_{side}"))
-    g = z.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("zones"), F.count_if(c("confluence") > 1).alias("confluences"), F.avg("score").alias("avg_score"),
-        F.max_by(F.struct("level", "score"), F.struct("score", -c("start_rn"))).alias("strongest"),
-        F.coalesce(pick(c("res") & (above >= 0), above), F.min_by("level", F.when(c("res"), c("start_rn")))).alias("nearest_res"),
-        F.coalesce(pick(~c("res") & (below >= 0), below), F.min_by("level", F.when(~c("res"), c("start_rn")))).alias("nearest_sup"),
-        F.max("atr").alias("atr"), F.max("last_close").alias("last_close"), *counts,
-    )
-    room = (c("nearest_res") - c("nearest_sup")) / F.greatest(c("atr"), F.lit(1e-9))
-    where = F.when(c("last_close") - c("nearest_sup") < c("nearest_res") - c("last_close"), "Near SUP").when(room.isNotNull(), "Near RES")
-    out = g.withColumns({"room_atr": room, "price_position": where, "strongest_level": c("strongest.level"), "strongest_score": c("strongest.score")})
-    for m in slots:
-        label = slot_label(m * 60)
-        r, s = c(f"{label}_res"), c(f"{label}_sup")
-        out = out.withColumn(f"{label}_bias", F.when(r + s == 0, "—").when(r > s, "RES").when(s > r, "SUP").otherwise("BAL"))
-    return out.drop("strongest")
+    zones, rows = order_block_zones(bars, block, wait, scan)
+    zones = zones.join(rows.filter(c("rn") == c("n")).select(*KEYS, c("n").alias("_end")), list(KEYS))
+    shape = F.struct("born", "top", "bottom", "gap_far")
+    stands = F.struct(c("fresh").alias("a"), F.coalesce(c("break_rn") - 1, c("_end")).alias("b"), F.lit(False).alias("broken"))
+    broken = F.when(c("break_rn").isNotNull(), F.struct(c("break_rn").alias("a"), c("_end").alias("b"), F.lit(True).alias("broken")))
+    lives = cut_lineage(zones.withColumn("l", F.explode(F.array_compact(F.array(stands, broken)))).select(*KEYS, "direction", shape.alias("zone"), "l.*"))
+    way = lambda d: F.when(~c("broken") & (c("direction") == d), c("zone"))
+    seen = newest_over(rows, lives, "a", "b", {"bull": way(1), "bear": way(-1), "breaker": F.when(c("broken"), c("zone"))})
+    states, changes = [], []
+    for name, begins, ends in (("fresh", c("fresh"), F.coalesce("mitigated", "break_rn")), ("mitigated", F.when(~F.coalesce(c("break_rn") <= c("mitigated"), F.lit(False)), c("mitigated")), c("break_rn")), ("breaker", c("break_rn"), F.lit(None).cast("long"))):
+        for d, side in ((1, "bull"), (-1, "bear")):
+            kept = c("direction") == (-d if name == "breaker" else d)
+            column = f"{name}_{side}"
+            states.append(column)
+            changes += [F.when(kept & begins.isNotNull(), F.struct(begins.alias("rn"), F.lit(column).alias("state"), F.lit(1).alias("by")))]
+            changes += [F.when(kept & begins.isNotNull() & ends.isNotNull(), F.struct(ends.alias("rn"), F.lit(column).alias("state"), F.lit(-1).alias("by")))]
+    moved = zones.select(*KEYS, F.explode(F.array_compact(F.array(*changes))).alias("e")).select(*KEYS, "e.*")
+    moved = moved.groupBy(*KEYS, "rn").agg(*(F.sum(F.when(c("state") == x, c("by")).otherwise(0)).alias(f"_{x}") for x in states))
+    counted = running(seen.join(moved, [*KEYS, "rn"], "left"), {x: ("sum", F.coalesce(c(f"_{x}"), F.lit(0))) for x in states})
+    edge = lambda side: [c(f"{side}.{k}").alias(f"{side}_{k}") for k in ("top", "bottom", "gap_far")]
+    return counted.select(*KEYS, "rn", "time", *edge("bull"), *edge("bear"), *edge("breaker"), *states)

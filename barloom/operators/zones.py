@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from barloom.operators.indicators import range_stage, sma_stage
 from barloom.plans.blocks import KEYS, frame
-from barloom.plans.folds import ordered_fold
+from barloom.plans.crossing import first_at_or_below
+from barloom.plans.tree import count_rises
+from barloom.session import cut_lineage
 
 c = F.col
 # Fixed values of the base and departure rules.
@@ -128,55 +130,37 @@ def keep_longest(zones: DataFrame) -> DataFrame:
 _ZONE = ("kind", "low", "high", "base_start", "base_end", "confirmed", "atr", "displacement")
 
 
-def _life_step(state, values):
-    """Move the standing zones past one bar.
+def zone_lifecycle(bars, zones=None) -> DataFrame:
+    """Each zone's status at the end: fresh, tested (separate visits), or invalidated by a close.
 
-    Supply is held lowest edge first and demand highest first, so only the zones price reached are
-    looked at. A zone row ends with its visit count and the last bar that was inside it.
+    No zone waits in a state. The first close beyond a zone comes from the tree of block minima. Until then every
+    close is on the zone's near side, so a bar is inside exactly if its high (supply) or low (demand) gets to the near edge,
+    and the separate visits are the rises to that edge, counted over the tree of rows. Demand is turned upside
+    down to be the same. The last bar of a key may be unclosed and is ignored.
     """
-    rn, n, high, low, close, born, now = values
-    out = []
-    if rn < n:  # the last bar may be unclosed
-        for kind, held in state.items():
-            supply, kept, seen = kind == "supply", [], 0
-            for z in held:
-                if z[1] > high if supply else z[2] < low:
-                    break
-                seen += 1
-                if close > z[2] if supply else close < z[1]:
-                    out.append((*z[:8], "invalidated", z[8], now))
-                    continue
-                if high >= z[1] and low <= z[2]:
-                    fresh_visit = z[9] != rn - 1
-                    z = [*z[:8], z[8] + fresh_visit, rn]
-                kept.append(z)
-            state[kind] = kept + held[seen:]
-        for z in born or ():
-            held = state[z["kind"]]
-            held.append([z[k] for k in _ZONE] + [0, 0])
-            held.sort(key=(lambda r: r[1]) if z["kind"] == "supply" else (lambda r: -r[2]))
-    if rn == n:
-        for z in state["supply"] + state["demand"]:
-            out.append((*z[:8], "tested" if z[8] else "fresh", z[8], None))
-        state = {"supply": [], "demand": []}
-    return state, out
-
-
-LIFE_SCHEMA = (
-    "kind string, low double, high double, base_start long, base_end long, confirmed long, atr double, "
-    "displacement double, status string, test_count long, invalidated_time timestamp"
-)
-
-
-def zone_lifecycle(bars, zones=None, block=None) -> DataFrame:
-    """Each zone's status at the end: fresh, tested (separate visits), or invalidated by a close."""
     zones = supply_demand_zones(bars) if zones is None else zones
-    born = zones.groupBy(*KEYS, c("confirmed").alias("rn")).agg(F.collect_list(F.struct(*_ZONE)).alias("born"))
-    df = bars.join(born, [*KEYS, "rn"], "left")
-    return ordered_fold(
-        df, ("rn", "n", "high", "low", "close", "born", "time"), {"supply": [], "demand": []}, _life_step,
-        LIFE_SCHEMA, block=block, warmup=0,
+    keys = [*KEYS, "kind"]
+    f = frame(bars, 1)
+    stepped = f.add(high_before=f.lag("high"), low_before=f.lag("low")).rows()
+    closed = stepped.filter(c("rn") < c("n"))
+    sides = F.array(
+        F.struct(F.lit("supply").alias("kind"), (-c("close")).alias("shut"), c("high").alias("near"), c("high_before").alias("near_before")),
+        F.struct(F.lit("demand").alias("kind"), c("close").alias("shut"), (-c("low")).alias("near"), (-c("low_before")).alias("near_before")),
     )
+    rows = cut_lineage(closed.select(*KEYS, "rn", "n", "time", F.explode(sides).alias("s")).select(*KEYS, "rn", "n", "time", "s.*"))
+    supply = c("kind") == "supply"
+    held = cut_lineage(zones.select(*KEYS, *_ZONE)).withColumns({"_far": F.when(supply, -c("high")).otherwise(c("low")), "_edge": F.when(supply, c("low")).otherwise(-c("high"))})
+    held = first_at_or_below(held, rows, "shut", "_far", "confirmed", "_broken", strict=True, keys=keys)
+    ends = rows.groupBy(*KEYS).agg((F.max("n") - 1).alias("_last"))
+    held = cut_lineage(held.join(ends, list(KEYS), "left").withColumn("_until", F.coalesce(c("_broken") - 1, "_last", F.lit(0))))
+    held = count_rises(held, rows, (c("near"), c("near_before")), "_edge", c("confirmed") + 2, c("_until"), "_rises", keys)
+    # the first bar of a life is a visit of its own when it is inside, whatever came before
+    entry = rows.select(*keys, (c("rn") - 1).alias("confirmed"), c("near").alias("_first"))
+    held = held.join(entry, [*keys, "confirmed"], "left").join(rows.select(*keys, c("rn").alias("_broken"), c("time").alias("invalidated_time")), [*keys, "_broken"], "left")
+    inside = F.coalesce((c("_first") >= c("_edge")) & (c("_until") > c("confirmed")), F.lit(False)).cast("long")
+    held = held.withColumn("test_count", c("_rises") + inside)
+    status = F.when(c("_broken").isNotNull(), "invalidated").when(c("test_count") > 0, "tested").otherwise("fresh")
+    return held.select(*KEYS, *_ZONE, status.alias("status"), "test_count", "invalidated_time")
 
 
 def zone_topn(bars, lifecycle: DataFrame, limit=12) -> DataFrame:

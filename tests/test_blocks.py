@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from barloom.operators import holdings, backtest, books, indicators, signals, structure, zones
+from barloom.operators import holdings, backtest, books, indicators, signals, structure
 from barloom.plans.blocks import running, runs
 from pyspark.sql import functions as F
 
@@ -85,12 +85,6 @@ def test_ledger_of_fifty_blocks_settles_soon(spark, monkeypatch):
     assert sum("_want" not in c and "_state" in c and "_blk" in c and len(c) == 3 for c in rounds) <= 4  # three rounds and the one that finds nothing
 
 
-def test_zone_life_in_blocks(bars):
-    found = zones.supply_demand_zones(bars)
-    key = lambda df: sorted(str(tuple(r)) for r in df.collect())
-    assert key(zones.zone_lifecycle(bars, found)) == key(zones.zone_lifecycle(bars, found, block=100))
-
-
 def test_prefix_stability(spark):
     closes = lcg_closes(260)
     long, short = numbered(spark, closes), numbered(spark, closes[:200])
