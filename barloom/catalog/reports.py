@@ -21,6 +21,7 @@ from barloom.operators import marks as M
 from barloom.operators import mtf_zones as Y
 from barloom.operators import patterns as KP
 from barloom.operators import resample as R
+from barloom.operators import reversals as V
 from barloom.operators import sinks as W
 from barloom.operators import snapshot as S
 from barloom.operators import positioning as O
@@ -139,14 +140,71 @@ def oi_of(spark, d):
     return O.oi_on_bars(bars(spark, d, "hourly").select("symbol", "timeframe", "time"), h, 3600)
 
 
-@query("rev_point")
+# Reversal points by a recursion over bars that carries both followers, bar by bar.
+_TURN = lambda way, px, least: f"(CASE WHEN {px} = 0 THEN CASE WHEN CASE {way} WHEN 1 THEN {px} > low ELSE high > {px} END THEN 1e300 ELSE 0 END ELSE CASE {way} WHEN 1 THEN {px} - low ELSE high - {px} END / {px} END >= {least})"
+_GROW = lambda way, px: f"(CASE {way} WHEN 1 THEN high >= {px} ELSE low <= {px} END)"
+_AHEAD, _BEHIND = (lambda way: f"CASE {way} WHEN 1 THEN high ELSE low END"), (lambda way: f"CASE {way} WHEN 1 THEN low ELSE high END")
+DERIV_ROWS = f"SELECT symbol, time, sum(vol) OVER (PARTITION BY symbol ORDER BY time) AS oi FROM (SELECT event_type AS symbol, {floor_sql(900)} AS time, sum(value) AS vol FROM events GROUP BY ALL)"
+REV_IN = f""",
+g1 AS (SELECT symbol, rn, close, CASE WHEN rn = 1 THEN close ELSE close * {2 / 22!r} END AS eb FROM b), {scan_sql('e1', 'g1', {'v': (1 - 2 / 22, 'eb')})},
+{atr_ctes(14)}, {rsi_ctes(14)}, {BOLL},
+dh AS (SELECT symbol, time, oi FROM DH), oo AS (SELECT b.symbol, b.rn, CASE WHEN b.time + INTERVAL 1 HOUR - h.time <= INTERVAL 70 MINUTE THEN h.oi END AS bar_oi FROM b ASOF LEFT JOIN (SELECT * FROM dh WHERE oi > 0) h ON b.symbol = h.symbol AND b.time + INTERVAL 1 HOUR >= h.time),
+r1 AS (SELECT b.*, e1.v > {lag('e1.v')} AS up_, CASE WHEN b.rn >= 14 THEN aw.a END AS atr, {rsi_value(14, 'rs', True)} AS rsi, oo.bar_oi FROM b JOIN e1 USING (symbol, rn) JOIN aw USING (symbol, rn) JOIN rs USING (symbol, rn) JOIN oo USING (symbol, rn)),
+r2 AS (SELECT *, CASE WHEN rn >= 20 THEN volume / nullif(avg(volume) {rows(20)}, 0) END AS vr, CASE WHEN rn >= 24 THEN max(high) {rows(24)} END AS h24, CASE WHEN rn >= 24 THEN min(low) {rows(24)} END AS l24,
+  CASE WHEN rn >= 12 THEN max(high) {rows(12)} END AS h12, CASE WHEN rn >= 12 THEN min(low) {rows(12)} END AS l12, 100 * (bar_oi - {lag('bar_oi')}) / nullif({lag('bar_oi')}, 0) AS oic, {lag('close', 6)} AS c6 FROM r1),
+r3 AS MATERIALIZED (SELECT *, coalesce(up_, false) AS up1, coalesce(high >= {lag('h24', 7)} - 0.7 * atr, false) AS tt, coalesce(low <= {lag('l24', 7)} + 0.7 * atr, false) AS tl, coalesce(high >= h12, false) AS xt, coalesce(low <= l12, false) AS xl,
+  coalesce(close - c6 < 0.3 * atr, false) AS st, coalesce(c6 - close < 0.3 * atr, false) AS sl,
+  coalesce(({lag('vr', 1)} + {lag('vr', 2)} + {lag('vr', 3)} + {lag('vr', 4)}) / 4 <= 0.7 AND vr >= 4 AND abs(close - open) >= 1.2 * atr, false) AS bu FROM r2),
+fl AS (SELECT symbol, 0::BIGINT AS rn, 1 AS fw, high AS fp, 1::BIGINT AS fa, NULL::BIGINT AS ta, 1 AS bw, high AS bp, 1::BIGINT AS ba, NULL::BIGINT AS n1, NULL::BIGINT AS n2, -99::BIGINT AS lc, false AS ft, NULL::BIGINT AS oa, NULL::BIGINT AS ota, NULL::BIGINT AS on1, NULL::BIGINT AS on2, false AS bt, NULL::BIGINT AS oba, false AS fire FROM r3 WHERE rn = 1
+  UNION ALL SELECT i.symbol, i.rn, CASE WHEN f2 THEN -fw ELSE fw END, CASE WHEN f2 THEN {_BEHIND('fw')} ELSE fp1 END, CASE WHEN f2 THEN i.rn ELSE fa1 END, CASE WHEN f2 AND fw = 1 THEN fa1 ELSE ta END,
+    CASE WHEN b2 THEN -bw ELSE bw END, CASE WHEN b2 THEN {_BEHIND('bw')} ELSE bp1 END, CASE WHEN b2 THEN i.rn ELSE ba1 END, CASE WHEN b2 AND bw = -1 THEN n2 ELSE n1 END, CASE WHEN b2 AND bw = -1 THEN ba1 ELSE n2 END,
+    CASE WHEN bu AND i.rn - lc >= 6 THEN i.rn ELSE lc END, f2, fa1, ta, n1, n2, b2, ba1, bu AND i.rn - lc >= 6
+  FROM fl s JOIN r3 i ON i.symbol = s.symbol AND i.rn = s.rn + 1, LATERAL (SELECT CASE WHEN {_GROW('fw', 'fp')} THEN {_AHEAD('fw')} ELSE fp END AS fp1, CASE WHEN {_GROW('fw', 'fp')} THEN i.rn ELSE fa END AS fa1, CASE WHEN {_GROW('bw', 'bp')} THEN {_AHEAD('bw')} ELSE bp END AS bp1, CASE WHEN {_GROW('bw', 'bp')} THEN i.rn ELSE ba END AS ba1),
+  LATERAL (SELECT {_TURN('fw', 'fp1', 0.007)} AS f2, {_TURN('bw', 'bp1', 0.02)} AS b2)),
+fm AS MATERIALIZED (SELECT *, lag(fw) OVER (PARTITION BY symbol ORDER BY rn) AS fw0, lag(bw) OVER (PARTITION BY symbol ORDER BY rn) AS bw0 FROM fl),
+pt AS (SELECT symbol, rn, 'fine' AS kind, oa AS at_rn, fw0 = 1 AS is_top, ota AS pa, on1 AS n1, on2 AS n2 FROM fm WHERE ft UNION ALL SELECT symbol, rn, 'big', oba, bw0 = 1, NULL, NULL, NULL FROM fm WHERE bt
+  UNION ALL SELECT m.symbol, m.rn, 'burst', m.rn, NOT close >= open, NULL, NULL, NULL FROM fm m JOIN r3 USING (symbol, rn) WHERE fire UNION ALL SELECT m.symbol, m.rn, 'candidate', fa, fw = 1, NULL, m.n1, m.n2 FROM fm m JOIN r3 ON r3.symbol = m.symbol AND r3.rn = m.rn WHERE m.rn = n),
+pr AS (SELECT p.symbol, p.rn, i.time, p.kind, p.at_rn, p.is_top, CASE WHEN p.is_top THEN x.high ELSE x.low END AS price, i.close AS cl, i.atr, i.up1, x.vr, x.oic, x.rsi, CASE WHEN p.is_top THEN x.xt ELSE x.xl END AS ex, CASE WHEN p.is_top THEN x.st ELSE x.sl END AS stall, p.is_top AND x.tt AS touch,
+  o.high AS op, o.rsi AS orsi, CASE WHEN p.n2 IS NULL THEN NULL WHEN p.n1 IS NULL OR p.n1 = p.n2 THEN y2.low ELSE y1.low + (y2.low - y1.low) * (p.at_rn - p.n1) / (p.n2 - p.n1) END AS line
+  FROM pt p JOIN r3 i ON i.symbol = p.symbol AND i.rn = p.rn JOIN r3 x ON x.symbol = p.symbol AND x.rn = p.at_rn LEFT JOIN r3 o ON o.symbol = p.symbol AND o.rn = p.pa LEFT JOIN r3 y1 ON y1.symbol = p.symbol AND y1.rn = p.n1 LEFT JOIN r3 y2 ON y2.symbol = p.symbol AND y2.rn = p.n2),
+rv AS MATERIALIZED (SELECT *, kind IN ('fine', 'candidate') AS fk, CASE WHEN is_top THEN coalesce(oic >= 0.3, false) ELSE coalesce(oic <= -0.25, false) END AS moved FROM pr)""".replace("FROM DH)", f"FROM ({DERIV_ROWS}))")
+REV_NEED = "(0.007 - CASE WHEN price = 0 THEN CASE WHEN (price - cl) * CASE WHEN is_top THEN 1 ELSE -1 END > 0 THEN 'Infinity'::DOUBLE ELSE 0 END ELSE (price - cl) * CASE WHEN is_top THEN 1 ELSE -1 END / price END) * 100"
+REV_STARS = "(coalesce(vr >= 2, false)::INT + touch::INT + moved::INT + ex::INT)::BIGINT"
+REV_TAG = "CASE WHEN is_top AND coalesce(vr < 1.5, false) AND stall THEN 'B' WHEN NOT is_top AND coalesce(vr >= 2, false) THEN 'A' ELSE '' END"
+
+
+@query("rev_point", over(f"""{REV_IN}
+SELECT symbol, '1h' AS timeframe, rn, time, kind, at_rn, {q('price')} AS price, is_top, CASE WHEN fk THEN {REV_STARS} END AS stars, CASE WHEN kind = 'fine' THEN {REV_TAG} ELSE '' END AS tag,
+  kind = 'fine' AND is_top AND coalesce(price > op AND rsi < orsi - 2, false) AS bear_div, fk AND NOT is_top AND coalesce(abs(price - line) <= 0.5 * atr, false) AS touch_trend,
+  CASE WHEN is_top THEN NOT up1 ELSE up1 END AS with_trend, CASE WHEN kind <> 'big' THEN {q('vr')} END AS vol_ratio, CASE WHEN fk THEN {q('rsi')} END AS rsi, CASE WHEN kind = 'candidate' THEN {q(REV_NEED)} END AS need_pct FROM rv""", "hourly", True))
 def _(spark, d):
-    return tidy(K.rev_point(bars(spark, d, "hourly"), 3600, oi_of(spark, d)))
+    return tidy(V.rev_point(bars(spark, d, "hourly"), 3600, oi_of(spark, d)))
 
 
-@query("rev_point_report")
+def _levels_sql(name: str, hours: int) -> str:
+    """CTEs ending in ``{name}``: newest pivots of closed coarse bars and whether a later close went beyond."""
+    t = name
+    return f"""{t}g AS ({group_sql(floor_sql(hours * 3600, 'time'))}), {t}e AS (SELECT symbol, max(time) AS e FROM b GROUP BY symbol),
+{t}c AS MATERIALIZED (SELECT g.symbol, bucket AS time, bucket + INTERVAL {hours} HOUR AS close_time, open, high, low, close, row_number() OVER (PARTITION BY g.symbol ORDER BY bucket) AS rn, count(*) OVER (PARTITION BY g.symbol) AS n FROM {t}g g JOIN {t}e USING (symbol) WHERE bucket + INTERVAL {hours} HOUR <= e + INTERVAL 1 HOUR),
+{SC.pivots_sql(t + 'c', 3, 3, True, False, name=t + 'p')},
+{t}k AS (SELECT p.symbol, p.kind, p.price, k.close_time AS known FROM {t}p p JOIN {t}c k ON k.symbol = p.symbol AND k.rn = p.rn + 3 QUALIFY row_number() OVER (PARTITION BY p.symbol, kind ORDER BY p.rn DESC) = 1),
+{t}s AS (SELECT k.symbol, k.kind, any_value(k.price) AS price, min(b.time) AS seen FROM {t}k k JOIN b ON b.symbol = k.symbol AND b.time + INTERVAL 1 HOUR >= known GROUP BY ALL),
+{t} AS (SELECT symbol, max(price) FILTER (kind = 'high') AS r, max(price) FILTER (kind = 'low') AS s, coalesce(bool_or(ok) FILTER (kind = 'high'), false) AS ra, coalesce(bool_or(ok) FILTER (kind = 'low'), false) AS sa
+  FROM (SELECT *, NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = s.symbol AND b.time > seen AND CASE kind WHEN 'high' THEN b.close > price ELSE b.close < price END) AS ok FROM {t}s s) GROUP BY symbol)"""
+
+
+_SIDE = lambda s: f"CASE {s}.is_top WHEN true THEN 'top' WHEN false THEN 'bottom' END"
+
+
+@query("rev_point_report", over(f"""{REV_IN}, {_levels_sql('lh', 1)}, {_levels_sql('lq', 4)},
+nw AS (SELECT symbol, arg_max({{'is_top': is_top, 'price': price, 'stars': {REV_STARS}, 'tag': {REV_TAG}}}, rn) FILTER (kind = 'fine') AS f, arg_max({{'is_top': is_top, 'price': price}}, rn) FILTER (kind = 'big') AS g,
+  arg_max({{'is_top': is_top, 'price': price, 'stars': {REV_STARS}, 'need': {REV_NEED}}}, rn) FILTER (kind = 'candidate') AS k FROM rv GROUP BY symbol)
+SELECT w.symbol, '1h' AS timeframe, {_SIDE('f')} AS fine_side, {q('f.price')} AS fine_price, f.stars AS fine_stars, f.tag AS fine_tag, {_SIDE('g')} AS big_side, {q('g.price')} AS big_price, {_SIDE('k')} AS candidate_side, {q('k.price')} AS candidate_price,
+  k.stars AS candidate_stars, CASE WHEN k.need > 0 THEN round(k.need, 2) END AS need_pct, CASE WHEN i.up1 THEN 'up' ELSE 'down' END AS trend_1h, round(i.oic, 2) + 0.0 AS oi_chg_1h_pct,
+  {q('lh.r')} AS r_1h, {q('lh.s')} AS s_1h, coalesce(lh.ra, false) AS r_1h_active, coalesce(lh.sa, false) AS s_1h_active, {q('lq.r')} AS r_4h, {q('lq.s')} AS s_4h, coalesce(lq.ra, false) AS r_4h_active, coalesce(lq.sa, false) AS s_4h_active
+FROM nw w JOIN r3 i ON i.symbol = w.symbol AND i.rn = i.n LEFT JOIN lh ON lh.symbol = w.symbol LEFT JOIN lq ON lq.symbol = w.symbol""", "hourly", True))
 def _(spark, d):
-    return tidy(K.rev_point_report(K.rev_point(bars(spark, d, "hourly"), 3600, oi_of(spark, d))))
+    return tidy(V.rev_point_report(bars(spark, d, "hourly"), 3600, oi_of(spark, d)))
 
 
 # The same zones by a recursion over breaks and a look at every later bar.

@@ -1,4 +1,4 @@
-"""Values of closed higher timeframes, reversal points and order blocks."""
+"""Values of closed higher timeframes, and order blocks."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import col as c
 from barloom.functions.exprs import timeframe_seconds
-from barloom.operators.indicators import atr_stage, bollinger_stage, rsi_rows, rsi_stage, sma_stage
+from barloom.operators.indicators import sma_stage
 from barloom.operators.patterns import coarse_bars
 from barloom.operators.resample import resample_htf
 from barloom.operators.structure import pivot_flags
@@ -84,192 +84,15 @@ def htf_levels(bars: DataFrame, minutes: int, chart_sec: int, leg=3) -> DataFram
     before = found.join(last.select(*KEYS, "side", "_top"), [*KEYS, "side"]).filter(c("rn") < c("_top"))
     prior = before.groupBy(*KEYS, "side").agg(F.max_by("px", "rn").alias("prev_px"))
     level = last.select(*KEYS, "side", c("a.px").alias("px"), c("a.time").alias("pivot_time"), c("a.known").alias("known")).join(prior, [*KEYS, "side"], "left")
-    closes = F.unix_micros("time") + chart_sec * 1000000
-    b = bars.join(level, list(KEYS)).filter(closes >= F.unix_micros("known"))
-    beyond = F.when(c("side") == "R", c("close") > c("px")).otherwise(c("close") < c("px"))
-    # The bar that first knows a level only sets it; later closes can break it.
-    first = b.groupBy(*KEYS, "side").agg(F.min("time").alias("seen"), F.max(F.when(beyond, c("time"))).alias("last_beyond"))
-    df = level.join(first, [*KEYS, "side"], "left")
-    return df.withColumn("active", c("seen").isNotNull() & ~F.coalesce(c("last_beyond") > c("seen"), F.lit(False)))
-
-
-# ---- reversal points -------------------------------------------------------------------------
-
-# Fixed values of the reversal rules.
-FINE, BIG = 0.007, 0.02
-VOL_STAR, VOL_DRY, VOL_GIANT = 2.0, 0.7, 4.0
-OI_TOP, OI_BOTTOM = 0.3, -0.25
-BURST_GAP = 6
-
-
-def reversal_inputs(bars: DataFrame, chart_sec: int, oi: DataFrame | None = None, lookback_hours=24) -> DataFrame:
-    """Everything a reversal rule reads on one bar, so that the fold only follows the swings."""
-    trend = ema1h_trend(bars, chart_sec)
-    if oi is None:
-        trend = trend.withColumn("bar_oi", F.lit(None).cast("double"))
-    else:
-        trend = trend.join(oi.select(*KEYS, "time", "bar_oi"), [*KEYS, "time"], "left")
-    hour = max(1, round(3600 / chart_sec))
-    half_day = max(2, round(43200 / chart_sec))
-    span = max(20, round(lookback_hours * 3600 / chart_sec))
-    f = frame(trend, max(rsi_rows(14), fade_rows(13 / 14) + 20, span + 8))
-    f = rsi_stage(atr_stage(f, 14, "atr"), 14, "rsi14", True)
-    f = bollinger_stage(sma_stage(f, 20, "_vm", c("volume")), 20, 2.0)
-    full = lambda k, x: F.when(c("rn") >= k, x)
-    width = c("bb_upper") - c("bb_lower")
-    oi_before = f.lag("bar_oi", hour)
-    f = f.add(
-        vol_ratio=c("volume") / F.nullif(c("_vm"), F.lit(0.0)),
-        pct_b=F.when(width == 0, 0.5).otherwise((c("close") - c("bb_lower")) / F.nullif(width, F.lit(0.0))),
-        _hi=full(span, F.max("high").over(f.last(span))), _lo=full(span, F.min("low").over(f.last(span))),
-        _h12=full(half_day, F.max("high").over(f.last(half_day))), _l12=full(half_day, F.min("low").over(f.last(half_day))),
-        oi_chg=F.when(oi_before != 0, 100 * (c("bar_oi") - oi_before) / F.nullif(oi_before, F.lit(0.0))),
-    )
-    six = f.lag("close", 6)
-    dry = sum((f.lag("vol_ratio", k) for k in range(2, 5)), f.lag("vol_ratio", 1)) / 4
-    no = lambda x: F.coalesce(x, F.lit(False))
-    return f.add(
-        touch_top=no(c("high") >= f.lag("_hi", 7) - 0.7 * c("atr")), touch_low=no(c("low") <= f.lag("_lo", 7) + 0.7 * c("atr")),
-        ext_top=no(c("high") >= c("_h12")), ext_low=no(c("low") <= c("_l12")),
-        stall_up=no(c("close") - six < 0.3 * c("atr")), stall_dn=no(six - c("close") < 0.3 * c("atr")),
-        burst=no((dry <= VOL_DRY) & (c("vol_ratio") >= VOL_GIANT) & (F.abs(c("close") - c("open")) >= 1.2 * c("atr"))),
-    ).rows()
-
-
-SWING_INPUTS = (
-    "rn", "n", "time", "open", "high", "low", "close", "atr", "vol_ratio", "oi_chg", "rsi14", "pct_b", "touch_top", "touch_low",
-    "ext_top", "ext_low", "stall_up", "stall_dn", "burst", "trend_up",
-)
-SWING_START = {
-    "up": True, "ext": None, "top": None, "big_up": True, "big": None, "lows": [], "line": None, "burst": -99,
-}
-SWING_SCHEMA = (
-    "rn long, time timestamp, kind string, at_rn long, price double, is_top boolean, stars long, tag string, bear_div boolean, "
-    "touch_trend boolean, with_trend boolean, vol_ratio double, rsi double, need_pct double"
-)
-
-
-def share(move: float, price: float) -> float:
-    """Move relative to a price; any move from a zero price is unbounded."""
-    return move / price if price else (float("inf") if move > 0 else 0.0)
-
-
-def stars(e, top: bool) -> int:
-    """How many of volume, level touch, open interest and half-day extreme speak for the point."""
-    oi = e["oi"]
-    moved = oi is not None and (oi >= OI_TOP if top else oi <= OI_BOTTOM)
-    loud = e["vol"] is not None and e["vol"] >= VOL_STAR
-    return int(loud) + int(top and e["touch"]) + int(moved) + int(e["ext"])
-
-
-def line_at(line, x):
-    (x1, y1), (x2, y2) = line
-    return y1 if x1 == x2 else y1 + (y2 - y1) * (x - x1) / (x2 - x1)
-
-
-def swing_step(fine=FINE, big=BIG):
-    """Step of the two-level swing follower; rows are fine marks, big marks, bursts and the open candidate."""
-
-    def step(s, values):
-        v = dict(zip(SWING_INPUTS, values))
-        rn, high, low, atr = v["rn"], v["high"], v["low"], v["atr"]
-        out = []
-
-        def snap(top):
-            side = ("touch_top", "ext_top", "stall_up") if top else ("touch_low", "ext_low", "stall_dn")
-            touch, ext, stall = (v[k] for k in side)
-            s["ext"] = {"px": high if top else low, "rn": rn, "vol": v["vol_ratio"], "oi": v["oi_chg"], "rsi": v["rsi14"], "pb": v["pct_b"], "touch": touch, "ext": ext, "stall": stall}
-
-        def emit(kind, e, top, tag="", div=False, near=False, need=None):
-            count = stars(e, top) if kind in ("fine", "candidate") else None
-            against = v["trend_up"] if top else not v["trend_up"]
-            out.append((rn, v["time"], kind, e["rn"], e["px"], top, count, tag, div, near, not against, e.get("vol"), e.get("rsi"), need))
-
-        def near_line(e):
-            return bool(s["line"] and atr is not None and abs(e["px"] - line_at(s["line"], e["rn"])) <= 0.5 * atr)
-
-        if s["ext"] is None:
-            s["ext"] = {"px": high, "rn": rn, "vol": None, "oi": None, "rsi": None, "pb": None, "touch": False, "ext": False, "stall": False}
-            s["big"] = [high, rn]
-        e = s["ext"]
-        if s["up"]:
-            if high >= e["px"]:
-                snap(True)
-                e = s["ext"]
-            if share(e["px"] - low, e["px"]) >= fine:
-                t = s["top"]
-                div = bool(t and e["px"] > t[0] and t[1] is not None and e["rsi"] is not None and e["rsi"] < t[1] - 2)
-                quiet = e["vol"] is not None and e["vol"] < 1.5 and e["stall"]
-                emit("fine", e, True, "B" if quiet else "", div)
-                s["top"], s["up"] = [e["px"], e["rsi"]], False
-                snap(False)
-        else:
-            if low <= e["px"]:
-                snap(False)
-                e = s["ext"]
-            if share(high - e["px"], e["px"]) >= fine:
-                loud = e["vol"] is not None and e["vol"] >= VOL_STAR
-                emit("fine", e, False, "A" if loud else "", False, near_line(e))
-                s["up"] = True
-                snap(True)
-        if v["burst"] and rn - s["burst"] >= BURST_GAP:
-            s["burst"] = rn
-            rising = v["close"] >= v["open"]
-            emit("burst", {"px": low if rising else high, "rn": rn, "vol": v["vol_ratio"]}, not rising)
-        px, at = s["big"]
-        if s["big_up"]:
-            if high >= px:
-                px, at = high, rn
-            if share(px - low, px) >= big:
-                emit("big", {"px": px, "rn": at}, True)
-                s["big_up"], px, at = False, low, rn
-        else:
-            if low <= px:
-                px, at = low, rn
-            if share(high - px, px) >= big:
-                emit("big", {"px": px, "rn": at}, False)
-                s["lows"] = [*s["lows"][-1:], [at, px]]
-                a, b = s["lows"][0], s["lows"][-1]
-                s["line"] = [a, b] if a[0] != b[0] else [b, [rn, b[1]]]
-                s["big_up"], px, at = True, high, rn
-        s["big"] = [px, at]
-        if rn == v["n"]:
-            e, top = s["ext"], s["up"]
-            back = share(e["px"] - v["close"] if top else v["close"] - e["px"], e["px"])
-            emit("candidate", e, top, "", False, not top and near_line(e), (fine - back) * 100)
-        return s, out
-
-    return step
-
-
-def without_forming(bars: DataFrame, last_closed: bool) -> DataFrame:
-    """All bars, or those before the last one where that is still forming."""
-    return bars if last_closed else bars.filter(c("rn") < c("n")).withColumn("n", c("n") - 1)
-
-
-def rev_point(bars, chart_sec: int, oi=None, block=None, last_closed=True) -> DataFrame:
-    """Fine (0.7 %) and big (2 %) reversal points, exhaustion bursts and the open candidate.
-
-    With ``last_closed`` false the last bar is still forming and is left out.
-    """
-    bars = without_forming(bars, last_closed)
-    df = reversal_inputs(bars, chart_sec, oi)
-    return ordered_fold(df, SWING_INPUTS, SWING_START, swing_step(), SWING_SCHEMA, block=block, warmup=1000)
-
-
-def rev_point_report(points: DataFrame) -> DataFrame:
-    """Newest fine and big points and the candidate, one row per key."""
-    pick = lambda kind, *cols: F.max_by(F.struct(*cols), F.when(c("kind") == kind, c("rn")))
-    side = lambda s: F.when(c(f"{s}.is_top"), "top").when(~c(f"{s}.is_top"), "bottom")
-    g = points.groupBy(*KEYS).agg(
-        pick("fine", "is_top", "price", "stars", "tag").alias("f"), pick("big", "is_top", "price").alias("b"),
-        pick("candidate", "is_top", "price", "stars", "need_pct").alias("k"),
-    )
-    return g.select(
-        *KEYS, side("f").alias("fine_side"), c("f.price").alias("fine_price"), c("f.stars").alias("fine_stars"), c("f.tag").alias("fine_tag"),
-        side("b").alias("big_side"), c("b.price").alias("big_price"), side("k").alias("candidate_side"), c("k.price").alias("candidate_price"),
-        c("k.stars").alias("candidate_stars"), F.when(c("k.need_pct") > 0, F.round(c("k.need_pct"), 2)).alias("need_pct"),
-    )
+    # the bar that first knows a level only sets it; the first later close beyond it ends it
+    level = level.withColumn("_from", F.timestamp_micros(F.unix_micros("known") - chart_sec * 1000000))
+    level = asof_join(level, bars.select(*KEYS, "rn", "time"), KEYS, "_from", "time", {"_rn": "rn"}, forward=True).withColumnRenamed("matched_time", "seen")
+    level = cut_lineage(level.drop("_from"))
+    ended = []
+    for side, shut, edge in (("R", -c("close"), -c("px")), ("S", c("close"), c("px"))):
+        ended.append(first_at_or_below(level.filter(c("side") == side).withColumn("_edge", edge), bars, shut, "_edge", "_rn", "_end", strict=True))
+    df = ended[0].unionByName(ended[1])
+    return df.withColumn("active", c("seen").isNotNull() & c("_end").isNull()).drop("_edge", "_rn", "_end")
 
 
 # ---- order blocks ----------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from barloom.operators.books import share as share_of
+from barloom.operators.reversals import share as share_of
 from barloom.operators.signals import FRESH_SIGNALS, signal_step, trend_step
 
 c = F.col
