@@ -10,49 +10,50 @@ a part of its shingles only. Shingles of one set alone join nothing and are drop
 Nodes with the same prefix and size form a group. Candidates are pairs of groups that share a prefix shingle, cut by
 size, by position and by bitmap: a set's parity bitmap differs from another's in no more bits than the sets differ in
 shingles, and the difference of two groups is at least that of their first members less what members differ from
-them. As only connected components are asked for, candidates are met in three passes: members
-with the first of their group, groups with the group of each shingle that has the fewest shingles of its own, and then
-every pair of groups that is not connected yet, expanded to members. Each pass verifies its pairs on whole sets.
+them. As only connected components are asked for, candidates are met in passes: members with the first of their
+group, groups with the group of each shingle that has the fewest shingles of its own, first members of every pair of groups
+that is not connected yet, and the members of the pairs that then are still apart. Each pass verifies its pairs on
+whole sets.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import LOWER, UPPER, WORD, components, map_arrow, small_side
+from barloom.llm.common import LOWER, UPPER, components, map_arrow, small_side
 from barloom.session import cut_lineage
 
 LOW = 0.2
 LANES = 16
-_FOLD = str.maketrans(UPPER, LOWER)
-_WORDS = re.compile(WORD)
+MEMORY = 32 << 20
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 class WordHash(dict):
-    """64-bit hashes of words, remembered until there are a million."""
+    """64-bit hashes of words for one task, forgotten when the words take ``MEMORY`` bytes."""
+
+    def __init__(self):
+        self.bytes = 0
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+    def __missing__(self, word: bytes) -> int:
+        self.bytes += len(word) + 150
+        if self.bytes > MEMORY:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+            self.bytes = 0
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES = WordHash()
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(text: str | None, words: int, hashes: WordHash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; of all its words together where they are fewer."""
-    found = _WORDS.findall((text or "").translate(_FOLD)) if text else []
+    found = text.encode().translate(_FOLD).split() if text else []  # bytes are split at ASCII blanks only
     if not found:
         return np.zeros(0, np.uint64)
-    codes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    codes = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
     size = min(words, len(codes))
     h = np.full(len(codes) - size + 1, size, np.uint64)
     for k in range(size):
@@ -83,10 +84,11 @@ def _listed(words: int, percent: int):
     edge = np.uint64(int(LOW * 2**64))
 
     def run(batches):
+        hashes = WordHash()
         for batch in batches:
             ids, nodes, sizes, low, high, bits = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                found = shingle_set(text, words)
+                found = shingle_set(text, words, hashes)
                 ids.append(doc)
                 sizes.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
@@ -102,8 +104,9 @@ def _listed(words: int, percent: int):
 
 def _whole(words: int):
     def run(batches):
+        hashes = WordHash()
         for batch in batches:
-            sets = [shingle_set(t, words) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, words, hashes) for t in batch.column("text").to_pylist()]
             yield batch.column("node"), [s.view(np.int64) for s in sets]
 
     return run
@@ -219,23 +222,36 @@ def _links(documents: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     near = near.filter(_near_bits("bits", "to.bits", "n", "to.n", percent))
     links = cut_lineage(links.union(verified(near.select(F.col("gid").alias("a"), F.col("to.gid").alias("b")).distinct()).select("a", "b")))
 
-    # pairs of groups not connected yet: first those that share the commonest prefix shingle of either, which meets
-    # most pairs of a large group once or twice, then all that are left
+    # pairs of groups not connected yet. Their first members are compared: first of those that share the commonest
+    # prefix shingle of either, which meets most pairs of a large group once or twice, then of all that are left. Only
+    # where these do not link either, the members are brought in, one side after the other
     for tails in (True, False):
-        roots = components(links)
-        placed = cut_lineage(heads.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid")))
-        ends = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or("tail").alias("tail"))
-        open_ = cut_lineage(ends.filter("x <> y and tail" if tails else "x <> y").select("token"))
-        left = cut_lineage(placed.join(open_, "token"))
-        right = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("gid", "n", "bits", "slack", "place", "root", "tail")))
-        # the place of a shingle bounds a pair only where it is the first common one
-        where = f"(tail or tail2) and {_may_link('n', 'n2', '0', '0', percent)}" if tails else _may_link("n", "n2", "place", "place2", percent)
-        met = f"gid < gid2 and root <> root2 and {where} and {_near_bits('bits', 'bits2', 'n', 'n2', percent, 'slack + slack2')}"
-        rest = cut_lineage(left.join(right, "token").filter(met).select("gid", "gid2").distinct())
-        member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b), F.col("n").alias(f"n{b}"), F.col("bits").alias(f"bits{b}"))
-        pairs = rest.join(member("gid", "a"), "gid").join(member("gid2", "b"), "gid2").filter(_near_bits("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
-        links = links.union(cut_lineage(map_arrow(verified(pairs).select("a", "b"), _forest, "a long, b long")))
-    return links
+        apart = _apart(heads, components(links), tails, percent)
+        near = apart.filter(_near_bits("bits", "bits2", "n", "n2", percent)).select(F.col("gid").alias("a"), F.col("gid2").alias("b"))
+        links = cut_lineage(links.union(map_arrow(verified(near).select("a", "b"), _forest, "a long, b long")))
+    crowded = groups.groupBy("gid").agg(F.count("*").alias("members")).filter("members > 1").select("gid")
+    roots = cut_lineage(components(links).withColumnRenamed("node", "gid"))
+    rooted = lambda side: roots.select(F.col("gid").alias(f"gid{side}"), F.col("root").alias(f"root{side}"))
+    rest = apart.join(rooted(""), "gid", "left").join(rooted("2"), "gid2", "left").filter("coalesce(root, gid) <> coalesce(root2, gid2)").drop("root", "root2")
+    rest = rest.join(crowded.withColumn("many", F.lit(True)), "gid", "left").join(crowded.select(F.col("gid").alias("gid2"), F.lit(True).alias("many2")), "gid2", "left")
+    rest = cut_lineage(rest.filter("many or many2"))  # groups of one member each were compared just now
+    member = lambda a, b: groups.select(F.col("gid").alias(a), F.col("node").alias(b), F.col("n").alias(f"n{b}"), F.col("bits").alias(f"bits{b}"))
+    one = cut_lineage(rest.join(member("gid", "a"), "gid").filter(_near_bits("bitsa", "bits2", "na", "n2", percent, "slack2")).select("gid2", "a", "na", "bitsa"))
+    pairs = one.join(member("gid2", "b"), "gid2").filter(_near_bits("bitsa", "bitsb", "na", "nb", percent)).select("a", "b")
+    return links.union(map_arrow(verified(pairs).select("a", "b"), _forest, "a long, b long"))
+
+
+def _apart(heads: DataFrame, roots: DataFrame, tails: bool, percent: int) -> DataFrame:
+    """Pairs of groups in different components that may hold a link, by shingles whose groups are not in one yet."""
+    placed = cut_lineage(heads.join(roots.withColumnRenamed("node", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid")))
+    ends = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.bool_or("tail").alias("tail"))
+    open_ = cut_lineage(ends.filter("x <> y and tail" if tails else "x <> y").select("token"))
+    left = cut_lineage(placed.join(open_, "token"))
+    right = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("gid", "n", "bits", "slack", "place", "root", "tail")))
+    # the place of a shingle bounds a pair only where it is the first common one
+    where = f"(tail or tail2) and {_may_link('n', 'n2', '0', '0', percent)}" if tails else _may_link("n", "n2", "place", "place2", percent)
+    met = f"gid < gid2 and root <> root2 and {where} and {_near_bits('bits', 'bits2', 'n', 'n2', percent, 'slack + slack2')}"
+    return cut_lineage(left.join(right, "token").filter(met).select("gid", "gid2", "n", "n2", "bits", "bits2", "slack", "slack2").dropDuplicates(["gid", "gid2"]))
 
 
 def _near_bits(one: str, other: str, n1: str, n2: str, percent: int, slack: str = "0") -> str:
