@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.exprs import col as c
 from barloom.functions.exprs import fixed_digits, millis, printed
-from barloom.plans.asof import asof_join, nearest_join
+from barloom.plans.asof import asof_join, asof_probes, nearest_join
 from barloom.plans.blocks import KEYS, frame, number_rows, running
 
 PAIR = ("symbol",)
@@ -263,9 +263,7 @@ def sample_before(points: DataFrame, history: DataFrame, seconds: float, slack:
 
 def deriv_changes(points: DataFrame, history: DataFrame) -> DataFrame:
     """Percent change of coin open interest and implied price over 1, 4 and 24 hours."""
-    df = points
-    for hours in (1, 4, 24):
-        df = sample_before(df, history, hours * 3600, 900, ("oi", "oi_value"), f"h{hours}_")
+    df = asof_probes(points, {f"h{k}_": (history, "time", k * 3600, ("oi", "oi_value")) for k in (1, 4, 24)}, PAIR, "time", 900)
     out = {}
     for hours in (1, 4, 24):
         out[f"oi_pct_{hours}h"] = pct_change("oi", f"h{hours}_oi")
@@ -281,8 +279,8 @@ def long_share(ratio) -> Column:
 
 def net_position_delta(points: DataFrame, history: DataFrame, ratios: DataFrame) -> DataFrame:
     """Change over one hour of top-trader long, short and net coins."""
-    df = sample_before(points, history, 3600, 900, ("oi",), "past_")
-    df = sample_before(df, ratios, 3600, 900, ("top_position_ratio",), "was_")
+    probes = {"past_": (history, "time", 3600, ("oi",)), "was_": (ratios, "time", 3600, ("top_position_ratio",))}
+    df = asof_probes(points, probes, PAIR, "time", 900)
     now, then = long_share("top_position_ratio"), long_share("was_top_position_ratio")
     grew = c("oi") * now - c("past_oi") * then
     shrank = c("oi") * (1 - now) - c("past_oi") * (1 - then)

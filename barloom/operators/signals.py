@@ -15,6 +15,7 @@ from barloom.functions.exprs import half_up
 from barloom.operators.indicators import adx_rows, adx_stage, atr_stage, rsi_rows, rsi_stage, wilder_rate, wma_stage
 from barloom.plans.blocks import KEYS, fade_rows, frame
 from barloom.plans.folds import ordered_fold
+from barloom.session import cut_lineage
 
 c = F.col
 
@@ -155,7 +156,11 @@ def new_signal(s, rn, time_us, side, turned, high, low, close, before, band, atr
 
 
 def signal_step(factor=4.0, emit="signals", last_closed=False):
-    """Step of the one-active-signal machine. ``emit`` picks finished signals or one row per bar."""
+    """Step of the one-active-signal machine.
+
+    ``emit`` picks finished signals, one row per bar, or a report: the signals and, after the last confirmed bar, a row of
+    that bar's own values, told apart by the first field.
+    """
     from datetime import datetime, timedelta
 
     epoch = datetime(1970, 1, 1)
@@ -183,7 +188,7 @@ def signal_step(factor=4.0, emit="signals", last_closed=False):
                 if s["status"] != "stopped" and touched_first_target(a, high, low):
                     s["t1"] = True
                 if s["status"] in ("stopped", "target2"):
-                    if emit == "signals":
+                    if emit != "rows":
                         out.append((*row(a), s["status"], s["t1"], rn))
                     s["active"], free = None, True
             ready = None not in (side, atr14, wma60, rsi14, adx, before)
@@ -200,6 +205,10 @@ def signal_step(factor=4.0, emit="signals", last_closed=False):
             out.append((rn, time, confirmed, *((g["rn"], g["side"], g["entry"], s["shown_status"]) if g else (None,) * 4)))
         elif rn == end and s["active"]:
             out.append((*row(s["active"]), s["status"], s["t1"], None))
+        if emit == "report":
+            out = [(False, *o, *(None,) * 4) for o in out]
+            if rn == end:
+                out.append((True, rn, time, s["side"], *(None,) * 8, close, wma60, rsi14, adx))
         return s, out
 
     return step
@@ -243,14 +252,16 @@ def signal_record(signals: DataFrame, *more) -> DataFrame:
 
 def signal_report(bars, period=60, factor=4.0, lookback=48) -> DataFrame:
     """Per key at the last confirmed bar: newest recent signal, trend, what stands in the way, record."""
-    signals = entry_signals(bars, period, factor)
+    found = cut_lineage(
+        ordered_fold(
+            signal_inputs(bars, period), SIGNAL_INPUTS, FRESH_SIGNALS, signal_step(factor, "report"),
+            f"now boolean, {SIGNAL_SCHEMA}, close double, wma60 double, rsi14 double, adx double", warmup=2000,
+        )
+    )
     newest = F.max_by(F.struct("rn", "side", "kind", "entry", "stop", "target1", "target2", "status"), "rn").alias("g")
-    record = signal_record(signals, newest)
-    direction = supertrend(bars, period, factor).select(*KEYS, "rn", "st_direction")
-    at = signal_inputs(bars, period).filter(c("rn") == c("n") - 1).select(*KEYS, "rn", "time", "close", "wma60", "rsi14", "adx")
-    df = at.join(direction, [*KEYS, "rn"], "left").join(record, list(KEYS), "left")
-    trend = F.when(c("st_direction") == "bullish", "long").when(c("st_direction") == "bearish", "short")
-    df = df.withColumns({"trend": trend, "bars_ago": c("rn") - c("g.rn")})
+    record = signal_record(found.filter("not now"), newest)
+    df = found.filter("now").select(*KEYS, "rn", "time", c("side").alias("trend"), "close", "wma60", "rsi14", "adx").join(record, list(KEYS), "left")
+    df = df.withColumn("bars_ago", c("rn") - c("g.rn"))
     recent = c("bars_ago") <= lookback
     long = c("trend") == "long"
     side_blocked = F.when(long, c("close") <= c("wma60")).otherwise(c("close") >= c("wma60"))
@@ -325,12 +336,18 @@ def _grid_step(params, emit):
             s = state[side]
             shown = -s["cum"] if short and s["cum"] else s["cum"]
             row += [shown, signal, fill, closed[3] if closed else None, s["pos"] is not None, s["pos"][1] if s["pos"] else None]
-            if emit == "trades":
+            if emit != "rows":
                 if closed:
                     out.append((side, *closed))
                 if rn == n and s["pos"]:
                     out.append((side, *s["pos"], None, None))
-        return state, out if emit == "trades" else [(rn, time, rsi, *row)]
+        if emit == "report":
+            out = [(False, *o, *(None,) * 6) for o in out]
+            if rn == n:
+                for k, side in enumerate(sides):
+                    cum, signal, _, _, _, held = row[6 * k : 6 * k + 6]
+                    out.append((True, side, state[side]["pos"][0] if state[side]["pos"] else None, held, rn, None, time, close, rsi, abs(cum), signal, n))
+        return state, [(rn, time, rsi, *row)] if emit == "rows" else out
 
     return step
 
@@ -372,18 +389,9 @@ def grid_record(trades: DataFrame) -> DataFrame:
 
 def rsi_grid_report(bars, params=GRID) -> DataFrame:
     """Per key and side at the last bar: RSI, depth, pending order, open position and record."""
-    rows = rsi_grid_rows(bars, params).join(bars.select(*KEYS, "rn", "n", "close"), [*KEYS, "rn"]).filter(c("rn") == c("n"))
-    trades = rsi_grid(bars, params)
-    open_ = trades.filter("exit_rn is null").select(*KEYS, "side", "entry_rn")
-    record = grid_record(trades)
-    sides = F.array(
-        *[
-            F.struct(F.lit(s).alias("side"), F.abs(c(f"{s}_cum")).alias("cum"), c(f"{s}_signal").alias("pending"), c(f"{s}_pos_entry").alias("entry"))
-            for s in ("long", "short")
-        ]
-    )
-    df = rows.withColumn("s", F.explode(sides)).select(*KEYS, "time", "n", "close", "rsi", "s.*")
-    df = df.join(open_, [*KEYS, "side"], "left").join(record, [*KEYS, "side"], "left")
+    schema = "now boolean, side string, entry_rn long, entry double, exit_rn long, exit double, time timestamp, close double, rsi double, cum double, pending string, n long"
+    found = cut_lineage(_grid(bars, params, "report", schema, None))
+    df = found.filter("now").join(grid_record(found.filter("not now")), [*KEYS, "side"], "left")
     pct = grid_pct(c("side") == "short", c("entry"), c("close"))
     return df.select(
         *KEYS, "side", "time", half_up("rsi").alias("rsi"), half_up("cum").alias("cum"), "pending",

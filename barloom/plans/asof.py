@@ -70,6 +70,33 @@ def asof_join(
     return found.select("_row.*", "_m.matched_time", *[f"_m.{n}" for n in values])
 
 
+def asof_probes(left: DataFrame, probes: dict, keys, time: str, slack_seconds: float, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Several as-of matches of each left row in one shuffle and one sort.
+
+    ``probes`` maps a prefix to (right table, its time, seconds back, values): the latest right row at or before
+    ``time`` minus the seconds and at most ``slack_seconds`` older, its columns and ``time`` named with the prefix. Right rows are
+    moved forward by their seconds and stacked with the left rows, so that one window per bucket of time answers all
+    probes; a row that reaches into the next bucket within the slack is copied there beforehand. Of right rows
+    with one time, the one that sorts highest by its values is taken.
+    """
+    slack = int(slack_seconds * 1e6)
+    bucket = lambda us: F.floor(us / int(bucket_seconds * 1e6))
+    us = F.unix_micros(F.col(time).cast("timestamp"))
+    stacked = left.select(*keys, us.alias("_t"), F.array(bucket(us)).alias("_bs"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
+    for prefix, (right, right_time, seconds, values) in probes.items():
+        moved = F.unix_micros(F.col(right_time).cast("timestamp")) + int(seconds * 1e6)
+        payload = F.struct(*[F.col(v).alias(f"{prefix}{v}") for v in values], F.col(right_time).alias(f"{prefix}time"))
+        copies = right.filter(F.col(right_time).isNotNull()).select(*keys, moved.alias("_t"), F.array_distinct(F.array(bucket(moved), bucket(moved + slack))).alias("_bs"), payload.alias(f"_{prefix}"))
+        stacked = stacked.unionByName(copies, allowMissingColumns=True)
+    stacked = stacked.withColumn("_b", F.explode("_bs")).drop("_bs")
+    # right rows come first at equal times
+    inside = Window.partitionBy(*keys, "_b").orderBy("_t", F.col("_row").isNotNull(), *[f"_{p}" for p in probes]).rowsBetween(Window.unboundedPreceding, 0)
+    last = {f"_m{p}": F.last(F.when(F.col(f"_{p}").isNotNull(), F.struct("_t", f"_{p}")), ignorenulls=True).over(inside) for p in probes}
+    found = stacked.withColumns(last).filter("_row is not null")
+    near = lambda p, name: F.when(F.col("_t") - F.col(f"_m{p}._t") <= slack, F.col(f"_m{p}._{p}.{name}")).alias(name)
+    return found.select("_row.*", *[near(p, f"{p}{v}") for p, (_, _, _, values) in probes.items() for v in ("time", *values)])
+
+
 def nearest_join(left, right, keys, left_time, right_time, values: dict, tolerance_seconds: float, **kw) -> DataFrame:
     """Nearest right row within the tolerance; the earlier one wins a tie."""
     back = asof_join(left, right, keys, left_time, right_time, values, tolerance_seconds, **kw)
