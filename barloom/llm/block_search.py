@@ -188,7 +188,7 @@ def _scores(k: int):
                 order = np.lexsort((np.broadcast_to(np.arange(len(ids)), score.shape), -np.clip(score, -(2**63) + 1, None), own), axis=1)[:, :k]
                 i = np.repeat(np.arange(len(q)), order.shape[1])
                 j = order.ravel()
-                other = ~own[i, j]
+                other = ~own[i, j] & (score[i, j] >= np.array([_LONG[0] if q["least"] is None else q["least"] for q in row["queries"]])[i])
                 i, j = i[other], j[other]
                 yield queries[i], [ids[m] for m in j], score[i, j]
 
@@ -222,11 +222,15 @@ def nearest_vectors(embeddings: DataFrame, every: int = EVERY, k: int = K) -> Da
         paged = paged.drop("page").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
         return cut_lineage(map_arrow(paged.join(sides, ["dim", "part"]), _bounds(best), "query long, block long, bound double"))
 
-    def score(pairs: DataFrame) -> DataFrame:
+    def score(pairs: DataFrame, best: DataFrame | None = None) -> DataFrame:
+        """Each block's best for its queries; with ``best``, only what reaches the k-th score so far."""
         pairs = cut_lineage(pairs.select("query", "block"))
         wanted = cut_lineage(pairs.groupBy("block").agg(F.ceil(F.count("*") / PACKET).alias("packets")))
         dealt = pairs.join(wanted, "block").join(queries.select("query", F.col("x").alias("q")), "query")
-        packets = dealt.groupBy("block", F.pmod(F.xxhash64("query"), "packets").alias("packet")).agg(F.collect_list(F.struct("query", "q")).alias("queries"))
+        kth = F.lit(None).cast("long") if best is None else F.col("kth")
+        if best is not None:
+            dealt = dealt.join(best.filter(F.col("rank") == k).select("query", F.col("score").alias("kth")), "query", "left")
+        packets = dealt.groupBy("block", F.pmod(F.xxhash64("query"), "packets").alias("packet")).agg(F.collect_list(F.struct("query", "q", kth.alias("least"))).alias("queries"))
         return map_arrow(packets.join(blocks, "block").select("dim", "numbers", "ids", "x", "queries"), _scores(k), "query long, vec_id long, score long")
 
     def best_of(found: DataFrame) -> DataFrame:
@@ -245,9 +249,9 @@ def nearest_vectors(embeddings: DataFrame, every: int = EVERY, k: int = K) -> Da
     left = bounds(asked, None).join(first, ["query", "block"], "left_anti").withColumn("place", by_bound)
     left = cut_lineage(left)
     early, late = F.col("place") <= ROUNDS[1], F.col("place") > ROUNDS[1]
-    best = best_of(best.drop("rank").union(score(left.filter(early))))
+    best = best_of(best.drop("rank").union(score(left.filter(early), best)))
     rest = left.filter(late).join(least(best), "query", "left").filter("least is null or bound >= least")
-    best = best_of(best.drop("rank").union(score(rest)))
+    best = best_of(best.drop("rank").union(score(rest, best)))
     return best.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ CELLS = 250_000
 SMOOTH = 0.1
 REMEMBERED = 300_000
 _WORDS = re.compile(r"\S+")
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_ANY_LETTER = regex.compile(r"\p{L}")
 _STEP = np.uint64(0x100000001B3)
 
 

@@ -80,12 +80,19 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
 
 
+def _parts(batches):
+    """The rows a thousand at a time, so that the sets of a whole batch are never held together."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            yield batch.slice(start, 1000)
+
+
 def _listed(words: int, percent: int):
     edge = np.uint64(int(LOW * 2**64))
 
     def run(batches):
         hashes = WordHash()
-        for batch in batches:
+        for batch in _parts(batches):
             ids, nodes, sizes, low, high, bits = [], [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 found = shingle_set(text, words, hashes)
@@ -105,7 +112,7 @@ def _listed(words: int, percent: int):
 def _whole(words: int):
     def run(batches):
         hashes = WordHash()
-        for batch in batches:
+        for batch in _parts(batches):
             sets = [shingle_set(t, words, hashes) for t in batch.column("text").to_pylist()]
             yield batch.column("node"), [s.view(np.int64) for s in sets]
 

@@ -87,7 +87,7 @@ def _counted(batches):
         for t in batch.column("text").to_pylist():
             i, c = np.unique(tokens(t), return_counts=True)
             ids.append(i.astype("<u2" if BITS <= 16 else "<u4").tobytes())
-            times.append(np.minimum(c, 65535).astype("<u2").tobytes())
+            times.append(c.astype("<u4").tobytes())
         yield batch.column("y"), ids, times
 
 
@@ -101,7 +101,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", per_cla
         return Model(np.zeros(size), 0.0 if not len(y) else 30.0 * (2 * y[0] - 1))
     docs = []
     for r in rows:
-        ids, times = np.frombuffer(r["ids"], "<u2" if BITS <= 16 else "<u4"), np.frombuffer(r["times"], "<u2").astype(float)
+        ids, times = np.frombuffer(r["ids"], "<u2" if BITS <= 16 else "<u4"), np.frombuffer(r["times"], "<u4").astype(float)
         docs.append((ids, times / max(times.sum(), 1)))
     vectors, out, bias = rng.uniform(-1, 1, (size, DIM)) / DIM, np.zeros((DIM, 2)), np.zeros(2)
     share = len(y) / (2 * np.array([(y == 0).sum(), (y == 1).sum()]))

@@ -19,7 +19,7 @@ def even_share(key) :
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds: int, held: int, per_class: int) -> DataFrame:
     """Rows (text, y): about ``per_class`` documents of each label, chosen by a hash of the id, without fold ``held``.
 
-    Ids that are null, have a null label or differing labels are not learnt from.
+    Ids that are null, have a null label or differing labels are not learnt from; of rows that repeat an id only one is.
     """
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).filter("id is not null and y in (0, 1)")
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("top")).filter("y = top").filter(fold(F.col("id"), folds) != held)
@@ -27,7 +27,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     share = F.when(F.col("y") == 1, per_class / max(counts.get(1, 0), 1)).otherwise(per_class / max(counts.get(0, 0), 1))
     chosen = known.filter(even_share("id") < share).select("id", "y")
     # about two times per_class ids, whatever the size of the tables
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("text", "y")
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def scorer(model, spark):
@@ -53,5 +53,8 @@ def score_documents(documents: DataFrame, model, limit: float = 0.5, folds: int
 
 
 def below(documents: DataFrame, model, limit: float = 0.5) -> DataFrame:
-    """The rows of ``documents`` that score under ``limit``, all columns as they are."""
+    """The rows of ``documents`` that score under ``limit``, all columns as they are.
+
+    Null and empty texts are scored as the empty text; repeated rows all stay or all go; an empty table stays empty.
+    """
     return documents.filter(scorer(model, documents.sparkSession)(documents["text"]) < limit)

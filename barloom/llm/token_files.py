@@ -28,7 +28,7 @@ from barloom.session import cut_lineage, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-REMEMBERED = 350_000
+MEMORY = 96 << 20
 _LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 # A single blank between two other characters always starts a new piece of the byte-level splitter.
 _CUT = re.compile(r"(?<=\S)\x20(?=\S)")
@@ -46,7 +46,7 @@ class Chunks(dict):
     """
 
     def __init__(self, model, whole, added: list[str]):
-        self.tokenize, self.whole, self.added, self.pieces = model.tokenize, whole, added, {}
+        self.tokenize, self.whole, self.added, self.pieces, self.bytes = model.tokenize, whole, added, {}, 0
 
     def merged(self, piece: str) -> bytes:
         plain = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
@@ -58,6 +58,7 @@ class Chunks(dict):
         ids = self.pieces.get(piece)
         if ids is None:
             ids = self.pieces[piece] = self.merged(piece)
+            self.bytes += len(piece) + len(ids) + 180
         return ids
 
     def of(self, chunk: str) -> bytes:
@@ -75,15 +76,23 @@ class Chunks(dict):
         else:
             ids = self.of(" " + chunk)
         self[chunk] = ids
+        self.bytes += len(chunk) + len(ids or b"") + 180
         return ids
 
+    def forget(self):
+        """Empty both memories when they take ``MEMORY`` bytes."""
+        if self.bytes > MEMORY:
+            self.clear()
+            self.pieces.clear()
+            self.bytes = 0
+
 
 class Encoder:
     """Encodes texts with one tokenizer file, remembering the ids of chunks between single blanks and of pieces.
 
     Texts are cut only for byte-level tokenizers without prefix space or normaliser, where merges never cross
     the pieces of the splitter and pieces never cross such a blank; any other tokenizer encodes whole texts.
-    Both memories are emptied when full. Ids are kept as little-endian unsigned 32-bit.
+    Both memories live as long as their task and are emptied when full. Ids are kept as little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
@@ -105,9 +114,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.by_chunk:
             return self._whole(text)
-        for memory in (self.chunks, self.chunks.pieces):
-            if len(memory) > REMEMBERED:
-                memory.clear()
+        self.chunks.forget()
         first, *rest = text.split(" ")
         try:
             if first[-1:].isspace():
@@ -117,14 +124,11 @@ class Encoder:
             return b"".join(self.chunks.of(p if not k else " " + p) for k, p in enumerate(_CUT.split(text)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def _encode(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = _ENCODERS.setdefault(path, None) or _ENCODERS.update({path: Encoder(path)}) or _ENCODERS[path]
+        encoder = Encoder(path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)

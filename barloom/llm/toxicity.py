@@ -12,13 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from barloom.llm.common import map_arrow
 from barloom.llm.supervised import FOLDS, labelled_sample
+from barloom.session import cut_lineage
 
 BITS = 18
 SIZES = (3, 4, 5)
-PER_CLASS = 1000
+PER_CLASS = 1500
+SEEN, TELLING = 3, 2.0
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
 
@@ -59,36 +62,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _sparse(batches):
-    mark = np.zeros(1 << BITS, bool)
+def _document_counts(batches):
+    """Per task, how many toxic and other documents hold each feature."""
+    mark, counts = np.zeros(1 << BITS, bool), np.zeros((2, 1 << BITS), np.int64)
     for batch in batches:
-        yield batch.column("y"), [features(t, mark).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
+        for y, t in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+            counts[y, features(t, mark)] += 1
+    seen = np.flatnonzero(counts.any(0))
+    yield seen, counts[1, seen], counts[0, seen]
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, rounds: int = 60) -> Model:
-    """Train on the sample; with only one label known, or none, the model gives 0 for all."""
-    sample = labelled_sample(documents, labels, label, FOLDS, 0, per_class)
-    rows = map_arrow(sample, _sparse, "y int, ids binary").collect()
-    rows.sort(key=lambda r: (r["y"], r["ids"]))
-    y = np.array([r["y"] for r in rows], float)
+def _kept(place):
+    def run(batches):
+        mark = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            ids = [place.value[features(t, mark)] for t in batch.column("text").to_pylist()]
+            yield batch.column("y"), [np.sort(i[i >= 0]).astype("<i4").tobytes() for i in ids]
+
+    return run
+
+
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, rounds: int = 60, seen: int = SEEN, telling: float = TELLING) -> Model:
+    """Train on the sample; with only one label known, or none, the model gives 0 for all.
+
+    Documents holding each feature are counted on the executors first. Features that fewer than ``seen`` sampled documents
+    hold, or that are less than ``telling`` times likelier under one label, weigh nothing and are not sent to the driver.
+    """
+    spark = documents.sparkSession
+    sample = cut_lineage(labelled_sample(documents, labels, label, FOLDS, 0, per_class))
+    of_label = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     size = 1 << BITS
-    if len(set(y)) < 2:
+    if len(of_label) < 2:
         return Model(np.zeros(size), -30.0)
-    docs = [np.frombuffer(r["ids"], "<u4") for r in rows]
-    del rows
+    counts = map_arrow(sample, _document_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
     pos, neg = np.zeros(size), np.zeros(size)
-    for ids, label_of in zip(docs, y):  # features of a document are distinct
-        (pos if label_of else neg)[ids] += 1
-    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
-    ratio[pos + neg < 3] = 0
-    keep = np.flatnonzero(np.abs(ratio) > np.log(2))  # the rest tells little and only adds noise to long texts
+    pos[counts["feature"]], neg[counts["feature"]] = counts["pos"], counts["neg"]
+    ratio = np.log((pos + 1) / (of_label[1] + 2)) - np.log((neg + 1) / (of_label[0] + 2))
+    keep = np.flatnonzero((pos + neg >= seen) & (np.abs(ratio) > np.log(telling)))
     place = np.full(size, -1, np.int32)
     place[keep] = np.arange(len(keep))
-    parts = [place[ids] for ids in docs]
-    parts = [x[x >= 0] for x in parts]
-    doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in parts])
+    sent = spark.sparkContext.broadcast(place)
+    rows = sorted(map_arrow(sample, _kept(sent), "y int, ids binary").collect(), key=lambda r: (r["y"], r["ids"]))
+    sent.destroy()
+    y = np.array([r["y"] for r in rows], float)
+    parts = [np.frombuffer(r["ids"], "<i4") for r in rows]
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
     at = np.concatenate(parts)
-    del docs, parts
+    del rows, parts
     scaled = ratio[keep]
     w, b, vw, vb = np.zeros(len(keep)), 0.0, np.zeros(len(keep)), 0.0
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
