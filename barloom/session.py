@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,5 +48,28 @@ def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barloom-{uuid.uuid4().hex}"
+    for paths in _recorded:
+        paths.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_recorded: list[list[str]] = []
+
+
+@contextmanager
+def recorded_tables():
+    """The paths of the tables that ``cut_lineage`` writes inside, in their order."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorded[:] = [p for p in _recorded if p is not paths]
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables that ``cut_lineage`` wrote, once nothing reads them any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
