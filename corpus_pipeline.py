@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontaminate, mixing, ngram_join, supervised, token_files, toxicity
 from barloom.llm.common import table
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, recorded_tables, remove_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch; texts are long, and a batch is held whole by a Python worker.
+BATCH_ROWS = 2000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if k == 0 else cut_lineage(docs), sf_dir)
-    return docs
+    """The last stage's rows. When a stage's result is written, the tables it and its predecessor left are removed."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    docs, old = table(spark, sf_dir, "documents"), []
+    *early, (_, last) = STAGES
+    for _, stage in early:
+        with recorded_tables() as written:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
+        *left, kept = written
+        remove_tables(spark, [*old, *left])
+        old = [kept]
+    return last(spark, docs, sf_dir)
