@@ -2,8 +2,8 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. Equal sets are one node. Two nodes whose sets
 reach the limit share a shingle among the first ``n - ceil(limit * n) + 1`` of each set, in any order of shingles that
-all sets share. The order puts rare shingles first: shingles in the lowest ``LOW`` of the hash range come first,
-then the others; within either, by the number of sets that list them, then by hash. A set lists its low shingles,
+all sets share. The order puts rare shingles first: shingles in the lowest part of the hash range (``low_part``) come
+first, then the others; within either, by the number of sets that list them, then by hash. A set lists its low shingles,
 or all of them where the low ones do not fill its prefix, so frequencies are counted over every document but over
 a part of its shingles only. Shingles of one set alone join nothing and are dropped, counted but not carried.
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from barloom.llm.common import LOWER, UPPER, components, map_arrow, small_side
 from barloom.session import cut_lineage
 
-LOW = 0.2
 LANES = 16
 MEMORY = 32 << 20
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -70,6 +69,11 @@ def prefix_length(n, percent: int):
     return n - (percent * n + 99) // 100 + 1
 
 
+def low_part(percent: int) -> float:
+    """Part of the hash range whose shingles come first: a third more than the prefix takes, so that they mostly fill it."""
+    return min(1.0, (100 - percent) / 75)
+
+
 def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
@@ -88,7 +92,7 @@ def _parts(batches):
 
 
 def _listed(words: int, percent: int):
-    edge = np.uint64(int(LOW * 2**64))
+    edge = np.uint64(min(int(low_part(percent) * 2**64), 2**64 - 1))
 
     def run(batches):
         hashes = WordHash()
