@@ -53,7 +53,7 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan_documents(table(spark, sf_dir, "documents"))[0])
+    return secret_scan.digest(secret_scan.scan_history(table(spark, sf_dir, "documents")))
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.common import map_arrow
+from barloom.llm.common import fold, map_arrow
 from barloom.session import cut_lineage
 
 #: kind, pattern, group whose length counts (0: the match), fewest characters; fixed values, in rank order.
@@ -23,6 +23,8 @@ RULES = (
     ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
 )
 RULE_VERSION = "base-1"
+#: One in so many paths belongs to the first of two runs.
+FIRST_OF = 8
 LEDGER = "blob string, rules string, spans array<struct<kind:string,start:int,end:int>>"
 # Long enough runs only: a run of hex digits is maximal either way, so the spans are the same.
 _LONG_HEX = re.compile(r"[0-9a-f]{32,}")
@@ -56,11 +58,12 @@ def extend_ledger(documents: DataFrame, ledger: DataFrame | None = None, rules:
     once per task. A ledger of None is an empty one.
     """
     text = F.coalesce("text", F.lit(""))
-    blobs = documents.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+    blobs = documents.select(F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text")).dropDuplicates(["blob"])
     if ledger is not None:
-        known = ledger.filter(F.col("rules") == rules).select("blob")
-        blobs = blobs.join(known, "blob", "left_anti")
-    scanned = map_arrow(blobs.dropDuplicates(["blob"]), _scan, "blob string, spans array<struct<kind:string,start:int,end:int>>")
+        # not a left_anti join, which would be moved below the collapsing of copies
+        known = ledger.filter(F.col("rules") == rules).select("blob", F.lit(True).alias("known"))
+        blobs = blobs.join(known, "blob", "left").filter("known is null").select("blob", "text")
+    scanned = map_arrow(blobs, _scan, "blob string, spans array<struct<kind:string,start:int,end:int>>")
     new = scanned.select("blob", F.lit(rules).alias("rules"), "spans")
     return cut_lineage(new if ledger is None else ledger.unionByName(new))
 
@@ -77,6 +80,16 @@ def scan_documents(documents: DataFrame, ledger: DataFrame | None = None, rules:
     return versions_of(documents).join(hits, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), ledger
 
 
+def scan_history(documents: DataFrame, parts: int = FIRST_OF, rules: str = RULE_VERSION) -> DataFrame:
+    """The findings of a run over all ``documents`` that starts from the ledger of a run over some of them.
+
+    The first run takes about one in ``parts`` of the paths (doc_id), the second takes all and scans the blobs that the
+    first has not seen. Rows and odd cases are those of ``scan_documents``; a null doc_id waits for the second run.
+    """
+    before = extend_ledger(documents.filter(fold(F.col("doc_id"), parts) == 0), rules=rules)
+    return scan_documents(documents, before, rules)[0]
+
+
 def digest(findings: DataFrame) -> DataFrame:
     """Counts per kind, the spans as text and their hash. The ledger adds no spans of its own to the base ones."""
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

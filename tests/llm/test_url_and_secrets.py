@@ -92,6 +92,17 @@ def test_ledger_trusts_what_it_holds(spark):
     assert secret_scan.scan_documents(docs, known)[0].first().spans[0].kind == "hex"
 
 
+def test_two_runs_over_one_ledger_give_the_rows_of_one(spark):
+    docs = spark.createDataFrame([(i if i % 9 else None, f"token=abcdefgh{i % 5}" if i % 3 else None, "b") for i in range(60)], "doc_id long, text string, known string")
+    one, two = secret_scan.scan_documents(docs)[0], secret_scan.scan_history(docs, parts=2)
+    rows = lambda found: sorted(map(str, secret_scan.digest(found).collect()))
+    assert rows(one) == rows(two) and len(rows(two)) == 60
+    # what the first run left is on the path of the second
+    before = secret_scan.extend_ledger(docs.filter("doc_id < 4"))
+    after = secret_scan.extend_ledger(docs, before)
+    assert 0 < before.count() < after.count() == after.select("blob").distinct().count() == 6
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     found, ledger = secret_scan.scan_documents(none)
