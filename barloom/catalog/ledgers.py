@@ -118,7 +118,7 @@ def _(spark, d):
 
 @query("pred_holdings_filter", over(f", {POS} SELECT symbol, {q('qty')} AS quantity FROM ps WHERE symbol IN ('Brand#11', 'Brand#23')", "brand", True))
 def _(spark, d):
-    return tidy(H.holdings_filter(positions_of(spark, d), ["brand#11", "BRAND#23", "none"]), "symbol", "quantity")
+    return tidy(H.positions_held(trade_log(spark, d), ["brand#11", "BRAND#23", "none"]), "symbol", "quantity")
 
 
 ACT = """ac AS (SELECT o_orderkey::VARCHAR AS id, 'staged' AS status, o_orderdate AS t FROM orders UNION ALL SELECT o_orderkey::VARCHAR, CASE o_orderstatus WHEN 'F' THEN 'committed' ELSE 'discarded' END, o_orderdate + INTERVAL 1 DAY FROM orders WHERE o_orderkey % 3 <> 0)"""

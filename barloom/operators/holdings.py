@@ -128,6 +128,12 @@ def positions(ledger_rows: DataFrame) -> DataFrame:
     )
 
 
+def positions_held(trades: DataFrame, symbols: list[str] | None, block=None) -> DataFrame:
+    """Positions of the wanted symbols only. A position depends on its own trades alone, so the others are left out
+    before they are numbered and folded, and the filter reaches the source of ``trades``."""
+    return positions(ledger(holdings_filter(trades, symbols), block))
+
+
 def roll_lock(positions_: DataFrame, now) -> DataFrame:
     """Locks are void once the Shanghai day has changed."""
     stale = c("trade_day").isNull() | (c("trade_day") != shanghai_day(now))

@@ -102,3 +102,16 @@ def test_fixed_digits_round_the_exact_value_ties_away(spark):
         assert holdings.rounded(x, d) == float(text)
     odd = spark.createDataFrame([(float("inf"),), (float("nan"),), (None,), (-0.001,)], "x double").select(exprs.fixed_digits("x", 2)).collect()
     assert odd[0][0] == float("inf") and math.isnan(odd[1][0]) and odd[2][0] is None and str(odd[3][0]) == "0.0"
+
+
+def test_wanted_positions_are_those_of_the_whole_log(spark):
+    from datetime import datetime, timedelta
+
+    sides, start = ("buy", "buy", "sell"), datetime(2024, 1, 1)
+    rows = [(f"{k:03d}", s, sides[k % 3], float(1 + k % 4), 10.0 + k, 0.1, start + timedelta(hours=k)) for k in range(40) for s in ("Aa", "bB", "CC")]
+    log = spark.createDataFrame(rows, "id string, symbol string, side string, quantity double, price double, fee double, committed_at timestamp")
+    rows_of = lambda df: sorted(map(str, df.collect()))
+    whole = holdings.positions(holdings.ledger(log))
+    assert rows_of(holdings.positions_held(log, ["aA", "BB", "none"])) == rows_of(whole.filter("symbol <> 'CC'"))
+    assert rows_of(holdings.positions_held(log, None)) == rows_of(whole)
+    assert holdings.positions_held(log, ["none"]).count() == 0
