@@ -95,25 +95,25 @@ def _(spark, d):
     return tidy(H.with_rate(marked_of(spark, d), H.fx_rates(quotes(spark, d))), "symbol", "currency", "rate", digits=6)
 
 
-@query("agg_portfolio_ccy", over(f""", {MK} SELECT ccy AS currency, {q('sum(value)', 0)} AS market_value, {q('sum(basis)', 0)} AS cost, {q('sum(upnl)', 0)} AS unrealized, {q('sum(pnl)', 0)} AS realized, {q('sum(coalesce(today, 0))', 0)} AS today,
-{q('sum(CASE WHEN value >= 0 THEN value ELSE 0 END)', 0)} AS long_exposure, {q('sum(CASE WHEN value < 0 THEN -value ELSE 0 END)', 0)} AS short_exposure FROM mv GROUP BY ccy""", "brand", True))
+@query("agg_portfolio_ccy", over(f""", {MK} SELECT ccy AS currency, {q('sum(value)', 1)} AS market_value, {q('sum(basis)', 1)} AS cost, {q('sum(upnl)', 1)} AS unrealized, {q('sum(pnl)', 1)} AS realized, {q('sum(coalesce(today, 0))', 1)} AS today,
+{q('sum(CASE WHEN value >= 0 THEN value ELSE 0 END)', 1)} AS long_exposure, {q('sum(CASE WHEN value < 0 THEN -value ELSE 0 END)', 1)} AS short_exposure FROM mv GROUP BY ccy""", "brand", True))
 def _(spark, d):
     g = H.by_currency(marked_of(spark, d))
-    return tidy(g, "currency", "market_value", "cost", "unrealized", "realized", "today", "long_exposure", "short_exposure", digits=0)
+    return tidy(g, "currency", "market_value", "cost", "unrealized", "realized", "today", "long_exposure", "short_exposure", digits=1)
 
 
 @query("agg_portfolio_nav", over(f""", {MK}, {QT}, z AS (SELECT *, coalesce(rate, 1) AS k FROM mv LEFT JOIN fx USING (ccy))
-SELECT {q('sum(value * k)', 0)} AS nav, {q('sum(basis * k)', 0)} AS cost, {q('sum(upnl * k)', 0)} AS unrealized, {q('sum(coalesce(today, 0) * k)', 0)} AS today, {q('sum(abs(value) * k)', 0)} AS gross FROM z""", "brand", True))
+SELECT {q('sum(value * k)', 2)} AS nav, {q('sum(basis * k)', 2)} AS cost, {q('sum(upnl * k)', 2)} AS unrealized, {q('sum(coalesce(today, 0) * k)', 2)} AS today, {q('sum(abs(value) * k)', 2)} AS gross FROM z""", "brand", True))
 def _(spark, d):
     n = H.nav(marked_of(spark, d), H.fx_rates(quotes(spark, d)))
-    return tidy(n.withColumn("gross", c("long_exposure") + c("short_exposure")), "nav", "cost", "unrealized", "today", "gross", digits=0)
+    return tidy(n.withColumn("gross", c("long_exposure") + c("short_exposure")), "nav", "cost", "unrealized", "today", "gross", digits=2)
 
 
 @query("agg_weights_topname", over(f""", {MK}, {QT}, z AS (SELECT symbol, abs(value) * coalesce(rate, 1) AS v FROM mv LEFT JOIN fx USING (ccy)), w AS (SELECT symbol, v / sum(v) OVER () * 100 AS w FROM z)
-SELECT {q('max(w)', 1)} AS max_weight_pct, arg_max(symbol, w) AS max_weight_symbol FROM w""", "brand", True))
+SELECT {q('max(w)', 2)} AS max_weight_pct, arg_max(symbol, w) AS max_weight_symbol FROM w""", "brand", True))
 def _(spark, d):
     w = H.weights(marked_of(spark, d), H.fx_rates(quotes(spark, d)))
-    return tidy(H.top_name(w), digits=1)
+    return tidy(H.top_name(w), digits=2)
 
 
 @query("pred_holdings_filter", over(f", {POS} SELECT symbol, {q('qty')} AS quantity FROM ps WHERE symbol IN ('Brand#11', 'Brand#23')", "brand", True))
