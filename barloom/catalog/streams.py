@@ -134,3 +134,27 @@ def _(spark, d):
     updates = table(spark, d, "events").select(c("user_id").cast("string").alias("id"), c("ts").cast("timestamp").alias("ts"), (c("value") * 1000).alias("usd"))
     out = drain(spark, J.stream_walls_ttl(stored_stream(spark, updates, "ts", "id"), "6 hours", LATE), key="id")
     return tidy(out, "id", "since", "last_seen", "gone_at", "updates", "most_usd")
+
+
+# Orders of each symbol's users, sells by odd users; an order rests at a multiple of the value told last, and the hourly
+# bars of its symbol meet it. The oracle looks for the first sweeping bar between a word and the next or the time to live.
+REST = "value * CASE WHEN user_id % 2 = 1 THEN 1.5 ELSE 0.5 END"
+
+
+@query("stream_walls_swept", over(f""", w AS (SELECT event_type AS symbol, user_id::VARCHAR AS id, user_id % 2 = 1 AS sell, ts, max({REST}) AS price, max(value * 1000) AS usd, count(*) AS n FROM events GROUP BY ALL),
+nx AS (SELECT *, lead(ts) OVER (PARTITION BY symbol, id ORDER BY ts) AS later FROM w),
+sw AS (SELECT nx.symbol, nx.id, nx.ts, min(b.time) AS swept FROM nx JOIN b ON b.symbol = nx.symbol AND b.time >= nx.ts AND b.time < nx.ts + INTERVAL 40 HOUR AND (nx.later IS NULL OR b.time < nx.later)
+  AND CASE WHEN sell THEN b.high > price * 1.0005 ELSE b.low < price * 0.9995 END GROUP BY ALL),
+en AS (SELECT nx.*, swept, swept IS NOT NULL OR later IS NULL OR later - ts >= INTERVAL 40 HOUR AS ends FROM nx LEFT JOIN sw USING (symbol, id, ts)),
+lf AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY symbol, id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM en)
+SELECT symbol, id, CASE WHEN any_value(sell) THEN 'sell' ELSE 'buy' END AS side, {q('arg_max(price, ts)')} AS price, min(ts) AS since, max(ts) AS last_seen, coalesce(max(swept), max(ts) + INTERVAL 40 HOUR) AS gone_at,
+  CASE WHEN max(swept) IS NULL THEN 'expired' ELSE 'swept' END AS reason, sum(n)::BIGINT AS updates, {q('max(usd)')} AS most_usd FROM lf GROUP BY symbol, id, life""", "hourly"))
+def _(spark, d):
+    sell = c("user_id") % 2 == 1
+    updates = table(spark, d, "events").select(
+        c("event_type").alias("symbol"), c("user_id").cast("string").alias("id"), F.when(sell, "sell").otherwise("buy").alias("side"),
+        (c("value") * F.when(sell, 1.5).otherwise(0.5)).alias("price"), (c("value") * 1000).alias("usd"), c("ts").cast("timestamp").alias("time"),
+    )
+    reach = bars(spark, d, "hourly").select("symbol", c("time").cast("timestamp").alias("time"), "high", "low")
+    lives = J.stream_wall_lives(stored_stream(spark, updates), stored_stream(spark, reach), 40 * 3600, LATE)
+    return tidy(drain(spark, lives), "symbol", "id", "side", "price", "since", "last_seen", "gone_at", "reason", "updates", "most_usd")

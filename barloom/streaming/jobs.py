@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barloom.operators.reversals import share as share_of
@@ -60,55 +60,154 @@ def stream_funding_monitor(rates: DataFrame, threshold_pct: float = 0.03) -> Dat
 # ---- folds -----------------------------------------------------------------------------------
 
 
-class FoldProcessor(StatefulProcessor):
-    """Runs ``step(state, bar dict) -> (state, rows)`` over each symbol's closed bars in time order.
-
-    Bars wait until the watermark has passed them, so files may come late and out of order by as much as the
-    watermark allows; of several versions of a bar the last one read counts. A timer releases the bars of a key that
-    gets no more rows. The state is one JSON value per key: the fold's, and the waiting bars.
+def packed(value, kind: T.DataType):
+    """A plain value as a tuple for state of the given type; a dict stands for a struct, a list of numbers for an array."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return tuple(packed(value.get(f.name), f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return [packed(x, kind.elementType) for x in value]
+    if isinstance(kind, T.MapType):
+        return {k: packed(x, kind.valueType) for k, x in value.items()}
+    return float(value) if isinstance(kind, T.DoubleType) else value
+
+
+def unpacked(value, kind: T.DataType):
+    """The value that ``packed`` took, without a struct's empty fields."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        fields = {f.name: unpacked(x, f.dataType) for f, x in zip(kind, value)}
+        return {k: x for k, x in fields.items() if x is not None}
+    if isinstance(kind, T.ArrayType):
+        return [unpacked(x, kind.elementType) for x in value]
+    if isinstance(kind, T.MapType):
+        return {k: unpacked(x, kind.valueType) for k, x in value.items()}
+    return value
+
+
+def plain(value):
+    """Rows read from state as tuples, at every depth; a Row can't be written back inside another value."""
+    if isinstance(value, dict):
+        return {k: plain(x) for k, x in value.items()}
+    if isinstance(value, (list, tuple)):
+        return (list if isinstance(value, list) else tuple)(plain(x) for x in value)
+    return value
+
+
+class TimelineProcessor(StatefulProcessor):
+    """Rows of a key wait in map state by chunks of time until the watermark has passed them.
+
+    Files may come late and out of order by as much as the watermark allows. A batch sets one timer for the newest row it
+    brings to each chunk; the first timer of a key that fires releases all rows that are due, of any chunk, in the order of
+    time. So a call to the state is made for a chunk, not for a row, and a key's own state is read and written once a batch.
     """
 
-    columns: tuple = ()
+    waiting_schema: str
+    chunk_us = 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("fold", "data string")
+        self.waiting = handle.getMapState("waiting", "chunk long", f"rows array<struct<us:long,{self.waiting_schema}>>")
+        self.released: dict = {}
+
+    def together(self, old: tuple, new: tuple) -> tuple:
+        """What waits at an instant after more was read for it."""
+        return new
+
+    def keep(self, fresh: dict[int, tuple]) -> None:
+        chunks: dict[int, dict] = {}
+        for us, value in fresh.items():
+            chunks.setdefault(us // self.chunk_us, {})[us] = value
+        for chunk, rows in chunks.items():
+            both = self._rows(chunk)
+            both |= {us: self.together(both[us], x) if us in both else x for us, x in rows.items()}
+            self._write(chunk, both)
+            self.wake(max(rows))
+
+    def _rows(self, chunk: int) -> dict[int, tuple]:
+        held = self.waiting.getValue((chunk,))
+        return {us: tuple(x) for us, *x in plain(held[0])} if held is not None else {}
+
+    def _write(self, chunk: int, rows: dict[int, tuple]) -> None:
+        self.waiting.updateValue((chunk,), ([(us, *x) for us, x in rows.items()],))
+
+    def wake(self, us: int) -> None:
+        """A timer for the first whole millisecond at or after an instant."""
+        self.handle.registerTimer(-(-us // 1000))
+
+    def due(self, watermark_ms: int):
+        """Instants and their waiting values up to the watermark, taken out of the state."""
+        limit = watermark_ms * 1000
+        for chunk in sorted(k[0] for k in list(self.waiting.keys()) if k[0] * self.chunk_us <= limit):
+            rows = self._rows(chunk)
+            later = {us: x for us, x in rows.items() if us > limit}
+            if later:
+                self._write(chunk, later)
+                self.wake(max(later))
+            else:
+                self.waiting.removeKey((chunk,))
+            yield from sorted((us, x) for us, x in rows.items() if us <= limit)
 
-    def step(self, state: dict, bar: dict):
+    def release(self, key, watermark_ms: int) -> pd.DataFrame:
         raise NotImplementedError
 
-    def _load(self) -> dict:
-        held = self.state.get()
-        return json.loads(held[0]) if held is not None else {"s": {}, "wait": {}}
-
-    def _release(self, key, box: dict, watermark_ms: int) -> pd.DataFrame:
-        out = []
-        for stamp in sorted(box["wait"]):
-            time = pd.Timestamp(stamp)
-            if time.value // 1_000_000 > watermark_ms:
-                break
-            box["s"], rows = self.step(box["s"], {**box["wait"].pop(stamp), "time": time})
-            out += [(*key, *r) for r in rows]
-        if box["wait"]:
-            self.handle.registerTimer(pd.Timestamp(max(box["wait"])).value // 1_000_000)
-        self.state.update((json.dumps(box),))
-        return pd.DataFrame(out, columns=list(self.columns))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        box = self._load()
-        for part in rows:
-            stamps = [t.isoformat() for t in part.pop("time")]
-            for stamp, bar in zip(stamps, part.to_dict("records")):
-                box["wait"][stamp] = {k: v for k, v in bar.items() if k not in ("symbol", "timeframe")}
-        yield self._release(key, box, timerValues.getCurrentWatermarkInMs())
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._release(key, self._load(), timerValues.getCurrentWatermarkInMs())
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.released.get(key) != watermark:  # the key's other timers of this batch find nothing
+            self.released[key] = watermark
+            yield self.release(key, watermark)
 
     def close(self) -> None:
         pass
 
 
+BAR = ("open", "high", "low", "close", "volume")
+
+
+class FoldProcessor(TimelineProcessor):
+    """Runs ``step(state dict, bar dict) -> (state, rows)`` over each key's closed bars in time order.
+
+    Of several versions of a bar the last one read counts. The fold's state has typed columns, ``held``, after the version
+    of that layout; a checkpoint of another version is refused.
+    """
+
+    version = 2
+    waiting_schema = ",".join(f"{x}:double" for x in BAR)
+    columns: tuple = ()
+    held: str = ""
+
+    def __init__(self):
+        self.layout = T.DataType.fromDDL(f"version int, {self.held}")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("fold", self.layout)
+
+    def step(self, state: dict, bar: dict):
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            newest = part.drop_duplicates("us", keep="last")
+            self.keep(dict(zip(newest["us"].tolist(), zip(*(newest[x].tolist() for x in BAR)))))
+        return iter(())
+
+    def release(self, key, watermark_ms: int) -> pd.DataFrame:
+        out, state = [], None
+        for us, bar in self.due(watermark_ms):
+            if state is None:
+                state = unpacked(self.state.get(), self.layout) or {"version": self.version}
+                if state["version"] != self.version:
+                    raise ValueError(f"the checkpoint holds state of version {state['version']}, this is {self.version}")
+            state, rows = self.step(state, {**dict(zip(BAR, bar)), "time": pd.Timestamp(us, unit="us")})
+            out += [(*key, *r) for r in rows]
+        if state is not None:
+            self.state.update(packed(state, self.layout))
+        return pd.DataFrame(out, columns=list(self.columns))
+
+
 def running_average(s: dict, name: str, value: float, period: int):
     """Wilder average kept in ``s``: mean of the first ``period`` values, then smoothed."""
     held = s.get(name) or [0, 0.0]
@@ -128,8 +227,10 @@ def true_range(s: dict, bar: dict) -> float:
 class SuperTrendProcessor(FoldProcessor):
     columns = ("symbol", "timeframe", "time", "st_value", "st_direction")
     schema = "symbol string, timeframe string, time timestamp, st_value double, st_direction string"
+    held = "close double, atr array<double>, band array<double>"
 
     def __init__(self, period: int = 60, factor: float = 4.0):
+        super().__init__()
         self.period, self.factor = period, factor
 
     def step(self, s, bar):
@@ -147,8 +248,10 @@ class ZigzagProcessor(FoldProcessor):
 
     columns = ("symbol", "timeframe", "time", "level", "is_top", "price")
     schema = "symbol string, timeframe string, time timestamp, level string, is_top boolean, price double"
+    held = "fine array<double>, big array<double>"
 
     def __init__(self, fine: float = 0.007, big: float = 0.02):
+        super().__init__()
         self.levels = {"fine": fine, "big": big}
 
     def step(self, s, bar):
@@ -177,13 +280,21 @@ class SignalProcessor(FoldProcessor):
         "symbol string, timeframe string, rn long, time timestamp, side string, kind string, entry double, stop double, target1 double, "
         "target2 double, status string, hit_t1 boolean, closed_rn long"
     )
+    followed = "struct<rn:long,t:long,side:string,kind:string,entry:double,stop:double,target1:double,target2:double>"
+    held = (
+        "rn long, close double, high double, low double, closes array<double>, "
+        + ", ".join(f"{x} array<double>" for x in ("atr60", "atr14", "gain", "loss", "tr", "plus", "minus", "dx"))
+        + f", m struct<trend:array<double>,side:string,last:map<string,long>,active:{followed},status:string,t1:boolean,"
+        f"shown:{followed},shown_status:string>"
+    )
 
     def __init__(self, period: int = 60, factor: float = 4.0):
+        super().__init__()
         self.period, self.factor = period, factor
         self.machine = signal_step(factor, "signals", last_closed=True)
 
     def step(self, s, bar):
-        s.setdefault("m", json.loads(json.dumps(FRESH_SIGNALS)))
+        s["m"] = {**FRESH_SIGNALS, "last": {}, **s.get("m", {})}
         s["rn"] = s.get("rn", 0) + 1
         before, tr = s.get("close"), true_range(s, bar)
         atr60 = running_average(s, "atr60", tr, self.period)
@@ -215,7 +326,8 @@ def stream_fold(bars: DataFrame, processor: FoldProcessor, late: str = "1 hour")
 
     Bars up to ``late`` behind the newest one are put in order. Needs the RocksDB state store (``ROCKSDB``).
     """
-    return bars.withWatermark("time", late).groupBy("symbol", "timeframe").transformWithStateInPandas(
+    timed = bars.withWatermark("time", late).select("symbol", "timeframe", "time", F.unix_micros("time").alias("us"), *[c(x).cast("double") for x in BAR])
+    return timed.groupBy("symbol", "timeframe").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=processor.schema, outputMode="Append", timeMode="EventTime"
     )
 
@@ -230,3 +342,110 @@ def stream_walls_ttl(updates: DataFrame, ttl: str, late: str = "1 hour") -> Data
     return updates.withWatermark("ts", late).groupBy(life, "id").agg(F.count(F.lit(1)).alias("updates"), F.max("usd").alias("most_usd"), F.max("ts").alias("last_seen")).select(
         "id", c("session_window.start").alias("since"), "last_seen", c("session_window.end").alias("gone_at"), "updates", "most_usd"
     )
+
+
+SWEEP_SLACK = 0.0005
+
+
+class WallLives(TimelineProcessor):
+    """Lives of resting orders that end when a bar trades past them or nothing is heard of them for ``ttl_us``.
+
+    An instant's waiting value is what was said then: updates by id (several at one instant count together, with their
+    highest price and size) and the reach of the bars that opened then. Updates come before bars of the same instant.
+    The standing orders of a key are read whole with every release, since a bar must be held against each of them.
+    """
+
+    schema = (
+        "symbol string, id string, side string, price double, since timestamp, last_seen timestamp, gone_at timestamp, "
+        "reason string, updates long, most_usd double"
+    )
+    columns = ("symbol", "id", "side", "price", "since", "last_seen", "gone_at", "reason", "updates", "most_usd")
+    waiting_schema = "said:map<string,struct<side:string,price:double,usd:double,n:long>>,high:double,low:double"
+
+    def __init__(self, ttl_us: int, slack: float):
+        self.ttl_us, self.slack = ttl_us, slack
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        wall = "struct<side:string,price:double,since:long,seen:long,updates:long,most_usd:double>"
+        self.walls = handle.getValueState("walls", f"walls map<string,{wall}>")
+
+    def together(self, old: tuple, new: tuple) -> tuple:
+        said = dict(old[0])
+        for name, heard in new[0].items():
+            said[name] = heard_twice(said[name], heard) if name in said else heard
+        return said, *(pick((x for x in pair if x is not None), default=None) for pick, pair in ((max, (old[1], new[1])), (min, (old[2], new[2]))))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            fresh: dict = {}
+            for us, name, side, price, usd, high, low in zip(*(part[x].tolist() for x in ("us", "id", "side", "price", "usd", "high", "low"))):
+                value = ({name: (side, price, usd, 1)}, None, None) if isinstance(name, str) else ({}, high, low)
+                fresh[us] = self.together(fresh[us], value) if us in fresh else value
+            self.keep(fresh)
+        return iter(())
+
+    def release(self, key, watermark_ms: int) -> pd.DataFrame:
+        held = self.walls.get()
+        walls = plain(held[0]) if held is not None else {}
+        out: list = []
+
+        def gone(name, at, reason):
+            side, price, since, seen, updates, most = walls.pop(name)
+            out.append((key[0], name, side, price, *(pd.Timestamp(t, unit="us") for t in (since, seen, at)), reason, updates, most))
+
+        def expire(now, names):
+            for name in [x for x in names if x in walls and walls[x][3] + self.ttl_us <= now]:
+                gone(name, walls[name][3] + self.ttl_us, "expired")
+
+        for us, (said, high, low) in self.due(watermark_ms):
+            expire(us, said if high is None else list(walls))
+            for name, (side, price, usd, n) in said.items():
+                was = walls.get(name)
+                since, count, most = (was[2], was[4], was[5]) if was else (us, 0, usd)
+                walls[name] = (side, price, since, us, count + n, max(most, usd))
+            if high is not None:
+                for name in [x for x, w in walls.items() if passed(w[0], w[1], high, low, self.slack)]:
+                    gone(name, us, "swept")
+        expire(watermark_ms * 1000, list(walls))
+        self.walls.update((walls,))
+        if walls:
+            self.wake(min(wall[3] for wall in walls.values()) + self.ttl_us)
+        return pd.DataFrame(out, columns=list(self.columns))
+
+
+def heard_twice(a: tuple, b: tuple) -> tuple:
+    """Two words on one order at one instant: the side and price of the higher price, the larger size, both counted."""
+    return *max(a[:2], b[:2], key=lambda x: (x[1], x[0])), max(a[2], b[2]), a[3] + b[3]
+
+
+def passed(side: str, price: float, high: float, low: float, slack: float) -> bool:
+    """Whether a bar's wick traded past a resting order by more than the slack between venues."""
+    return high > price * (1 + slack) if side == "sell" else low < price * (1 - slack)
+
+
+def stream_wall_lives(updates: DataFrame, bars: DataFrame, ttl_seconds: float, late: str = "1 hour", slack: float = SWEEP_SLACK, shards: int = 8) -> DataFrame:
+    """Resting orders met with the bars of their symbol: one row per life, with how it ended.
+
+    ``updates`` (symbol, id, side, price, usd, time) say that an order rests; ``bars`` (symbol, time, high, low) are
+    known by their opening time. An order is swept by the first bar that opens at or after the last word on it and trades
+    past its price; it stays gone when the price pulls back, and only a later word gives it a new life. Otherwise it
+    expires ``ttl_seconds`` after the last word. Both streams have their own watermark and the slower one counts. The time
+    to live runs in event time, by timers, so that a replay ends lives at the same instants; state TTL would run by the
+    wall clock. A symbol's orders are dealt over ``shards`` groups by id, and its few bars are sent to each of them.
+    Rows without a symbol, time or id (bars: time, high or low) are left out. Needs the RocksDB state store (``ROCKSDB``).
+    """
+    no_number, no_text = F.lit(None).cast("double"), F.lit(None).cast("string")
+    said = updates.filter("symbol is not null and time is not null and id is not null and price is not null").withWatermark("time", late).select(
+        "symbol", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "time", "id", "side", c("price").cast("double").alias("price"),
+        F.coalesce(c("usd").cast("double"), F.lit(0.0)).alias("usd"), no_number.alias("high"), no_number.alias("low"),
+    )
+    traded = bars.filter("symbol is not null and time is not null and high is not null and low is not null").withWatermark("time", late).select(
+        "symbol", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "time", no_text.alias("id"), no_text.alias("side"),
+        no_number.alias("price"), no_number.alias("usd"), c("high").cast("double").alias("high"), c("low").cast("double").alias("low"),
+    )
+    both = said.unionByName(traded).withColumn("us", F.unix_micros("time"))
+    lives = WallLives(round(ttl_seconds * 1e6), slack)
+    return both.groupBy("symbol", "shard").transformWithStateInPandas(
+        statefulProcessor=lives, outputStructType=WallLives.schema, outputMode="Append", timeMode="EventTime"
+    )
