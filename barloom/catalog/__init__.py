@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals", "positioning", "audits", "walls", "texts", "ledgers", "reports", "streams")
+FAMILIES = ("indicators", "screens", "bars", "patterns", "structure", "signals", "positioning", "audits", "walls", "texts", "ledgers", "reports", "alerts", "streams")
 
 
 def load():
