@@ -158,7 +158,7 @@ def one_check(spark, d, check):
         found = A.check_statuses(S.headers(S.rule_trades(bars(spark, d))))
     else:
         _, kept, b = kept_of(spark, d)
-        parts = {"power": A.sample_power(kept)} if check == "plausibility" else {"baseline": A.random_baseline(kept, b, SIMS)}
+        parts = {"power": A.sample_power(kept)} if check == "plausibility" else {"gaps": A.mean_gaps(kept, b)}
         found = A.check_statuses(S.headers(S.rule_trades(b)), **parts)
     return found.filter(c("check") == check).drop("check")
 

@@ -160,29 +160,48 @@ def _close_at(df: DataFrame, bars: DataFrame, position: str, name: str) -> DataF
     return df.join(closes, [*KEYS, position])
 
 
-def random_baseline(kept: DataFrame, bars: DataFrame, simulations=1000, seed=42) -> DataFrame:
-    """Where the close-to-close mean return ranks among seeded random-entry twins.
-
-    Draw number = simulation x templates + template, so every twin is drawn independently and in
-    parallel. Ties count against the strategy.
-    """
+def _templates(kept: DataFrame) -> DataFrame:
+    """Kept trades in windows of three bars or more, with their holding time and the last place they can start at."""
     hold = F.greatest(F.lit(1), c("exit_idx") - c("entry_idx"))
-    t = kept.filter(c("window_bars") >= 3).withColumns({"hold": hold, "most": c("window_bars") - 1 - hold})
-    t = t.withColumn("exit_at", c("first_rn") + F.least(c("window_bars") - 1, c("entry_idx") + hold))
+    return kept.filter(c("window_bars") >= 3).withColumns({"hold": hold, "most": c("window_bars") - 1 - hold})
+
+
+def mean_gaps(kept: DataFrame, bars: DataFrame) -> DataFrame:
+    """Reported mean return and the close-to-close mean of the same trades, of artifacts with a trade that fits its window."""
+    t = _templates(kept).withColumn("exit_at", c("first_rn") + F.least(c("window_bars") - 1, c("entry_idx") + c("hold")))
     shadow = _close_at(t, bars, "exit_at", "shadow_close")
-    own = shadow.groupBy("artifact_id").agg(
+    means = shadow.groupBy("artifact_id").agg(
         F.avg(_pair_return(c("entry_close"), c("shadow_close"))).alias("shadow_mean"),
         F.avg(trade_return()).alias("self_mean"),
         F.count(F.lit(1)).alias("trades_used"),
+        F.bool_or(c("most") >= 0).alias("fits"),
     )
+    return means.filter("fits").drop("fits")
+
+
+def forward_closes(bars: DataFrame, holds: DataFrame) -> DataFrame:
+    """Close of a bar and of the one ``hold`` bars later, for every bar and every holding time of its key.
+
+    A key has few holding times; the pairs of close and later close are made once, however many draws look them up.
+    """
+    start = bars.select(*KEYS, c("rn").alias("from_rn"), c("close").alias("a")).join(holds, list(KEYS))
+    return _close_at(start.withColumn("to_rn", c("from_rn") + c("hold")), bars, "to_rn", "z").drop("to_rn")
+
+
+def random_baseline(kept: DataFrame, bars: DataFrame, simulations=1000, seed=42) -> DataFrame:
+    """Where the close-to-close mean return ranks among seeded random-entry twins.
+
+    Draw number = simulation x templates + template, so every twin is drawn independently and in
+    parallel. Draws meet the closes they need in one join, by key, holding time and first bar. Ties count against the strategy.
+    """
+    own = mean_gaps(kept, bars)
     # Templates that fit the window are numbered in entry order; others use no draw.
-    fits = number_rows(t.filter("most >= 0"), ("artifact_id",), ("entry_idx", "exit_idx", "trade_no"), F.floor(c("entry_idx") / 4096))
-    fits = fits.withColumns({"slot": c("rn") - 1, "slots": c("n")})
+    fits = number_rows(_templates(kept).filter("most >= 0"), ("artifact_id",), ("entry_idx", "exit_idx", "trade_no"), F.floor(c("entry_idx") / 4096))
+    fits = cut_lineage(fits.select("artifact_id", *KEYS, "side", "hold", "most", "first_rn", (c("rn") - 1).alias("slot"), c("n").alias("slots")))
     sims = fits.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
     draw = uniform_draw(c("sim").cast("long") * c("slots") + c("slot"), seed)
-    sims = sims.withColumn("from_rn", c("first_rn") + F.floor(draw * (c("most") + 1)))
-    sims = sims.withColumn("to_rn", c("from_rn") + c("hold")).select("artifact_id", *KEYS, "sim", "side", "from_rn", "to_rn")
-    sims = _close_at(_close_at(sims, bars, "from_rn", "a"), bars, "to_rn", "z")
+    sims = sims.select("artifact_id", *KEYS, "sim", "side", "hold", (c("first_rn") + F.floor(draw * (c("most") + 1))).alias("from_rn"))
+    sims = sims.join(forward_closes(bars, fits.select(*KEYS, "hold").distinct()), [*KEYS, "hold", "from_rn"])
     means = sims.groupBy("artifact_id", "sim").agg(F.avg(_pair_return(c("a"), c("z"))).alias("m"))
     # One number per simulation: the list is as long as the simulation count.
     ranked = means.join(own, "artifact_id").groupBy("artifact_id").agg(
@@ -241,13 +260,15 @@ def sample_power(kept: DataFrame, edge=0.05, baseline=0.5) -> DataFrame:
 # ---- statuses and verdict --------------------------------------------------------------------
 
 
-def check_statuses(headers: DataFrame, fills=None, independent=None, baseline=None, power=None, lint: DataFrame | None = None) -> DataFrame:
+def check_statuses(headers: DataFrame, fills=None, independent=None, baseline=None, power=None, lint: DataFrame | None = None, gaps=None) -> DataFrame:
     """One row per artifact and check whose part is given. ``headers`` has artifact_id and costs_included.
 
+    The fill model needs ``gaps`` (``mean_gaps``) only; a baseline holds the same means.
+
     ``lint`` holds findings of ``rules.lint_lines`` by artifact_id; an artifact without a finding passes.
     """
     df = headers
-    for part in (fills, independent, baseline, power):
+    for part in (fills, independent, baseline, gaps if baseline is None else None, power):
         df = df if part is None else df.join(part, "artifact_id", "left")
     has = lambda part, build: None if part is None else build()
     share = lambda x: c(x) / c("checked")
@@ -260,7 +281,7 @@ def check_statuses(headers: DataFrame, fills=None, independent=None, baseline=No
             .when(c("overlap_ratio") > OVERLAP_WARN, "warn").otherwise("pass")),
         "random-baseline": has(baseline, lambda: F.when(c("percentile").isNull(), "skipped")
             .when(c("percentile") >= PASS_PERCENTILE, "pass").otherwise("not_proven")),
-        "fill-model": has(baseline, lambda: F.when(gap().isNull(), "skipped").when(gap() > GAP_LIMIT, "not_proven")
+        "fill-model": has(gaps if baseline is None else baseline, lambda: F.when(gap().isNull(), "skipped").when(gap() > GAP_LIMIT, "not_proven")
             .when(gap() > GAP_WARN, "warn").otherwise("pass")),
         "sample-power": has(power, lambda: F.when(F.coalesce(c("powered"), F.lit(False)), "pass").otherwise("not_proven")),
         "plausibility": has(power, lambda: F.when((c("trades") > 50) & (c("ci_low") > 0.9), "warn").otherwise("pass")),
