@@ -28,7 +28,7 @@ from barloom.session import cut_lineage, shared_folder
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
-MEMORY = 96 << 20
+MEMORY = 192 << 20
 _LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 # A single blank between two other characters always starts a new piece of the byte-level splitter.
 _CUT = re.compile(r"(?<=\S)\x20(?=\S)")
@@ -92,7 +92,7 @@ class Encoder:
 
     Texts are cut only for byte-level tokenizers without prefix space or normaliser, where merges never cross
     the pieces of the splitter and pieces never cross such a blank; any other tokenizer encodes whole texts.
-    Both memories live as long as their task and are emptied when full. Ids are kept as little-endian unsigned 32-bit.
+    Both memories are emptied when full. Ids are kept as little-endian unsigned 32-bit.
     """
 
     def __init__(self, path: str):
@@ -124,11 +124,26 @@ class Encoder:
             return b"".join(self.chunks.of(p if not k else " " + p) for k, p in enumerate(_CUT.split(text)))
 
 
+_held: dict[str, Encoder] = {}
+
+
+def held_encoder(run_id: str, path: str) -> Encoder:
+    """The encoder of a run, which the tasks that a worker is given one after the other share; other runs' are let go."""
+    if run_id not in _held:
+        let_go()
+        _held[run_id] = Encoder(path)
+    return _held[run_id]
+
+
+def let_go() -> None:
+    _held.clear()
+
+
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
+    end, run_id = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = held_encoder(run_id, path)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -145,6 +160,7 @@ def _wide(ids: bytes, n: int) -> np.ndarray:
 
 
 def _count(batches):
+    let_go()  # all is encoded
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         parts = [_wide(ids, n) for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist())]

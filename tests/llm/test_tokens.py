@@ -58,3 +58,13 @@ def test_vocabulary_is_ranked_by_frequency(spark):
 
 def test_no_documents(spark):
     assert token_files.token_report(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_tasks_of_a_run_share_what_a_worker_remembers():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one = token_files.held_encoder("run 1", path)
+    one.encode("a word")
+    assert token_files.held_encoder("run 1", path) is one and "word" in one.chunks
+    assert token_files.held_encoder("run 2", path) is not one and list(token_files._held) == ["run 2"]
+    list(token_files._count(iter(())))
+    assert not token_files._held
