@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import LOWER, UPPER, components, map_arrow, small_side
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, recorded_tables, remove_tables
 
 LANES = 16
 MEMORY = 32 << 20
@@ -173,8 +173,10 @@ def one_of_each(documents: DataFrame, words: int, percent: int) -> DataFrame:
 
     Documents without words stay. A document without an id goes if it links with one that has an id.
     """
-    rows = component_rows(documents, words, percent).groupBy("doc_id", "text_key").agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
-    rows = cut_lineage(rows.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("low"))))
+    with recorded_tables() as written:
+        rows = component_rows(documents, words, percent).groupBy("doc_id", "text_key").agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
+        rows = cut_lineage(rows.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("low"))))
+    remove_tables(documents.sparkSession, written[:-1])  # the rows found are all that is read from here on
     gone, repeated = (small_side(rows.filter(what).select("doc_id", "text_key")) for what in ("not stays or times > 1", "stays and times > 1"))
     at = lambda side: documents["doc_id"].eqNullSafe(side["doc_id"]) & (text_key(documents["text"]) == side["text_key"])
     once = documents.join(repeated, at(repeated), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -45,8 +45,8 @@ class Chunks(dict):
     ``pieces`` keeps those pieces of the splitter that are not a word after a blank.
     """
 
-    def __init__(self, model, whole, added: list[str]):
-        self.tokenize, self.whole, self.added, self.pieces, self.bytes = model.tokenize, whole, added, {}, 0
+    def __init__(self, model, whole, added: list[str], most: int):
+        self.tokenize, self.whole, self.added, self.most, self.pieces, self.bytes = model.tokenize, whole, added, most, {}, 0
 
     def merged(self, piece: str) -> bytes:
         plain = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
@@ -80,8 +80,8 @@ class Chunks(dict):
         return ids
 
     def forget(self):
-        """Empty both memories when they take ``MEMORY`` bytes."""
-        if self.bytes > MEMORY:
+        """Empty both memories when they take ``most`` bytes."""
+        if self.bytes > self.most:
             self.clear()
             self.pieces.clear()
             self.bytes = 0
@@ -95,7 +95,7 @@ class Encoder:
     Both memories are emptied when full. Ids are kept as little-endian unsigned 32-bit.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,7 +106,7 @@ class Encoder:
             and spec["normalizer"] is None and spec["model"]["type"] == "BPE"
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
         )
-        self.chunks = Chunks(self.tokenizer.model, self._whole, [t["content"] for t in added])
+        self.chunks = Chunks(self.tokenizer.model, self._whole, [t["content"] for t in added], memory)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -127,11 +127,11 @@ class Encoder:
 _held: dict[str, Encoder] = {}
 
 
-def held_encoder(run_id: str, path: str) -> Encoder:
+def held_encoder(run_id: str, path: str, memory: int = MEMORY) -> Encoder:
     """The encoder of a run, which the tasks that a worker is given one after the other share; other runs' are let go."""
     if run_id not in _held:
         let_go()
-        _held[run_id] = Encoder(path)
+        _held[run_id] = Encoder(path, memory)
     return _held[run_id]
 
 
@@ -139,11 +139,11 @@ def let_go() -> None:
     _held.clear()
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, memory: int):
     end, run_id = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
     def run(batches):
-        encoder = held_encoder(run_id, path)
+        encoder = held_encoder(run_id, path, memory)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -222,16 +222,16 @@ def _pack_shard(rank_of):
     return run
 
 
-def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> str:
+def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, memory: int = MEMORY) -> str:
     """Encode every whole text (null: empty), append ``end_id`` to each, write the files and return their folder.
 
     Documents are written in ascending doc_id order, null ids first; rows that repeat an id follow each other by
     the crc32 of their ids. Other columns are ignored; no documents give empty tables.
-    The one array sent to all tasks holds a rank per vocabulary id, so the tokenizer bounds it.
+    A worker remembers words in up to ``memory`` bytes. The one array sent to all tasks holds a rank per vocabulary id, so the tokenizer bounds it.
     """
     spark = documents.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    tokens = cut_lineage(map_arrow(documents.select("doc_id", "text"), _encode(tokenizer_path, end_id), "doc_id long, n int, crc long, ids binary"))
+    tokens = cut_lineage(map_arrow(documents.select("doc_id", "text"), _encode(tokenizer_path, end_id, memory), "doc_id long, n int, crc long, ids binary"))
     counts = map_arrow(tokens.select("n", "ids"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [(rank, row["id"], row["n"]) for rank, row in enumerate(counts.orderBy(F.desc("n"), "id").collect())]
     spark.createDataFrame(ranked, "rank int, id long, n long").coalesce(1).write.parquet(f"{folder}/vocabulary")
@@ -269,7 +269,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
-def token_report(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def token_report(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens and the crc32 of each document's ids."""
-    rows = read_token_files(documents.sparkSession, write_token_files(documents, tokenizer_path, end_id=end_id))
+    rows = read_token_files(documents.sparkSession, write_token_files(documents, tokenizer_path, end_id=end_id, memory=memory))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

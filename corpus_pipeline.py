@@ -14,6 +14,10 @@ from barloom.llm.common import table
 from barloom.session import cut_lineage, recorded_tables, remove_tables
 
 
+#: Bytes of words that a worker remembers while it encodes; its executor's memory is shared with what earlier stages left.
+WORD_MEMORY = 24 << 20
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among them, does not reject."""
     return supervised.below(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -36,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: one row per row of the mix."""
-    return token_files.token_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.token_report(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=WORD_MEMORY)
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """The n-gram join, the vector links and the components against brute force."""
 
 import math
+import os
 import random
 import re
 
@@ -136,3 +137,14 @@ def test_recall_of_the_index(spark):
     want = ((x @ x.T) >= 0.9).sum(1) - 1
     got = np.array([r.n_links for r in vector_dups.link_vectors(df).orderBy("vec_id").collect()])
     assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
+
+
+def test_one_of_each_leaves_the_rows_found_only(spark):
+    from barloom.session import recorded_tables
+
+    docs = spark.createDataFrame([(k, f"a b c d e f g {k % 3}") for k in range(9)], "doc_id long, text string")
+    with recorded_tables() as written:
+        kept = ngram_join.one_of_each(docs, 5, 80)
+    here = [p for p in written if os.path.exists(p.removeprefix("file:"))]
+    assert len(written) > 5 and here == written[-3:]  # the rows and two lists taken from them
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]

@@ -68,3 +68,10 @@ def test_tasks_of_a_run_share_what_a_worker_remembers():
     assert token_files.held_encoder("run 2", path) is not one and list(token_files._held) == ["run 2"]
     list(token_files._count(iter(())))
     assert not token_files._held
+
+
+def test_memory_is_emptied_when_full():
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"), memory=1000)
+    texts = [f"some words w{k} x{k} y{k}" for k in range(50)]
+    whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [encoder.encode(t) for t in texts] == whole and len(encoder.chunks) < 15
