@@ -139,11 +139,11 @@ def let_go() -> None:
     _held.clear()
 
 
-def _encode(path: str, end_id: int, memory: int):
+def _encode(path: str, end_id: int, memory: int, shared: bool):
     end, run_id = np.array([end_id], "<u4").tobytes(), uuid.uuid4().hex
 
     def run(batches):
-        encoder = held_encoder(run_id, path, memory)
+        encoder = held_encoder(run_id, path, memory) if shared else Encoder(path, memory)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -222,16 +222,17 @@ def _pack_shard(rank_of):
     return run
 
 
-def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, memory: int = MEMORY) -> str:
+def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, memory: int = MEMORY, shared: bool = True) -> str:
     """Encode every whole text (null: empty), append ``end_id`` to each, write the files and return their folder.
 
     Documents are written in ascending doc_id order, null ids first; rows that repeat an id follow each other by
     the crc32 of their ids. Other columns are ignored; no documents give empty tables.
-    A worker remembers words in up to ``memory`` bytes. The one array sent to all tasks holds a rank per vocabulary id, so the tokenizer bounds it.
+    A worker remembers words in up to ``memory`` bytes, for the whole run if
+    ``shared``, else for a task. The one array sent to all tasks holds a rank per vocabulary id, so the tokenizer bounds it.
     """
     spark = documents.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
-    tokens = cut_lineage(map_arrow(documents.select("doc_id", "text"), _encode(tokenizer_path, end_id, memory), "doc_id long, n int, crc long, ids binary"))
+    tokens = cut_lineage(map_arrow(documents.select("doc_id", "text"), _encode(tokenizer_path, end_id, memory, shared), "doc_id long, n int, crc long, ids binary"))
     counts = map_arrow(tokens.select("n", "ids"), _count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [(rank, row["id"], row["n"]) for rank, row in enumerate(counts.orderBy(F.desc("n"), "id").collect())]
     spark.createDataFrame(ranked, "rank int, id long, n long").coalesce(1).write.parquet(f"{folder}/vocabulary")
@@ -269,7 +270,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(bases), "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
 
 
-def token_report(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, memory: int = MEMORY) -> DataFrame:
+def token_report(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, memory: int = MEMORY, shared: bool = True) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens and the crc32 of each document's ids."""
-    rows = read_token_files(documents.sparkSession, write_token_files(documents, tokenizer_path, end_id=end_id, memory=memory))
+    rows = read_token_files(documents.sparkSession, write_token_files(documents, tokenizer_path, end_id=end_id, memory=memory, shared=shared))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

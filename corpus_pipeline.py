@@ -14,8 +14,8 @@ from barloom.llm.common import table
 from barloom.session import cut_lineage, recorded_tables, remove_tables
 
 
-#: Bytes of words that a worker remembers while it encodes; its executor's memory is shared with what earlier stages left.
-WORD_MEMORY = 24 << 20
+#: Bytes of words that a task remembers while it encodes; its executor's memory is shared with what other stages left.
+WORD_MEMORY = 96 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: one row per row of the mix."""
-    return token_files.token_report(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=WORD_MEMORY)
+    return token_files.token_report(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=WORD_MEMORY, shared=False)
 
 
 STAGES = [
