@@ -18,6 +18,7 @@ c = F.col
 
 
 PARTS, LATE = 6, "12 days"  # a part holds five days of the event table, and rows come up to two parts late
+FILE_ROWS = 100_000  # about, in a file of a large table; a part has two files at least
 
 
 def stored_stream(spark, df, at="time", key="symbol"):
@@ -27,15 +28,15 @@ def stored_stream(spark, df, at="time", key="symbol"):
     """
     path = f"{shared_folder(spark)}/stream-in-{uuid.uuid4().hex}"
     micros = F.unix_micros(c(at))
-    lo, hi = df.agg(F.min(micros), F.max(micros)).first()
-    span = hi - lo + 1
+    lo, hi, n = df.agg(F.min(micros), F.max(micros), F.count(F.lit(1))).first()
+    span, files = hi - lo + 1, max(2, n // (PARTS * FILE_ROWS))
     part = F.floor((micros - lo) * PARTS / span) + F.when(F.pmod(F.xxhash64(*df.columns), F.lit(7)) == 0, 1).otherwise(0)
     placed = df.withColumn("_part", part)
     for k in range(PARTS + 1):
-        placed.filter(c("_part") == k).drop("_part").repartition(2).write.mode("append").parquet(path)
+        placed.filter(c("_part") == k).drop("_part").repartition(files).write.mode("append").parquet(path)
     for k in (2, 3):
         df.limit(1).withColumns({at: F.timestamp_micros(F.lit(lo + k * span)), key: F.lit("~")}).select(df.columns).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def ticks_stream(spark, d):

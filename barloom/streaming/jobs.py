@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,77 +90,81 @@ def unpacked(value, kind: T.DataType):
     return value
 
 
-def plain(value):
-    """Rows read from state as tuples, at every depth; a Row can't be written back inside another value."""
-    if isinstance(value, dict):
-        return {k: plain(x) for k, x in value.items()}
-    if isinstance(value, (list, tuple)):
-        return (list if isinstance(value, list) else tuple)(plain(x) for x in value)
-    return value
+def frozen(rows: pd.DataFrame, columns: pa.Schema) -> tuple[bytes]:
+    """Rows as one binary state value, an Arrow table of typed columns."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, columns) as out:
+        out.write_table(pa.Table.from_pandas(rows, schema=columns, preserve_index=False))
+    return (sink.getvalue().to_pybytes(),)
+
+
+def thawed(held: tuple | None, columns: pa.Schema) -> pa.Table:
+    """The rows that ``frozen`` took; none for an empty state."""
+    return columns.empty_table() if held is None else pa.ipc.open_stream(bytes(held[0])).read_all()
 
 
 class TimelineProcessor(StatefulProcessor):
     """Rows of a key wait in map state by chunks of time until the watermark has passed them.
 
-    Files may come late and out of order by as much as the watermark allows. A batch sets one timer for the newest row it
-    brings to each chunk; the first timer of a key that fires releases all rows that are due, of any chunk, in the order of
-    time. So a call to the state is made for a chunk, not for a row, and a key's own state is read and written once a batch.
+    Files may come late and out of order by as much as the watermark allows. What a part of a batch brings to a chunk is
+    one value of its own, so that nothing that waits is read or written again until it is due. A batch sets one timer for
+    the newest row it brings to each chunk; the first timer of a key that fires releases all rows that are due, chunk by
+    chunk in the order of time. So a call to the state is made for a piece of a chunk, not for a row.
     """
 
-    waiting_schema: str
+    fields: pa.Schema
     chunk_us = 86_400_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "chunk long", f"rows array<struct<us:long,{self.waiting_schema}>>")
+        self.waiting = handle.getMapState("waiting", "chunk long, piece long", "rows binary")
+        self.pieces = handle.getValueState("pieces", "n long")
         self.released: dict = {}
 
-    def together(self, old: tuple, new: tuple) -> tuple:
-        """What waits at an instant after more was read for it."""
-        return new
-
-    def keep(self, fresh: dict[int, tuple]) -> None:
-        chunks: dict[int, dict] = {}
-        for us, value in fresh.items():
-            chunks.setdefault(us // self.chunk_us, {})[us] = value
-        for chunk, rows in chunks.items():
-            both = self._rows(chunk)
-            both |= {us: self.together(both[us], x) if us in both else x for us, x in rows.items()}
-            self._write(chunk, both)
-            self.wake(max(rows))
-
-    def _rows(self, chunk: int) -> dict[int, tuple]:
-        held = self.waiting.getValue((chunk,))
-        return {us: tuple(x) for us, *x in plain(held[0])} if held is not None else {}
-
-    def _write(self, chunk: int, rows: dict[int, tuple]) -> None:
-        self.waiting.updateValue((chunk,), ([(us, *x) for us, x in rows.items()],))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = self.pieces.get()
+        piece, newest = held[0] if held is not None else 0, {}
+        for part in rows:
+            for chunk, at in part.groupby(part["us"] // self.chunk_us).indices.items():
+                here = part.iloc[at]
+                self.waiting.updateValue((int(chunk), piece), frozen(here, self.fields))
+                newest[chunk] = max(newest.get(chunk, 0), int(here["us"].max()))
+            piece += 1
+        self.pieces.update((piece,))
+        for us in newest.values():
+            self.wake(us)
+        return iter(())
 
     def wake(self, us: int) -> None:
         """A timer for the first whole millisecond at or after an instant."""
         self.handle.registerTimer(-(-us // 1000))
 
-    def due(self, watermark_ms: int):
-        """Instants and their waiting values up to the watermark, taken out of the state."""
+    def due(self, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """The waiting rows up to the watermark, taken out of the state: a chunk at a time, rows of one instant as they were read."""
         limit = watermark_ms * 1000
-        for chunk in sorted(k[0] for k in list(self.waiting.keys()) if k[0] * self.chunk_us <= limit):
-            rows = self._rows(chunk)
-            later = {us: x for us, x in rows.items() if us > limit}
-            if later:
-                self._write(chunk, later)
-                self.wake(max(later))
-            else:
-                self.waiting.removeKey((chunk,))
-            yield from sorted((us, x) for us, x in rows.items() if us <= limit)
-
-    def release(self, key, watermark_ms: int) -> pd.DataFrame:
+        pieces: dict[int, list[int]] = {}
+        for chunk, piece in list(self.waiting.keys()):
+            if chunk * self.chunk_us <= limit:
+                pieces.setdefault(chunk, []).append(piece)
+        for chunk in sorted(pieces):
+            keys = [(chunk, piece) for piece in sorted(pieces[chunk])]
+            rows = pa.concat_tables([thawed(self.waiting.getValue(k), self.fields) for k in keys]).to_pandas()
+            for k in keys:
+                self.waiting.removeKey(k)
+            later = rows[rows["us"] > limit]
+            if len(later):
+                self.waiting.updateValue(keys[0], frozen(later, self.fields))
+                self.wake(int(later["us"].max()))
+            yield rows[rows["us"] <= limit].sort_values("us", kind="stable")
+
+    def release(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         if self.released.get(key) != watermark:  # the key's other timers of this batch find nothing
             self.released[key] = watermark
-            yield self.release(key, watermark)
+            yield from self.release(key, watermark)
 
     def close(self) -> None:
         pass
@@ -174,7 +181,7 @@ class FoldProcessor(TimelineProcessor):
     """
 
     version = 2
-    waiting_schema = ",".join(f"{x}:double" for x in BAR)
+    fields = pa.schema([("us", pa.int64()), *((x, pa.float64()) for x in BAR)])
     columns: tuple = ()
     held: str = ""
 
@@ -188,24 +195,21 @@ class FoldProcessor(TimelineProcessor):
     def step(self, state: dict, bar: dict):
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            newest = part.drop_duplicates("us", keep="last")
-            self.keep(dict(zip(newest["us"].tolist(), zip(*(newest[x].tolist() for x in BAR)))))
-        return iter(())
-
-    def release(self, key, watermark_ms: int) -> pd.DataFrame:
-        out, state = [], None
-        for us, bar in self.due(watermark_ms):
-            if state is None:
-                state = unpacked(self.state.get(), self.layout) or {"version": self.version}
-                if state["version"] != self.version:
-                    raise ValueError(f"the checkpoint holds state of version {state['version']}, this is {self.version}")
-            state, rows = self.step(state, {**dict(zip(BAR, bar)), "time": pd.Timestamp(us, unit="us")})
-            out += [(*key, *r) for r in rows]
+    def release(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        state = None
+        for rows in self.due(watermark_ms):
+            out = []
+            newest = rows.drop_duplicates("us", keep="last")
+            for us, *bar in zip(*(newest[x].tolist() for x in ("us", *BAR))):
+                if state is None:
+                    state = unpacked(self.state.get(), self.layout) or {"version": self.version}
+                    if state["version"] != self.version:
+                        raise ValueError(f"the checkpoint holds state of version {state['version']}, this is {self.version}")
+                state, found = self.step(state, {**dict(zip(BAR, bar)), "time": pd.Timestamp(us, unit="us")})
+                out += [(*key, *r) for r in found]
+            yield pd.DataFrame(out, columns=list(self.columns))
         if state is not None:
             self.state.update(packed(state, self.layout))
-        return pd.DataFrame(out, columns=list(self.columns))
 
 
 def running_average(s: dict, name: str, value: float, period: int):
@@ -350,9 +354,9 @@ SWEEP_SLACK = 0.0005
 class WallLives(TimelineProcessor):
     """Lives of resting orders that end when a bar trades past them or nothing is heard of them for ``ttl_us``.
 
-    An instant's waiting value is what was said then: updates by id (several at one instant count together, with their
-    highest price and size) and the reach of the bars that opened then. Updates come before bars of the same instant.
-    The standing orders of a key are read whole with every release, since a bar must be held against each of them.
+    Updates come before bars of the same instant; several of one order at one instant count together, with their highest
+    price and size. The standing orders of a key are read whole with every release; in it, a bar meets only the orders it
+    sweeps and those whose time has run out (``Standing``).
     """
 
     schema = (
@@ -360,68 +364,118 @@ class WallLives(TimelineProcessor):
         "reason string, updates long, most_usd double"
     )
     columns = ("symbol", "id", "side", "price", "since", "last_seen", "gone_at", "reason", "updates", "most_usd")
-    waiting_schema = "said:map<string,struct<side:string,price:double,usd:double,n:long>>,high:double,low:double"
+    fields = pa.schema([("us", pa.int64()), ("id", pa.string()), ("side", pa.string()), *((x, pa.float64()) for x in ("price", "usd", "high", "low"))])
 
     def __init__(self, ttl_us: int, slack: float):
         self.ttl_us, self.slack = ttl_us, slack
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        wall = "struct<side:string,price:double,since:long,seen:long,updates:long,most_usd:double>"
-        self.walls = handle.getValueState("walls", f"walls map<string,{wall}>")
-
-    def together(self, old: tuple, new: tuple) -> tuple:
-        said = dict(old[0])
-        for name, heard in new[0].items():
-            said[name] = heard_twice(said[name], heard) if name in said else heard
-        return said, *(pick((x for x in pair if x is not None), default=None) for pick, pair in ((max, (old[1], new[1])), (min, (old[2], new[2]))))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            fresh: dict = {}
-            for us, name, side, price, usd, high, low in zip(*(part[x].tolist() for x in ("us", "id", "side", "price", "usd", "high", "low"))):
-                value = ({name: (side, price, usd, 1)}, None, None) if isinstance(name, str) else ({}, high, low)
-                fresh[us] = self.together(fresh[us], value) if us in fresh else value
-            self.keep(fresh)
-        return iter(())
+        self.walls = handle.getValueState("walls", "walls binary")
+
+    def release(self, key, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held = thawed(self.walls.get(), Standing.fields).to_pandas()
+        walls = Standing(held, self.ttl_us, self.slack)
+        for rows in self.due(watermark_ms):
+            rows = rows.assign(bar=rows["id"].isna()).sort_values(["us", "bar"], kind="stable")
+            for us, bar, name, side, price, usd, high, low in zip(*(rows[x].tolist() for x in ("us", "bar", "id", "side", "price", "usd", "high", "low"))):
+                walls.expire(us)
+                if bar:
+                    walls.sweep(us, high, low)
+                else:
+                    walls.hear(us, name, side, price, usd)
+            walls.forget()
+            yield self.lives(key[0], walls.ended())
+        walls.expire(watermark_ms * 1000)
+        yield self.lives(key[0], walls.ended())
+        self.walls.update(frozen(walls.frame(), Standing.fields))
+        if walls.by_id:
+            self.wake(min(w[3] for w in walls.by_id.values()) + self.ttl_us)
+
+    def lives(self, symbol: str, ended: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(ended, columns=list(self.columns[1:]))
+        for name in ("since", "last_seen", "gone_at"):
+            out[name] = pd.to_datetime(out[name].astype("int64"), unit="us")
+        out.insert(0, "symbol", symbol)
+        return out
+
+
+class Standing:
+    """Standing orders by id, with those next to expire and next to be swept at the front of three queues.
+
+    A queue keeps a place for every word on an order; a place that a later word or the order's end made void is skipped.
+    """
 
-    def release(self, key, watermark_ms: int) -> pd.DataFrame:
-        held = self.walls.get()
-        walls = plain(held[0]) if held is not None else {}
-        out: list = []
-
-        def gone(name, at, reason):
-            side, price, since, seen, updates, most = walls.pop(name)
-            out.append((key[0], name, side, price, *(pd.Timestamp(t, unit="us") for t in (since, seen, at)), reason, updates, most))
-
-        def expire(now, names):
-            for name in [x for x in names if x in walls and walls[x][3] + self.ttl_us <= now]:
-                gone(name, walls[name][3] + self.ttl_us, "expired")
-
-        for us, (said, high, low) in self.due(watermark_ms):
-            expire(us, said if high is None else list(walls))
-            for name, (side, price, usd, n) in said.items():
-                was = walls.get(name)
-                since, count, most = (was[2], was[4], was[5]) if was else (us, 0, usd)
-                walls[name] = (side, price, since, us, count + n, max(most, usd))
-            if high is not None:
-                for name in [x for x, w in walls.items() if passed(w[0], w[1], high, low, self.slack)]:
-                    gone(name, us, "swept")
-        expire(watermark_ms * 1000, list(walls))
-        self.walls.update((walls,))
-        if walls:
-            self.wake(min(wall[3] for wall in walls.values()) + self.ttl_us)
-        return pd.DataFrame(out, columns=list(self.columns))
-
-
-def heard_twice(a: tuple, b: tuple) -> tuple:
-    """Two words on one order at one instant: the side and price of the higher price, the larger size, both counted."""
-    return *max(a[:2], b[:2], key=lambda x: (x[1], x[0])), max(a[2], b[2]), a[3] + b[3]
-
-
-def passed(side: str, price: float, high: float, low: float, slack: float) -> bool:
-    """Whether a bar's wick traded past a resting order by more than the slack between venues."""
-    return high > price * (1 + slack) if side == "sell" else low < price * (1 - slack)
+    columns = ("id", "side", "price", "since", "seen", "updates", "most_usd")
+    fields = pa.schema(
+        [("id", pa.string()), ("side", pa.string()), ("price", pa.float64()), ("since", pa.int64()), ("seen", pa.int64()), ("updates", pa.int64()), ("most_usd", pa.float64())]
+    )
+    spare = 10_000
+
+    def __init__(self, held: pd.DataFrame, ttl_us: int, slack: float):
+        self.ttl_us, self.slack, self.word, self.out = ttl_us, slack, 0, []
+        self.by_id: dict[str, tuple] = {}
+        self.quiet: deque = deque()
+        self.sells: list = []
+        self.buys: list = []
+        for name, *wall in zip(*(held[x].tolist() for x in self.columns)):
+            self._place(name, *wall)
+        self.quiet = deque(sorted(self.quiet))
+
+    def _place(self, name: str, side: str, price: float, since: int, seen: int, updates: int, most_usd: float) -> None:
+        self.word += 1
+        self.by_id[name] = (side, price, since, seen, updates, most_usd, self.word)
+        self.quiet.append((seen, self.word, name))
+        bound = price * (1 + self.slack) if side == "sell" else -(price * (1 - self.slack))
+        if bound == bound:  # no bar trades past a price that is no number
+            heappush(self.sells if side == "sell" else self.buys, (bound, self.word, name))
+
+    def _stands(self, place: tuple) -> bool:
+        wall = self.by_id.get(place[2])
+        return wall is not None and wall[6] == place[1]
+
+    def _gone(self, name: str, at: int, reason: str) -> None:
+        side, price, since, seen, updates, most, _ = self.by_id.pop(name)
+        self.out.append((name, side, price, since, seen, at, reason, updates, most))
+
+    def hear(self, us: int, name: str, side: str, price: float, usd: float) -> None:
+        was = self.by_id.get(name)
+        if was is None:
+            self._place(name, side, price, us, us, 1, usd)
+            return
+        if was[3] == us:  # told twice at one instant: the side and price of the higher price
+            side, price = max(was[:2], (side, price), key=lambda x: (x[1], x[0]))
+        self._place(name, side, price, was[2], us, was[4] + 1, max(was[5], usd))
+
+    def expire(self, now: int) -> None:
+        while self.quiet and self.quiet[0][0] + self.ttl_us <= now:
+            place = self.quiet.popleft()
+            if self._stands(place):
+                self._gone(place[2], place[0] + self.ttl_us, "expired")
+
+    def sweep(self, us: int, high: float, low: float) -> None:
+        """End the orders that a bar's wick traded past by more than the slack between venues."""
+        for queue, reach in ((self.sells, high), (self.buys, -low)):
+            while queue and queue[0][0] < reach:
+                place = heappop(queue)
+                if self._stands(place):
+                    self._gone(place[2], us, "swept")
+
+    def forget(self) -> None:
+        """Drop void places when they outnumber the orders."""
+        for queue in (self.sells, self.buys):
+            if len(queue) > 2 * len(self.by_id) + self.spare:
+                queue[:] = filter(self._stands, queue)
+                heapify(queue)
+        if len(self.quiet) > 2 * len(self.by_id) + self.spare:
+            self.quiet = deque(filter(self._stands, self.quiet))
+
+    def ended(self) -> list[tuple]:
+        out, self.out = self.out, []
+        return out
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame([(name, *wall[:6]) for name, wall in self.by_id.items()], columns=list(self.columns))
 
 
 def stream_wall_lives(updates: DataFrame, bars: DataFrame, ttl_seconds: float, late: str = "1 hour", slack: float = SWEEP_SLACK, shards: int = 8) -> DataFrame:
