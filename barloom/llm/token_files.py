@@ -11,11 +11,14 @@ precede it, so the place of a document in the whole stream needs one row a shard
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+import string
 import uuid
 import zlib
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 import regex
@@ -34,7 +37,7 @@ _LENGTHS = 1 + (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3)
 _CUT = re.compile(r"(?<=\S)\x20(?=\S)")
 #: The public splitter of byte-level tokenizers and the letters they write bytes with; fixed values.
 _PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-_ENDS = frozenset(".,;:!?")
+_ENDS = string.punctuation
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
@@ -42,7 +45,8 @@ _BYTE_LETTERS = {b: b for b in _SHOWN} | {b: 256 + k for k, b in enumerate(x for
 class Chunks(dict):
     """Ids of chunks that follow a blank; None where the blank was not safe to cut at.
 
-    ``pieces`` keeps those pieces of the splitter that are not a word after a blank.
+    ``pieces`` keeps those pieces of the splitter that are not a word after a blank. Two chunks around a line's end are
+    known by themselves, not together.
     """
 
     def __init__(self, model, whole, added: list[str], most: int):
@@ -61,20 +65,31 @@ class Chunks(dict):
             self.bytes += len(piece) + len(ids) + 180
         return ids
 
+    def adds(self, chunk: str) -> bool:
+        for t in self.added:
+            if t in chunk:
+                return True
+        return False
+
     def of(self, chunk: str) -> bytes:
-        if any(t in chunk for t in self.added):
+        if self.adds(chunk):
             return self.whole(chunk)
         return b"".join(map(self.piece, _PIECES.findall(chunk)))
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if chunk.isalpha():
-            ids = self.merged(" " + chunk)
-        elif chunk[-1:] in _ENDS and chunk[:-1].isalpha():
-            ids = self[chunk[:-1]] + self.piece(chunk[-1])
-        elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             ids = None
+        elif self.adds(chunk):
+            ids = self.whole(" " + chunk)
+        elif chunk.isalpha():
+            ids = self.merged(" " + chunk)
         else:
-            ids = self.of(" " + chunk)
+            left, line, right = chunk.partition("\n")
+            if line and not left[-1].isspace() and not right[0].isspace():
+                # Pieces end on both sides of such a line's end; its neighbours are remembered, their pair is seldom met again.
+                return self[left] + self.piece(line) + (self.piece(right) if right.isalpha() else self.of(right))
+            word = chunk.rstrip(_ENDS)  # marks after a word are one piece
+            ids = self[word] + self.piece(chunk[len(word) :]) if word.isalpha() else self.of(" " + chunk)
         self[chunk] = ids
         self.bytes += len(chunk) + len(ids or b"") + 180
         return ids
@@ -87,6 +102,18 @@ class Chunks(dict):
             self.bytes = 0
 
 
+@contextmanager
+def uncollected():
+    """No search for cycles meanwhile: tokens and ids form none, and each search would walk all that is remembered."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Encoder:
     """Encodes texts with one tokenizer file, remembering the ids of chunks between single blanks and of pieces.
 
@@ -147,7 +174,8 @@ def _encode(path: str, end_id: int, memory: int, shared: bool):
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
+                with uncollected():
+                    ids = [encoder.encode(t or "") + end for t in part.column("text").to_pylist()]
                 wide = [np.frombuffer(x, "<u4") for x in ids]
                 small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in wide]
                 yield part.column("doc_id"), [len(x) for x in wide], [zlib.crc32(x) for x in ids], small

@@ -1,5 +1,6 @@
 """Token files: the encoder against whole-text encoding, and exact round trips."""
 
+import gc
 import random
 import zlib
 
@@ -75,3 +76,27 @@ def test_memory_is_emptied_when_full():
     texts = [f"some words w{k} x{k} y{k}" for k in range(50)]
     whole = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert [encoder.encode(t) for t in texts] == whole and len(encoder.chunks) < 15
+
+
+def test_added_tokens_of_letters(tmp_path):
+    whole = Tokenizer.from_file(PATH)
+    whole.add_tokens(["cat", "!!"])
+    whole.save(str(tmp_path / "t.json"))
+    encoder = token_files.Encoder(str(tmp_path / "t.json"))
+    for t in ("a cat sat", "a concatenation b", "b dog!! x", "c end.\ncat d", "d cat!!\nno e"):
+        assert encoder.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+
+
+def test_parted_chunks_equal_whole_text_encoding():
+    whole, encoder, rng = Tokenizer.from_file(PATH), token_files.Encoder(PATH), random.Random(8)
+    bits = ["word", "\n", ".", "!!", "'s", "'", "$%", "\r\n", "é", "7", "\x1c", "Next", "-", "<|endoftext|>", " "]
+    for _ in range(3000):
+        t = "a " + "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        assert encoder.encode(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+
+
+def test_no_search_for_cycles_while_encoding():
+    assert gc.isenabled()
+    with token_files.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
