@@ -6,6 +6,8 @@ written as Parquet to the shared folder and read again. All stages but the last
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,24 +45,35 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return token_files.token_report(docs, public_tokenizers.path("byte_bpe_50k.json"), memory=WORD_MEMORY, shared=False)
 
 
+#: Rows and bytes that end an Arrow batch; a batch is held whole by a Python worker, and beside the heap by its executor.
+BATCH_ROWS, BATCH_BYTES = 2000, 1 << 20
+
+
+def _in_small_batches(stage):
+    """``stage`` with texts sent to Python in batches of bounded size, whoever runs it."""
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("ngram_join", keep_one_of_each_group),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("token_files", write_tokens),
+    ("toxicity", _in_small_batches(drop_toxic)),
+    ("ngram_join", _in_small_batches(keep_one_of_each_group)),
+    ("decontamination", _in_small_batches(drop_contaminated)),
+    ("mixing", _in_small_batches(mix_sources)),
+    ("token_files", _in_small_batches(write_tokens)),
 ]
 #: A trained classifier, hashes and a tokenizer are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-#: Rows of an Arrow batch; texts are long, and a batch is held whole by a Python worker.
-BATCH_ROWS = 2000
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. When a stage's result is written, the tables it and its predecessor left are removed."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs, old = table(spark, sf_dir, "documents"), []
     *early, (_, last) = STAGES
     for _, stage in early:
