@@ -240,7 +240,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, least: float
             search()
     if rows:
         search()
-    # rows made by the driver pass through Python workers that stay beside those of the search, so none are made in vain
+    # no empty table of the driver's is joined in: its rows may pass through Python workers beside those of the search
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], FOUND)
 
 

@@ -46,7 +46,7 @@ def test_each_stage_alone_bounds_its_batches(spark, tmp_path):
 
 
 def test_search_makes_no_rows_on_the_driver(spark):
-    """An empty table made by the driver started further Python workers on every executor."""
+    """No empty table of the driver's is part of the result, which may take further Python workers on executors."""
     docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
     items = spark.range(1).select(F.col("id").alias("item_id"), F.lit("one two three four five").alias("text"))
     found = decontaminate.find_contamination(docs, items)
