@@ -8,10 +8,10 @@ At scale B (2, 4, 8, ...) the sequence is cut into blocks of B words. A run whos
 a whole block that returns, equal, one period later: any 2 B - 1 words hold a whole block, and a run is longer than
 its period by at least that. So for each block the sums of squared differences to all places of the following window
 are computed exactly, from running sums of squares and one number-theoretic transform of block and window (codes are
-kept so small that no sum reaches the modulus); where the sum is zero, the distance seeds a candidate. Blocks whose
-first two words return nowhere in the window are left out beforehand. Neighbouring blocks of one distance form a chain,
-which reaches less than B words beyond its ends; these are compared word by word, on the words themselves, and what
-is long enough and has no smaller period is a run.
+kept so small that no sum reaches the modulus); where the sum is zero, the distance seeds a candidate. Many words may
+share a code, so the words of such a block are compared themselves. Blocks whose first two words return nowhere in the
+window are left out beforehand. Neighbouring blocks of one distance form a chain, which reaches less than B words beyond
+its ends; these are compared word by word too, and what is long enough and has no smaller period is a run.
 """
 
 from __future__ import annotations
@@ -128,9 +128,14 @@ def _pairs_return(words: np.ndarray):
     return test
 
 
+def _codes(block: int) -> int:
+    """How many codes there are for words, so that no sum over a block reaches the modulus."""
+    return int(((PRIME - 1) // block) ** 0.5)
+
+
 def _seeds(words, starts, block, least, greatest):
-    """(start, distance) of blocks that return at a distance."""
-    most = int(((PRIME - 1) // block) ** 0.5)
+    """(start, distance) of blocks whose codes return at a distance."""
+    most = _codes(block)
     codes = np.concatenate([words % most, np.zeros(greatest + 2 * block, np.int64)]).astype(np.uint64)
     step = max(1, TILE // (4 * block))
     found = [(starts[:0], starts[:0])]
@@ -178,7 +183,7 @@ def find_runs(words: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
     runs: set[tuple[int, int, int]] = set()
     if len(words) < SHORTEST:
         return []
-    returns = _pairs_return(words)
+    returns, most = _pairs_return(words), words.max()
     end, period = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
     for block, least, greatest in scales(longest):
         starts = np.arange(0, len(words) - block + 1, block)
@@ -187,6 +192,9 @@ def find_runs(words: np.ndarray, longest: int) -> list[tuple[int, int, int]]:
         # inside a run of a smaller period, its multiples have no run of their own
         known = (end[at] >= at + d + block) & (d % period[at] == 0)
         at, d = at[~known], d[~known]
+        if most >= _codes(block):  # words share codes
+            equal = _reach(words, at, d, block, 1) == block
+            at, d = at[equal], d[equal]
         order = np.lexsort((at, d))
         at, d = at[order], d[order]
         if not len(at):

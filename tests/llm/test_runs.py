@@ -87,6 +87,25 @@ def test_a_long_text_of_one_word():
     assert runs.find_runs(np.zeros(200_000, np.int64), 200_000) == [(0, 200_000, 1)]
 
 
+@pytest.mark.parametrize("block, period", [(4, 7), (8, 30), (64, 127), (256, 600)])
+def test_words_that_share_a_code(block, period):
+    base = np.random.default_rng(block).permutation(900)[:period]
+    for odd in range(0, period, max(1, period // 9)):
+        words = np.tile(base, 5)
+        words[3 * period + odd] += runs._codes(block)
+        assert runs.find_runs(np.append(words, 10**6), len(words)) == all_runs(words.tolist())
+
+
+def test_a_document_whose_end_shares_the_code_of_its_next_word(spark):
+    block, period, n = 64, 127, 386
+    before = (block - 1 - (n - period) - 1) % block  # words of the first text, so that the last word that returns ends a block
+    numbers = before + n % period + runs._codes(block) - 1  # words in all, so that the second text's end gets that number
+    rows = [(1, before, "a"), (3, n, "b"), (4, numbers - before - period, "c")]
+    rows = [(doc, " ".join(f"{letter}{i % period if letter == 'b' else i}" for i in range(size))) for doc, size, letter in rows]
+    got = runs.run_report(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert [tuple(r)[:5] for r in got] == [(1, 0, None, None, None), (3, 1, 0, n, period), (4, 0, None, None, None)]
+
+
 def test_transforms_are_exact():
     rng = np.random.default_rng(1)
     for block, least, greatest in runs.scales(300):
